@@ -59,8 +59,8 @@ def text_or_empty(name: str = "text") -> Column:
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _POWERS = np.ones(1, dtype=np.uint64)
@@ -101,7 +101,7 @@ def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word of a batch, in order, and for each text the number of words before it."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
-    inside = ~_SPACE[data]
+    inside = ~SPACE[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     cuts = ends[(ends > 0) & (ends < len(data))]

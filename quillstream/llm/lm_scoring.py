@@ -12,6 +12,8 @@ whose context is not kept is predicted from its longest kept suffix. Scoring rea
 broadcast. The word baseline needs exact counts of all words: the ``hot_words`` most frequent ones are broadcast,
 all others are looked up by a join on the word's 64-bit hash.
 
+What is scored is the text's words in lower case with single spaces, as in the baseline, and its end.
+
 Cases. Null text: empty, so its score is that of the end alone. Empty training set: every bit has probability 1/2.
 Repeated rows are scored each; other columns are ignored, whatever their names.
 """
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, drop_written, mix, session_setup, text_or_empty, utf8, words, written
+from .common import LOWER, SPACE, drop_written, mix, session_setup, text_or_empty, utf8, words, written
 
 END_OF_TEXT = mix(np.array([0x5EED0E0D], dtype=np.uint64))[0]
 
@@ -53,6 +55,22 @@ def _keys(data: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, n
     return key[predicted], ends[:-1] + np.arange(n)
 
 
+def plain(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of each text in lower case (A-Z only) with one space between them: what the word baseline sees."""
+    if not len(data):
+        return data, ends
+    data = LOWER[data]
+    space = SPACE[data]
+    so_far = np.r_[0, np.cumsum(~space)]
+    first = space.copy()
+    first[1:] &= ~space[:-1]
+    sizes = np.diff(ends)
+    inner = (so_far[1:] > np.repeat(so_far[ends[:-1]], sizes)) & (so_far[1:] < np.repeat(so_far[ends[1:]], sizes))
+    keep = ~space | (first & inner)
+    data[space] = 0x20
+    return data[keep], np.r_[0, np.cumsum(keep)][ends]
+
+
 def _lgamma(x: np.ndarray) -> np.ndarray:
     shift = np.ones_like(x)
     y = x.copy()
@@ -182,7 +200,7 @@ def gram_counts(docs: DataFrame, depth: int) -> DataFrame:
 
     def count(batches):
         for batch in batches:
-            keys, _ = _keys(*utf8(batch.column(0)), depth)
+            keys, _ = _keys(*plain(*utf8(batch.column(0))), depth)
             u, n = np.unique(keys, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], ["gram", "n"])
 
@@ -251,7 +269,7 @@ def score(docs: DataFrame, training: DataFrame, keep: list[str], depth: int = 5,
     """``docs`` with the model's log10 probability of each text and the word baseline, both learned from ``training``.
 
     ``keep`` names columns of ``docs`` to carry. Adds n_tokens, n_known, train_tokens, base_score, score, n_bytes
-    and bits_per_byte (code length per byte, the end included; null for an empty text).
+    and bits_per_byte (code length per scored byte, the end included; null where there are none).
     """
     spark = docs.sparkSession
     session_setup(spark)
@@ -272,7 +290,8 @@ def score(docs: DataFrame, training: DataFrame, keep: list[str], depth: int = 5,
             n = len(ends) - 1
             if not n:
                 continue
-            keys, first = _keys(data, ends, depth)
+            told, told_ends = plain(data, ends)
+            keys, first = _keys(told, told_ends, depth)
             by_model = np.add.reduceat(model.log10_probability(keys), first)
             h, before = words(LOWER[data], ends)
             at = before[1:] + np.arange(n)
@@ -284,7 +303,7 @@ def score(docs: DataFrame, training: DataFrame, keep: list[str], depth: int = 5,
             cold = tokens[~is_hot]
             cold_before = np.r_[0, np.cumsum(~is_hot)][np.r_[first, len(tokens)]]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(at - first + 1), pa.array(np.add.reduceat(is_hot.astype(np.int64), first)), pa.array(np.add.reduceat(value, first)), pa.array(by_model), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(cold_before.astype(np.int32)), pa.array(cold.view(np.int64)))],
+                [*batch.columns[:-1], pa.array(at - first + 1), pa.array(np.add.reduceat(is_hot.astype(np.int64), first)), pa.array(np.add.reduceat(value, first)), pa.array(by_model), pa.array(np.diff(told_ends)), pa.ListArray.from_arrays(pa.array(cold_before.astype(np.int32)), pa.array(cold.view(np.int64)))],
                 [*batch.schema.names[:-1], "n_tokens", "n_hot", "log_hot", "score", "n_bytes", "cold"],
             )
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm_scoring
-from .common import read
+from . import lm_scoring, media, mixing, pieces, secrets
+from .common import read, text_or_empty, written
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -23,6 +24,38 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(docs, docs.where(~F.col("held_out")), ["doc_id", "held_out"])
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read(spark, sf_dir, "documents"), ["doc_id"], public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text is a media payload that a small page of its document refers to by digest."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.octet_length(text_or_empty().cast("binary")).cast("long").alias("n_bytes"), media.payload(F.col("text")).alias("payload"))
+    files = written(media.stored(docs), "media")
+    page = F.concat(F.lit("<article><p>Before</p><figure><img src='sha256:"), F.sha2("payload", 256), F.lit("'><figcaption>"), F.col("n_bytes").cast("string"), F.lit(" bytes</figcaption></figure><p>After</p></article>"))
+    seqs = media.sequences(docs.select("doc_id", "n_bytes", page.alias("html")), ["doc_id", "n_bytes"])
+    items = media.resolved(seqs, ["doc_id", "n_bytes"], media.features(files)).where("kind = 'media'")
+    return items.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+
+
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = pieces.encode(read(spark, sf_dir, "documents"), ["doc_id"], model)
+    covered = F.aggregate(F.zip_with("ends", "starts", lambda a, b: a - b), F.lit(0), lambda a, x: a + x)
+    digests = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), covered.cast("long").alias("covered_bytes"), "ids")
+    back = pieces.decode(digests, ["doc_id", "n_tokens", "ids_sha256", "covered_bytes"], model)
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "covered_bytes")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op2_mixing": op2_mixing,
+    "op3_secret_scan": op3_secret_scan,
+    "op8_media_columns": op8_media_columns,
+    "op9_pieces": op9_pieces,
 }
