@@ -97,8 +97,25 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[ends[0] : ends[-1]], ends - ends[0]
 
 
+def pieces_of(ends: np.ndarray, size: int = 1 << 16):
+    """Ranges of whole texts of about ``size`` bytes each, so that work on them stays in the cache."""
+    n, at = len(ends) - 1, 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + size, side="right")) - 1)
+        yield at, to
+        at = to
+
+
 def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word of a batch, in order, and for each text the number of words before it."""
+    parts = [_words(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a]) for a, b in pieces_of(ends)]
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
+    sizes = np.concatenate([np.diff(b) for _, b in parts])
+    return np.concatenate([h for h, _ in parts]), np.r_[0, np.cumsum(sizes)]
+
+
+def _words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
     inside = ~SPACE[data]
@@ -110,13 +127,12 @@ def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     before = np.searchsorted(starts, ends)
     if not len(starts):
         return np.zeros(0, np.uint64), before
-    nth = np.cumsum(first)
-    nth -= 1
-    at = np.arange(len(data))
-    at -= starts[np.maximum(nth, 0)]
+    at = np.arange(len(data), dtype=np.int32)
+    at -= np.repeat(np.r_[0, starts], np.diff(np.r_[0, starts, len(data)])).astype(np.int32)
     at[~inside] = 0
-    terms = _BYTE[data] * _powers(int(at.max()) + 1)[at]
-    terms[~inside] = 0
+    terms = _BYTE[data]
+    terms *= _powers(int(at.max()) + 1)[at]
+    terms *= inside
     return mix(np.add.reduceat(terms, starts)), before
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm_scoring, media, mixing, pieces, secrets
+from . import language, lm_scoring, media, mixing, pieces, quality, secrets
 from .common import read, text_or_empty, written
 
 ORACLE_SQL: dict[str, str] = {}
@@ -33,6 +33,16 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"), ["doc_id"], public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.score(docs, ["doc_id"], quality.fit(docs))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", (fold(4) == 2).alias("held_out"))
+    return language.predict(docs, ["doc_id", "held_out"], language.fit(docs.where(~F.col("held_out"))))
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text is a media payload that a small page of its document refers to by digest."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.octet_length(text_or_empty().cast("binary")).cast("long").alias("n_bytes"), media.payload(F.col("text")).alias("payload"))
@@ -56,6 +66,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_mixing": op2_mixing,
     "op3_secret_scan": op3_secret_scan,
+    "op5_quality": op5_quality,
+    "op7_language_id": op7_language_id,
     "op8_media_columns": op8_media_columns,
     "op9_pieces": op9_pieces,
 }
