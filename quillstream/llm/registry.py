@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, lm_scoring, media, mixing, pieces, quality, secrets
+from . import language, lm_scoring, media, mixing, pieces, pii, quality, secrets
 from .common import read, text_or_empty, written
 
 ORACLE_SQL: dict[str, str] = {}
@@ -62,6 +62,10 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "covered_bytes")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), key="example key")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_mixing": op2_mixing,
@@ -70,4 +74,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": op7_language_id,
     "op8_media_columns": op8_media_columns,
     "op9_pieces": op9_pieces,
+    "op10_pii": op10_pii,
 }
