@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, lm_scoring, media, mixing, pieces, pii, quality, secrets
+from . import embeddings, language, lm_scoring, media, mixing, ngram_join, pieces, pii, quality, secrets
 from .common import read, text_or_empty, written
 
 ORACLE_SQL: dict[str, str] = {}
@@ -33,11 +33,19 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"), ["doc_id"], public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality.score(docs, ["doc_id"], quality.fit(docs))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(read(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", (fold(4) == 2).alias("held_out"))
     return language.predict(docs, ["doc_id", "held_out"], language.fit(docs.where(~F.col("held_out"))))
@@ -70,7 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_mixing": op2_mixing,
     "op3_secret_scan": op3_secret_scan,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_quality": op5_quality,
+    "op6_ngram_join": op6_ngram_join,
     "op7_language_id": op7_language_id,
     "op8_media_columns": op8_media_columns,
     "op9_pieces": op9_pieces,
