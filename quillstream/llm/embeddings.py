@@ -9,7 +9,8 @@ Equal vectors are first made one. Verified links of buckets give components; wit
 compared, in blocks, which counts each vector's links and finds those that the buckets missed. Units of work are
 bounded (``groups``); links leave a unit as a forest, never as all pairs.
 
-Cases. A vector that is null, empty or zero, or has null or non-finite parts, links with nothing and is kept.
+Cases. A vector that is null, empty or zero, has null or non-finite parts, or no vec_id links with nothing and is
+kept.
 Vectors of different lengths never link. Repeated rows count as vectors of their own. Ties: a cosine of exactly the
 threshold links. Empty table: no rows. Extra columns are ignored, whatever their names.
 """
@@ -88,7 +89,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int = 1
     vec = F.col("embedding").cast("array<double>")
     big = F.lit(float("inf"))
     finite = F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < big)) & F.exists(vec, lambda v: v != 0)
-    valid = F.coalesce((F.size(vec) > 0) & finite, F.lit(False))
+    valid = F.coalesce(F.col("vec_id").isNotNull() & (F.size(vec) > 0) & finite, F.lit(False))
     rows = vectors.select("vec_id", F.when(valid, vec).alias("vec"))
     key = [F.when(F.col("vec").isNotNull(), F.xxhash64(F.lit(k), "vec")).alias(f"h{k}") for k in (1, 2)]
     keyed = rows.select("vec_id", "vec", *key)
@@ -138,5 +139,5 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int = 1
         "vec_id",
         (F.coalesce("linked", F.lit(0)) + F.coalesce(F.col("times") - 1, F.lit(0))).cast("long").alias("n_links"),
         component.cast("long").alias("component_id"),
-        (F.col("vec_id") == component).alias("kept"),
+        F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"),
     )

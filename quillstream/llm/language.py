@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import session_setup, text_or_empty
+from .common import session_setup, text_or_empty, with_added
 
 SCALE = 30.0
 _letters: list[np.ndarray] = []
@@ -191,5 +191,4 @@ def predict(docs: DataFrame, keep: list[str], model: dict) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names[best.astype(np.int64)].tolist(), pa.string()), pa.array(score.astype(np.float64))], [*batch.schema.names[:-1], "lang_pred", "score"])
 
     picked = docs.select(*keep, text_or_empty().alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(work, f"{schema}, lang_pred string, score double")
+    return picked.mapInArrow(work, with_added(picked, "lang_pred string, score double"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, drop_written, mix, session_setup, text_or_empty, utf8, words, written
+from .common import LOWER, SPACE, drop_written, mix, session_setup, text_or_empty, utf8, with_added, words, written
 
 END_OF_TEXT = mix(np.array([0x5EED0E0D], dtype=np.uint64))[0]
 
@@ -308,8 +308,7 @@ def score(docs: DataFrame, training: DataFrame, keep: list[str], depth: int = 5,
             )
 
     picked = docs.select(*keep, F.monotonically_increasing_id().alias("_row"), text_or_empty().alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    rated = written(picked.mapInArrow(rate, f"{schema}, n_tokens long, n_hot long, log_hot double, score double, n_bytes long, cold array<long>"), "rated")
+    rated = written(picked.mapInArrow(rate, with_added(picked, "n_tokens long, n_hot long, log_hot double, score double, n_bytes long, cold array<long>")), "rated")
     each = rated.select("_row", F.explode("cold").alias("word"))
     rare = each.join(counts, "word").groupBy("_row").agg(F.count("*").alias("n_rare"), F.sum(F.log10(F.col("n") + F.lit(1.0))).alias("log_rare"))
     unit = math.log10(total + distinct + 1)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import session_setup
+from .common import session_setup, with_added
 
 WIDTH = 64
 SCHEME = "sha256:"
@@ -189,8 +189,7 @@ def sequences(pages: DataFrame, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(items, pa.list_(item))], [*batch.schema.names[:-1], "items"])
 
     picked = pages.select(*keep, "html")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(work, f"{schema}, items array<{ITEM}>")
+    return picked.mapInArrow(work, with_added(picked, f"items array<{ITEM}>"))
 
 
 def resolved(seqs: DataFrame, keep: list[str], media: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ Distribution. Signatures are computed once and written; only buckets with two or
 texts of clusters get their sets, once each unless the cluster is large. Units of work are bounded (``groups``), so
 a group of copies that holds a third of all rows is spread; links leave a unit as a forest and as counts.
 
-Cases. Null or empty text, or one without words: no links, a class of its own. Words are case-sensitive runs of
+Cases. Null or empty text, one without words, or a null doc_id: no links, a class of its own (kept). Words are case-sensitive runs of
 anything but white space. Repeated rows count as texts of their own. A similarity of exactly the threshold links.
 Empty table: no rows. Extra columns are ignored, whatever their names.
 """
@@ -136,11 +136,12 @@ def similar(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6) ->
         for batch in batches:
             data, ends = utf8(batch.column(1))
             h1, h2, n, signs = [], [], [], []
+            named = iter(batch.column(0).is_valid().to_pylist())
             for a, b in pieces_of(ends, 1 << 18):
                 for s in shingle_sets(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a]):
                     h1.append(int(s.sum(dtype=np.uint64).astype(np.int64)))
                     h2.append(int(mix(s).sum(dtype=np.uint64).astype(np.int64)))
-                    n.append(len(s))
+                    n.append(len(s) if next(named) else 0)
                     signs.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(n, pa.int64()), _binary(signs)], ["doc_id", "h1", "h2", "n", "signature"])
 
@@ -204,4 +205,4 @@ def similar(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6) ->
     labels = written(classes.select("id", *key, "times").join(counts, "id", "left").join(final, "id", "left"), "labels")
     joined = rows.select("doc_id", *key).join(labels, key, "left")
     class_id = F.coalesce("component", "id", "doc_id")
-    return joined.select("doc_id", class_id.cast("long").alias("class_id"), (F.coalesce("linked", F.lit(0)) + F.coalesce(F.col("times") - 1, F.lit(0))).cast("long").alias("n_links"), (F.col("doc_id") == class_id).alias("kept"))
+    return joined.select("doc_id", class_id.cast("long").alias("class_id"), (F.coalesce("linked", F.lit(0)) + F.coalesce(F.col("times") - 1, F.lit(0))).cast("long").alias("n_links"), F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"))

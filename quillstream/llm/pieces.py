@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import session_setup, text_or_empty
+from .common import session_setup, text_or_empty, with_added
 
 MARK = "▁"
 
@@ -91,7 +91,7 @@ class CharacterMap:
 class Pieces:
     """Encoder of one model file."""
 
-    def __init__(self, path: str, cached: int = 300_000):
+    def __init__(self, path: str, cached: int = 500_000):
         import sentencepiece
 
         with open(path, "rb") as f:
@@ -118,9 +118,11 @@ class Pieces:
         self.end = self.library.eos_id()
         #: Bytes of normalised text that each id covers; 0 for the end and -1 where it depends on the text.
         self.width = np.array([1 if k == 6 else -1 if k == 2 else 0 if k == 3 else len(n.encode()) for n, k in zip(names, kinds, strict=True)])
+        self.marked = np.array([n.startswith(MARK) for n in names])
         self.cuttable = not any(MARK in n.lstrip(MARK) for n in names)
         self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, int] = {}
+        self.flat, self.size, self.begin = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64)
         self.cached = cached
 
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
@@ -163,32 +165,71 @@ class Pieces:
             del out[-len(mark) :], origin[-len(mark) :]
         return out.decode(), np.array([*origin, end])
 
-    def encode(self, texts: list[str], spans: bool) -> tuple[list[list[int]], list, list]:
-        """Ids of each text with the end's, and if asked for, where each begins and ends in the original bytes."""
-        normal = [self.normalise(t) if spans else (self.normalise(t)[0], None) for t in texts]
+    def learn(self, new: list[str]) -> None:
+        """Pieces of cut words, kept in one flat array. Words are merged many to a string, as cuts part merges."""
+        plain, other = [], []
+        for w in new:
+            (plain if self.cuttable and w[0] == MARK and len(w) > 1 and w[1] != MARK else other).append(w)
+        parts, sizes = [], []
+        for at in range(0, len(plain), 1000):
+            some = plain[at : at + 1000]
+            ids = np.array(self.merge.encode("".join(some)), np.int32)
+            first = np.flatnonzero(self.marked[ids])
+            if len(first) != len(some):
+                other += some
+                continue
+            self.known.update(zip(some, range(len(self.known), len(self.known) + len(some)), strict=True))
+            parts.append(ids)
+            sizes.append(np.diff(np.r_[first, len(ids)]))
+        for w, ids in zip(other, self.merge.encode(other, num_threads=1), strict=True):
+            self.known[w] = len(self.known)
+            parts.append(np.array(ids, np.int32))
+            sizes.append(np.array([len(ids)]))
+        if parts:
+            self.flat = np.concatenate([self.flat, *parts])
+            self.size = np.concatenate([self.size, *sizes])
+            self.begin = np.cumsum(self.size) - self.size
+
+    def encode(self, texts: list[str], spans: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]:
+        """Ids of all texts, each with the end's, how many each text has, and where each id begins and ends.
+
+        Places are bytes of the original text; they are None unless asked for.
+        """
+        normal = [self.normalise(t) for t in texts]
         cut = [self.cut.findall(n) if self.cuttable else [n] if n else [] for n, _ in normal]
+        every = [*chain.from_iterable(cut)]
         if len(self.known) > self.cached:
-            self.known = {}
-        new = list(set(chain.from_iterable(cut)).difference(self.known))
-        known = self.known
-        known.update(zip(new, map(tuple, self.merge.encode(new, num_threads=1)), strict=True))
-        ids = [[*chain.from_iterable([known[w] for w in c]), self.end] for c in cut]
-        starts, ends = [], []
-        if spans:
-            for (text, origin), own, c in zip(normal, ids, cut, strict=True):
-                width = self.width[own]
-                if (width < 0).any():
-                    width = np.array([*chain.from_iterable([len(p.surface.encode()) for p in self.merge.encode(w, out_type="immutable_proto").pieces] for w in c), 0])
-                to = np.cumsum(width)
-                starts.append(origin[to - width].astype(np.int32))
-                ends.append(origin[to].astype(np.int32))
-        return ids, starts, ends
-
-
-def _lists(rows: list, kind: pa.DataType) -> pa.Array:
-    sizes = np.r_[0, np.cumsum([len(r) for r in rows], dtype=np.int64)].astype(np.int32)
-    flat = np.concatenate([np.asarray(r, dtype=np.int32) for r in rows]) if rows else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat, kind))
+            self.known, self.flat, self.size = {}, np.zeros(0, np.int32), np.zeros(0, np.int32)
+        new = set(every).difference(self.known)
+        if new:
+            self.learn([*new])
+        at = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))
+        n = self.size[at].astype(np.int64) if len(at) else np.zeros(0, np.int64)
+        place = np.repeat((self.begin[at] if len(at) else n) - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        ids = self.flat[place]
+        last = np.cumsum([len(c) for c in cut], dtype=np.int64)
+        to = np.r_[0, np.cumsum(n)][last]
+        if not spans:
+            return np.insert(ids, to, self.end), np.diff(np.r_[0, to]) + 1, None, None
+        width = self.width[ids]
+        if (width < 0).any():
+            width = np.array([*chain.from_iterable(self._widths(w) for w in every)], np.int64)
+        widths = np.insert(width, to, 0)
+        begin = np.r_[0, np.cumsum([len(o) - 1 for _, o in normal])]
+        counts = np.diff(np.r_[0, to]) + 1
+        # Texts lie one after another, each with one more place for its end.
+        row = np.repeat(np.arange(len(texts)), counts)
+        ends = np.cumsum(widths) + row
+        origin = np.concatenate([o for _, o in normal]) if normal else np.zeros(0, np.int64)
+        starts = ends - widths
+        return np.insert(ids, to, self.end), counts, origin[starts], origin[ends]
+
+    def _widths(self, word: str) -> list[int]:
+        return [len(p.surface.encode()) for p in self.merge.encode(word, return_type="proto").pieces]
+
+
+def _lists(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(flat.astype(np.int32)))
 
 
 def encode(docs: DataFrame, keep: list[str], model: str, spans: bool = True) -> DataFrame:
@@ -200,13 +241,12 @@ def encode(docs: DataFrame, keep: list[str], model: str, spans: bool = True) ->
         for batch in batches:
             for at in range(0, batch.num_rows, 250):
                 part = batch.slice(at, 250)
-                found = pieces.encode(part.column(part.num_columns - 1).to_pylist(), spans)
-                arrays = [_lists(x, pa.int32()) for x in found[: 3 if spans else 1]]
+                ids, counts, starts, ends = pieces.encode(part.column(part.num_columns - 1).to_pylist(), spans)
+                arrays = [_lists(x, counts) for x in ([ids, starts, ends] if spans else [ids])]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *arrays], [*part.schema.names[:-1], *["ids", "starts", "ends"][: len(arrays)]])
 
     picked = docs.select(*keep, text_or_empty().alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(work, f"{schema}, ids array<int>" + (", starts array<int>, ends array<int>" if spans else ""))
+    return picked.mapInArrow(work, with_added(picked, "ids array<int>" + (", starts array<int>, ends array<int>" if spans else "")))
 
 
 def decode(encoded: DataFrame, keep: list[str], model: str) -> DataFrame:
@@ -223,5 +263,4 @@ def decode(encoded: DataFrame, keep: list[str], model: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], [*part.schema.names[:-1], "decoded"])
 
     picked = encoded.select(*keep, "ids")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(work, f"{schema}, decoded string")
+    return picked.mapInArrow(work, with_added(picked, "decoded string"))

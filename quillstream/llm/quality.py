@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, mix, pieces_of, session_setup, text_or_empty, utf8, words
+from .common import SPACE, mix, pieces_of, session_setup, text_or_empty, utf8, with_added, words
 
 GOOD, BAD, ABSTAIN = 1, 0, 2
 #: (name, bad at or above or None, good at or below or None, smallest number of words for a vote)
@@ -256,5 +256,4 @@ def score(docs: DataFrame, keep: list[str], model: dict, threshold: float = 0.5)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p), pa.array(p >= threshold)], [*batch.schema.names[:-1], "score", "kept"])
 
     picked = docs.select(*keep, text_or_empty().alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(work, f"{schema}, score double, kept boolean")
+    return picked.mapInArrow(work, with_added(picked, "score double, kept boolean"))

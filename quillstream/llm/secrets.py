@@ -18,7 +18,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import session_setup, text_or_empty
+from .common import session_setup, text_or_empty, with_added
 
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -110,6 +110,5 @@ def scan(docs: DataFrame, keep: list[str], ranks: str, pattern: str, ratio: floa
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays[: 7 if redacted else 6]], [*batch.schema.names[:-1], *names[: 7 if redacted else 6]])
 
     picked = docs.select(*keep, text_or_empty().alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
     added = "n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string" + (", redacted string" if redacted else "")
-    return picked.mapInArrow(find, f"{schema}, {added}")
+    return picked.mapInArrow(find, with_added(picked, added))
