@@ -1,10 +1,566 @@
-"""Named queries over the test tables, each with the SQL that gives the same rows."""
+"""Named queries over the test tables, each with the SQL that gives the same rows.
+
+Rules that the tables never exercise run over inline rows, in both engines.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import audit, calibrate, check, corpus, generation, scorers, segments, structure
+from ..sources import readers
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def inline(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def values(rows: list[tuple]) -> str:
+    """The rows as SQL literals."""
+
+    def lit(x) -> str:
+        if x is None:
+            return "NULL"
+        if isinstance(x, bool):
+            return str(x).lower()
+        if isinstance(x, (int, float)):
+            return repr(x)
+        return "'" + x.replace("'", "''") + "'"
+
+    return ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)
+
+
+# DuckDB forms of shared rules.
+
+
+class _Form(str):
+    """SQL with places ``{0}`` and ``{min}``; all other braces stand for themselves."""
+
+    def format(self, text: str = "", min: int = 0) -> str:  # noqa: A002
+        return self.replace("{0}", text).replace("{min}", str(min))
+
+
+_WS = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
+_TOKENS = _Form("list_filter(regexp_split_to_array({0}, '" + _WS + "+'), lambda t: t <> '')")
+_WORDS = _Form(f"CAST(len({_TOKENS}) AS BIGINT)")
+_STRIP = _Form("regexp_replace({0}, '^" + _WS + "+|" + _WS + "+$', '', 'g')")
+_FLAT = _Form("trim(regexp_replace({0}, '" + _WS + "+', ' ', 'g'))")
+_CITE = _Form(r"regexp_replace({0}, '(?i)\((?:[^()]*(?:\b(?:1[6-9]|20)\d{2}\b|\bibid\b|\bet al\b)[^()]*)\)', ' ', 'g')")
+_ASSESSED = _Form("CAST(len(list_filter(" + _TOKENS.format(_CITE) + r", lambda t: regexp_matches(t, '[\p{L}\p{N}]'))) AS BIGINT)")
+_LIST_ITEM = _Form(r"({0} <> '' AND (contains({0}, chr(9)) OR regexp_matches({0}, '^([•▪◦·*+–—-](\s|$)|\d+[.)](\s|$)|[A-Z]{1,5}\d+[\s:])')))")
+_NOTES = " OR ".join("starts_with({0}, '" + n + "')" for n in T.NOTE_STARTS)
+_PROSE = _Form("(" + _WORDS + " >= {min} AND {0} <> '' AND NOT regexp_matches({0}, '^[•\\-*“\"\\[»]') AND NOT " + _LIST_ITEM + " AND NOT (" + _NOTES + "))")
+_SENTENCES = _Form("list_filter(list_transform(string_split(regexp_replace({0}, '([.!?][\"”’)\\]]?)" + _WS + "+', '\\1' || chr(1), 'g'), chr(1)), lambda s: " + _STRIP.format("s") + "), lambda s: s <> '')")
+
+
+def _paras_sql(min_words: int) -> str:
+    return f"""lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+        stripped AS (SELECT doc_id, pos, {_STRIP.format("raw")} AS text FROM lines),
+        paras AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS para_idx, text FROM stripped WHERE {_PROSE.format("text", min=min_words)})"""
+
+
+def _sents_sql() -> str:
+    return (
+        _paras_sql(0)
+        + f""", cut AS (SELECT doc_id, para_idx, {_SENTENCES.format("text")} AS ss FROM paras),
+        each AS (SELECT doc_id, para_idx, unnest(ss) AS sentence, generate_subscripts(ss, 1) AS pos FROM cut),
+        sents AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY para_idx, pos) - 1 AS INTEGER) AS sent_idx, count(*) OVER (PARTITION BY doc_id) AS n, para_idx, sentence FROM each),
+        member AS (SELECT *, unnest(range(CAST(greatest(0, ceil((sent_idx - 6) / 3.0)) AS BIGINT), CAST(least(sent_idx // 3, CASE WHEN n <= 7 THEN 0 ELSE ceil((n - 7) / 3.0) END) AS BIGINT) + 1)) AS win_idx FROM sents),
+        wins AS (SELECT doc_id, CAST(win_idx AS INTEGER) AS win_idx, min(sent_idx) AS "start", max(sent_idx) + 1 AS "end", string_agg(sentence, ' ' ORDER BY sent_idx) AS chunk FROM member GROUP BY ALL),
+        scored AS (SELECT doc_id, win_idx, CAST((length(chunk) * 37) % 101 AS DOUBLE) / 100 AS score FROM wins),
+        ss AS (SELECT m.doc_id, m.sent_idx, any_value(m.para_idx) AS para_idx, any_value(m.sentence) AS sentence, greatest(0.0, max(s.score)) AS score FROM member m JOIN scored s ON m.doc_id = s.doc_id AND m.win_idx = s.win_idx GROUP BY m.doc_id, m.sent_idx),
+        st AS (SELECT *, CASE WHEN score >= 0.98 THEN 2 WHEN score >= 0.95 THEN 1 ELSE 0 END AS severity FROM ss)"""
+    )
+
+
+RED, AMBER = 0.98, 0.95
+
+
+def _sents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.document_sentences(segments.paragraphs(table(spark, sf_dir, "documents").select("doc_id", "text"), "\n", 0))
+
+
+def _stand_in(chunk: Column) -> Column:
+    return ((F.char_length(chunk) * 37) % 101).cast("double") / 100
+
+
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences with verdicts from a stand-in score of windows: their length, folded into 0..1."""
+    sents = _sents(spark, sf_dir)
+    scores = segments.windows(sents).select("doc_id", "win_idx", _stand_in(F.col("chunk")).alias("score"))
+    return segments.sentence_scores(sents, scores).withColumn("severity", segments.severity(F.col("score"), RED, AMBER))
+
+
+# Words and rules on strings ---------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, {_WORDS.format('text')} AS words, {_ASSESSED.format('text')} AS assessed FROM documents")
+def word_count(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.word_count(F.col("text")).alias("words"), T.assessed_words(F.col("text")).alias("assessed"))
+
+
+_CITED = [(1, "Prices rose (Smith, 2024)."), (2, "As noted (ibid.) it fell (Jones et al, 1999, p. 4) twice."), (3, "It was 1999 (the second of these) then"), (4, "x (see (Lee, 2001)) y"), (5, "(1599) and (2100) stay, (1600) goes"), (6, ""), (7, "( ) . -"), (8, "IBID (IBID) Et Al (ET AL)")]
+
+
+@query(f"SELECT id, {_FLAT.format(_CITE.format('text'))} AS text, {_ASSESSED.format('text')} AS assessed FROM (VALUES {values(_CITED)}) t(id, text)")
+def citation_strip_inline(spark, sf_dir):
+    t = inline(spark, "id int, text string", _CITED)
+    return t.select("id", T.flat(T.without_citations(F.col("text"))).alias("text"), T.assessed_words(F.col("text")).alias("assessed"))
+
+
+_ITEMS = [(1, "a\tb"), (2, "SC12 do it"), (3, "3. third"), (4, "2."), (5, "• dot"), (6, "T. S. Eliot wrote"), (7, "V. is five"), (8, "1984 was a year"), (9, "E = mc2"), (10, ""), (11, "– dash"), (12, "NFR10: fast"), (13, "-joined"), (14, "Figure 4: sales"), (15, "figure 4 shows"), (16, "Fig. 2 : x"), (17, "table 10:y")]
+
+
+@query(rf"SELECT id, {_LIST_ITEM.format('text')} AS list_item, regexp_matches(text, '(?i)^(?:Figure|Table|Fig\.)\s*\d+\s*:') AS caption FROM (VALUES {values(_ITEMS)}) t(id, text)")
+def list_item_inline(spark, sf_dir):
+    return inline(spark, "id int, text string", _ITEMS).select("id", T.is_list_item(F.col("text")).alias("list_item"), T.is_caption(F.col("text")).alias("caption"))
+
+
+@query(f"WITH {_paras_sql(25)} SELECT doc_id, para_idx, {_WORDS.format('text')} AS words, md5(text) AS digest FROM paras")
+def prose_paragraphs(spark, sf_dir):
+    paras = segments.paragraphs(table(spark, sf_dir, "documents").select("doc_id", "text"), "\n")
+    return paras.select("doc_id", "para_idx", T.word_count(F.col("text")).alias("words"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+_LINES = f"lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS pos FROM documents), t AS (SELECT doc_id, pos, {_STRIP.format('raw')} AS text FROM lines)"
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw")).select("doc_id", "pos", T.strip(F.col("raw")).alias("text"))
+
+
+@query(
+    rf"""WITH {_LINES}, n AS (SELECT *, {_WORDS.format("text")} AS n FROM t)
+    SELECT doc_id, pos, CASE WHEN n < 60 THEN 'only ' || n || ' words' WHEN n > 260 THEN n || ' words, too long' WHEN NOT regexp_matches(text, '^["“A-Z]') THEN 'starts mid-sentence'
+      WHEN NOT regexp_matches(text, '[.!?]["”'')\]]?$') THEN 'ends mid-sentence' WHEN {_LIST_ITEM.format("text")} THEN 'is a list item or table row'
+      WHEN contains(text, '**') OR starts_with(text, '#') THEN 'contains markdown' END AS problem FROM n"""
+)
+def sample_problem(spark, sf_dir):
+    return _lines(spark, sf_dir).select("doc_id", "pos", T.sample_problem(F.col("text")).alias("problem"))
+
+
+_RESPONSES = [(1, "Here is the paragraph:\n\nOne two. Three four."), (2, "# Title\nNote:\nText one.\nText two."), (3, '"Quoted all."'), (4, "1. **Analyze:** x"), (5, "We need to write."), (6, "Fine text. (110 words)"), (7, ""), (8, "only:\nheads:"), (9, "One. Two three. Four five six! And seven"), (10, "Okay, sure.\x0bLine two.")]
+_MARKERS = "[" + ", ".join("'" + m.replace("'", "''") + "'" for m in T.META_MARKERS) + "]"
+
+
+def _responses_sql(source: str) -> str:
+    lines = f"list_filter(list_transform(string_split(regexp_replace(text, '\\r\\n|[\\n\\x0b\\x0c\\r]', chr(10), 'g'), chr(10)), lambda x: {_STRIP.format('x')}), lambda x: x <> '')"
+    return rf"""WITH src AS ({source}), l AS (SELECT *, {lines} AS ls FROM src),
+      f AS (SELECT *, list_position(list_transform(ls, lambda x: NOT (starts_with(x, '#') OR ends_with(x, ':'))), true) AS p FROM l),
+      c AS (SELECT id, text, CASE WHEN p IS NULL OR p = 0 THEN '' ELSE regexp_replace(trim(array_to_string(list_slice(ls, p, len(ls)), ' ')), '^"+|"+$', '', 'g') END AS cleaned FROM f),
+      o AS (SELECT *, {_FLAT.format("text")} AS one FROM c)
+      SELECT id, md5(cleaned) AS cleaned, NOT contains(one, '**') AND NOT starts_with(one, '#') AND NOT {_LIST_ITEM.format("one")} AND len(list_filter({_MARKERS}, lambda m: contains(lower(left(one, 300)), m))) = 0 AS prose FROM o"""
+
+
+def _responses(t: DataFrame) -> DataFrame:
+    return t.select("id", F.md5(T.clean_response(F.col("text")).cast("binary")).alias("cleaned"), T.looks_like_prose(F.col("text")).alias("prose"))
+
+
+@query(_responses_sql(f"SELECT * FROM (VALUES {values(_RESPONSES)}) t(id, text)"))
+def response_clean_inline(spark, sf_dir):
+    return _responses(inline(spark, "id int, text string", _RESPONSES))
+
+
+@query(_responses_sql("SELECT conv_id * 1000 + turn AS id, text FROM conversations"))
+def response_clean(spark, sf_dir):
+    return _responses(table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"))
+
+
+def _trim_sql(source: str, budget: int) -> str:
+    return rf"""WITH src AS ({source}), s AS (SELECT id, list_filter(string_split(regexp_replace({_STRIP.format(f"regexp_replace({_STRIP.format('text')}, '(?i)" + T.WORD_COUNT_NOTE.removeprefix("(?i)").replace("'", "''") + "', '')")}, '([.!?]){_WS}+', '\1' || chr(1), 'g'), chr(1)), lambda x: {_STRIP.format("x")} <> '') AS ss FROM src),
+      e AS (SELECT id, unnest(ss) AS s, generate_subscripts(ss, 1) AS k FROM s), w AS (SELECT *, {_WORDS.format("s")} AS n FROM e),
+      r AS (SELECT *, sum(n) OVER (PARTITION BY id ORDER BY k) - n AS before FROM w), kept AS (SELECT * FROM r WHERE before < {budget} OR k = 1),
+      z AS (SELECT *, max(CASE WHEN regexp_matches(s, '[.!?]["”'')\]]?$') THEN k END) OVER (PARTITION BY id) AS last FROM kept)
+      SELECT id, coalesce(t.trimmed, md5('')) AS trimmed FROM src LEFT JOIN (SELECT id, md5(string_agg(s, ' ' ORDER BY k)) AS trimmed FROM z WHERE k <= last GROUP BY id) t USING (id)"""
+
+
+@query(_trim_sql(f"SELECT * FROM (VALUES {values(_RESPONSES)}) t(id, text)", 4))
+def trim_to_budget_inline(spark, sf_dir):
+    return inline(spark, "id int, text string", _RESPONSES).select("id", F.md5(T.trim_to_words(F.col("text"), 4).cast("binary")).alias("trimmed"))
+
+
+@query(_trim_sql("SELECT conv_id * 1000 + turn AS id, text FROM conversations", 40))
+def trim_to_budget(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations")
+    return t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.md5(T.trim_to_words(F.col("text"), 40).cast("binary")).alias("trimmed"))
+
+
+_IDS = [("h07a",), ("Essay_12",), ("no digits",), ("a1b2c",), ("9",), ("x3é",), ("",), ("s10 20z",)]
+
+
+@query(rf"SELECT id, CASE WHEN d <> '' THEN 'a' || d || CASE WHEN regexp_matches(right(id, 1), '^\p{{L}}$') THEN right(id, 1) ELSE '' END ELSE 'a' || id END AS sample_id, CASE WHEN regexp_extract(id, '\d+') = '' THEN id ELSE regexp_extract(id, '\d+') END AS grp, split_part(id, '_', 1) AS part FROM (SELECT id, regexp_replace(id, '\D', '', 'g') AS d FROM (VALUES {values(_IDS)}) t(id))")
+def id_rules(spark, sf_dir):
+    t = inline(spark, "id string", _IDS)
+    return t.select("id", T.sample_id_for("a", F.col("id")).alias("sample_id"), T.group_of(F.col("id")).alias("grp"), F.split_part("id", F.lit("_"), F.lit(1)).alias("part"))
+
+
+# Segments ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_sents_sql()} SELECT doc_id, sent_idx, para_idx, sentence FROM sents")
+def sentences(spark, sf_dir):
+    return _sents(spark, sf_dir).select("doc_id", "sent_idx", "para_idx", "sentence")
+
+
+@query(f'WITH {_sents_sql()} SELECT doc_id, win_idx, "start", "end", md5(chunk) AS chunk FROM wins')
+def windows(spark, sf_dir):
+    return segments.windows(_sents(spark, sf_dir)).select("doc_id", "win_idx", "start", "end", F.md5(F.col("chunk").cast("binary")).alias("chunk"))
+
+
+@query(f"WITH {_sents_sql()} SELECT doc_id, sent_idx, para_idx, score, severity FROM st")
+def sentence_worst_score(spark, sf_dir):
+    return _marked(spark, sf_dir).select("doc_id", "sent_idx", "para_idx", "score", "severity")
+
+
+@query(
+    f"""WITH {_sents_sql()}, w AS (SELECT doc_id, severity, {_WORDS.format("sentence")} AS n FROM st),
+    g AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS words, CAST(sum(CASE WHEN severity = 2 THEN n ELSE 0 END) AS BIGINT) AS red_words, CAST(sum(CASE WHEN severity = 1 THEN n ELSE 0 END) AS BIGINT) AS amber_words FROM w GROUP BY doc_id)
+    SELECT *, CASE WHEN words > 0 THEN red_words / words ELSE 0.0 END AS red_share, CASE WHEN words > 0 THEN amber_words / words ELSE 0.0 END AS amber_share FROM g"""
+)
+def segment_shares(spark, sf_dir):
+    return segments.word_shares(_marked(spark, sf_dir))
+
+
+@query(f"""WITH {_sents_sql()}, i AS (SELECT *, sum(CASE WHEN severity = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY sent_idx) AS island FROM st) SELECT doc_id, min(sent_idx) AS "start", max(sent_idx) + 1 AS "end", max(severity) AS severity, max(score) AS score FROM i WHERE severity > 0 GROUP BY doc_id, island""")
+def flagged_runs(spark, sf_dir):
+    return segments.flagged_runs(_marked(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_sents_sql()}, p AS (SELECT doc_id, para_idx, CASE WHEN length(text) % 10 < 2 THEN 2 WHEN length(text) % 10 < 4 THEN 1 ELSE 0 END AS para_severity FROM paras WHERE {_WORDS.format("text")} >= 25)
+    SELECT s.doc_id, s.sent_idx, s.severity AS own_severity, p.para_severity, greatest(s.severity, coalesce(p.para_severity, 0)) AS severity FROM st s LEFT JOIN p ON s.doc_id = p.doc_id AND s.para_idx = p.para_idx"""
+)
+def check_union(spark, sf_dir):
+    paras = segments.paragraphs(table(spark, sf_dir, "documents").select("doc_id", "text"), "\n", 0).where(T.word_count(F.col("text")) >= 25)
+    marked = paras.select("doc_id", "para_idx", segments.low_severity(F.char_length("text") % 10, F.lit(2), F.lit(4)).alias("severity"))
+    return check.union(_marked(spark, sf_dir), marked).select("doc_id", "sent_idx", "own_severity", "para_severity", "severity")
+
+
+# Outlines ---------------------------------------------------------------------------------------------------------
+
+_BLOCKS = [
+    ("a", 0, "Title", ""), ("a", 1, "Normal", "Cover words here"), ("a", 2, "Heading 1", "Contents"), ("a", 3, "Normal", "1 Intro 3"),
+    ("a", 4, "Heading 1", "Intro"), ("a", 5, "Normal", "One two three (Lee, 2001)."), ("a", 6, "Heading 2", "Deep"), ("a", 7, "Normal", "four five"),
+    ("a", 8, "Heading 3", "Deeper"), ("a", 9, "Normal", "six"), ("a", 10, "Normal", "Figure 4: a caption"), ("a", 11, "Heading 2", " "), ("a", 12, "Quote", "seven eight"),
+    ("a", 13, "Heading 1", "Intro"), ("a", 14, "Normal", "nine"), ("a", 15, "Heading 1", "Empty"), ("a", 16, "Heading 1", " Works Cited "), ("a", 17, "Normal", "never counted"),
+    ("b", 0, "Normal", "no heads at all"), ("b", 1, "Normal", " "), ("b", 2, "Normal", "Table 1 : gone"), ("b", 3, "Normal", "Figure 4 shows it"),
+    ("c", 0, "Heading 1", "  "), ("c", 1, "Normal", "all cover"), ("d", 0, "Heading Special", "Odd"), ("d", 1, "Normal", "ten eleven"), ("d", 2, "Heading 2", "Under"), ("d", 3, "Normal", "twelve"), ("d", 4, "Heading 1", "References"),
+]
+
+
+def _walk_sql(source: str) -> str:
+    return rf"""blocks AS ({source}),
+      a AS (SELECT doc_id, block_idx, (style LIKE 'Heading%' OR style = 'Title') AS heading, CASE WHEN regexp_matches(style, '^Heading [0-9]+$') THEN CAST(substr(style, 9) AS INTEGER) WHEN style LIKE 'Heading%' OR style = 'Title' THEN 1 ELSE 0 END AS own, {_STRIP.format("text")} AS t FROM blocks),
+      b AS (SELECT *, heading AND t <> '' AS opens, heading AND lower(t) IN ('bibliography', 'works cited', 'references') AS ends FROM a),
+      c AS (SELECT *, bool_or(ends) OVER d AS ended, NOT bool_or(heading) OVER (PARTITION BY doc_id) AS whole, CAST(sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER d AS INTEGER) AS section_idx FROM b WINDOW d AS (PARTITION BY doc_id ORDER BY block_idx)),
+      h AS (SELECT *, max(CASE WHEN opens THEN own END) OVER s AS level, max(CASE WHEN opens THEN t END) OVER s AS title FROM c WINDOW s AS (PARTITION BY doc_id, section_idx)),
+      walked AS (SELECT doc_id, block_idx, section_idx, coalesce(level, 1) AS level, coalesce(title, '(no headings)') AS title, CASE WHEN opens THEN NULL ELSE t END AS text FROM h
+        WHERE NOT ended AND (opens OR (NOT heading AND t <> '' AND (title IS NOT NULL OR whole) AND coalesce(lower(title) NOT IN ('table of contents', 'contents'), true) AND NOT regexp_matches(t, '(?i)^(?:Figure|Table|Fig\.)\s*\d+\s*:')))),
+      own AS (SELECT doc_id, section_idx, any_value(level) AS level, any_value(title) AS title, CAST(sum(coalesce({_ASSESSED.format("text")}, 0)) AS BIGINT) AS own_words FROM walked GROUP BY doc_id, section_idx),
+      nxt AS (SELECT x.doc_id, x.section_idx, min(y.section_idx) AS stop FROM own x LEFT JOIN own y ON x.doc_id = y.doc_id AND y.section_idx > x.section_idx AND y.level <= x.level GROUP BY ALL),
+      rolled AS (SELECT x.doc_id, x.section_idx, x.level, x.title, x.own_words, CAST(x.own_words + coalesce(sum(y.own_words), 0) AS BIGINT) AS words FROM own x JOIN nxt n ON x.doc_id = n.doc_id AND x.section_idx = n.section_idx
+        LEFT JOIN own y ON y.doc_id = x.doc_id AND y.section_idx > x.section_idx AND (n.stop IS NULL OR y.section_idx < n.stop) GROUP BY x.doc_id, x.section_idx, x.level, x.title, x.own_words HAVING x.own_words + coalesce(sum(y.own_words), 0) > 0)"""
+
+
+_BLOCKS_SQL = f"SELECT * FROM (VALUES {values(_BLOCKS)}) t(doc_id, block_idx, style, text)"
+
+
+def _blocks(spark: SparkSession) -> DataFrame:
+    return inline(spark, "doc_id string, block_idx int, style string, text string", _BLOCKS)
+
+
+@query(f"WITH {_walk_sql(_BLOCKS_SQL)} SELECT * FROM walked")
+def outline_walk(spark, sf_dir):
+    return structure.walk(_blocks(spark))
+
+
+@query(f"WITH {_walk_sql(_BLOCKS_SQL)} SELECT * FROM rolled")
+def outline_rollup(spark, sf_dir):
+    return structure.rolled_up(structure.own_words(structure.walk(_blocks(spark))))
+
+
+def _report_sql(limit: str) -> str:
+    part = '\'{"title":\' || to_json(title) || \',"words":\' || words || \',"level":\' || level || \'}\''
+    return f"""WITH {_walk_sql(_BLOCKS_SQL)}, s AS (SELECT doc_id, '[' || string_agg({part}, ',' ORDER BY section_idx) || ']' AS js FROM rolled GROUP BY doc_id), t AS (SELECT doc_id, CAST(sum(own_words) AS BIGINT) AS total FROM own GROUP BY doc_id),
+      d AS (SELECT DISTINCT doc_id FROM blocks), j AS (SELECT d.doc_id, coalesce(t.total, 0) AS total, CAST({limit} AS BIGINT) AS "limit", coalesce(js, '[]') AS js FROM d LEFT JOIN t USING (doc_id) LEFT JOIN s USING (doc_id))
+      SELECT doc_id, total, "limit", total - "limit" AS "over", '{{"sections":' || js || ',"total":' || total || ',"limit":' || coalesce(CAST("limit" AS VARCHAR), 'null') || ',"over":' || coalesce(CAST(total - "limit" AS VARCHAR), 'null') || '}}' AS json FROM j"""
+
+
+@query(_report_sql("6"))
+def outline_json(spark, sf_dir):
+    return structure.count_report(_blocks(spark), 6).drop("sections")
+
+
+@query(_report_sql("NULL"))
+def outline_json_no_limit(spark, sf_dir):
+    return structure.count_report(_blocks(spark)).drop("sections")
+
+
+@query(f"WITH {_walk_sql(_BLOCKS_SQL)} SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY block_idx) AS text, CAST(sum({_WORDS.format('text')}) AS BIGINT) AS words FROM walked WHERE text IS NOT NULL GROUP BY doc_id")
+def extract_prose(spark, sf_dir):
+    return structure.prose(_blocks(spark))
+
+
+@query(r"""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<h1(?:\s[^>]*)?>(.*?)</h1>', 1)) AS raw FROM pages) SELECT CAST(page_id AS VARCHAR) AS doc_id, 'Heading 1' AS style, regexp_replace(replace(regexp_replace(raw, '<[^>]*>', '', 'g'), '&amp;', '&'), '\s+', ' ', 'g') AS text FROM h""")
+def page_headings(spark, sf_dir):
+    b = readers.page_blocks(table(spark, sf_dir, "pages")).where("style != 'Normal'")
+    return b.select("doc_id", "style", F.regexp_replace("text", r"\s+", " ").alias("text"))
+
+
+@query()
+def page_outline(spark, sf_dir):
+    return structure.count_report(readers.page_blocks(table(spark, sf_dir, "pages"))).drop("sections")
+
+
+# Calibration ------------------------------------------------------------------------------------------------------
+
+_SAMPLES_SQL = f"samples AS (SELECT d.source AS sample_id, CASE WHEN l.quality = 1 THEN 'human' ELSE 'ai' END AS cls, CAST(length(d.text) AS DOUBLE) / greatest({_WORDS.format('d.text')}, 1) AS score FROM documents d JOIN labels l USING (doc_id))"
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled scores: mean word length of labelled documents; group: source."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    score = F.char_length("text").cast("double") / F.greatest(T.word_count(F.col("text")), F.lit(1))
+    return d.select(F.col("source").alias("sample_id"), F.when(F.col("quality") == 1, "human").otherwise("ai").alias("cls"), score.alias("score"))
+
+
+@query(f"WITH {_SAMPLES_SQL} SELECT cls, count(*) AS n, min(score) AS low, round(avg(score), 6) AS mean, max(score) AS high FROM samples GROUP BY cls")
+def class_summary(spark, sf_dir):
+    return calibrate.class_summary(_samples(spark, sf_dir)).withColumn("mean", F.round("mean", 6))
+
+
+def _fit_sql(source: str, by: str) -> str:
+    p, q, o = (f"PARTITION BY {by}", f"{by}, ", f"PARTITION BY {by} ") if by else ("", "", "")
+    return f"""cnt AS (SELECT {q}score, CAST(sum(CASE WHEN cls = 'human' THEN 1 ELSE 0 END) AS BIGINT) AS h, CAST(sum(CASE WHEN cls = 'ai' THEN 1 ELSE 0 END) AS BIGINT) AS a FROM {source} GROUP BY ALL),
+      run AS (SELECT {q}score, sum(h) OVER ({o}ORDER BY score) AS hb, sum(a) OVER ({o}ORDER BY score) AS ab, sum(h) OVER ({p}) AS HT, sum(a) OVER ({p}) AS AT_, lead(score) OVER ({o}ORDER BY score) AS nx, row_number() OVER ({o}ORDER BY score) AS rn FROM cnt),
+      cand AS (SELECT {q}score - CAST(0.01 AS DOUBLE) AS c, CAST(HT AS DOUBLE) / (HT + AT_) AS acc, score - (score - CAST(0.01 AS DOUBLE)) AS margin, HT, AT_ FROM run WHERE rn = 1
+        UNION ALL SELECT {q}(score + nx) / 2, CAST(HT - hb + ab AS DOUBLE) / (HT + AT_), least((score + nx) / 2 - score, nx - (score + nx) / 2), HT, AT_ FROM run WHERE nx IS NOT NULL
+        UNION ALL SELECT {q}score + CAST(0.01 AS DOUBLE), CAST(AT_ AS DOUBLE) / (HT + AT_), (score + CAST(0.01 AS DOUBLE)) - score, HT, AT_ FROM run WHERE nx IS NULL),
+      fit AS (SELECT {q}c AS threshold, acc AS accuracy, margin FROM (SELECT *, row_number() OVER ({o}ORDER BY acc DESC, margin DESC, c) AS k FROM cand WHERE HT > 0 AND AT_ > 0) WHERE k = 1)"""
+
+
+@query(f"WITH {_SAMPLES_SQL}, {_fit_sql('samples', '')} SELECT threshold, accuracy FROM fit")
+def best_threshold(spark, sf_dir):
+    return calibrate.pick_threshold(_samples(spark, sf_dir)).select("threshold", "accuracy")
+
+
+@query(
+    rf"""WITH {_SAMPLES_SQL}, g AS (SELECT *, CASE WHEN regexp_extract(sample_id, '\d+') = '' THEN sample_id ELSE regexp_extract(sample_id, '\d+') END AS grp FROM samples), folds AS (SELECT DISTINCT grp AS fold FROM g),
+    train AS (SELECT fold, g.* FROM folds JOIN g ON fold <> grp), {_fit_sql("train", "fold")}
+    SELECT correct, predicted, CASE WHEN predicted > 0 THEN correct / predicted END AS accuracy, (SELECT count(*) FROM folds) AS n_groups FROM (SELECT CAST(sum(CASE WHEN (score < threshold) = (cls = 'ai') THEN 1 ELSE 0 END) AS BIGINT) AS correct, count(*) AS predicted FROM g JOIN fit ON grp = fold)"""
+)
+def leave_one_group_out(spark, sf_dir):
+    return calibrate.leave_one_group_out(_samples(spark, sf_dir))
+
+
+@query(f"WITH {_SAMPLES_SQL}, {_fit_sql('samples', '')}, x AS (SELECT s.score, row_number() OVER (ORDER BY s.score) AS k, count(*) OVER () AS n FROM samples s, fit WHERE s.cls = 'human' AND s.score >= fit.threshold) SELECT (SELECT round(score, 4) FROM x WHERE k = CAST(floor(0.1 * (n - 1)) AS BIGINT) + 1) AS amber")
+def amber_pair(spark, sf_dir):
+    s = _samples(spark, sf_dir)
+    return calibrate.pair_amber(s, calibrate.pick_threshold(s))
+
+
+@query(rf"WITH {_SAMPLES_SQL}, x AS (SELECT sample_id, score / 100 AS score, row_number() OVER (ORDER BY score) AS k, count(*) OVER () AS n FROM samples WHERE cls = 'human') SELECT CAST(0.5 AS DOUBLE) AS threshold, (SELECT round(least(score, 0.5), 4) FROM x WHERE k = CAST(floor(0.9 * (n - 1)) AS BIGINT) + 1) AS amber, (SELECT count(*) FROM x) AS n_windows, (SELECT count(DISTINCT regexp_extract(sample_id, '\d+')) FROM x) AS n_essays, (SELECT round(score, 4) FROM x WHERE k = CAST(floor(0.9 * (n - 1)) AS BIGINT) + 1) AS human_p90")
+def amber_band(spark, sf_dir):
+    return calibrate.band(_samples(spark, sf_dir).where("cls = 'human'").withColumn("score", F.col("score") / 100))
+
+
+_RECORDS = [("small", 1, 0.7, None), ("small", 2, 0.9, 0.95), ("big-mlx-tech", 2, 0.8, 0.84), ("band", 2, 0.5, 0.5)]
+
+
+@query(
+    f"""WITH c AS (SELECT name, rank, CAST(t AS DOUBLE) AS t, CAST(a AS DOUBLE) AS a FROM (VALUES {values(_RECORDS)}) v(name, rank, t, a)), q AS (SELECT * FROM (VALUES ('small', NULL), ('none', NULL), ('small', 0.66), ('big-mlx-tech', NULL)) v(name, e)),
+    r AS (SELECT q.name, CAST(q.e AS DOUBLE) AS e, c.t, c.a, row_number() OVER (PARTITION BY q.name, q.e ORDER BY c.rank) AS k FROM q LEFT JOIN c ON q.name = c.name)
+    SELECT name || coalesce('=' || CAST(e AS VARCHAR), '') AS asked, coalesce(e, t, CAST(0.9 AS DOUBLE)) AS threshold, CASE WHEN e IS NULL THEN a END AS amber, e IS NOT NULL OR t IS NOT NULL AS calibrated FROM r WHERE k = 1"""
+)
+def calibration_resolve(spark, sf_dir):
+    catalog = inline(spark, "name string, source_rank int, threshold double, amber double", _RECORDS)
+    asked = [("small", None), ("none", None), ("small", 0.66), (calibrate.record_name("big", "mlx", "tech"), None)]
+    parts = [calibrate.thresholds(spark, catalog, n, e).select(F.lit(n + (f"={e}" if e else "")).alias("asked"), "threshold", "amber", "calibrated") for n, e in asked]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+# Scorers ----------------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH w AS (SELECT doc_id AS id, {_TOKENS.format("lower(text)")} AS ws FROM documents), p AS (SELECT id, unnest(list_slice(ws, 1, len(ws) - 1)) AS w, unnest(list_slice(ws, 2, len(ws))) AS v FROM w WHERE len(ws) > 1),
+    u AS (SELECT v, count(*) AS n_v FROM p GROUP BY v), c AS (SELECT w, count(*) AS n_w FROM p GROUP BY w), b AS (SELECT w, v, count(*) AS n_wv FROM p GROUP BY w, v), z AS (SELECT sum(n_v) AS total, count(*) AS vocabulary FROM u),
+    k AS (SELECT id, w, v, count(*) AS k FROM p GROUP BY ALL), m AS (SELECT id, k, CAST(n_v + 1 AS DOUBLE) / CAST(total + vocabulary + 1 AS DOUBLE) AS q, n_wv, n_w FROM k JOIN b USING (w, v) JOIN c USING (w) JOIN u USING (v), z)
+    SELECT id, round(sum(-ln((n_wv + q) / (n_w + 1)) * k) / sum(-ln(q) * k), 6) AS score FROM m GROUP BY id"""
+)
+def pair_ratio(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return scorers.PairScorer(docs).score(docs).select("id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT vec_id AS id, round(1 / (1 + exp(-(list_sum(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * ((i * 7) % 5 - 2))) + CAST(0.25 AS DOUBLE)))), 6) AS score FROM embeddings")
+def linear_head(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return scorers.LinearHead([(i * 7) % 5 - 2 for i in range(1, 65)], 0.25).score(v).select("id", F.round("score", 6).alias("score"))
+
+
+_LOGITS = [("uniform", [0, 1, 2, 3], [[0.0] * 4] * 4, [[0.0] * 4] * 4), ("right", [0, 1, 2], [[0.0, 9.0, 0.0], [0.0, 0.0, 9.0], [9.0, 0.0, 0.0]], [[0.0, 9.0, 0.0], [0.0, 0.0, 9.0], [9.0, 0.0, 0.0]]), ("wrong", [0, 1, 2], [[9.0, 0.0, 0.0]] * 3, [[0.0, 9.0, 0.0]] * 3)]
+
+
+def _logits_sql() -> str:
+    parts = []
+    for name, ids, p, o in _LOGITS:
+        parts += [f"SELECT '{name}' AS id, {i} AS i, {ids[i + 1] if i + 1 < len(ids) else 'NULL'} AS nx, {p[i]}::DOUBLE[] AS p, {o[i]}::DOUBLE[] AS o" for i in range(len(ids))]
+    return f"""WITH r AS ({" UNION ALL ".join(parts)}), n AS (SELECT *, ln(list_sum(list_transform(p, lambda x: exp(x)))) AS np, ln(list_sum(list_transform(o, lambda x: exp(x)))) AS no FROM r),
+      l AS (SELECT id, CASE WHEN nx IS NOT NULL THEN np - p[nx + 1] END AS loss, -list_sum(list_transform(o, lambda x, k: exp(x - no) * (p[k] - np))) AS cross_ FROM n)
+      SELECT id, round(avg(loss), 9) AS perplexity, round(avg(cross_), 9) AS cross_perplexity, round(avg(loss) / avg(cross_), 9) AS score FROM l GROUP BY id"""
+
+
+@query(_logits_sql())
+def logits_ratio(spark, sf_dir):
+    t = inline(spark, "id string, ids array<int>, performer array<array<double>>, observer array<array<double>>", _LOGITS)
+    return scorers.logits_scores(t).select("id", *[F.round(c, 9).alias(c) for c in ("perplexity", "cross_perplexity", "score")])
+
+
+# Corpus -----------------------------------------------------------------------------------------------------------
+
+_USABLE = rf"{_WORDS.format('text')} BETWEEN 60 AND 160 AND regexp_matches(text, '^[\"“A-Z]') AND regexp_matches(text, '[.!?][\"”)]?$')".replace('\\"', '"')
+_DAMAGE = r"""CAST(3 * len(regexp_extract_all(text, '[|¬~¦°]')) + len(regexp_extract_all(text, '[A-Za-z]\d|\d[A-Za-z]')) + 2 * len(regexp_extract_all(text, '(?:^|[^\p{L}\p{N}_])(?:[\p{L}\p{N}_][ .]){3,}')) + length(regexp_replace(text, '[^"]', '', 'g')) % 2 + CASE WHEN regexp_matches(text, '[.!?]["”)]?$') THEN 0 ELSE 5 END + CASE WHEN regexp_matches(text, '^["“A-Z]') THEN 0 ELSE 5 END AS BIGINT)"""
+
+
+@query(rf"WITH {_LINES} SELECT doc_id, pos, {_DAMAGE} AS damage FROM t")
+def damage_scores(spark, sf_dir):
+    return _lines(spark, sf_dir).select("doc_id", "pos", T.damage(F.col("text")).alias("damage"))
+
+
+_STRIPPED = "text"
+for _p, _r in ((r"([\"”])\s*[''|’`]*\s*[\d?*s°]{1,3}([\s.,;:?!]|$)", r"\1\2"), (r"([\"”])[''’`|]{1,3}([\s.,;:?!]|$)", r"\1\2"), (r"([a-z])[°º]([\s.,;:?!]|$)", r"\1\2"), (r"[⁰-₟]+", "")):
+    _STRIPPED = "regexp_replace({0}, '{1}', '{2}', 'g')".format(_STRIPPED, _p.replace('\\"', '"'), _r)
+_MARKED = [(1, 'the "family" 4 of'), (2, "in summer°, when"), (3, 'he said "no" I left'), (4, "H2O and 3n+1 at 25°C"), (5, 'walnuts"|8 .'), (6, "x² y₃ ⁴z"), (7, 'a "Highbury"\'\' b'), (8, "  spaced   out , here ")]
+
+
+@query(f"SELECT id, {_FLAT.format(f'regexp_replace({_STRIPPED}, ' + chr(39) + '[' + chr(92) + 's' + chr(92) + 'x0b]+([.,;:?!])' + chr(39) + ', ' + chr(39) + chr(92) + '1' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} AS text FROM (VALUES {values(_MARKED)}) t(id, text)")
+def strip_markers_inline(spark, sf_dir):
+    return inline(spark, "id int, text string", _MARKED).select("id", T.strip_markers(F.col("text")).alias("text"))
+
+
+@query(
+    f"""WITH {_LINES}, u AS (SELECT doc_id, pos, text, {_WORDS.format("text")} AS words, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM t WHERE {_USABLE}),
+    s AS (SELECT u.*, slot, {_DAMAGE} AS damage FROM u, range(3) r(slot) WHERE (k >= (slot * n) // 3 AND k < ((slot + 1) * n) // 3) OR (slot * n) // 3 >= ((slot + 1) * n) // 3),
+    f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, slot ORDER BY damage, words DESC, pos) AS r FROM s), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY slot) AS q FROM f WHERE r = 1)
+    SELECT doc_id AS essay, CAST(slot AS INTEGER) AS slot, ['introduction', 'analysis', 'conclusion'][slot + 1] AS position, pos AS para_idx, md5(text) AS digest FROM o WHERE q = 1"""
+)
+def pick_thirds(spark, sf_dir):
+    picked = corpus.pick(_lines(spark, sf_dir).select(F.col("doc_id").alias("essay"), F.col("pos").alias("para_idx"), "text"))
+    return picked.select("essay", "slot", "position", "para_idx", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+_RUNS_TSV = [("e1", "Running Head Line\t0.1\t0.95\t0.5\t1\nFirst line of\t0.1\t0.90\t0.8\t1\nthe essay is\t0.1\t0.88\t0.8\t1\n2\t0.95\t0.9015\t0.01\t1\nshort.\t0.1\t0.86\t0.2\t1\nA hyphen-\t0.1\t0.84\t0.8\t1\nated word ends full\t0.1\t0.82\t0.8\t1\n---PAGEBREAK---\nRunning Head Line\t0.1\t0.95\t0.5\t1\nand goes on here\t0.1\t0.90\t0.8\t1\nto its end.\t0.1\t0.88\t0.3\t1\nbroken line\n")]
+
+
+def _ocr(spark: SparkSession) -> DataFrame:
+    return corpus.lines(readers.runs_of(inline(spark, "essay string, text string", _RUNS_TSV)))
+
+
+@query(
+    "SELECT * FROM (VALUES ('e1', 0, 0, 'Running Head Line'), ('e1', 0, 1, 'First line of 2'), ('e1', 0, 2, 'the essay is'), ('e1', 0, 3, 'short.'), ('e1', 0, 4, 'A hyphen-'), ('e1', 0, 5, 'ated word ends full'), ('e1', 1, 0, 'Running Head Line'), ('e1', 1, 1, 'and goes on here'), ('e1', 1, 2, 'to its end.')) t(essay, page, line_idx, text)"
+)
+def ocr_lines(spark, sf_dir):
+    return _ocr(spark).select("essay", "page", "line_idx", "text")
+
+
+@query("SELECT * FROM (VALUES ('e1', 'Running Head Line', 0, 'First line of 2 the essay is short.'), ('e1', 'Running Head Line', 1, 'A hyphenated word ends full and goes on here to its end.')) t(essay, title, para_idx, text)")
+def ocr_paragraphs(spark, sf_dir):
+    lines = _ocr(spark)
+    running = corpus.running_text(lines)
+    return corpus.paragraphs(lines, running).join(corpus.titles(running), "essay").select("essay", "title", F.col("para_idx").cast("int").alias("para_idx"), "text")
+
+
+# Generation -------------------------------------------------------------------------------------------------------
+
+_POOL = [(1, "a/one"), (2, "a/two"), (3, "b/one"), (4, "c/x"), (5, "a/three"), (6, "c/y")]
+_CATALOG = [("a/two",), ("c/x",), ("c/y",), ("d/z",)]
+_POOL_SQL = f"pool AS (SELECT * FROM (VALUES {values(_POOL)}) t(rank, model_id)), cat AS (SELECT * FROM (VALUES {values(_CATALOG)}) t(model_id))"
+
+
+def _pool(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    return inline(spark, "rank int, model_id string", _POOL), inline(spark, "model_id string", _CATALOG)
+
+
+@query(f"WITH {_POOL_SQL} SELECT p.* FROM pool p SEMI JOIN cat USING (model_id)")
+def catalog_semi(spark, sf_dir):
+    return generation.in_catalog(*_pool(spark)).select("rank", "model_id")
+
+
+@query(f"WITH {_POOL_SQL} SELECT p.* FROM pool p ANTI JOIN cat USING (model_id)")
+def catalog_anti(spark, sf_dir):
+    return generation.dropped(*_pool(spark)).select("rank", "model_id")
+
+
+@query(
+    f"""WITH {_POOL_SQL}, v AS (SELECT *, split_part(model_id, '/', 1) AS vendor FROM pool), t AS (SELECT *, row_number() OVER (PARTITION BY vendor ORDER BY rank) AS turn, min(rank) OVER (PARTITION BY vendor) AS vr FROM v),
+    o AS (SELECT *, row_number() OVER (ORDER BY turn, vr) - 1 AS k, count(*) OVER () AS m FROM t) SELECT CAST(s.slot AS INTEGER) AS slot, model_id, vendor FROM range(9) s(slot) JOIN o ON s.slot % m = k"""
+)
+def vendor_round_robin(spark, sf_dir):
+    return generation.round_robin(_pool(spark)[0], 9)
+
+
+_OLD, _NEW = [("a01", "x", 1), ("a02", "y", 2), ("a04", "z", 3)], [("a02", "new", 9), ("a03", "add", 8)]
+
+
+@query(f"WITH o AS (SELECT * FROM (VALUES {values(_OLD)}) t(id, vendor, words)), n AS (SELECT * FROM (VALUES {values(_NEW)}) t(id, vendor, words)) SELECT * FROM o WHERE id NOT IN (SELECT id FROM n) UNION ALL SELECT * FROM n")
+def manifest_upsert(spark, sf_dir):
+    schema = "id string, vendor string, words int"
+    return generation.upsert(inline(spark, schema, _OLD), inline(spark, schema, _NEW))
+
+
+_TOPICS = [("t1", "Rice & trade", None), ("t2", "Bees", "analysis"), ("t3", "Sea {words}", "")]
+
+
+@query(
+    f"""SELECT id, CASE WHEN coalesce(position, '') <> '' THEN 'Write a single paragraph of about 110 words from the ' || position || ' section of an IB Extended Essay on the following topic:' ELSE 'Write a single paragraph of about 110 words from an IB Extended Essay on the following topic:' END
+    || chr(10) || chr(10) || topic || chr(10) || chr(10) || 'Return only the paragraph itself, with no title, heading or commentary.' AS prompt FROM (VALUES {values(_TOPICS)}) t(id, topic, position)"""
+)
+def prompts(spark, sf_dir):
+    return inline(spark, "id string, topic string, position string", _TOPICS).select("id", generation.prompt(F.col("topic"), 110, F.col("position")).alias("prompt"))
+
+
+# Audit ------------------------------------------------------------------------------------------------------------
+
+_SCANS = [("s", 0, "The quick brown fox jumps over the lazy d0g."), ("s", 1, "Something else entirely"), ("s", 2, "The quick brown fox jumps over the lazy dog")]
+_CLEAN = [("s", 0, "The quick brown fox jumps over the lazy dog."), ("s", 1, "The quick brown fox jumped over the lazy dogs.")]
+
+
+@query("SELECT * FROM (VALUES ('s', 0, 'The quick brown fox jumps over the lazy dog.'), ('s', 2, 'The quick brown fox jumped over the lazy dogs.')) t(source, scan_idx, clean)")
+def fuzzy_pairs(spark, sf_dir):
+    scans, clean = inline(spark, "source string, scan_idx int, ocr string", _SCANS), inline(spark, "source string, clean_idx int, clean string", _CLEAN)
+    return audit.pair_up(scans, clean).select("source", "scan_idx", "clean")
+
+
+_PAIRED = [(0.9, 0.8), (0.5, 0.75), (0.25, 0.25)]
+
+
+@query(f"WITH p AS (SELECT CAST(clean AS DOUBLE) AS clean, CAST(ocr AS DOUBLE) AS ocr FROM (VALUES {values(_PAIRED)}) t(clean, ocr)) SELECT count(*) AS n, round(avg(clean), 9) AS clean_mean, round(avg(ocr), 9) AS ocr_mean, round(avg(ocr - clean), 9) AS mean_delta, count(*) FILTER (ocr > clean) AS higher, count(*) FILTER (ocr < clean) AS lower FROM p")
+def bias_summary(spark, sf_dir):
+    out = audit.bias_summary(inline(spark, "clean double, ocr double", _PAIRED))
+    return out.select("n", *[F.round(c, 9).alias(c) for c in ("clean_mean", "ocr_mean", "mean_delta")], "higher", "lower")
