@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 LEAST, MOST, AIM = 64, 1024, 48
 
 
-def in_blocks(rows: DataFrame, key: str, item: str, size: str) -> DataFrame:
+def in_blocks(rows: DataFrame, key: str, item: str, size: str, least: int = LEAST) -> DataFrame:
     """``rows`` once for each unit of work they belong to: adds _p, _q (the unit's blocks) and _b (the row's own).
 
-    ``size``: column with the number of rows of the key. Blocks hold size / 48 rows, 64 at least, 1024 at most.
+    ``size``: column with the number of rows of the key. Blocks hold size / 48 rows, ``least`` at least, 1024 at most:
+    small blocks spread a group over more tasks, large ones return fewer links.
     """
-    block = F.greatest(F.lit(LEAST), F.least(F.lit(MOST), F.ceil(F.col(size) / AIM)))
+    block = F.greatest(F.lit(least), F.least(F.lit(MOST), F.ceil(F.col(size) / AIM)))
     n = F.ceil(F.col(size) / block)
     own = F.pmod(F.xxhash64(F.lit(17), F.col(item)), n)
     return (

@@ -166,7 +166,7 @@ def similar(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6) ->
         a, b = forest(table.column("id").to_numpy(), linked)
         return a, b, np.zeros(len(a), np.int64)
 
-    ties = by_unit(in_blocks(met, "code", "id", "size").join(classes.select("id", "signature"), "id"), "code", compare)
+    ties = by_unit(in_blocks(met, "code", "id", "size", least=256).join(classes.select("id", "signature"), "id"), "code", compare)
     clusters = written(components(ties.select("a", "b").distinct()), "clusters")
 
     def sets(batches):
