@@ -56,7 +56,7 @@ def pick_threshold(samples: DataFrame, by: list[str] | None = None) -> DataFrame
     each = t.select(*by, F.explode(F.array_compact(F.array(low, here, high))).alias("x"))
     best = F.max_by(F.col("x"), F.struct(F.col("x.accuracy"), F.col("x.margin"), -F.col("x.c")))
     picked = each.groupBy(*by).agg(best.alias("x")) if by else each.agg(best.alias("x"))
-    return picked.select(*by, F.col("x.c").alias("threshold"), F.col("x.accuracy").alias("accuracy"), F.col("x.margin").alias("margin"))
+    return picked.where("x is not null").select(*by, F.col("x.c").alias("threshold"), F.col("x.accuracy").alias("accuracy"), F.col("x.margin").alias("margin"))
 
 
 def leave_one_group_out(samples: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import generation
+from . import readers
 
 
 def write_prose(prose: DataFrame, path: str) -> None:
@@ -24,10 +25,16 @@ def write_samples(samples: DataFrame, path: str) -> None:
 
 
 def write_manifest(new: DataFrame, path: str, schema: str, append: bool = False) -> None:
-    """Manifest rows as JSON. With ``append`` new ids replace old ones; the old rows are read before they are replaced."""
+    """Manifest rows as one JSON array in order of id; with ``append`` new ids replace old ones.
+
+    A manifest lists a calibration corpus, some hundred rows, so it passes through the driver: it is read before its
+    folder is replaced.
+    """
+    spark = new.sparkSession
     rows = new
     if append:
-        spark = new.sparkSession
-        old = spark.read.schema(schema).json(path)
-        rows = spark.createDataFrame(generation.upsert(old, new.select(*old.columns)).collect(), schema=old.schema)
-    rows.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+        old = readers.read_json(spark, path, schema)
+        rows = generation.upsert(old, new.select(*old.columns))
+    row = F.struct("id", *[c for c in rows.columns if c != "id"])
+    text = rows.agg(F.coalesce(F.to_json(F.sort_array(F.collect_list(row)), {"ignoreNullFields": "false"}), F.lit("[]")).alias("value")).first()["value"]
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
