@@ -14,7 +14,8 @@ of all rows costs no more than others.
 
 Cases. Null text: no words. Null source: a source of its own, last in order. Sources without words: target 0.
 Documents that tie in the seeded order are ordered by id and size; equal rows are interchangeable. Empty table: no
-rows. Extra columns pass through; names with a leading ``_mix`` are reserved.
+rows. Extra columns pass through, but those named as the added ones are replaced; names with a leading ``_mix`` are
+reserved.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ from pyspark.sql import functions as F
 from .common import WORD, text_or_empty
 
 
+ADDED = ("size", "source_size", "target", "taken")
+
+
 def n_words(column: Column) -> Column:
     return F.regexp_count(column, F.lit(WORD)).cast("long")
 
@@ -48,6 +52,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
 
     Sources in code-point order, null last, weigh ``weights`` in turn; the budget is ``share`` of all sizes.
     """
+    docs = docs.drop(*ADDED)
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     dealt = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     sized = docs.select("*", n_words(text_or_empty()).alias("size"), key.alias("_mix_key"), dealt.alias("_mix_order")).withColumn("_mix_bucket", F.substring("_mix_order", 1, 3))

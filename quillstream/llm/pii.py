@@ -14,7 +14,7 @@ It is one projection: no shuffle, no Python. Texts without a digit or @ are pass
 
 Cases. Null text stays null, empty stays empty. What fails validation stays as it is. Two values of which one is
 within the other: the one that begins first counts. Long texts are handled whole; repeated rows give repeated
-results; extra columns pass through.
+results; extra columns pass through, but those named n_<kind> are replaced.
 """
 
 from __future__ import annotations
@@ -219,6 +219,7 @@ def pseudonym(text: Column, kind: Column, key: str) -> Column:
 
 def pseudonymise(docs: DataFrame, column: str = "text", key: str = "change me") -> DataFrame:
     """``docs`` with ``column`` pseudonymised and n_<kind>: how many values of each kind were replaced."""
+    docs = docs.drop(*[f"n_{k}" for k in KINDS])
     text = F.col(column)
     pattern = "|".join(f"(?:{_PATTERNS[k]})" for k in ("email", "phone", "ip", "date", "ssn", "card"))
     safe = F.replace(F.replace(text, F.lit(_ESCAPE), F.lit(_ESCAPE + "\u0003")), F.lit(_CUT), F.lit(_ESCAPE + "\u0004"))
