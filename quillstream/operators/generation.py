@@ -178,3 +178,13 @@ def generate(topics: list[dict], models: list[str], seed: int, words: int, send:
 
     with ThreadPoolExecutor(max(1, workers)) as threads:
         return [r for r in threads.map(one, zip(topics, assigned, strict=False)) if r is not None]
+
+
+def completion_text(response: Column) -> Column:
+    """The answer in a chat completion's JSON; absent or null content is the empty string."""
+    return F.coalesce(F.get_json_object(response, "$.choices[0].message.content"), F.lit(""))
+
+
+def used(manifest: DataFrame) -> DataFrame:
+    """One row: sorted distinct models and vendors of a manifest."""
+    return manifest.agg(F.array_sort(F.collect_set("generated_by")).alias("models"), F.array_sort(F.collect_set("vendor")).alias("vendors"))

@@ -564,3 +564,71 @@ _PAIRED = [(0.9, 0.8), (0.5, 0.75), (0.25, 0.25)]
 def bias_summary(spark, sf_dir):
     out = audit.bias_summary(inline(spark, "clean double, ocr double", _PAIRED))
     return out.select("n", *[F.round(c, 9).alias(c) for c in ("clean_mean", "ocr_mean", "mean_delta")], "higher", "lower")
+
+
+# Numbers of reports, and small sources ----------------------------------------------------------------------------
+
+_SCORES = [(1, 0.125, 0.7), (2, 0.5, 0.7), (3, 0.7, 0.7), (4, 0.75, 0.7), (5, 0.9, 0.7), (6, 0.0, 0.9), (7, 1.0, 0.9)]
+
+
+@query(
+    f"""SELECT id, repeat('#', CAST(round_even(s * 20, 0) AS INTEGER)) AS bar, round(greatest(0, least(1, (t * 1.3 - s) / (t * 1.3))), 9) AS aiish, CASE WHEN s < t THEN 'AI-ish' WHEN s < t + 0.1 THEN 'borderline' ELSE 'human-ish' END AS verdict
+    FROM (SELECT id, CAST(s AS DOUBLE) AS s, CAST(t AS DOUBLE) AS t FROM (VALUES {values(_SCORES)}) v(id, s, t))"""
+)
+def report_numbers(spark, sf_dir):
+    t = inline(spark, "id int, s double, t double", _SCORES)
+    s, limit = F.col("s"), F.col("t")
+    return t.select("id", T.bar(s).alias("bar"), F.round(T.aiish(s, limit), 9).alias("aiish"), calibrate.verdict(s, limit, limit + 0.1).alias("verdict"))
+
+
+_NAMES = [("English_1",), ("Mathmatics_12",), ("World_History_3",), ("Art",), ("Bio_logy",)]
+
+
+@query(f"SELECT name, CASE WHEN s = 'Mathmatics' THEN 'Mathematics' ELSE s END AS subject FROM (SELECT name, replace(regexp_replace(name, '_\\d+$', ''), '_', ' ') AS s FROM (VALUES {values(_NAMES)}) t(name))")
+def subjects_inline(spark, sf_dir):
+    return inline(spark, "name string", _NAMES).select("name", T.subject_of(F.col("name")).alias("subject"))
+
+
+_LAYERS = [("d", "One line\nof two.\n \nNext   part\n\n\nLast"), ("e", "")]
+
+
+@query(f"WITH s AS (SELECT doc_id, string_split(regexp_replace(text, '\\n\\s*\\n', chr(1), 'g'), chr(1)) AS ps FROM (VALUES {values(_LAYERS)}) t(doc_id, text)), e AS (SELECT doc_id, unnest(ps) AS raw, CAST(generate_subscripts(ps, 1) - 1 AS INTEGER) AS para_idx FROM s) SELECT doc_id, para_idx, {_FLAT.format('raw')} AS text FROM e WHERE {_FLAT.format('raw')} <> ''")
+def text_layer_inline(spark, sf_dir):
+    return readers.text_layer(inline(spark, "doc_id string, text string", _LAYERS))
+
+
+_MANIFEST = [("a01", "x/one", "x"), ("a02", "y/one", "y"), ("a03", "x/two", "x"), ("a04", "x/one", "x")]
+
+
+@query(f"SELECT vendor, count(*) AS n FROM (VALUES {values(_MANIFEST)}) t(id, generated_by, vendor) GROUP BY vendor")
+def vendor_counts(spark, sf_dir):
+    return generation.vendor_counts(inline(spark, "id string, generated_by string, vendor string", _MANIFEST))
+
+
+@query(f"SELECT array_to_string(list_sort(list(DISTINCT generated_by)), ',') AS models, array_to_string(list_sort(list(DISTINCT vendor)), ',') AS vendors FROM (VALUES {values(_MANIFEST)}) t(id, generated_by, vendor)")
+def models_used(spark, sf_dir):
+    return generation.used(inline(spark, "id string, generated_by string, vendor string", _MANIFEST)).select(F.array_join("models", ",").alias("models"), F.array_join("vendors", ",").alias("vendors"))
+
+
+_ANSWERS = [(1, '{"choices":[{"message":{"content":"Text."}}]}'), (2, '{"choices":[{"message":{"content":null}}]}'), (3, "{}")]
+
+
+@query(f"SELECT id, coalesce(json_extract_string(r, '$.choices[0].message.content'), '') AS text FROM (VALUES {values(_ANSWERS)}) t(id, r)")
+def completion_text_inline(spark, sf_dir):
+    return inline(spark, "id int, r string", _ANSWERS).select("id", generation.completion_text(F.col("r")).alias("text"))
+
+
+@query(f"WITH {_LINES}, h AS (SELECT doc_id, pos, trim(lower(text)) AS k, {_WORDS.format('text')} AS n, text FROM t) SELECT doc_id, pos FROM h WHERE n <= 5 AND NOT contains(text, '...') AND NOT regexp_matches(text, '\\d\\s*$') AND (starts_with(k, 'the') OR starts_with(k, 'is'))")
+def heading_lines(spark, sf_dir):
+    return _lines(spark, sf_dir).where(T.is_heading_line(F.col("text"), ("the", "is"))).select("doc_id", "pos")
+
+
+@query(
+    f"""WITH {_LINES}, p AS (SELECT doc_id AS essay, pos AS para_idx, text, {_WORDS.format("text")} AS n, lower(text) AS k FROM t), f AS (SELECT *, n <= 5 AND NOT contains(text, '...') AND NOT regexp_matches(text, '\\d\\s*$') AS short FROM p),
+    a AS (SELECT *, count(*) OVER (PARTITION BY essay) AS c, max(CASE WHEN para_idx < 40 AND short AND starts_with(k, 'introduction') THEN para_idx + 1 END) OVER (PARTITION BY essay) AS intro FROM f),
+    b AS (SELECT *, coalesce(intro, least(6, c // 6)) AS s FROM a), d AS (SELECT *, coalesce(min(CASE WHEN para_idx >= s AND short AND (starts_with(k, 'bibliography') OR starts_with(k, 'works cited') OR starts_with(k, 'references')) THEN para_idx END) OVER (PARTITION BY essay), c) AS e0 FROM b),
+    z AS (SELECT *, CASE WHEN e0 - s < 5 THEN c ELSE e0 END AS e FROM d) SELECT essay, para_idx - s AS para_idx, md5(text) AS digest FROM z WHERE para_idx >= s AND para_idx < e"""
+)
+def body_slices(spark, sf_dir):
+    lines = _lines(spark, sf_dir).select(F.col("doc_id").alias("essay"), F.col("pos").alias("para_idx"), "text")
+    return corpus.body_slice(lines).select("essay", "para_idx", F.md5(F.col("text").cast("binary")).alias("digest"))
