@@ -25,14 +25,14 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 DAYS, DAY_LOW = 146_097, 2_319  # days of 400 years; 63 * 2319
 KINDS = ("email", "phone", "ip", "date", "ssn", "card")
-_EDGE, _END = r"(?<![A-Za-z0-9_.+/=-])", r"(?![A-Za-z0-9_=-]|\.\d)"
+_EDGE, _END = r"(?<![A-Za-z0-9_])(?<!\d[./-])", r"(?![A-Za-z0-9_]|[./-]\d)"
 _PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "phone": r"(?<![A-Za-z0-9])(?:\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![A-Za-z0-9])",
     "ip": _EDGE + r"\d{1,3}(?:\.\d{1,3}){3}" + _END,
     "date": _EDGE + r"(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4}|\d{2}-\d{2}-\d{4})" + _END,
     "ssn": _EDGE + r"\d{3}-\d{2}-\d{4}" + _END,
-    "card": r"(?<![A-Za-z0-9_+/=-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{5})(?![A-Za-z0-9_=-])",
+    "card": _EDGE + r"(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{5})" + _END,
 }
 _CUT, _ESCAPE = "\u0001", "\u0002"
 

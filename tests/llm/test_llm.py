@@ -467,6 +467,8 @@ def test_pii(spark, docs, empty):
     assert got[2]["n_ssn"] == 1 and got[2]["text"].endswith("666-12-3456") and "123-45-6789" not in got[2]["text"]
     assert got[3]["n_phone"] == 2 and re.fullmatch(r"call \+1 \([2-9]\d\d\) [2-9]\d\d-\d{4} or [2-9]\d\d-[2-9]\d\d-\d{4}", got[3]["text"])
     address = got[10]["text"]
+    more = pii.pseudonymise(spark.createDataFrame([("ip=10.0.0.3, (10.0.0.3) v1.10.0.0.3 card:4111111111111111; x4111111111111111 1.4111111111111111",)], "text string"), key="k").first()
+    assert more["n_ip"] == 2 and more["n_card"] == 1 and more["text"].startswith(f"ip={address}, ({address}) v1.10.0.0.3 card:") and more["text"].endswith("x4111111111111111 1.4111111111111111")
     assert got[4]["text"] == f"at {address} not 10.0.0.300" and got[5]["text"].endswith("@x.org " + address) and got[9]["text"] == f"\x01 {address} \x02"
     assert got[6]["text"] is None and got[7]["text"] == "" and got[8]["text"] == "none" and got[8]["n_ip"] == 0
     other = {r["doc_id"]: r["text"] for r in pii.pseudonymise(df, key="other").collect()}
