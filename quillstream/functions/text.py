@@ -34,14 +34,17 @@ FOOTNOTE_MARKERS = (
 )
 SUBJECT_SPELLINGS = {"Mathmatics": "Mathematics"}
 
+#: All that counts as white space, for trimming, and the same as a class.
+SPACES = "".join(map(chr, (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)))
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+NO_SPACE = r"[^\s\x1c-\x1f\x85\p{Z}]"
 ALNUM = r"[\p{L}\p{N}]"
 LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85  ]"
 
 
 def strip(text: Column) -> Column:
-    """Without white space at either end."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+\\z", "")
+    """Without white space at either end; native, as rules apply it many times."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def flat(text: Column) -> Column:
@@ -50,11 +53,11 @@ def flat(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(text, f"{SPACE}+", -1), lambda t: t != "")
+    return F.regexp_extract_all(text, F.lit(f"{NO_SPACE}++"), F.lit(0))
 
 
 def word_count(text: Column) -> Column:
-    return F.size(tokens(text)).cast("long")
+    return F.regexp_count(text, F.lit(f"{NO_SPACE}++")).cast("long")
 
 
 def without_citations(text: Column) -> Column:
@@ -63,12 +66,13 @@ def without_citations(text: Column) -> Column:
 
 def assessed_words(text: Column) -> Column:
     """Words once citations are gone; a token needs a letter or digit to be one."""
-    return F.size(F.filter(tokens(without_citations(text)), lambda t: t.rlike(ALNUM))).cast("long")
+    kept = F.when(F.contains(text, F.lit("(")), without_citations(text)).otherwise(text)
+    return F.regexp_count(kept, F.lit(f"{ALNUM}{NO_SPACE}*+")).cast("long")
 
 
 def sentences(text: Column) -> Column:
     """Sentences: cut at white space after a stop and at most one closer."""
-    parts = F.split(text, f"(?<=[.!?][{SENTENCE_CLOSERS}]){SPACE}+|(?<=[.!?]){SPACE}+", -1)
+    parts = F.split(text, f"(?={SPACE})(?<=[.!?]|[.!?][{SENTENCE_CLOSERS}]){SPACE}+", -1)
     return F.filter(F.transform(parts, strip), lambda s: s != "")
 
 
@@ -93,10 +97,8 @@ def is_list_item(text: Column) -> Column:
 def is_prose(text: Column, min_words: int = MIN_PROSE_WORDS) -> Column:
     """Finished prose: long enough, no bullet, quote, list item or note; the empty text is none."""
     t = strip(text)
-    noted = F.lit(False)
-    for start in NOTE_STARTS:
-        noted = noted | t.startswith(start)
-    return (word_count(t) >= min_words) & (t != "") & ~t.rlike(r'^[•\-*“"\[»]') & ~is_list_item(t) & ~noted
+    opens_badly = r'^(?:[•\-*“"\[»]|' + "|".join(NOTE_STARTS) + ")"
+    return (t != "") & ~t.rlike(opens_badly) & ~is_list_item(t) & (word_count(t) >= min_words)
 
 
 def sample_problem(text: Column) -> Column:

@@ -28,9 +28,9 @@ class Scorer(Protocol):
 
 
 def _bigrams(texts: DataFrame, keep: list[str]) -> DataFrame:
-    words = T.tokens(F.lower("text"))
-    pairs = texts.select(*keep, F.posexplode(F.arrays_zip(words.alias("w"), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))).alias("v"))).alias("pos", "x"))
-    return pairs.select(*keep, "pos", F.col("x.w").alias("w"), F.col("x.v").alias("v")).where("v is not null")
+    words = texts.select(*keep, T.tokens(F.lower("text")).alias("ws")).where(F.size("ws") > 1)
+    pairs = F.arrays_zip(F.slice("ws", F.lit(1), F.size("ws") - 1).alias("w"), F.slice("ws", F.lit(2), F.size("ws") - 1).alias("v"))
+    return words.select(*keep, F.inline(pairs).alias("w", "v"))
 
 
 class PairScorer:
@@ -39,10 +39,10 @@ class PairScorer:
     direction = -1
 
     def __init__(self, corpus: DataFrame):
-        pairs = _bigrams(corpus, [])
-        self.unigram = pairs.groupBy("v").agg(F.count("*").alias("n_v"))
-        self.context = pairs.groupBy("w").agg(F.count("*").alias("n_w"))
-        self.bigram = pairs.groupBy("w", "v").agg(F.count("*").alias("n_wv"))
+        # The other counts are sums of the pairs', so the corpus is shuffled once and that exchange is reused.
+        self.bigram = _bigrams(corpus, []).groupBy("w", "v").agg(F.count("*").alias("n_wv"))
+        self.unigram = self.bigram.groupBy("v").agg(F.sum("n_wv").alias("n_v"))
+        self.context = self.bigram.groupBy("w").agg(F.sum("n_wv").alias("n_w"))
         self.size = self.unigram.agg(F.coalesce(F.sum("n_v"), F.lit(0)).alias("total"), F.count("*").alias("vocabulary"))
 
     def score(self, texts: DataFrame) -> DataFrame:
