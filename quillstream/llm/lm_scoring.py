@@ -134,6 +134,7 @@ class ContextTree:
                 block = np.logaddexp(own, split) - math.log(2)
                 weights[d] = np.exp(own - math.log(2) - block)
             below = (node, zeros, ones, block)
+        del below, own, block
         self.node, self.one = [], []
         mixed, left = np.zeros(1), np.ones(1)
         for d in range(self.depth + 1):
@@ -146,7 +147,7 @@ class ContextTree:
                 mixed, left = np.zeros(len(node)), np.ones(len(node))
             self.node.append(node)
             self.one.append(np.clip(mixed + left * kt, 1e-12, 1 - 1e-12).astype(np.float32))
-            kt_above = kt
+            nodes[d], kt_above = None, kt
         self.gram, counts = levels[self.depth]
         self.log10 = self.slow(self.gram).astype(np.float32)
         self.cache_bits = cache_bits
@@ -285,11 +286,10 @@ def score(docs: DataFrame, training: DataFrame, keep: list[str], depth: int = 5,
     def rate(batches):
         known, logs = lookup.value
         model = ContextTree.of(tree.value)
-        for batch in batches:
+        # Few texts at a time: a position takes some 100 bytes of arrays on the way.
+        for batch in (whole.slice(at, 200) for whole in batches for at in range(0, whole.num_rows, 200)):
             data, ends = utf8(batch.column(batch.num_columns - 1))
             n = len(ends) - 1
-            if not n:
-                continue
             told, told_ends = plain(data, ends)
             keys, first = _keys(told, told_ends, depth)
             by_model = np.add.reduceat(model.log10_probability(keys), first)
