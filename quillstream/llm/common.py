@@ -156,13 +156,15 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     seen = None
     for _ in range(rounds):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Written, so that both sides of the joins are plain exchanges and a node with very many links is split.
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = both.join(low, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
         low2 = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low2, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e"))
         then = written(small.select("e.a", "e.b").where("a < b").distinct(), "links")
         state = then.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         drop_written(now)
+        drop_written(low)
         now = then
         if seen == tuple(state):
             break
