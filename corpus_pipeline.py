@@ -29,9 +29,12 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id; of repeated rows, one."""
     found = written(ngram_join.similar(docs.select("doc_id", "text")), "similar")
-    dropped = found.where("not kept").select("doc_id").distinct()
+    # Written, so that the planner knows their sizes: texts move once at most, and not at all to meet a small table.
+    dropped = written(found.where("not kept").select("doc_id").distinct(), "dropped")
     repeated = written(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeated")
     kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    if repeated.isEmpty():
+        return kept
     once = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)
     again = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
     return once.unionByName(again)

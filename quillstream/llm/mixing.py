@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, text_or_empty
+from .common import WORD, text_or_empty, written
 
 
 ADDED = ("size", "source_size", "target", "taken")
@@ -78,7 +78,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
         .where((F.col("_mix_before") <= F.col("_mix_rest")) & (F.col("_mix_rest") < F.col("_mix_before") + F.col("words")))
         .select("_mix_key", F.col("_mix_bucket").alias("_mix_edge"), "_mix_before")
     )
-    targets = targets.join(border, "_mix_key", "left")
+    # Written, so that the planner knows its size: documents are not shuffled to meet a small table of sources.
+    targets = written(targets.join(border, "_mix_key", "left"), "targets")
     placed = sized.join(targets, "_mix_key", "left")
     at_edge = F.coalesce(F.col("_mix_bucket") == F.col("_mix_edge"), F.lit(False))
     inside = Window.partitionBy("_mix_key").orderBy("_mix_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
