@@ -91,7 +91,7 @@ class CharacterMap:
 class Pieces:
     """Encoder of one model file."""
 
-    def __init__(self, path: str, cached: int = 500_000):
+    def __init__(self, path: str, cached: int = 200_000):
         import sentencepiece
 
         with open(path, "rb") as f:
