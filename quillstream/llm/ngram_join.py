@@ -40,7 +40,7 @@ def shingle_sets(data: np.ndarray, ends: np.ndarray, width: int = 5) -> list[np.
     whole = np.zeros(len(h), np.uint64)
     for k in range(width):
         part = mix(h + np.uint64(k + 1))
-        whole[: len(h) - k] += part[k:] * np.uint64(2 * k + 1)
+        whole[: max(len(h) - k, 0)] += part[k:] * np.uint64(2 * k + 1)
     whole = mix(whole)
     out = []
     for a, b in zip(before[:-1], before[1:], strict=True):

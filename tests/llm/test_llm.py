@@ -315,6 +315,25 @@ def test_ngram_join(docs, rows, empty):
     assert ngram_join.similar(empty).count() == 0
 
 
+def test_chunks_of_few_words():
+    """Texts of 0 to 5 words alone and before one that fills a chunk of its own."""
+    long = "word " * 60_000
+    for n in range(6):
+        short = " ".join("abcde"[:n])
+        data, ends = common.utf8(pa.array([short, long]))
+        alone = ngram_join.shingle_sets(data[: ends[1]], ends[:2])
+        assert [(0, 1), (1, 2)] == list(common.pieces_of(ends, 1 << 18))
+        assert len(alone) == 1 and len(alone[0]) == (n > 0)
+        both = ngram_join.shingle_sets(data, ends)
+        assert np.array_equal(both[0], alone[0])
+
+
+def test_ngram_join_of_few_words_before_a_long_text(spark, docs):
+    df = spark.createDataFrame([(0, "two words"), (1, "long " * 60_000), (2, "two words"), (3, "it is three")], "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"], r["kept"]) for r in ngram_join.similar(df).collect()}
+    assert got == {0: (0, 1, True), 1: (1, 0, True), 2: (0, 1, False), 3: (3, 0, True)}
+
+
 def test_pruning_keeps_likely_pairs():
     least = ngram_join.least_matches(0.8, 1e-6)
     for n in (8, 40, 80):
