@@ -5,12 +5,14 @@ of the last 0..depth bytes. Krichevsky-Trofimov estimates of all those depths ar
 Willems, Shtarkov and Tjalkens: a context's block probability is half its own estimate and half the product of its
 longer contexts'. As block probabilities depend on counts alone, training is counting byte n-grams.
 
-Distribution. N-grams and word counts are summed before and after one shuffle each, over all training texts. The
-tree keeps, of each depth, the contexts that occur most (``capacity`` n-grams a depth, at most), so that the
-model's size is bounded whatever the corpus; rarer contexts count in full at all shallower depths, and a position
-whose context is not kept is predicted from its longest kept suffix. Scoring reads each text once, with the model
-broadcast. The word baseline needs exact counts of all words: the ``hot_words`` most frequent ones are broadcast,
-all others are looked up by a join on the word's 64-bit hash.
+Distribution. N-grams are summed before and after one shuffle, over all training texts and over all texts to score;
+no context is dropped. The tree is never in one place: what lies below contexts of three bytes is a subtree of its
+own, and subtrees are dealt out, a few at a time in memory. A first pass sums the subtrees' block probabilities for
+the contexts of up to two bytes (the top, which the alphabet bounds and which is gathered), a second one rates every
+n-gram that occurs in the texts to score. The most frequent of these (``capacity``, at most) are broadcast, all others
+are looked up by a join, so each has its exact probability. A decision whose context was never met is predicted from
+its longest suffix that was. Likewise the ``hot_words`` most frequent words are broadcast for the word baseline, all
+others are looked up by a join on the word's 64-bit hash.
 
 What is scored is the text's words in lower case with single spaces, as in the baseline, and its end.
 
@@ -103,9 +105,38 @@ def _nodes(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return node[order], zeros[order], ones[order]
 
 
+def _levels(grams: np.ndarray, counts: np.ndarray, low: int, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For contexts of ``low``..``depth`` bytes the sorted n-grams of one byte more, and counts."""
+    out = []
+    for d in range(low, depth + 1):
+        u, back = np.unique(grams & np.uint64((1 << (8 * d + 8)) - 1), return_inverse=True)
+        out.append((u, np.bincount(back, weights=counts, minlength=len(u))))
+    return out
+
+
+def _weighed(levels: list[tuple[np.ndarray, np.ndarray]], low: int, longer: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[list, list, tuple[np.ndarray, np.ndarray]]:
+    """Of each level its nodes and their weights, and of the first one the nodes and their log block probabilities."""
+    nodes = [_nodes(k, c) if len(k) else (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)) for k, c in levels]
+    weights: list[np.ndarray] = [np.zeros(0)] * len(levels)
+    for at in range(len(levels) - 1, -1, -1):
+        node, zeros, ones = nodes[at]
+        own = _log_kt(zeros, ones)
+        if longer is None:
+            weights[at], block = np.ones(len(node)), own
+        else:
+            parent = np.searchsorted(node, longer[0] & np.uint64((1 << (8 * (low + at) + 8)) - 1))
+            split = np.bincount(parent, weights=longer[1], minlength=len(node))
+            block = np.logaddexp(own, split) - math.log(2)
+            weights[at] = np.exp(own - math.log(2) - block)
+        longer = node, block
+    return nodes, weights, longer
+
+
 class ContextTree:
-    """A trained tree. ``levels[d]``: sorted n-grams of d + 1 bytes of the kept contexts of d bytes, and counts.
+    """A trained tree, or the part of it below the contexts of ``above``.
 
+    ``levels``: for each depth from the first one the sorted n-grams of d + 1 bytes, and counts. ``longer``: sorted
+    nodes of the last depth and the sums of their longer contexts' log block probabilities, where these are elsewhere.
     ``vars()`` of one are plain arrays; ``ContextTree.of`` makes one of them again.
     """
 
@@ -115,53 +146,27 @@ class ContextTree:
         tree.__dict__.update(state)
         return tree
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], cache_bits: int = 19):
-        self.depth = len(levels) - 1
-        nodes = [_nodes(k, c) if len(k) else (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)) for k, c in levels]
-        weights: list[np.ndarray] = [np.zeros(0)] * len(levels)
-        below: tuple | None = None
-        for d in range(self.depth, -1, -1):
-            node, zeros, ones = nodes[d]
-            own = _log_kt(zeros, ones)
-            if below is None or not len(below[0]):
-                weights[d], block = np.ones(len(node)), own
-            else:
-                parent = np.searchsorted(node, below[0] & np.uint64((1 << (8 * d + 8)) - 1))
-                split = np.bincount(parent, weights=below[3], minlength=len(node))
-                rest0 = np.maximum(zeros - np.bincount(parent, weights=below[1], minlength=len(node)), 0)
-                rest1 = np.maximum(ones - np.bincount(parent, weights=below[2], minlength=len(node)), 0)
-                split = split + _log_kt(rest0, rest1)
-                block = np.logaddexp(own, split) - math.log(2)
-                weights[d] = np.exp(own - math.log(2) - block)
-            below = (node, zeros, ones, block)
-        del below, own, block
-        self.node, self.one = [], []
-        mixed, left = np.zeros(1), np.ones(1)
-        for d in range(self.depth + 1):
-            node, zeros, ones = nodes[d]
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], above: ContextTree | None = None, longer: tuple[np.ndarray, np.ndarray] | None = None):
+        low = 0 if above is None else above.depth + 1
+        self.depth = low + len(levels) - 1
+        nodes, weights, _ = _weighed(levels, low, longer)
+        self.node, self.one = ([], []) if above is None else (list(above.node), list(above.one))
+        mixed, left = (np.zeros(1), np.ones(1)) if above is None else above.passed
+        for d, (node, zeros, ones), weight in zip(range(low, self.depth + 1), nodes, weights, strict=True):
             kt = (ones + 0.5) / (zeros + ones + 1.0)
             if d and len(node):
                 parent = np.searchsorted(self.node[d - 1], node & np.uint64((1 << (8 * d)) - 1))
-                mixed, left = (mixed + left * weights[d - 1] * kt_above)[parent], (left * (1 - weights[d - 1]))[parent]
+                mixed, left = mixed[parent], left[parent]
             else:
                 mixed, left = np.zeros(len(node)), np.ones(len(node))
             self.node.append(node)
-            self.one.append(np.clip(mixed + left * kt, 1e-12, 1 - 1e-12).astype(np.float32))
-            nodes[d], kt_above = None, kt
-        self.gram, counts = levels[self.depth]
-        self.log10 = self.slow(self.gram).astype(np.float32)
-        self.cache_bits = cache_bits
-        self.cache_key = np.full(1 << cache_bits, np.uint64(0xFFFFFFFFFFFFFFFF))
-        self.cache_log = np.zeros(1 << cache_bits, np.float32)
-        order = np.argsort(counts, kind="stable")
-        slot = self._slot(self.gram[order])
-        self.cache_key[slot], self.cache_log[slot] = self.gram[order], self.log10[order]
+            self.one.append(np.clip(mixed + left * kt, 1e-12, 1 - 1e-12))
+            mixed, left = mixed + left * weight * kt, left * (1 - weight)
+        #: What each node of the last depth hands to longer contexts: the mixture so far and the weight left.
+        self.passed = mixed, left
 
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.cache_bits)
-
-    def slow(self, keys: np.ndarray) -> np.ndarray:
-        """Log10 probabilities: each of the eight decisions from the longest kept context that has met its node."""
+    def log10_probability(self, keys: np.ndarray) -> np.ndarray:
+        """Log10 probabilities: each of the eight decisions from the longest context that has met its node."""
         out = np.zeros(len(keys))
         byte = keys & np.uint64(255)
         for k in range(8):
@@ -181,18 +186,33 @@ class ContextTree:
             out += np.log10(np.where(one, p, 1 - p))
         return out
 
+
+class HotGrams:
+    """Log10 probabilities of the most frequent n-grams: a cache by hash, and a sorted table for what it misses."""
+
+    def __init__(self, grams: np.ndarray, log10: np.ndarray, asked: np.ndarray, cache_bits: int = 19):
+        order = np.argsort(grams)
+        self.gram, self.log10 = grams[order], log10[order]
+        self.cache_bits = cache_bits
+        self.cache_key = np.full(1 << cache_bits, np.uint64(0xFFFFFFFFFFFFFFFF))
+        self.cache_log = np.full(1 << cache_bits, np.nan)
+        order = np.argsort(asked, kind="stable")
+        slot = self._slot(grams[order])
+        self.cache_key[slot], self.cache_log[slot] = grams[order], log10[order]
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.cache_bits)
+
     def log10_probability(self, keys: np.ndarray) -> np.ndarray:
+        """NaN for what is not hot."""
         slot = self._slot(keys)
-        out = self.cache_log[slot].astype(np.float64)
+        out = self.cache_log[slot]
         miss = np.flatnonzero(self.cache_key[slot] != keys)
-        if len(miss):
+        out[miss] = np.nan
+        if len(miss) and len(self.gram):
             rare, back = np.unique(keys[miss], return_inverse=True)
-            at = np.minimum(np.searchsorted(self.gram, rare), max(len(self.gram) - 1, 0))
-            known = self.gram[at] == rare if len(self.gram) else np.zeros(len(rare), bool)
-            value = np.zeros(len(rare))
-            value[known] = self.log10[at[known]]
-            value[~known] = self.slow(rare[~known])
-            out[miss] = value[back]
+            at = np.minimum(np.searchsorted(self.gram, rare), len(self.gram) - 1)
+            out[miss] = np.where(self.gram[at] == rare, self.log10[at], np.nan)[back]
         return out
 
 
@@ -238,43 +258,80 @@ def _arrays(df: DataFrame, *names: str) -> list[np.ndarray]:
     return [table.column(x).combine_chunks().to_numpy(zero_copy_only=False) for x in names]
 
 
-def train(docs: DataFrame, depth: int = 5, capacity: int = 1 << 19) -> ContextTree:
-    """Count all texts, keep of each depth the most frequent contexts, and weigh the tree."""
-    level = written(gram_counts(docs, depth), "grams")
-    found, tables = [], [level]
-    for d in range(depth, -1, -1):
-        mask = (1 << (8 * d + 8)) - 1
-        if d < depth:
-            level = level.groupBy(F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).agg(F.sum("n").alias("n"))
-            if d == depth - 1:
-                level = written(level, "grams")
-                tables.append(level)
-        context = F.shiftrightunsigned("gram", 8).alias("context")
-        sized = level.groupBy(context).agg(F.sum("n").alias("size"), F.count("*").alias("rows"))
-        found.append((d, level, sized))
-    least, levels = 1, []
-    for d, level, sized in reversed(found):
-        least = max(least, _least_kept(sized, capacity))
-        kept = sized.where(F.col("size") >= least).select("context")
-        rows = level if least <= 1 else level.withColumn("context", F.shiftrightunsigned("gram", 8)).join(kept, "context", "left_semi")
-        keys, counts = _arrays(rows, "gram", "n")
-        keys = keys.astype(np.int64).view(np.uint64)
-        order = np.argsort(keys)
-        levels.append((keys[order], counts[order].astype(np.float64)))
-    for table in tables:
-        drop_written(table)
-    return ContextTree(levels)
+def _whole(batches, size: int = 1 << 17):
+    """Sorted n-grams of whole subtrees, some ``size`` rows at a time: columns part, gram, n, asked come sorted by part."""
+    held, rows, limit = [], 0, size
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= limit:
+            table = pa.Table.from_batches(held)
+            part = table.column("part").to_numpy()
+            cut = int(np.searchsorted(part, part[-1]))
+            if cut:
+                yield _sorted(table.slice(0, cut))
+            held, rows = table.slice(cut).to_batches(), table.num_rows - cut
+            limit = rows + size
+    if rows:
+        yield _sorted(pa.Table.from_batches(held))
+
+
+def _sorted(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    gram, n, asked = (table.column(x).to_numpy() for x in ("gram", "n", "asked"))
+    gram = gram.astype(np.int64).view(np.uint64)
+    order = np.argsort(gram)
+    return gram[order], n[order].astype(np.float64), asked[order]
+
+
+def rates(training: DataFrame, docs: DataFrame, depth: int = 5) -> DataFrame:
+    """(gram, asked, log10) for every n-gram of ``docs``: how often it occurs there, and its exact log10 probability."""
+    spark = docs.sparkSession
+    cut = min(3, depth)
+    both = gram_counts(training, depth).select("gram", "n", F.lit(0).cast("long").alias("asked")).unionByName(gram_counts(docs, depth).select("gram", F.lit(0).cast("long").alias("n"), F.col("n").alias("asked")))
+    counted = written(both.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("asked").alias("asked")), "grams")
+    part = F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit((1 << (8 * cut)) - 1)).alias("part")
+    deal = lambda rows: rows.select(part, "gram", "n", "asked").repartition(counted.count() // 100_000 + 1, "part").sortWithinPartitions("part")
+
+    def blocks(batches):
+        for gram, n, _ in _whole(batches):
+            node, block = _weighed(_levels(gram, n, cut, depth), cut)[2]
+            node, back = np.unique(node & np.uint64((1 << (8 * cut)) - 1), return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(np.bincount(back, weights=block, minlength=len(node)))], ["node", "block"])
+
+    trained = counted.where("n > 0")
+    node, block = _arrays(deal(trained).mapInArrow(blocks, "node long, block double").groupBy("node").agg(F.sum("block").alias("block")), "node", "block")
+    order = np.argsort(node)
+    short = F.col("gram").bitwiseAND(F.lit((1 << (8 * cut)) - 1)).alias("gram")
+    grams, n = _arrays(trained.groupBy(short).agg(F.sum("n").alias("n")), "gram", "n")
+    top = ContextTree(_levels(grams.astype(np.int64).view(np.uint64), n.astype(np.float64), 0, cut - 1), longer=(node[order].astype(np.int64).view(np.uint64), block[order].astype(np.float64)))
+    sent = spark.sparkContext.broadcast(vars(top))
+
+    def rate(batches):
+        above = ContextTree.of(sent.value)
+        for gram, n, asked in _whole(batches):
+            seen, wanted = n > 0, asked > 0
+            tree = ContextTree(_levels(gram[seen], n[seen], cut, depth), above)
+            keys = gram[wanted]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(asked[wanted]), pa.array(tree.log10_probability(keys))], ["gram", "asked", "log10"])
+
+    out = written(deal(counted).mapInArrow(rate, "gram long, asked long, log10 double"), "rates")
+    drop_written(counted)
+    return out
 
 
 def score(docs: DataFrame, training: DataFrame, keep: list[str], depth: int = 5, capacity: int = 1 << 19, hot_words: int = 1 << 18) -> DataFrame:
     """``docs`` with the model's log10 probability of each text and the word baseline, both learned from ``training``.
 
-    ``keep`` names columns of ``docs`` to carry. Adds n_tokens, n_known, train_tokens, base_score, score, n_bytes
+    ``keep`` names columns of ``docs`` to carry. ``capacity`` and ``hot_words``: how many n-grams and words are
+    broadcast at most; all others are joined, so neither changes the result. Adds n_tokens, n_known, train_tokens, base_score, score, n_bytes
     and bits_per_byte (code length per scored byte, the end included; null where there are none).
     """
     spark = docs.sparkSession
     session_setup(spark)
-    tree = spark.sparkContext.broadcast(vars(train(training, depth, capacity)))
+    rated_grams = rates(training, docs, depth)
+    often = _least_kept(rated_grams.select(F.col("asked").alias("size"), F.lit(1).alias("rows")), capacity)
+    grams, asked, logs = _arrays(rated_grams.where(F.col("asked") >= often), "gram", "asked", "log10")
+    hot_grams = spark.sparkContext.broadcast((grams.astype(np.int64).view(np.uint64), logs.astype(np.float64), asked))
     counts = written(word_counts(training), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least = _least_kept(counts.select(F.col("n").alias("size"), F.lit(1).alias("rows")), hot_words)
@@ -285,14 +342,17 @@ def score(docs: DataFrame, training: DataFrame, keep: list[str], depth: int = 5,
 
     def rate(batches):
         known, logs = lookup.value
-        model = ContextTree.of(tree.value)
+        model = HotGrams(*hot_grams.value)
         # Few texts at a time: a position takes some 100 bytes of arrays on the way.
         for batch in (whole.slice(at, 200) for whole in batches for at in range(0, whole.num_rows, 200)):
             data, ends = utf8(batch.column(batch.num_columns - 1))
             n = len(ends) - 1
             told, told_ends = plain(data, ends)
             keys, first = _keys(told, told_ends, depth)
-            by_model = np.add.reduceat(model.log10_probability(keys), first)
+            by_gram = model.log10_probability(keys)
+            unlisted = np.isnan(by_gram)
+            by_model = np.add.reduceat(np.where(unlisted, 0.0, by_gram), first)
+            grams_before = np.r_[0, np.cumsum(unlisted)][np.r_[first, len(keys)]]
             h, before = words(LOWER[data], ends)
             at = before[1:] + np.arange(n)
             tokens = np.insert(h, before[1:], END_OF_TEXT)
@@ -303,23 +363,27 @@ def score(docs: DataFrame, training: DataFrame, keep: list[str], depth: int = 5,
             cold = tokens[~is_hot]
             cold_before = np.r_[0, np.cumsum(~is_hot)][np.r_[first, len(tokens)]]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(at - first + 1), pa.array(np.add.reduceat(is_hot.astype(np.int64), first)), pa.array(np.add.reduceat(value, first)), pa.array(by_model), pa.array(np.diff(told_ends)), pa.ListArray.from_arrays(pa.array(cold_before.astype(np.int32)), pa.array(cold.view(np.int64)))],
-                [*batch.schema.names[:-1], "n_tokens", "n_hot", "log_hot", "score", "n_bytes", "cold"],
+                [*batch.columns[:-1], pa.array(at - first + 1), pa.array(np.add.reduceat(is_hot.astype(np.int64), first)), pa.array(np.add.reduceat(value, first)), pa.array(by_model), pa.array(np.diff(told_ends)), pa.ListArray.from_arrays(pa.array(cold_before.astype(np.int32)), pa.array(cold.view(np.int64))), pa.ListArray.from_arrays(pa.array(grams_before.astype(np.int32)), pa.array(keys[unlisted].view(np.int64)))],
+                [*batch.schema.names[:-1], "n_tokens", "n_hot", "log_hot", "score_hot", "n_bytes", "cold", "cold_grams"],
             )
 
     picked = docs.select(*keep, F.monotonically_increasing_id().alias("_row"), text_or_empty().alias("_text"))
-    rated = written(picked.mapInArrow(rate, with_added(picked, "n_tokens long, n_hot long, log_hot double, score double, n_bytes long, cold array<long>")), "rated")
+    rated = written(picked.mapInArrow(rate, with_added(picked, "n_tokens long, n_hot long, log_hot double, score_hot double, n_bytes long, cold array<long>, cold_grams array<long>")), "rated")
     each = rated.select("_row", F.explode("cold").alias("word"))
-    rare = each.join(counts, "word").groupBy("_row").agg(F.count("*").alias("n_rare"), F.sum(F.log10(F.col("n") + F.lit(1.0))).alias("log_rare"))
+    none = lambda kind: F.lit(None).cast(kind)
+    rare_words = each.join(counts, "word").select("_row", F.lit(1).alias("one"), F.log10(F.col("n") + F.lit(1.0)).alias("log"), none("double").alias("log10"))
+    rare_grams = rated.select("_row", F.explode("cold_grams").alias("gram")).join(rated_grams, "gram").select("_row", none("int").alias("one"), none("double").alias("log"), "log10")
+    rare = rare_words.unionByName(rare_grams).groupBy("_row").agg(F.sum("one").alias("n_rare"), F.sum("log").alias("log_rare"), F.sum("log10").alias("score_rare"))
+    score = F.col("score_hot") + F.coalesce("score_rare", F.lit(0.0))
     unit = math.log10(total + distinct + 1)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return rated.join(rare, "_row", "left").select(
+    return rated.drop("cold", "cold_grams").join(rare, "_row", "left").select(
         *keep,
         "n_tokens",
         (F.col("n_hot") + zero("n_rare")).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("log_hot") + F.coalesce("log_rare", F.lit(0.0)) - F.col("n_tokens") * F.lit(unit)).alias("base_score"),
-        "score",
+        score.alias("score"),
         "n_bytes",
-        F.when(F.col("n_bytes") > 0, -F.col("score") / F.lit(math.log10(2)) / F.col("n_bytes")).alias("bits_per_byte"),
+        F.when(F.col("n_bytes") > 0, -score / F.lit(math.log10(2)) / F.col("n_bytes")).alias("bits_per_byte"),
     )

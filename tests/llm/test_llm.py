@@ -141,6 +141,21 @@ def test_context_tree_matches_recursive_mixture():
         assert tree.log10_probability(key)[0] == pytest.approx(want, rel=1e-4)
 
 
+@pytest.mark.parametrize("depth", [2, 5])
+def test_lm_scores_use_all_contexts(docs, rows, depth):
+    """However few n-grams are broadcast, scores are those of one tree of all training texts."""
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7
+    d = docs.select("doc_id", "text", (fold == 2).alias("held_out"))
+    got = lm_scoring.score(d, d.where("not held_out"), ["doc_id"], depth=depth, capacity=50).collect()
+    keys_of = lambda texts: lm_scoring._keys(*lm_scoring.plain(*common.utf8(pa.array(texts, pa.string()))), depth)[0]
+    grams, n = np.unique(keys_of([t for i, t, *_ in rows if crc(i, 7) != 2]), return_counts=True)
+    tree = lm_scoring.ContextTree(lm_scoring._levels(grams, n.astype(float), 0, depth))
+    want = sorted((-1 if i is None else i, float(tree.log10_probability(keys_of([t])).sum())) for i, t, *_ in rows)
+    have = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["score"]) for r in got)
+    assert [i for i, _ in have] == [i for i, _ in want]
+    assert [x for _, x in have] == pytest.approx([x for _, x in want], rel=1e-6)
+
+
 # 2 ------------------------------------------------------------------------------------------------------------------
 
 
