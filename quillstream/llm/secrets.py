@@ -1,9 +1,10 @@
 """Secret scans: patterns of known kinds, and random strings found by how badly a public vocabulary compresses them.
 
-A byte-pair vocabulary spends few characters a token on random strings and many on words. Runs of letters and
-digits of ``least`` characters or more that mix both and come to at most ``ratio`` characters a token are reported
-as kind ``random``, unless they are a known digest (bare hexadecimal of a digest's length), a UUID, part of an
-address, or lie within a span of the other kinds.
+A byte-pair vocabulary spends few characters a token on random strings and many on words. Runs of letters,
+digits and + / _ = - of ``least`` characters or more that have a letter and come to at most ``ratio`` characters a
+token are reported as kind ``random``; of other runs each part between separators is tested likewise. Not reported
+are bare letters of one case or capitalised (rare long words compress as badly), known digests (bare hexadecimal of a digest's length), UUIDs, what lies within a URL or an e-mail address, and
+what overlaps a span of the other kinds.
 
 Cases. Null or empty text: no spans. Offsets are code points, end exclusive. Every text is scanned whole, row by
 row and without a shuffle; repeated rows give repeated results; other columns are ignored.
@@ -26,7 +27,13 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-_UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
+_PART = re.compile(r"[A-Za-z0-9+]+")
+#: URLs, e-mail addresses and UUIDs: runs within them are not tested.
+_PLAIN = (
+    re.compile(r"\b[A-Za-z][A-Za-z0-9+.-]{0,30}://[^\s<>\"']+"),
+    re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![A-Za-z0-9])"),
+)
 #: Hexadecimal lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 _DIGESTS = {32, 40, 56, 64, 96, 128}
 _HINTS = ("passw", "secret", "token", "api")
@@ -54,20 +61,33 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def random_spans(text: str, taken: list[tuple[int, int, str]], encode, ratio: float, least: int) -> list[tuple[int, int, str]]:
-    """Runs that the vocabulary compresses badly, outside ``taken``."""
-    found = []
+    """Runs, or else parts of them between separators, that the vocabulary compresses badly, outside ``taken``."""
+    found, plain = [], None
+
+    def is_random(start: int, end: int) -> bool:
+        run = text[start:end]
+        if end - start < least or not any(c.isalpha() for c in run) or any(a < end and start < b for a, b, _ in taken):
+            return False
+        # Letters of one case, or capitalised, may be a long word that the vocabulary does not know.
+        if run.isalpha() and (run.isupper() or run[1:].islower()):
+            return False
+        if len(run) in _DIGESTS and all(c in "0123456789abcdefABCDEF" for c in run):
+            return False
+        return len(run) <= ratio * len(encode(run))
+
     for m in _RUN.finditer(text):
-        run, start, end = m[0], m.start(), m.end()
-        if end - start < least or not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
-            continue
-        if any(a < end and start < b for a, b, _ in taken):
+        if m.end() - m.start() < least:
             continue
-        if _UUID.match(run) or (len(run) in _DIGESTS and all(c in "0123456789abcdefABCDEF" for c in run)):
+        if plain is None:
+            plain = [x.span() for p in _PLAIN for x in p.finditer(text)]
+        if any(a <= m.start() and m.end() <= b for a, b in plain):
             continue
-        if text[max(0, start - 3) : start] == "://" or text[start - 1 : start] in ("@", "/", ".") or text[end : end + 1] == "@" or "//" in run:
+        if is_random(m.start(), m.end()):
+            found.append((m.start(), m.end(), "random"))
             continue
-        if len(run) <= ratio * len(encode(run)):
-            found.append((start, end, "random"))
+        for part in _PART.finditer(text, m.start(), m.end()):
+            if is_random(part.start(), part.end()):
+                found.append((part.start(), part.end(), "random"))
     return found
 
 

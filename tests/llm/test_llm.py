@@ -220,6 +220,16 @@ def test_secrets(spark, docs):
     assert scan(df.where("false")).count() == 0
 
 
+def test_random_parts_of_dotted_and_glued_strings():
+    encode = secrets.tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).encode_ordinary
+    hits = lambda t: [t[a:b] for a, b, _ in secrets.random_spans(t, secrets.base_spans(t), encode, 2.0, 16)]
+    a, b = "xK9vQ2mZr7Lp4WtB8nYc3H", "q8Zt5RvX1nKw7MbJ4yLs9PdG2hCf6TaUeQ3xVzWk0Bo"
+    assert hits(f"key SG.{a}.{b} end") == [a, b]
+    assert hits("//" + a) and hits("xKvQmZrLpWtBnYcHqjDfGs") and hits("xK9vQ2mZr7//Lp4WtB8nYc3H")
+    assert hits("connection-string-configuration-settings-" + a)[0].endswith(a)
+    assert hits(f"https://x.org/{a} me.{a}@x.org 123e4567-e89b-42d3-a456-426614174000 configuration-of-the-settings") == []
+
+
 # 4 ------------------------------------------------------------------------------------------------------------------
 
 
