@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 import numpy as np
@@ -26,11 +28,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where the session names none (tests)."""
+    """The folder in spark.checkpoint.dir, or else the one given to setCheckpointDir (tests).
+
+    Where neither is set, a local master gets a folder of its own; on a cluster this is an error, as a folder of one
+    machine is not seen by the others.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        folder = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = folder.get() if folder.isDefined() else "/tmp/checkpoints"
+        context = spark.sparkContext
+        folder = context._jsc.sc().getCheckpointDir()
+        if folder.isEmpty():
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+            folder = context._jsc.sc().getCheckpointDir()
+        named = folder.get()
     return named.rstrip("/")
 
 
@@ -52,6 +64,20 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def nested(docs: DataFrame, keep: list[str], *more: Column) -> DataFrame:
+    """``keep`` columns in one struct, so that no name clashes with an operator's own, and ``more``."""
+    return docs.select(F.struct(*[F.col(_quoted(c)) for c in dict.fromkeys(keep)] or [F.lit(None).alias("_none")]).alias("_keep"), *more)
+
+
+def unnested(df: DataFrame, keep: list[str], added: list[str]) -> DataFrame:
+    """The nested columns and the added ones; a kept column of an added one's name gives way to it."""
+    return df.select(*[F.col(f"_keep.{_quoted(c)}").alias(c) for c in dict.fromkeys(keep) if c not in added], *added)
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def with_added(picked: DataFrame, added: str) -> StructType:
     """Schema of what a Python step returns: all columns of ``picked`` but its last, and those added."""
     return StructType([*picked.schema.fields[:-1], *StructType.fromDDL(added).fields])
@@ -159,12 +185,13 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         # Written, so that both sides of the joins are plain exchanges and a node with very many links is split.
         low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = both.join(low, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
-        low2 = large.groupBy("b").agg(F.min("a").alias("m"))
+        large = written(large, "large")
+        low2 = written(large.groupBy("b").agg(F.min("a").alias("m")), "low2")
         small = large.join(low2, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e"))
         then = written(small.select("e.a", "e.b").where("a < b").distinct(), "links")
         state = then.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        drop_written(now)
-        drop_written(low)
+        for done in (now, low, large, low2):
+            drop_written(done)
         now = then
         if seen == tuple(state):
             break

@@ -1,8 +1,14 @@
 """Work on pairs within groups of any size.
 
-A group's rows are dealt into blocks by a hash of the id, and each pair of blocks is a task's unit of work: no unit
-grows with the group, however many of all rows it holds. Pairs exist only inside a unit, as arrays: what leaves it
-is at most a row or two for each of its rows.
+Rows of a group that are known to belong together need no comparison with each other. In a group larger than a
+block, a pivot is chosen from a seeded sample of about ``SAMPLE`` rows, and every row that the pivot settles (it is
+linked to the pivot itself, or so near it that by the triangle inequality all such rows are linked) is passive: it
+meets active rows only. Groups of copies are settled almost whole, so their work and what is shuffled for them grow
+with their rows. The rows left are dealt into blocks by a hash of the item, and each pair of blocks with an active
+row in it is a task's unit of work: no unit grows with the group. Only where few rows of a large group are near its
+pivot does the number of units grow with the square of the rows that are not: every such pair has to be compared.
+
+Pairs exist only inside a unit, as arrays: what leaves it is at most a row or two for each of its rows.
 """
 
 from __future__ import annotations
@@ -14,30 +20,68 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAST, MOST, AIM = 64, 1024, 48
+from .common import written
 
+LEAST, MOST, AIM, SAMPLE = 64, 1024, 48, 64
 
-def in_blocks(rows: DataFrame, key: str, item: str, size: str, least: int = LEAST) -> DataFrame:
-    """``rows`` once for each unit of work they belong to: adds _p, _q (the unit's blocks) and _b (the row's own).
 
-    ``size``: column with the number of rows of the key. Blocks hold size / 48 rows, ``least`` at least, 1024 at most:
-    small blocks spread a group over more tasks, large ones return fewer links.
+def dealt(members: DataFrame, key: str, payload: DataFrame, item: str, choose: Callable[[pa.Table], pa.Table], settles: Callable[[pa.Table], np.ndarray], pivot: str, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+    """(units, passive) of ``members`` (key, item, size; a written table), whose ``payload`` is joined by ``item``.
+
+    ``choose`` makes of a group's sample (payload columns) a table with one row of the columns in ``pivot`` (DDL; all
+    named pivot_...); ``settles`` tells of rows with payload and pivot columns which the pivot settles. units: rows
+    with payload once for each unit they belong to, with _p, _q (its blocks) and _b (the row's own). passive: key,
+    item, the pivot's columns that are long, and the group's smallest passive item as ``first``.
     """
-    block = F.greatest(F.lit(least), F.least(F.lit(MOST), F.ceil(F.col(size) / AIM)))
-    n = F.ceil(F.col(size) / block)
-    own = F.pmod(F.xxhash64(F.lit(17), F.col(item)), n)
-    return (
-        rows.withColumn("_b", own.cast("int"))
-        .withColumn("_c", F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))))
-        .withColumn("_p", F.least("_b", "_c"))
-        .withColumn("_q", F.greatest("_b", "_c"))
-        .drop("_c", size)
+    large = members.where(F.col("size") > least)
+    draw = F.pmod(F.xxhash64(F.lit(23), item), F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.lit(float(SAMPLE)) / F.col("size")
+    names = pivot.split(", ")
+    longs = [n.split()[0] for n in names if n.endswith(" long")]
+
+    def chosen(key_value: int, table: pa.Table) -> pa.Table:
+        return choose(table).append_column("_key", pa.array([key_value], pa.int64()))
+
+    sample = large.where(draw).join(payload, item)
+    pivots = written(_each(sample, [key], chosen, f"{pivot}, _key long").withColumnRenamed("_key", key), "pivots")
+
+    def mark(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            flags = settles(table) if batch.num_rows else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in (key, item, *longs)), pa.array(flags)], [key, item, *longs, "_passive"])
+
+    asked = large.join(payload, item).join(pivots, key)
+    fields = "".join(f", {c} long" for c in longs)
+    marked = written(asked.mapInArrow(mark, f"{key} long, {item} long{fields}, _passive boolean").where("_passive"), "settled")
+    first = written(marked.groupBy(key).agg(F.count("*").alias("_passives"), F.min(item).alias("first")), "firsts")
+    # Rows of small groups, and of groups without a pivot, are all active.
+    rows = members.join(marked.select(key, item, "_passive"), [key, item], "left").join(first.select(key, "_passives"), key, "left")
+    block = F.greatest(F.lit(least), F.least(F.lit(MOST), F.ceil(F.col("size") / AIM)))
+    passives = F.coalesce("_passives", F.lit(0))
+    n_active, n_passive = F.ceil((F.col("size") - passives) / block).cast("int"), F.ceil(passives / block).cast("int")
+    spread = lambda n: F.pmod(F.xxhash64(F.lit(17), item), F.greatest(n, F.lit(1))).cast("int")
+    units = (
+        rows.select(key, item, n_active.alias("_na"), n_passive.alias("_np"), F.coalesce("_passive", F.lit(False)).alias("_passive"))
+        .withColumn("_b", F.when(F.col("_passive"), F.col("_na") + spread(F.col("_np"))).otherwise(spread(F.col("_na"))))
+        .withColumn("_c", F.explode(F.when(~F.col("_passive"), F.sequence(F.lit(0), F.col("_na") + F.col("_np") - 1)).when(F.col("_na") > 0, F.sequence(F.lit(0), F.col("_na") - 1))))
+        .select(key, item, "_b", F.least("_b", "_c").alias("_p"), F.greatest("_b", "_c").alias("_q"))
     )
+    return units.join(payload, item), marked.join(first, key).select(key, item, *longs, "first")
 
 
 def by_unit(rows: DataFrame, key: str, work: Callable[[pa.Table], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
     """Run ``work`` on each unit's rows; it gives arrays a, b and n of the rows to return."""
 
+    def unit(_, table: pa.Table) -> pa.Table:
+        a, b, n = (np.zeros(0),) * 3 if table.num_rows < 2 else work(table)
+        return pa.table({"a": np.asarray(a, np.int64), "b": np.asarray(b, np.int64), "n": np.asarray(n, np.int64)})
+
+    return _each(rows, [key, "_p", "_q"], unit, "a long, b long, n long")
+
+
+def _each(rows: DataFrame, by: list[str], work: Callable[[int, pa.Table], pa.Table], ddl: str) -> DataFrame:
+    """``work`` on the rows of each combination of values of ``by`` (longs, of which the first is passed on)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.Table | None = None
         for batch in batches:
@@ -45,36 +89,33 @@ def by_unit(rows: DataFrame, key: str, work: Callable[[pa.Table], tuple[np.ndarr
             if kept is not None:
                 table = pa.concat_tables([kept, table])
             table = table.combine_chunks()
-            cuts = _cuts(table)
-            yield from _flush(table, cuts[:-1], work)
+            cuts = _cuts(table, by)
+            yield from _flush(table, cuts[:-1])
             kept = table.slice(cuts[-2]) if len(cuts) > 1 else None
         if kept is not None:
             kept = kept.combine_chunks()
-            yield from _flush(kept, _cuts(kept), work)
+            yield from _flush(kept, _cuts(kept, by))
 
-    units = rows.repartition(F.col(key), F.col("_p"), F.col("_q")).sortWithinPartitions(key, "_p", "_q").withColumnRenamed(key, "_key")
-    return units.mapInArrow(run, "a long, b long, n long")
+    def _flush(table: pa.Table, cuts: list[int]) -> Iterator[pa.RecordBatch]:
+        parts = (table.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False))
+        out = [work(p.column(by[0])[0].as_py(), p) for p in parts]
+        if out:
+            yield from pa.concat_tables(out).combine_chunks().to_batches()
 
+    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, ddl)
 
-def _cuts(table: pa.Table) -> list[int]:
+
+def _cuts(table: pa.Table, by: list[str]) -> list[int]:
     if not table.num_rows:
         return [0]
     change = np.zeros(table.num_rows, bool)
     change[0] = True
-    for name in ("_key", "_p", "_q"):
+    for name in by:
         x = table.column(name).to_numpy()
         change[1:] |= x[1:] != x[:-1]
     return [*np.flatnonzero(change).tolist(), table.num_rows]
 
 
-def _flush(table: pa.Table, cuts: list[int], work) -> Iterator[pa.RecordBatch]:
-    out = [work(table.slice(a, b - a)) for a, b in zip(cuts, cuts[1:], strict=False) if b - a > 1]
-    if out:
-        a, b, n = (np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True))
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], ["a", "b", "n"])
-
-
 def pairs_allowed(table: pa.Table) -> np.ndarray:
     """Which pairs of rows are this unit's: those of its two blocks, or all of its one block; above the diagonal."""
     b = table.column("_b").to_numpy()

@@ -9,12 +9,15 @@ values tie their texts into clusters; within a cluster pairs are pruned in the s
 with the exact sets, which counts links and gives the final classes.
 
 Distribution. Signatures are computed once and written; only buckets with two or more texts get signatures, and only
-texts of clusters get their sets, once each unless the cluster is large. Units of work are bounded (``groups``), so
-a group of copies that holds a third of all rows is spread; links leave a unit as a forest and as counts.
-
-Cases. Null or empty text, one without words, or a null doc_id: no links, a class of its own (kept). Words are case-sensitive runs of
-anything but white space. Repeated rows count as texts of their own. A similarity of exactly the threshold links.
-Empty table: no rows. Extra columns are ignored, whatever their names.
+texts of clusters get their sets. In large buckets and clusters the texts that a pivot settles are not compared with
+each other: those likely to be similar to one member are tied by it, and any two of similarity (1 + threshold) / 2 or
+more to one set reach the threshold, as one less the similarity is a metric. Units of work are bounded (``groups``),
+so a group of copies that holds a third of all rows is spread; links leave a unit as a forest and as counts.
+
+Cases. Null or empty text, one without words, or a null doc_id: no links, a class of its own (kept). Words are
+case-sensitive runs of anything but white space. Repeated rows, and different texts of one doc_id, count as texts of
+their own: classes have numbers of their own, and only a class's name is an id. A similarity of exactly the threshold
+links. Long texts are sets of all their runs. Empty table: no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mix, pieces_of, session_setup, text_or_empty, utf8, words, written
-from .groups import by_unit, forest, in_blocks, pairs_allowed
+from .common import components, mix, nested, pieces_of, session_setup, text_or_empty, unnested, utf8, with_added, words, written
+from .groups import by_unit, dealt, forest, pairs_allowed
 
 BANDS, ROWS = 20, 4
 HASHES = BANDS * ROWS
+#: So many values are compared before a pair is looked at again.
+STEP = 8
 _MULTIPLY = np.random.Generator(np.random.PCG64(97)).integers(1, 2**63, size=HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -85,7 +90,7 @@ def least_matches(threshold: float, tolerance: float) -> np.ndarray:
     return np.array(out)
 
 
-def survivors(signatures: np.ndarray, allowed: np.ndarray, least: np.ndarray, step: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def survivors(signatures: np.ndarray, allowed: np.ndarray, least: np.ndarray, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) among ``allowed`` that are still likely after every ``step`` MinHash values."""
     i, j = np.nonzero(allowed)
     matches = np.zeros(len(i), np.int16)
@@ -127,67 +132,95 @@ def _binary(rows: list[bytes]) -> pa.Array:
     return pa.array(rows, pa.binary())
 
 
-def similar(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6) -> DataFrame:
-    """doc_id, class_id (smallest doc_id reachable by links), n_links and kept for every row of ``docs``."""
+def _sets(column: pa.Array):
+    """Shingle sets of all texts of a batch, one after another."""
+    data, ends = utf8(column)
+    for a, b in pieces_of(ends, 1 << 18):
+        yield from shingle_sets(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
+
+
+def _key(s: np.ndarray) -> tuple[int, int, int]:
+    """Two 64-bit sums over a set, and its size: what tells sets apart."""
+    return int(s.sum(dtype=np.uint64).astype(np.int64)), int(mix(s).sum(dtype=np.uint64).astype(np.int64)), len(s)
+
+
+def _signatures(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
+
+
+def similar(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, class_id (smallest doc_id reachable by links), n_links and kept for every row of ``docs``.
+
+    ``keep`` names more columns of ``docs`` to carry. cluster numbers the texts that links connect (null: without
+    words or id); the numbers are unique in one result and differ between runs.
+    """
     session_setup(docs.sparkSession)
     least = least_matches(threshold, tolerance)
+    key = ["h1", "h2", "n"]
 
     def digests(batches):
         for batch in batches:
-            data, ends = utf8(batch.column(1))
             h1, h2, n, signs = [], [], [], []
-            named = iter(batch.column(0).is_valid().to_pylist())
-            for a, b in pieces_of(ends, 1 << 18):
-                for s in shingle_sets(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a]):
-                    h1.append(int(s.sum(dtype=np.uint64).astype(np.int64)))
-                    h2.append(int(mix(s).sum(dtype=np.uint64).astype(np.int64)))
-                    n.append(len(s) if next(named) else 0)
-                    signs.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(n, pa.int64()), _binary(signs)], ["doc_id", "h1", "h2", "n", "signature"])
-
-    rows = written(docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(digests, "doc_id long, h1 long, h2 long, n long, signature binary"), "digests")
-    key = ["h1", "h2", "n"]
-    classes = written(rows.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("id"), F.count("*").alias("times"), F.first("signature").alias("signature")), "classes")
+            for s, named in zip(_sets(batch.column(batch.num_columns - 1)), batch.column(1).is_valid().to_pylist(), strict=True):
+                for into, x in zip((h1, h2, n), _key(s), strict=True):
+                    into.append(x)
+                n[-1] *= named
+                signs.append(signature(s).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(x, pa.int64()) for x in (h1, h2, n)), _binary(signs)], [*batch.schema.names[:-1], *key, "signature"])
+
+    picked = nested(docs, list(keep), F.col("doc_id"), text_or_empty().alias("text"))
+    rows = written(picked.mapInArrow(digests, with_added(picked, "h1 long, h2 long, n long, signature binary")), "digests")
+    grouped = rows.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("id"), F.count("*").alias("times"), F.first("signature").alias("signature"))
+    classes = written(grouped.select(F.monotonically_increasing_id().alias("node"), "*"), "classes")
 
     def banded(batches):
         for batch in batches:
-            s = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(batch.num_rows, HASHES)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(band_codes(s).reshape(-1).view(np.int64))], ["id", "code"])
+            s = _signatures(batch.column(1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(band_codes(s).reshape(-1).view(np.int64))], ["node", "code"])
 
-    codes = classes.select("id", "signature").mapInArrow(banded, "id long, code long")
+    codes = classes.select("node", "signature").mapInArrow(banded, "node long, code long")
     busy = written(codes.groupBy("code").agg(F.count("*").alias("size")).where("size > 1"), "busy")
-    met = codes.join(busy, "code")
+    met = written(codes.join(busy, "code"), "met")
 
     def compare(table: pa.Table):
-        s = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(table.num_rows, HASHES)
-        i, j = survivors(s, pairs_allowed(table), least)
+        i, j = survivors(_signatures(table.column("signature")), pairs_allowed(table), least)
         linked = np.zeros((table.num_rows, table.num_rows), bool)
         linked[i, j] = True
-        a, b = forest(table.column("id").to_numpy(), linked)
+        a, b = forest(table.column("node").to_numpy(), linked)
         return a, b, np.zeros(len(a), np.int64)
 
-    ties = by_unit(in_blocks(met, "code", "id", "size", least=256).join(classes.select("id", "signature"), "id"), "code", compare)
-    clusters = written(components(ties.select("a", "b").distinct()), "clusters")
+    def middle(table: pa.Table) -> pa.Table:
+        """The sample's text that ties most others."""
+        i, j = survivors(_signatures(table.column("signature")), np.triu(np.ones((table.num_rows,) * 2, bool), 1), least)
+        best = int(np.bincount(np.r_[i, j, 0], minlength=table.num_rows).argmax())
+        return pa.table({"pivot_signature": table.column("signature").slice(best, 1), "pivot_node": table.column("node").slice(best, 1)})
+
+    def likely(table: pa.Table) -> np.ndarray:
+        same = (_signatures(table.column("signature")) == _signatures(table.column("pivot_signature"))).cumsum(axis=1)
+        steps = np.arange(STEP, HASHES + 1, STEP)
+        return (same[:, steps - 1] >= least[steps]).all(axis=1)
+
+    units, passive = dealt(met, "code", classes.select("node", "signature"), "node", middle, likely, "pivot_signature binary, pivot_node long", least=256)
+    ties = by_unit(units, "code", compare).select("a", "b").unionByName(passive.select(F.col("pivot_node").alias("a"), F.col("node").alias("b")).where("a != b"))
+    clusters = written(components(ties.distinct()), "clusters").select(F.col("id").alias("node"), "component")
 
     def sets(batches):
         for batch in batches:
-            data, ends = utf8(batch.column(1))
-            found = []
-            for a, b in pieces_of(ends, 1 << 18):
-                found += [s.tobytes() for s in shingle_sets(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _binary(found)], ["id", "shingles"])
-
-    # Of repeated ids with different texts only the class's own text counts.
-    chosen = clusters.join(classes.select("id", *key, "times", "signature"), "id")
-    texts = docs.select(F.col("doc_id").alias("id"), text_or_empty().alias("text")).join(clusters.select("id"), "id", "left_semi")
-    whole = texts.mapInArrow(sets, "id long, shingles binary").where(F.length("shingles") > 0)
+            found = list(_sets(batch.column(0)))
+            columns = list(zip(*map(_key, found), strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns), _binary([s.tobytes() for s in found])], [*key, "shingles"])
+
+    # One text of each class is needed: that of the class's id. Of other texts with that id the join leaves none.
+    chosen = clusters.join(classes.select("node", "id", *key, "times", "signature"), "node")
+    asked = written(chosen.select(F.col("id").alias("doc_id")).distinct(), "asked")
+    whole = docs.select("doc_id", text_or_empty().alias("text")).join(asked, "doc_id", "left_semi").select("text").mapInArrow(sets, "h1 long, h2 long, n long, shingles binary")
+    facts = written(chosen.select("node", *key, "times", "signature").join(whole, key).dropDuplicates(["node"]).select("node", "times", "signature", "shingles"), "sets")
     sizes = written(clusters.groupBy("component").agg(F.count("*").alias("size")), "sizes")
-    facts = written(chosen.join(whole, "id").where(F.length("shingles") == 8 * F.col("n")).dropDuplicates(["id", *key]).select("id", "component", "times", "signature", "shingles"), "sets")
+    members = written(clusters.join(sizes, "component"), "members")
 
     def verify(table: pa.Table):
-        ids, times = table.column("id").to_numpy(), table.column("times").to_numpy()
-        s = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(table.num_rows, HASHES)
-        i, j = survivors(s, pairs_allowed(table), least)
+        ids, times = table.column("node").to_numpy(), table.column("times").to_numpy()
+        i, j = survivors(_signatures(table.column("signature")), pairs_allowed(table), least)
         if len(i):
             ok = exact([np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()], i, j, threshold)
             i, j = i[ok], j[ok]
@@ -198,11 +231,39 @@ def similar(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6) ->
         some = n > 0
         return np.r_[ids[some], a], np.r_[ids[some], b], np.r_[n[some], np.zeros(len(a))]
 
-    units = in_blocks(facts.select("id", "component").join(sizes, "component"), "component", "id", "size")
-    found = written(by_unit(units.join(facts.drop("component"), "id"), "component", verify), "links")
-    counts = found.where("a = b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("linked"))
-    final = components(found.where("a < b").select("a", "b"))
-    labels = written(classes.select("id", *key, "times").join(counts, "id", "left").join(final, "id", "left"), "labels")
-    joined = rows.select("doc_id", *key).join(labels, key, "left")
-    class_id = F.coalesce("component", "id", "doc_id")
-    return joined.select("doc_id", class_id.cast("long").alias("class_id"), (F.coalesce("linked", F.lit(0)) + F.coalesce(F.col("times") - 1, F.lit(0))).cast("long").alias("n_links"), F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"))
+    def common(table: pa.Table) -> pa.Table:
+        """The runs that more than half of the sample's texts have."""
+        u, n = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]), return_counts=True)
+        return pa.table({"pivot_shingles": _binary([u[2 * n > table.num_rows].tobytes()])})
+
+    def near(table: pa.Table) -> np.ndarray:
+        """Of similarity (1 + threshold) / 2 or more to the pivot; a little is left to rounding."""
+        out, pivots = np.zeros(table.num_rows, bool), {}
+        for k, (own, other) in enumerate(zip(table.column("shingles").to_pylist(), table.column("pivot_shingles").to_pylist(), strict=True)):
+            a, b = np.frombuffer(own, np.uint64), pivots.setdefault(other, np.frombuffer(other, np.uint64))
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            out[k] = both >= (1 + threshold) / 2 * (len(a) + len(b) - both) + 1e-9
+        return out
+
+    units, passive = dealt(members, "component", facts, "node", common, near, "pivot_shingles binary")
+    weighed = passive.join(facts.select("node", "times"), "node")
+    total = written(weighed.groupBy("component").agg(F.sum("times").alias("all")), "totals")
+    sure = weighed.join(total, "component").select(F.col("node").alias("a"), F.col("node").alias("b"), (F.col("all") - F.col("times")).alias("n"))
+    tied = passive.select(F.col("first").alias("a"), F.col("node").alias("b"), F.lit(0).cast("long").alias("n")).where("a != b")
+    found = written(by_unit(units, "component", verify).unionByName(sure).unionByName(tied), "links")
+    counts = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("linked"))
+    final = written(components(found.where("a < b").select("a", "b")), "final").select(F.col("id").alias("node"), "component")
+    smallest = written(final.join(classes.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("class_id")), "smallest")
+    named = final.join(smallest, "component").select("node", "component", "class_id")
+    labels = written(classes.select("node", "id", *key, "times").join(counts, "node", "left").join(named, "node", "left"), "labels")
+    joined = rows.drop("signature").join(labels, key, "left")
+    class_id = F.coalesce("class_id", "id", "doc_id")
+    answer = joined.select(
+        "_keep",
+        "doc_id",
+        class_id.cast("long").alias("class_id"),
+        (F.coalesce("linked", F.lit(0)) + F.coalesce(F.col("times") - 1, F.lit(0))).cast("long").alias("n_links"),
+        F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"),
+        F.coalesce("component", "node").alias("cluster"),
+    )
+    return unnested(answer, list(keep), ["doc_id", "class_id", "n_links", "kept", "cluster"])

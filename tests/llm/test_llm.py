@@ -270,18 +270,56 @@ def test_hadamard_is_orthonormal():
     assert np.allclose((x * x).sum(1), (y * y).sum(1)) and np.allclose(embeddings.hadamard(y), x)
 
 
-def test_units_cover_each_pair_once(spark):
-    n = 300
-    df = spark.range(n).select(F.lit(1).cast("long").alias("key"), F.col("id"), F.lit(n).cast("long").alias("size"))
-    ids = np.arange(n)
+def test_embeddings_of_one_id(spark):
+    """Different vectors of one id are vectors of their own, and so are repeated rows."""
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    data = [(1, a), (1, b), (2, [1.0, 0.1, 0.0]), (3, [0.0, 1.0, 0.1]), (4, [1.0, 0.0, 0.1]), (3, b)]
+    x = np.array([v for _, v in data])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = u @ u.T >= 0.95
+    np.fill_diagonal(linked, False)
+    got = embeddings.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<float>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == sorted(link_facts([i for i, _ in data], linked))
+
+
+def test_embeddings_recall_against_brute_force(spark):
+    """Vectors with an id divisible by 20 against all: recall at the query's parameters, large groups and chains."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(300, 64))
+    parts = [base, base[:150] + rng.normal(size=(150, 64)) * 0.22, base[7] + rng.normal(size=(900, 64)) * 0.2, base[9] + rng.normal(size=(400, 64)) * 0.1]
+    x = np.concatenate(parts).astype(np.float32)
+    ids = rng.permutation(len(x))
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>")).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    linked = u @ u.T >= 0.95
+    np.fill_diagonal(linked, False)
+    asked = np.flatnonzero(ids % 20 == 0)
+    want = linked[asked].sum(axis=1)
+    have = np.array([got[int(i)]["n_links"] for i in ids[asked]])
+    assert (have <= want).all() and have.sum() >= 0.9 * want.sum() and want.sum() > 500
+
+
+def test_units_cover_each_pair_once(spark, docs):
+    """All pairs but those of two passive rows, in a small, a large and a wholly settled group."""
+    sizes = {1: 50, 2: 700, 3: 300}
+    quiet = lambda key, item: key == 2 and item % 1000 < 400 or key == 3
+    rows = [(k, k * 1000 + i, n) for k, n in sizes.items() for i in range(n)]
+    members = common.written(spark.createDataFrame(rows, "key long, item long, size long"), "members")
+    choose = lambda table: pa.table({"pivot_node": table.column("item").slice(0, 1)})
+    settles = lambda table: np.array([quiet(i // 1000, i) for i in table.column("item").to_pylist()])
+    units, passive = groups.dealt(members, "key", members.select("item"), "item", choose, settles, "pivot_node long")
 
     def work(table):
-        own = table.column("id").to_numpy()
+        own = table.column("item").to_numpy()
         i, j = np.nonzero(groups.pairs_allowed(table))
         return np.minimum(own[i], own[j]), np.maximum(own[i], own[j]), np.zeros(len(i))
 
-    got = groups.by_unit(groups.in_blocks(df, "key", "id", "size"), "key", work)
-    assert got.count() == n * (n - 1) // 2 == got.distinct().count() and len(ids) == n
+    got = collections.Counter((r["a"], r["b"]) for r in groups.by_unit(units, "key", work).collect())
+    want = {(a, b) for k, n in sizes.items() for a, b in itertools.combinations(range(k * 1000, k * 1000 + n), 2) if not (quiet(k, a) and quiet(k, b))}
+    assert set(got) == want and set(got.values()) == {1}
+    told = {r["item"]: r["first"] for r in passive.collect()}
+    assert told == {i: 2000 if k == 2 else 3000 for k, i, _ in rows if quiet(k, i)}
+    assert units.groupBy("key", "_p", "_q").count().agg(F.max("count")).first()[0] <= 200
 
 
 # 5 ------------------------------------------------------------------------------------------------------------------
@@ -340,6 +378,41 @@ def test_ngram_join(docs, rows, empty):
     assert ngram_join.similar(empty).count() == 0
 
 
+def test_ngram_join_of_one_id(spark, docs):
+    """Different texts of one id are texts of their own, and so are repeated rows."""
+    a, b = ("".join(f"{c}{i} " for i in range(40)) for c in "ab")
+    data = [(1, a), (1, b), (2, a + "more"), (3, b + "more"), (3, b + "more"), (4, a + "other")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["class_id"], r["n_links"], r["kept"]) for r in ngram_join.similar(df).collect())
+    assert got == [(1, 1, 2, True), (1, 1, 2, True), (2, 1, 2, False), (3, 1, 2, False), (3, 1, 2, False), (4, 1, 2, False)]
+    told = ngram_join.similar(df.withColumn("kept", F.lit("mine")).withColumn("h1", F.lit("x")), keep=("h1", "kept", "doc_id"))
+    assert set(told.columns) == {"h1", "doc_id", "class_id", "n_links", "kept", "cluster"}
+    assert {(r["doc_id"], r["cluster"]) for r in told.collect()} and len({r["cluster"] for r in told.collect()}) == 2
+
+
+def test_ngram_join_of_large_groups(spark, docs):
+    """Groups larger than a block: near copies of one text, and texts that share a passage without being similar."""
+    rng = random.Random(4)
+    base, shared = prose(rng, 200).split(), prose(rng, 60).split()
+    data = []
+    for i in range(500):
+        own = list(base)
+        for _ in range(rng.randint(0, 5)):
+            own[rng.randrange(len(own))] = f"w{rng.randrange(40)}"
+        data.append((i, " ".join(own)))
+    data += [(1000 + i, " ".join(shared + prose(rng, rng.randint(2, 40)).split())) for i in range(300)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in data)]
+    known = {g: k for k, g in enumerate(sorted(set().union(*sets)))}
+    has = np.zeros((len(sets), len(known)), np.float32)
+    for k, s in enumerate(sets):
+        has[k, [known[g] for g in s]] = 1
+    both, size = (has @ has.T).astype(int), has.sum(axis=1).astype(int)
+    linked = 5 * both >= 4 * (size[:, None] + size[None, :] - both)
+    np.fill_diagonal(linked, False)
+    got = ngram_join.similar(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_links"], r["class_id"]) for r in got) == sorted(link_facts([i for i, _ in data], linked))
+
+
 def test_chunks_of_few_words():
     """Texts of 0 to 5 words alone and before one that fills a chunk of its own."""
     long = "word " * 60_000
