@@ -21,27 +21,47 @@ def _whole(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps; it learns from the votes on all of ``docs``."""
+    """Documents that the quality classifier keeps; it learns from the votes on all of ``docs``.
+
+    Null and empty texts, and texts without words, go; a score of exactly the threshold stays. Repeated rows have one
+    score and stay or go together. Very long texts are read whole. Empty table: none. All columns pass, whatever
+    their names.
+    """
     model = quality.fit(docs)
     return quality.score(_whole(docs), ["_document"], model).where("kept").select("_document.*")
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id; of repeated rows, one."""
-    found = written(ngram_join.similar(docs.select("doc_id", "text")), "similar")
+    """One document of each cluster of near duplicates: the one with the smallest id, then text hash.
+
+    Null and empty texts, texts without words and rows without id are in no cluster and stay. Of repeated rows of one
+    id and text one stays, the first by a hash of all columns. Different texts of one id are told apart. Empty table:
+    none. All columns pass, whatever their names.
+    """
+    hashes = [F.xxhash64(F.lit(k), docs["text"]) for k in (1, 2)]
+    found = written(ngram_join.similar(docs.select("doc_id", "text", *[h.alias(f"t{k}") for k, h in enumerate(hashes)]), keep=("t0", "t1")), "similar")
+    row = F.struct("doc_id", "t0", "t1")
+    firsts = written(found.where("cluster is not null").groupBy("cluster").agg(F.count("*").alias("n"), F.min(row).alias("first")).where("n > 1"), "firsts")
+    placed = found.join(firsts, "cluster").select("doc_id", "t0", "t1", (row == F.col("first")).alias("is_first"))
     # Written, so that the planner knows their sizes: texts move once at most, and not at all to meet a small table.
-    dropped = written(found.where("not kept").select("doc_id").distinct(), "dropped")
-    repeated = written(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeated")
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    dropped = written(placed.where("not is_first").select("doc_id", "t0", "t1").distinct(), "dropped")
+    repeated = written(placed.where("is_first").groupBy("doc_id", "t0", "t1").count().where("count > 1").drop("count"), "repeated")
+    same = lambda other: (docs["doc_id"] == other["doc_id"]) & (hashes[0] == other["t0"]) & (hashes[1] == other["t1"])
+    kept = docs.join(dropped, same(dropped), "left_anti")
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    again = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return once.unionByName(again)
+    again = docs.join(repeated, same(repeated), "left_semi").select(F.struct(*docs.columns).alias("row"), "doc_id", *[h.alias(f"_{k}") for k, h in enumerate(hashes)])
+    one = again.groupBy("doc_id", "_0", "_1").agg(F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row")).select("row.*")
+    return kept.join(repeated, same(repeated), "left_anti").unionByName(one)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with marks in place of its secrets; n_chars follows the text."""
+    """Every document, with marks in place of its secrets; n_chars follows the text where there is one.
+
+    Null and empty texts have no secrets and pass as they are, as do all rows without any. Of secrets that overlap
+    one mark, the first one's, stands for all. Repeated rows stay repeated. Very long texts are read whole. Empty
+    table: none. Other columns pass, whatever their names.
+    """
     found = secrets.scan(_whole(docs), ["_document"], public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, redacted=True)
     text = F.when(F.col("spans") != "", F.col("redacted")).otherwise(F.col("_document.text"))
     new = {"text": text, "n_chars": F.when(F.col("spans") != "", F.char_length("redacted").cast("long")).otherwise(F.col("_document.n_chars"))}
@@ -49,16 +69,25 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents, as often as the mix takes them: the sources' shares of 150 % of all words."""
+    """Whole documents, as often as the mix takes them: the sources' shares of 150 % of all words.
+
+    Null, empty and blank texts have no words, so none are taken. A null source is one of its own, last in order.
+    Documents that tie in the seeded order are ordered by id and size; repeated rows are documents of their own. Very
+    long texts count whole. Empty table: none. All columns pass, whatever their names.
+    """
     mixed = mixing.mix(docs.select(F.struct(*docs.columns).alias("_document"), "doc_id", "text", "source"), whole=True)
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
     return mixed.select("_document", F.explode(F.array_repeat(F.lit(0), times))).select("_document.*")
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens and ids with the end's, one row for each repetition of a document."""
-    coded = pieces.encode(docs.select("doc_id", "source", "text"), ["doc_id", "source"], public_tokenizers.path("piece_bpe_32k.model"), spans=False)
-    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """doc_id, source, n_tokens and ids with the end's, starts and ends: each id's bytes in the document's text.
+
+    One row for each row. Null and empty texts: the end's id alone. Repeated rows give repeated results. Very long
+    texts are encoded whole. Empty table: none. Other columns go.
+    """
+    coded = pieces.encode(docs.select("doc_id", "source", "text"), ["doc_id", "source"], public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "starts", "ends")
 
 
 STAGES = [
@@ -68,7 +97,7 @@ STAGES = [
     ("mixing", mix_sources),
     ("pieces", to_pieces),
 ]
-#: Trained models, hashing and a tokenizer are not for SQL; tests compare the stages with brute force.
+#: Trained models, hashing and a tokenizer are not for SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
