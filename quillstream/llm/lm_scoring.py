@@ -14,10 +14,13 @@ are looked up by a join, so each has its exact probability. A decision whose con
 its longest suffix that was. Likewise the ``hot_words`` most frequent words are broadcast for the word baseline, all
 others are looked up by a join on the word's 64-bit hash.
 
-What is scored is the text's words in lower case with single spaces, as in the baseline, and its end.
+What is scored is the text as it is, every byte of its UTF-8 form, and its end: 0xFF, which is no byte of UTF-8 and
+also stands before each text. Lower case and words belong to the baseline alone.
 
 Cases. Null text: empty, so its score is that of the end alone. Empty training set: every bit has probability 1/2.
-Repeated rows are scored each; other columns are ignored, whatever their names.
+Empty ``docs``: no rows. Texts are read whole, however long; n-grams and words that tie in frequency are broadcast or
+joined together, which changes no score. Repeated rows are scored each. Columns that are not kept are ignored; a kept
+one of an added one's name gives way to it.
 """
 
 from __future__ import annotations
@@ -29,19 +32,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, drop_written, mix, session_setup, text_or_empty, utf8, with_added, words, written
+from .common import LOWER, drop_written, mix, nested, session_setup, text_or_empty, unnested, utf8, with_added, words, written
 
+#: The byte before and after a text: none of UTF-8.
+EDGE = 0xFF
 END_OF_TEXT = mix(np.array([0x5EED0E0D], dtype=np.uint64))[0]
 
 
 def _keys(data: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The last ``depth + 1`` bytes at every predicted position, and each text's first position.
 
-    Before a text come ``depth`` zero bytes; after it one zero byte is predicted, its end.
+    Before a text come ``depth`` edges; after it one edge is predicted, its end.
     """
     n = len(ends) - 1
     sizes = np.diff(ends)
-    room = np.zeros(len(data) + depth * (n + 1), dtype=np.uint8)
+    room = np.full(len(data) + depth * (n + 1), EDGE, dtype=np.uint8)
     begin = ends[:-1] + depth * np.arange(1, n + 1)
     at = np.arange(len(data)) + np.repeat(begin - ends[:-1], sizes)
     room[at] = data
@@ -57,22 +62,6 @@ def _keys(data: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, n
     return key[predicted], ends[:-1] + np.arange(n)
 
 
-def plain(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words of each text in lower case (A-Z only) with one space between them: what the word baseline sees."""
-    if not len(data):
-        return data, ends
-    data = LOWER[data]
-    space = SPACE[data]
-    so_far = np.r_[0, np.cumsum(~space)]
-    first = space.copy()
-    first[1:] &= ~space[:-1]
-    sizes = np.diff(ends)
-    inner = (so_far[1:] > np.repeat(so_far[ends[:-1]], sizes)) & (so_far[1:] < np.repeat(so_far[ends[1:]], sizes))
-    keep = ~space | (first & inner)
-    data[space] = 0x20
-    return data[keep], np.r_[0, np.cumsum(keep)][ends]
-
-
 def _lgamma(x: np.ndarray) -> np.ndarray:
     shift = np.ones_like(x)
     y = x.copy()
@@ -221,7 +210,7 @@ def gram_counts(docs: DataFrame, depth: int) -> DataFrame:
 
     def count(batches):
         for batch in batches:
-            keys, _ = _keys(*plain(*utf8(batch.column(0))), depth)
+            keys, _ = _keys(*utf8(batch.column(0)), depth)
             u, n = np.unique(keys, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], ["gram", "n"])
 
@@ -323,8 +312,9 @@ def score(docs: DataFrame, training: DataFrame, keep: list[str], depth: int = 5,
     """``docs`` with the model's log10 probability of each text and the word baseline, both learned from ``training``.
 
     ``keep`` names columns of ``docs`` to carry. ``capacity`` and ``hot_words``: how many n-grams and words are
-    broadcast at most; all others are joined, so neither changes the result. Adds n_tokens, n_known, train_tokens, base_score, score, n_bytes
-    and bits_per_byte (code length per scored byte, the end included; null where there are none).
+    broadcast at most; all others are joined, so neither changes the result. Adds n_tokens, n_known, train_tokens,
+    base_score, score, n_bytes and bits_per_byte (code length per byte of the text, its end's included; null where
+    there are none).
     """
     spark = docs.sparkSession
     session_setup(spark)
@@ -347,8 +337,7 @@ def score(docs: DataFrame, training: DataFrame, keep: list[str], depth: int = 5,
         for batch in (whole.slice(at, 200) for whole in batches for at in range(0, whole.num_rows, 200)):
             data, ends = utf8(batch.column(batch.num_columns - 1))
             n = len(ends) - 1
-            told, told_ends = plain(data, ends)
-            keys, first = _keys(told, told_ends, depth)
+            keys, first = _keys(data, ends, depth)
             by_gram = model.log10_probability(keys)
             unlisted = np.isnan(by_gram)
             by_model = np.add.reduceat(np.where(unlisted, 0.0, by_gram), first)
@@ -363,11 +352,11 @@ def score(docs: DataFrame, training: DataFrame, keep: list[str], depth: int = 5,
             cold = tokens[~is_hot]
             cold_before = np.r_[0, np.cumsum(~is_hot)][np.r_[first, len(tokens)]]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(at - first + 1), pa.array(np.add.reduceat(is_hot.astype(np.int64), first)), pa.array(np.add.reduceat(value, first)), pa.array(by_model), pa.array(np.diff(told_ends)), pa.ListArray.from_arrays(pa.array(cold_before.astype(np.int32)), pa.array(cold.view(np.int64))), pa.ListArray.from_arrays(pa.array(grams_before.astype(np.int32)), pa.array(keys[unlisted].view(np.int64)))],
+                [*batch.columns[:-1], pa.array(at - first + 1), pa.array(np.add.reduceat(is_hot.astype(np.int64), first)), pa.array(np.add.reduceat(value, first)), pa.array(by_model), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(cold_before.astype(np.int32)), pa.array(cold.view(np.int64))), pa.ListArray.from_arrays(pa.array(grams_before.astype(np.int32)), pa.array(keys[unlisted].view(np.int64)))],
                 [*batch.schema.names[:-1], "n_tokens", "n_hot", "log_hot", "score_hot", "n_bytes", "cold", "cold_grams"],
             )
 
-    picked = docs.select(*keep, F.monotonically_increasing_id().alias("_row"), text_or_empty().alias("_text"))
+    picked = nested(docs, keep, F.monotonically_increasing_id().alias("_row"), text_or_empty().alias("_text"))
     rated = written(picked.mapInArrow(rate, with_added(picked, "n_tokens long, n_hot long, log_hot double, score_hot double, n_bytes long, cold array<long>, cold_grams array<long>")), "rated")
     each = rated.select("_row", F.explode("cold").alias("word"))
     none = lambda kind: F.lit(None).cast(kind)
@@ -377,8 +366,8 @@ def score(docs: DataFrame, training: DataFrame, keep: list[str], depth: int = 5,
     score = F.col("score_hot") + F.coalesce("score_rare", F.lit(0.0))
     unit = math.log10(total + distinct + 1)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return rated.drop("cold", "cold_grams").join(rare, "_row", "left").select(
-        *keep,
+    out = rated.drop("cold", "cold_grams").join(rare, "_row", "left").select(
+        "_keep",
         "n_tokens",
         (F.col("n_hot") + zero("n_rare")).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
@@ -387,3 +376,4 @@ def score(docs: DataFrame, training: DataFrame, keep: list[str], depth: int = 5,
         "n_bytes",
         F.when(F.col("n_bytes") > 0, -score / F.lit(math.log10(2)) / F.col("n_bytes")).alias("bits_per_byte"),
     )
+    return unnested(out, keep, ["n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"])
