@@ -9,8 +9,13 @@ from pathlib import Path
 VARIABLE = "QUILLSTREAM_MODELS"
 
 
+def folder() -> Path:
+    """The user's folder of settings and calibration records."""
+    return Path(os.environ.get("XDG_CONFIG_HOME") or Path.home() / ".config") / "quillstream"
+
+
 def _file() -> Path:
-    return Path(os.environ.get("XDG_CONFIG_HOME") or Path.home() / ".config") / "quillstream" / "config.json"
+    return folder() / "config.json"
 
 
 def remember_models_dir(folder: str) -> None:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .calibrate import upper_median
+from . import ranks
 
 LEAST_SIMILAR = 0.80
 
@@ -46,9 +46,16 @@ def pair_up(scanned: DataFrame, clean: DataFrame) -> DataFrame:
     return scanned.groupBy("source").cogroup(clean.groupBy("source")).applyInPandas(match, "source string, scan_idx int, ocr string, clean string, similarity double")
 
 
+def error_rates(pairs: DataFrame) -> DataFrame:
+    """Adds error: the share of characters in which a pair differs."""
+    return pairs.withColumn("error", 1 - F.col("similarity"))
+
+
 def error_summary(pairs: DataFrame) -> DataFrame:
-    """n pairs and the upper median of the character error rate."""
-    return pairs.agg(F.count("*").alias("n"), upper_median(1 - F.col("similarity")).alias("median_error"))
+    """n pairs, and the upper median and worst of the character error rates; one row."""
+    rates = error_rates(pairs)
+    middle = F.broadcast(ranks.upper_middle(rates, "error").select(F.col("value").alias("median_error")))
+    return rates.agg(F.count("*").alias("n"), F.max("error").alias("worst_error")).crossJoin(middle).select("n", "median_error", "worst_error")
 
 
 def bias_summary(scores: DataFrame) -> DataFrame:

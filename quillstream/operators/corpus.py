@@ -98,7 +98,7 @@ def pick(paras: DataFrame, per_essay: int = 3) -> DataFrame:
     best = Window.partitionBy("essay", "slot").orderBy("damage", F.desc("words"), "para_idx")
     first = slots.withColumn("_r", F.row_number().over(best)).where("_r = 1")
     once = first.withColumn("_o", F.row_number().over(Window.partitionBy("essay", "para_idx").orderBy("slot"))).where("_o = 1")
-    return once.select("essay", "slot", F.get(F.array(*[F.lit(p) for p in POSITIONS]), F.col("slot")).alias("position"), "para_idx", "text")
+    return once.select("essay", "slot", F.get(F.array(*[F.lit(p) for p in POSITIONS]), F.least(F.floor(F.col("slot") * len(POSITIONS) / per_essay), F.lit(len(POSITIONS) - 1)).cast("int")).alias("position"), "para_idx", "text")
 
 
 def changed_by_strip(samples: DataFrame) -> DataFrame:

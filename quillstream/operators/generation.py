@@ -6,8 +6,11 @@ sleep given to it, so that it is tested without a network.
 
 from __future__ import annotations
 
+import json
 import random
 import threading
+import urllib.error
+import urllib.request
 from collections import Counter
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
@@ -21,7 +24,7 @@ from ..functions import text as T
 # Fixed values.
 PLAIN_PROMPT = "Write a single paragraph of about {words} words from an IB Extended Essay on the following topic:\n\n{topic}\n\nReturn only the paragraph itself, with no title, heading or commentary."
 PLACED_PROMPT = "Write a single paragraph of about {words} words from the {position} section of an IB Extended Essay on the following topic:\n\n{topic}\n\nReturn only the paragraph itself, with no title, heading or commentary."
-TEMPERATURE, BACKOFF_S, BAD_RESPONSES, SWEEPS = 1.0, 20, 3, 3
+TEMPERATURE, MAX_TOKENS, BACKOFF_S, BAD_RETRIES, SWEEPS = 1.0, 1024, 20, 3, 3
 
 
 def prompt(topic: Column, words: int, position: Column) -> Column:
@@ -120,7 +123,7 @@ def generate_one(model: str, text: str, pool: Pool, send: Callable[[str, str], s
     """(answer, model that gave it) or None. ``accept`` gives the cleaned answer, or None if it is not good.
 
     Busy models are swapped for others, and waited for only when all are busy; a model that times out twice, is not
-    there or keeps answering badly is dropped or passed over; refused keys end the run.
+    there or answers badly once and three times more is dropped or passed over; refused keys end the run.
     """
     waits = 0
     for sweep in range(SWEEPS):
@@ -134,7 +137,7 @@ def generate_one(model: str, text: str, pool: Pool, send: Callable[[str, str], s
             try:
                 answer = accept(send(current, text))
             except Failure as e:
-                if e.status in (401, 403) and "account" not in e.detail.lower():
+                if e.status in (401, 403) and "account" not in e.detail:
                     raise
                 if e.status == 0 and not slow:
                     slow = True
@@ -159,27 +162,92 @@ def generate_one(model: str, text: str, pool: Pool, send: Callable[[str, str], s
                 pool.record(current)
                 return answer, current
             bad += 1
-            if bad >= BAD_RESPONSES:
+            if bad > BAD_RETRIES:
                 tried.add(current)
                 current, bad, slow = pool.another(tried), 0, False
     return None
 
 
-def generate(topics: list[dict], models: list[str], seed: int, words: int, send: Callable[[str, str], str], accept: Callable[[str], str | None], sleep: Callable[[float], None], workers: int = 1) -> list[dict]:
-    """Results in the topics' order; topics without an answer are left out."""
+def sample_id(prefix: str, source: str) -> str:
+    """``functions.text.sample_id_for`` on one id."""
+    digits = "".join(c for c in source if c.isdecimal())
+    return prefix + (digits + (source[-1] if source[-1].isalpha() else "") if digits else source)
+
+
+def generate(topics: list[dict], models: list[str], seed: int | None, words: int, send: Callable[[str, str], str], accept: Callable[[str], str | None], sleep: Callable[[float], None], workers: int = 1, prefix: str = "a", finish: Callable[[str], str] = str.strip) -> list[dict]:
+    """Manifest rows, with text, in the topics' order; topics without an answer are left out.
+
+    A sample's id is its topic's under ``prefix``; matches names the topic's own. ``finish`` cuts an accepted answer.
+    """
     pool = Pool(list(dict.fromkeys(models)))
     assigned = seeded_pool(pool.models, len(topics), seed)
 
     def one(job):
         topic, model = job
-        template = PLACED_PROMPT if topic.get("position") else PLAIN_PROMPT
-        found = generate_one(model, template.format(words=words, topic=topic["topic"], position=topic.get("position")), pool, send, accept, sleep)
-        return None if found is None else {"id": topic["id"], "text": found[0], "generated_by": found[1], "vendor": vendor(found[1]), "seed": seed}
+        position = topic.get("position")
+        template = PLACED_PROMPT if position else PLAIN_PROMPT
+        asked = template.replace("{words}", str(words)).replace("{position}", position or "").replace("{topic}", topic["topic"])
+        found = generate_one(model, asked, pool, send, accept, sleep)
+        if found is None:
+            return None
+        text = finish(found[0])
+        return {
+            "id": sample_id(prefix, topic["id"]),
+            "matches": topic["id"],
+            "subject": topic.get("subject"),
+            "topic": topic["topic"],
+            "position": position,
+            "generated_by": found[1],
+            "vendor": vendor(found[1]),
+            "temperature": TEMPERATURE,
+            "prompt_template": template,
+            "words_requested": words,
+            "words_kept": len(text.split()),
+            "seed": seed,
+            "text": text,
+        }
 
     with ThreadPoolExecutor(max(1, workers)) as threads:
         return [r for r in threads.map(one, zip(topics, assigned, strict=False)) if r is not None]
 
 
+def request(model: str, prompt: str) -> dict:
+    """The body of a chat completion: the prompt alone, no system message."""
+    return {"model": model, "messages": [{"role": "user", "content": prompt}], "temperature": TEMPERATURE, "max_tokens": MAX_TOKENS}
+
+
+def http_transport(url: str, key: str, timeout: float = 180.0) -> Callable[[str, str], str]:
+    """A ``send`` for an endpoint of chat completions. Answers are parsed, faults become ``Failure``."""
+
+    def send(model: str, prompt: str) -> str:
+        asked = urllib.request.Request(url, json.dumps(request(model, prompt)).encode(), {"Authorization": f"Bearer {key}", "Content-Type": "application/json"})
+        try:
+            with urllib.request.urlopen(asked, timeout=timeout) as answer:
+                choices = json.load(answer).get("choices") or [{}]
+                return (choices[0].get("message") or {}).get("content") or ""
+        except urllib.error.HTTPError as e:
+            raise Failure(e.code, e.read().decode("utf-8", "replace")[:200]) from e
+        except TimeoutError as e:
+            raise Failure(0, "timeout") from e
+        except urllib.error.URLError as e:
+            if isinstance(e.reason, TimeoutError):
+                raise Failure(0, "timeout") from e
+            raise
+
+    return send
+
+
+def catalog_models(response: str) -> list[str]:
+    """Model ids of a catalog's JSON, ``{"data": [{"id": ...}, ...]}``."""
+    return [m["id"] for m in json.loads(response).get("data", []) if m.get("id")]
+
+
+def unmatched(human: DataFrame, ai: DataFrame) -> DataFrame:
+    """(id, side): human samples that no AI sample matches, and AI samples that match none. Both keyed by id."""
+    h, a = human.select(F.col("id").alias("key")), ai.select("id", F.col("matches").alias("key"))
+    return h.join(a, "key", "left_anti").select(F.col("key").alias("id"), F.lit("human").alias("side")).unionByName(a.join(h, "key", "left_anti").select("id", F.lit("ai").alias("side")))
+
+
 def completion_text(response: Column) -> Column:
     """The answer in a chat completion's JSON; absent or null content is the empty string."""
     return F.coalesce(F.get_json_object(response, "$.choices[0].message.content"), F.lit(""))

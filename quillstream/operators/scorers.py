@@ -45,17 +45,34 @@ class PairScorer:
         self.context = self.bigram.groupBy("w").agg(F.sum("n_wv").alias("n_w"))
         self.size = self.unigram.agg(F.coalesce(F.sum("n_v"), F.lit(0)).alias("total"), F.count("*").alias("vocabulary"))
 
-    def score(self, texts: DataFrame) -> DataFrame:
-        # Pre-aggregated, so that a frequent word costs one row a text.
-        seen = _bigrams(texts, ["id"]).groupBy("id", "w", "v").agg(F.count("*").alias("k"))
-        met = seen.join(self.bigram, ["w", "v"], "left").join(self.context, "w", "left").join(self.unigram, "v", "left").crossJoin(F.broadcast(self.size))
+    def losses(self, pairs: DataFrame) -> DataFrame:
+        """(w, v, a, b): both models' loss of each of the distinct ``pairs`` (w, v). Joins of vocabulary size."""
+        met = pairs.join(self.bigram, ["w", "v"], "left").join(self.context, "w", "left").join(self.unigram, "v", "left").crossJoin(F.broadcast(self.size))
         zero = lambda c: F.coalesce(F.col(c), F.lit(0))
         q = (zero("n_v") + 1) / (F.col("total") + F.col("vocabulary") + 1)
         p = (zero("n_wv") + q) / (zero("n_w") + 1)
-        out = met.groupBy("id").agg(F.sum(-F.log(p) * F.col("k")).alias("a"), F.sum(-F.log(q) * F.col("k")).alias("b"))
+        return met.select("w", "v", (-F.log(p)).alias("a"), (-F.log(q)).alias("b"))
+
+    def score(self, texts: DataFrame) -> DataFrame:
+        # Pre-aggregated, so that a frequent word costs one row a text; what grows with the texts is joined once.
+        seen = _bigrams(texts, ["id"]).groupBy("id", "w", "v").agg(F.count("*").alias("k"))
+        told = self.losses(_bigrams(texts, []).distinct())
+        out = seen.join(told, ["w", "v"]).groupBy("id").agg(F.sum(F.col("a") * F.col("k")).alias("a"), F.sum(F.col("b") * F.col("k")).alias("b"))
         return out.select("id", (F.col("a") / F.col("b")).alias("score"))
 
 
+class Flipped:
+    """A scorer of which low is bad turned to 0..1 with high bad: how far below 1.3 times the threshold a score is."""
+
+    direction = 1
+
+    def __init__(self, scorer: Scorer, threshold: float = 0.9):
+        self.scorer, self.threshold = scorer, threshold
+
+    def score(self, texts: DataFrame) -> DataFrame:
+        return self.scorer.score(texts).select("id", T.aiish(F.col("score"), F.lit(self.threshold)).alias("score"))
+
+
 class LinearHead:
     """Sigmoid of a dot product: the head of a classifier over pooled embeddings (id, embedding)."""
 
@@ -124,6 +141,45 @@ class FunctionScorer:
         return texts.select("id", "text").mapInPandas(work, f"id {kind}, score double")
 
 
+class PooledHead:
+    """Texts to (id, score): hidden states from ``encode``, masked mean pooling, a linear head and a sigmoid.
+
+    ``encode`` is called once a worker and gives a function from texts to (hidden states, mask), arrays of shape
+    (texts, places, width) and (texts, places), cut to ``max_places``. Pooling and head are this class's own.
+    """
+
+    direction = 1
+
+    def __init__(self, encode, weights: list[float], bias: float = 0.0, max_places: int = 768):
+        self.encode, self.weights, self.bias, self.max_places = encode, weights, bias, max_places
+
+    def score(self, texts: DataFrame) -> DataFrame:
+        encode, weights, bias, most = self.encode, self.weights, self.bias, self.max_places
+
+        def load():
+            import numpy as np
+
+            run = encode()
+
+            def scores(batch: list[str]) -> list[float]:
+                if not batch:
+                    return []
+                hidden, mask = (np.asarray(x, float)[:, :most] for x in run(batch))
+                pooled_ = (hidden * mask[:, :, None]).sum(axis=1) / np.maximum(mask.sum(axis=1), 1e-9)[:, None]
+                return (1 / (1 + np.exp(-(pooled_ @ np.asarray(weights, float) + bias)))).tolist()
+
+            return scores
+
+        return FunctionScorer(load).score(texts)
+
+
+#: (observer, performer) pairs of causal models by the name a calibration record is kept under. Fixed values.
+MODEL_PAIRS = {
+    "small": ("Qwen/Qwen2.5-0.5B", "Qwen/Qwen2.5-0.5B-Instruct"),
+    "big": ("Qwen/Qwen2.5-1.5B", "Qwen/Qwen2.5-1.5B-Instruct"),
+}
+
+
 def transformer(path: str) -> FunctionScorer:
     """A sequence classifier from local files; needs torch and transformers, and says so where they are missing."""
 

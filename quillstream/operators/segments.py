@@ -12,39 +12,76 @@ RED, AMBER = 0.5, 0.35
 CLEAN_, AMBER_, RED_ = 0, 1, 2
 
 
+def _prose(text: Column, sep: str, min_words: int) -> Column:
+    """Prose paragraphs of a text, in order."""
+    return F.filter(F.transform(F.split(text, f"\\Q{sep}\\E", -1), T.strip), lambda p: T.is_prose(p, min_words))
+
+
 def paragraphs(docs: DataFrame, sep: str = "\n\n", min_words: int = T.MIN_PROSE_WORDS) -> DataFrame:
-    """(doc_id, para_idx, text): prose paragraphs of ``docs`` (doc_id, text), numbered among those kept."""
-    each = docs.select("doc_id", F.posexplode(F.split("text", f"\\Q{sep}\\E", -1)).alias("pos", "raw")).select("doc_id", "pos", T.strip(F.col("raw")).alias("text")).where(T.is_prose(F.col("text"), min_words))
-    return each.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1).alias("para_idx"), "text")
+    """(doc_id, para_idx, text): prose paragraphs of ``docs`` (doc_id, text), numbered among those kept. No shuffle."""
+    return docs.select("doc_id", F.posexplode(_prose(F.col("text"), sep, min_words)).alias("para_idx", "text"))
+
+
+def _sentence_array(text: Column, sep: str, min_words: int) -> Column:
+    return F.flatten(F.transform(_prose(text, sep, min_words), lambda p, i: F.transform(T.sentences(p), lambda s: F.struct(i.alias("para_idx"), s.alias("sentence")))))
+
+
+def sentences_of(docs: DataFrame, sep: str = "\n\n", min_words: int = T.MIN_PROSE_WORDS) -> DataFrame:
+    """(doc_id, sent_idx, n_sents, para_idx, sentence) of ``docs`` (doc_id, text; one row a document). No shuffle."""
+    cut = docs.select("doc_id", _sentence_array(F.col("text"), sep, min_words).alias("_s"))
+    counted = cut.select("doc_id", "_s", F.size("_s").cast("long").alias("n_sents"))
+    each = counted.select("doc_id", "n_sents", F.posexplode("_s").alias("sent_idx", "_x"))
+    return each.select("doc_id", "sent_idx", "n_sents", "_x.para_idx", "_x.sentence")
 
 
 def document_sentences(paras: DataFrame) -> DataFrame:
-    """(doc_id, sent_idx, n_sents, para_idx, sentence), numbered over the document."""
+    """(doc_id, sent_idx, n_sents, para_idx, sentence) of a table of paragraphs, numbered over the document."""
     each = paras.select("doc_id", "para_idx", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
     doc = Window.partitionBy("doc_id")
     return each.select("doc_id", (F.row_number().over(doc.orderBy("para_idx", "pos")) - 1).alias("sent_idx"), F.count("*").over(doc).alias("n_sents"), "para_idx", "sentence")
 
 
-def membership(sents: DataFrame) -> DataFrame:
-    """Each sentence once for each window it is in: adds win_idx. In closed form, without a join."""
-    i, n = F.col("sent_idx"), F.col("n_sents")
-    last = F.when(n <= WIDTH, 0).otherwise(F.ceil((n - WIDTH) / STRIDE)).cast("int")
-    low = F.greatest(F.lit(0), F.ceil((i - (WIDTH - 1)) / STRIDE)).cast("int")
-    high = F.least(F.floor(i / STRIDE), last).cast("int")
-    return sents.select("*", F.explode(F.sequence(low, high)).alias("win_idx"))
+def _last_window(n: Column) -> Column:
+    return F.when(n <= WIDTH, 0).otherwise(F.ceil((n - WIDTH) / STRIDE)).cast("int")
 
 
 def windows(sents: DataFrame) -> DataFrame:
-    """(doc_id, win_idx, start, end, chunk): half-open ranges and their sentences joined by a space."""
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sent_idx", "sentence"))), lambda x: x["sentence"]), " ")
-    return membership(sents).groupBy("doc_id", "win_idx").agg(F.min("sent_idx").alias("start"), (F.max("sent_idx") + 1).alias("end"), text.alias("chunk"))
+    """(doc_id, win_idx, start, end, chunk): half-open ranges and their sentences joined by a space.
+
+    Of a table of sentences, in the one exchange by document that numbered them.
+    """
+    ahead = Window.partitionBy("doc_id").orderBy("sent_idx").rowsBetween(0, WIDTH - 1)
+    chunk = F.array_join(F.collect_list("sentence").over(ahead), " ")
+    start, n = F.col("sent_idx"), F.col("n_sents")
+    each = sents.select("doc_id", "n_sents", "sent_idx", chunk.alias("chunk")).where((start % STRIDE == 0) & (start / STRIDE <= _last_window(n)))
+    return each.select("doc_id", (start / STRIDE).cast("int").alias("win_idx"), start.alias("start"), F.least(start + WIDTH, n).cast("int").alias("end"), "chunk")
+
+
+def windows_of(docs: DataFrame, sep: str = "\n\n", min_words: int = T.MIN_PROSE_WORDS) -> DataFrame:
+    """(doc_id, win_idx, start, end, chunk) of ``docs`` (doc_id, text; one row a document). No shuffle."""
+    cut = docs.select("doc_id", F.transform(_sentence_array(F.col("text"), sep, min_words), lambda x: x["sentence"]).alias("_s")).where(F.size("_s") > 0)
+    n = F.size("_s")
+    one = lambda w: F.struct(w.alias("win_idx"), (w * STRIDE).alias("start"), F.least(w * STRIDE + WIDTH, n).alias("end"), F.array_join(F.slice("_s", w * STRIDE + 1, F.lit(WIDTH)), " ").alias("chunk"))
+    return cut.select("doc_id", F.inline(F.transform(F.sequence(F.lit(0), _last_window(n)), one)))
 
 
 def sentence_scores(sents: DataFrame, window_scores: DataFrame) -> DataFrame:
-    """Adds score: the largest of the windows that cover the sentence, 0 at least."""
-    met = membership(sents).join(window_scores.select("doc_id", "win_idx", F.col("score").alias("_score")), ["doc_id", "win_idx"], "left")
-    keep = [c for c in sents.columns if c not in ("doc_id", "sent_idx")]
-    return met.groupBy("doc_id", "sent_idx").agg(*[F.first(c).alias(c) for c in keep], F.greatest(F.lit(0.0), F.coalesce(F.max("_score"), F.lit(0.0))).alias("score"))
+    """Adds score: the largest of the windows that cover the sentence, 0 at least.
+
+    Scores go to the sentences by number; texts move once, to meet them.
+    """
+    first = F.col("win_idx") * STRIDE
+    covered = window_scores.select("doc_id", F.explode(F.sequence(first, first + WIDTH - 1)).alias("sent_idx"), "score").groupBy("doc_id", "sent_idx").agg(F.max("score").alias("_score"))
+    met = sents.join(covered, ["doc_id", "sent_idx"], "left")
+    return met.select("doc_id", "sent_idx", *[c for c in sents.columns if c not in ("doc_id", "sent_idx", "score")], F.greatest(F.lit(0.0), F.coalesce("_score", F.lit(0.0))).alias("score"))
+
+
+def summary(scores: DataFrame, flagged: Column) -> DataFrame:
+    """(doc_id, n, mean, flagged): how many paragraphs were scored, their mean, and how many are ``flagged``.
+
+    Paragraphs that were not scored (null) count for nothing.
+    """
+    return scores.where("score is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.count_if(flagged).alias("flagged"))
 
 
 def severity(score: Column, red: float = RED, amber: float = AMBER) -> Column:

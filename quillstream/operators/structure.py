@@ -5,7 +5,7 @@ One exchange by document serves all windows here.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -46,26 +46,36 @@ def own_words(walked: DataFrame) -> DataFrame:
     return walked.groupBy("doc_id", "section_idx").agg(F.first("level").alias("level"), F.first("title").alias("title"), n.cast("long").alias("own_words"))
 
 
-def rolled_up(sections: DataFrame) -> DataFrame:
-    """Adds words: own and all deeper sections' until one of the same level or above. Sections without words go.
+def _rolled(sections: Column) -> Column:
+    """Sections of a document, in order, with words: own and all deeper ones' until one of the same level or above.
 
-    The end of a section is the next one of its level or above: found by folding the later levels, not by a join.
+    One fold from the last section on: for each level the words since the last section of a lower one, which is what
+    a section above them adds to its own.
     """
-    later = Window.partitionBy("doc_id").orderBy("section_idx").rowsBetween(1, Window.unboundedFollowing)
-    after = F.collect_list(F.struct("level", "own_words")).over(later)
-    within = "aggregate(_after, struct(0L as n, true as open), (a, s) -> struct(a.n + if(a.open and s.level > level, s.own_words, 0L) as n, a.open and s.level > level as open), a -> a.n)"
-    return sections.withColumn("_after", after).withColumn("words", F.col("own_words") + F.expr(within)).drop("_after").where("words > 0")
+    empty = "cast(array() as array<struct<level:int,n:bigint>>)"
+    step = """(a, s) -> named_struct(
+        'open', concat(filter(a.open, e -> e.level < s.level), array(named_struct('level', s.level, 'n',
+            s.own_words + aggregate(filter(a.open, e -> e.level >= s.level), 0L, (x, e) -> x + e.n)))),
+        'words', concat(array(s.own_words + aggregate(filter(a.open, e -> e.level > s.level), 0L, (x, e) -> x + e.n)), a.words))"""
+    fold = F.expr(f"aggregate(reverse(_sections), named_struct('open', {empty}, 'words', cast(array() as array<bigint>)), {step}, a -> a.words)")
+    return F.zip_with(sections, fold, lambda s, n: F.struct(s["section_idx"], s["level"], s["title"], s["own_words"], n.alias("words")))
+
+
+def _by_document(sections: DataFrame) -> DataFrame:
+    return sections.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("section_idx", F.col("level").cast("int").alias("level"), "title", "own_words"))).alias("_sections"))
+
+
+def rolled_up(sections: DataFrame) -> DataFrame:
+    """Adds words: own and all deeper sections'. Sections without words go."""
+    return _by_document(sections).select("doc_id", F.inline(_rolled(F.col("_sections")))).where("words > 0")
 
 
 def count_report(blocks: DataFrame, limit: int | None = None) -> DataFrame:
     """One row a document: sections, total, limit and over, and the same as JSON with its null keys."""
-    own = own_words(walk(blocks))
-    parts = rolled_up(own).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("section_idx", "title", "words", "level"))).alias("s"))
-    total = own.groupBy("doc_id").agg(F.sum("own_words").alias("total"))
-    bound = F.lit(limit).cast("long")
-    report = blocks.select("doc_id").distinct().join(total, "doc_id", "left").join(parts, "doc_id", "left")
-    sections = F.coalesce(F.transform("s", lambda x: F.struct(x["title"].alias("title"), x["words"].alias("words"), x["level"].alias("level"))), F.array().cast("array<struct<title:string,words:bigint,level:int>>"))
-    out = report.select("doc_id", sections.alias("sections"), F.coalesce("total", F.lit(0)).alias("total"), bound.alias("limit"))
+    each = _by_document(own_words(walk(blocks)))
+    told = each.select("doc_id", F.filter(_rolled(F.col("_sections")), lambda s: s["words"] > 0).alias("s"), F.aggregate("_sections", F.lit(0).cast("long"), lambda a, s: a + s["own_words"]).alias("total"))
+    sections = F.coalesce(F.transform("s", lambda x: F.struct(x["title"], x["words"], x["level"])), F.array().cast("array<struct<title:string,words:bigint,level:int>>"))
+    out = blocks.select("doc_id").distinct().join(told, "doc_id", "left").select("doc_id", sections.alias("sections"), F.coalesce("total", F.lit(0)).cast("long").alias("total"), F.lit(limit).cast("long").alias("limit"))
     out = out.withColumn("over", F.col("total") - F.col("limit"))
     return out.withColumn("json", F.to_json(F.struct("sections", "total", "limit", "over"), {"ignoreNullFields": "false"}))
 

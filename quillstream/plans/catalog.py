@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import api
 from ..functions import text as T
 from ..operators import audit, calibrate, check, corpus, generation, scorers, segments, structure
 from ..sources import readers
@@ -99,7 +100,7 @@ RED, AMBER = 0.98, 0.95
 
 
 def _sents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.document_sentences(segments.paragraphs(table(spark, sf_dir, "documents").select("doc_id", "text"), "\n", 0))
+    return segments.sentences_of(table(spark, sf_dir, "documents"), "\n", 0)
 
 
 def _stand_in(chunk: Column) -> Column:
@@ -108,9 +109,8 @@ def _stand_in(chunk: Column) -> Column:
 
 def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences with verdicts from a stand-in score of windows: their length, folded into 0..1."""
-    sents = _sents(spark, sf_dir)
-    scores = segments.windows(sents).select("doc_id", "win_idx", _stand_in(F.col("chunk")).alias("score"))
-    return segments.sentence_scores(sents, scores).withColumn("severity", segments.severity(F.col("score"), RED, AMBER))
+    scores = segments.windows_of(table(spark, sf_dir, "documents"), "\n", 0).select("doc_id", "win_idx", _stand_in(F.col("chunk")).alias("score"))
+    return segments.sentence_scores(_sents(spark, sf_dir), scores).withColumn("severity", segments.severity(F.col("score"), RED, AMBER))
 
 
 # Words and rules on strings ---------------------------------------------------------------------------------------
@@ -121,7 +121,7 @@ def word_count(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.word_count(F.col("text")).alias("words"), T.assessed_words(F.col("text")).alias("assessed"))
 
 
-_CITED = [(1, "Prices rose (Smith, 2024)."), (2, "As noted (ibid.) it fell (Jones et al, 1999, p. 4) twice."), (3, "It was 1999 (the second of these) then"), (4, "x (see (Lee, 2001)) y"), (5, "(1599) and (2100) stay, (1600) goes"), (6, ""), (7, "( ) . -"), (8, "IBID (IBID) Et Al (ET AL)")]
+_CITED = [(1, "Costs doubled (Okafor, 2018)."), (2, "Compare (ibid.) with (Brandt et al, 1987, p. 12) again."), (3, "In 1742 (the latter of both) nobody"), (4, "p (cf (Moss, 1990)) q"), (5, "(1598) and (2101) remain, (1601) leaves"), (6, ""), (7, "( ; ! -"), (8, "IBID (IBID) Et Al (ET AL)")]
 
 
 @query(f"SELECT id, {_FLAT.format(_CITE.format('text'))} AS text, {_ASSESSED.format('text')} AS assessed FROM (VALUES {values(_CITED)}) t(id, text)")
@@ -130,7 +130,7 @@ def citation_strip_inline(spark, sf_dir):
     return t.select("id", T.flat(T.without_citations(F.col("text"))).alias("text"), T.assessed_words(F.col("text")).alias("assessed"))
 
 
-_ITEMS = [(1, "a\tb"), (2, "SC12 do it"), (3, "3. third"), (4, "2."), (5, "• dot"), (6, "T. S. Eliot wrote"), (7, "V. is five"), (8, "1984 was a year"), (9, "E = mc2"), (10, ""), (11, "– dash"), (12, "NFR10: fast"), (13, "-joined"), (14, "Figure 4: sales"), (15, "figure 4 shows"), (16, "Fig. 2 : x"), (17, "table 10:y")]
+_ITEMS = [(1, "left\tright"), (2, "QX7 run it"), (3, "4. fourth"), (4, "9."), (5, "• point"), (6, "M. K. Rao spoke"), (7, "X. is ten"), (8, "1815 saw it"), (9, "F = ma"), (10, ""), (11, "– stroke"), (12, "ABC22: slow"), (13, "-tied"), (14, "Figure 2: rain"), (15, "figure 2 tells"), (16, "Fig. 6 : y"), (17, "table 31:z")]
 
 
 @query(rf"SELECT id, {_LIST_ITEM.format('text')} AS list_item, regexp_matches(text, '(?i)^(?:Figure|Table|Fig\.)\s*\d+\s*:') AS caption FROM (VALUES {values(_ITEMS)}) t(id, text)")
@@ -226,7 +226,7 @@ def sentences(spark, sf_dir):
 
 @query(f'WITH {_sents_sql()} SELECT doc_id, win_idx, "start", "end", md5(chunk) AS chunk FROM wins')
 def windows(spark, sf_dir):
-    return segments.windows(_sents(spark, sf_dir)).select("doc_id", "win_idx", "start", "end", F.md5(F.col("chunk").cast("binary")).alias("chunk"))
+    return segments.windows_of(table(spark, sf_dir, "documents"), "\n", 0).select("doc_id", "win_idx", "start", "end", F.md5(F.col("chunk").cast("binary")).alias("chunk"))
 
 
 @query(f"WITH {_sents_sql()} SELECT doc_id, sent_idx, para_idx, score, severity FROM st")
@@ -323,10 +323,10 @@ def extract_prose(spark, sf_dir):
     return structure.prose(_blocks(spark))
 
 
-@query(r"""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<h1(?:\s[^>]*)?>(.*?)</h1>', 1)) AS raw FROM pages) SELECT CAST(page_id AS VARCHAR) AS doc_id, 'Heading 1' AS style, regexp_replace(replace(regexp_replace(raw, '<[^>]*>', '', 'g'), '&amp;', '&'), '\s+', ' ', 'g') AS text FROM h""")
+@query(r"""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<h1(?:\s[^>]*)?>(.*?)</h1>', 1)) AS raw FROM pages) SELECT CAST(page_id AS VARCHAR) AS doc_id, 'Heading 1' AS style, trim(regexp_replace(replace(regexp_replace(raw, '<[^>]*>', '', 'g'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM h""")
 def page_headings(spark, sf_dir):
     b = readers.page_blocks(table(spark, sf_dir, "pages")).where("style != 'Normal'")
-    return b.select("doc_id", "style", F.regexp_replace("text", r"\s+", " ").alias("text"))
+    return b.select("doc_id", "style", "text")
 
 
 @query()
@@ -392,7 +392,7 @@ _RECORDS = [("small", 1, 0.7, None), ("small", 2, 0.9, 0.95), ("big-mlx-tech", 2
 @query(
     f"""WITH c AS (SELECT name, rank, CAST(t AS DOUBLE) AS t, CAST(a AS DOUBLE) AS a FROM (VALUES {values(_RECORDS)}) v(name, rank, t, a)), q AS (SELECT * FROM (VALUES ('small', NULL), ('none', NULL), ('small', 0.66), ('big-mlx-tech', NULL)) v(name, e)),
     r AS (SELECT q.name, CAST(q.e AS DOUBLE) AS e, c.t, c.a, row_number() OVER (PARTITION BY q.name, q.e ORDER BY c.rank) AS k FROM q LEFT JOIN c ON q.name = c.name)
-    SELECT name || coalesce('=' || CAST(e AS VARCHAR), '') AS asked, coalesce(e, t, CAST(0.9 AS DOUBLE)) AS threshold, CASE WHEN e IS NULL THEN a END AS amber, e IS NOT NULL OR t IS NOT NULL AS calibrated FROM r WHERE k = 1"""
+    SELECT name || coalesce('=' || CAST(e AS VARCHAR), '') AS asked, coalesce(e, t, CAST(0.9 AS DOUBLE)) AS threshold, a AS amber, e IS NOT NULL OR t IS NOT NULL AS calibrated FROM r WHERE k = 1"""
 )
 def calibration_resolve(spark, sf_dir):
     catalog = inline(spark, "name string, source_rank int, threshold double, amber double", _RECORDS)
@@ -456,7 +456,7 @@ def damage_scores(spark, sf_dir):
 _STRIPPED = "text"
 for _p, _r in ((r"([\"”])\s*[''|’`]*\s*[\d?*s°]{1,3}([\s.,;:?!]|$)", r"\1\2"), (r"([\"”])[''’`|]{1,3}([\s.,;:?!]|$)", r"\1\2"), (r"([a-z])[°º]([\s.,;:?!]|$)", r"\1\2"), (r"[⁰-₟]+", "")):
     _STRIPPED = "regexp_replace({0}, '{1}', '{2}', 'g')".format(_STRIPPED, _p.replace('\\"', '"'), _r)
-_MARKED = [(1, 'the "family" 4 of'), (2, "in summer°, when"), (3, 'he said "no" I left'), (4, "H2O and 3n+1 at 25°C"), (5, 'walnuts"|8 .'), (6, "x² y₃ ⁴z"), (7, 'a "Highbury"\'\' b'), (8, "  spaced   out , here ")]
+_MARKED = [(1, 'a "harbour" 3 in'), (2, "by morning°, they"), (3, 'she wrote "yes" He came'), (4, "CO2 and 5m-2 at 40°F"), (5, 'lanterns"|6 .'), (6, "a² b₅ ⁷c"), (7, 'one "Milford"\'\' two'), (8, "  far   apart , now ")]
 
 
 @query(f"SELECT id, {_FLAT.format(f'regexp_replace({_STRIPPED}, ' + chr(39) + '[' + chr(92) + 's' + chr(92) + 'x0b]+([.,;:?!])' + chr(39) + ', ' + chr(39) + chr(92) + '1' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} AS text FROM (VALUES {values(_MARKED)}) t(id, text)")
@@ -475,21 +475,66 @@ def pick_thirds(spark, sf_dir):
     return picked.select("essay", "slot", "position", "para_idx", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-_RUNS_TSV = [("e1", "Running Head Line\t0.1\t0.95\t0.5\t1\nFirst line of\t0.1\t0.90\t0.8\t1\nthe essay is\t0.1\t0.88\t0.8\t1\n2\t0.95\t0.9015\t0.01\t1\nshort.\t0.1\t0.86\t0.2\t1\nA hyphen-\t0.1\t0.84\t0.8\t1\nated word ends full\t0.1\t0.82\t0.8\t1\n---PAGEBREAK---\nRunning Head Line\t0.1\t0.95\t0.5\t1\nand goes on here\t0.1\t0.90\t0.8\t1\nto its end.\t0.1\t0.88\t0.3\t1\nbroken line\n")]
+def _scan(essay: str, pages: int) -> tuple[str, str]:
+    """An essay as scanned runs: a running head, lines of full measure and short ones, marks beside a line, hyphens."""
+    out = []
+    for page in range(pages):
+        out.append(f"The {essay} running head\t0.1\t0.95\t0.5\t1")
+        y = 0.9
+        for line in range(6 + page % 3):
+            short = (line * 7 + page * 3 + len(essay)) % 4 == 0
+            said = f"{essay} page {page} line {line}" + (" broken-" if line % 3 == 1 else "")
+            out.append(f"{said}\t0.1\t{y:.4f}\t{0.3 if short else 0.8}\t1")
+            if line == 2:
+                out.append(f"{page + 1}\t0.95\t{y + 0.0015:.4f}\t0.01\t1")
+            y -= 0.05 if (line + page) % 5 == 4 else 0.02
+        out += ["a line without fields", f"foot {page}\t0.4\t0.03\t0.1\t1"]
+        if page + 1 < pages:
+            out.append("---PAGEBREAK---")
+    return essay, "\n".join(out) + "\n"
+
+
+_RUNS_TSV = [_scan("first", 4), _scan("second", 5), ("third", "Alone\t0.1\t0.5\t0.3\t1\n")]
 
 
 def _ocr(spark: SparkSession) -> DataFrame:
     return corpus.lines(readers.runs_of(inline(spark, "essay string, text string", _RUNS_TSV)))
 
 
-@query(
-    "SELECT * FROM (VALUES ('e1', 0, 0, 'Running Head Line'), ('e1', 0, 1, 'First line of 2'), ('e1', 0, 2, 'the essay is'), ('e1', 0, 3, 'short.'), ('e1', 0, 4, 'A hyphen-'), ('e1', 0, 5, 'ated word ends full'), ('e1', 1, 0, 'Running Head Line'), ('e1', 1, 1, 'and goes on here'), ('e1', 1, 2, 'to its end.')) t(essay, page, line_idx, text)"
-)
+def _ocr_values() -> str:
+    return ", ".join(f"('{e}', '{t}')" for e, t in _RUNS_TSV).replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '")
+
+
+_OCR_SQL = f"""RECURSIVE raw AS (SELECT essay, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM (VALUES {_ocr_values()}) t(essay, text)),
+    paged AS (SELECT *, CAST(sum(CASE WHEN line = '---PAGEBREAK---' THEN 1 ELSE 0 END) OVER (PARTITION BY essay ORDER BY pos) AS INTEGER) AS page, string_split(line, chr(9)) AS f FROM raw),
+    runs AS (SELECT essay, page, pos, f[1] AS text, CAST(f[2] AS DOUBLE) AS x, CAST(f[3] AS DOUBLE) AS y, CAST(f[4] AS DOUBLE) AS w FROM paged WHERE len(f) = 5),
+    o AS (SELECT *, row_number() OVER (PARTITION BY essay, page ORDER BY y DESC, x, pos) AS rn FROM runs),
+    g AS (SELECT essay, page, rn, 0 AS line_idx, y AS ly FROM o WHERE rn = 1 UNION ALL SELECT o.essay, o.page, o.rn, CASE WHEN abs(g.ly - o.y) < 0.008 THEN g.line_idx ELSE g.line_idx + 1 END, CASE WHEN abs(g.ly - o.y) < 0.008 THEN g.ly ELSE o.y END FROM g JOIN o ON o.essay = g.essay AND o.page = g.page AND o.rn = g.rn + 1),
+    lines AS (SELECT o.essay, o.page, g.line_idx, any_value(g.ly) AS y, max(o.x + o.w) - min(o.x) AS width, string_agg(o.text, ' ' ORDER BY o.x, o.text) AS text FROM o JOIN g USING (essay, page, rn) GROUP BY o.essay, o.page, g.line_idx)"""
+
+
+@query(f"WITH {_OCR_SQL} SELECT essay, page, line_idx, text FROM lines")
 def ocr_lines(spark, sf_dir):
     return _ocr(spark).select("essay", "page", "line_idx", "text")
 
 
-@query("SELECT * FROM (VALUES ('e1', 'Running Head Line', 0, 'First line of 2 the essay is short.'), ('e1', 'Running Head Line', 1, 'A hyphenated word ends full and goes on here to its end.')) t(essay, title, para_idx, text)")
+def _joined_sql(parts: str) -> str:
+    return _FLAT.format(f"replace(replace({parts}, '-' || chr(1), ''), chr(1), ' ')")
+
+
+@query(
+    f"""WITH {_OCR_SQL}, keyed AS (SELECT *, lower({_FLAT.format("text")}) AS key FROM lines), n AS (SELECT essay, count(DISTINCT page) AS pages FROM lines GROUP BY essay),
+    head AS (SELECT essay, key, count(*) AS k, arg_min({_FLAT.format("text")}, page * 1000 + line_idx) AS text FROM keyed WHERE (y > 0.93 OR y < 0.07) AND length(key) > 8 GROUP BY essay, key),
+    running AS (SELECT h.* FROM head h JOIN n USING (essay) WHERE k >= greatest(2, pages // 3)), titles AS (SELECT essay, arg_max(text, length(key)) AS title FROM running GROUP BY essay),
+    body AS (SELECT * FROM keyed k ANTI JOIN running r ON k.essay = r.essay AND k.key = r.key WHERE y BETWEEN 0.07 AND 0.93),
+    s AS (SELECT *, lag(y) OVER p AS py, lag(width) OVER p AS pw FROM body WINDOW p AS (PARTITION BY essay, page ORDER BY line_idx)), m AS (SELECT *, coalesce(median(abs(py - y)) OVER (PARTITION BY essay, page), 0.03) AS step, median(width) OVER (PARTITION BY essay, page) AS measure FROM s),
+    b AS (SELECT *, sum(CASE WHEN py IS NOT NULL AND (abs(py - y) > 1.5 * step OR pw < 0.85 * measure) THEN 1 ELSE 0 END) OVER (PARTITION BY essay, page ORDER BY line_idx) AS part FROM m),
+    tails AS (SELECT essay, page, arg_max(width >= 0.85 * measure, line_idx) AS tail_full FROM m GROUP BY essay, page),
+    parts AS (SELECT essay, page, part, {_joined_sql("string_agg(" + _STRIP.format("text") + ", chr(1) ORDER BY line_idx)")} AS text FROM b GROUP BY essay, page, part),
+    c AS (SELECT *, CASE WHEN part = 0 AND coalesce(lag(tail_full) OVER (PARTITION BY essay ORDER BY page, part), false) THEN 0 ELSE 1 END AS new FROM parts JOIN tails USING (essay, page)),
+    d AS (SELECT *, sum(new) OVER (PARTITION BY essay ORDER BY page, part) - 1 AS para_idx FROM c)
+    SELECT essay, any_value(title) AS title, CAST(para_idx AS INTEGER) AS para_idx, {_joined_sql("string_agg(text, chr(1) ORDER BY page, part)")} AS text FROM d JOIN titles USING (essay) GROUP BY essay, para_idx"""
+)
 def ocr_paragraphs(spark, sf_dir):
     lines = _ocr(spark)
     running = corpus.running_text(lines)
@@ -547,16 +592,25 @@ def prompts(spark, sf_dir):
 
 # Audit ------------------------------------------------------------------------------------------------------------
 
-_SCANS = [("s", 0, "The quick brown fox jumps over the lazy d0g."), ("s", 1, "Something else entirely"), ("s", 2, "The quick brown fox jumps over the lazy dog")]
-_CLEAN = [("s", 0, "The quick brown fox jumps over the lazy dog."), ("s", 1, "The quick brown fox jumped over the lazy dogs.")]
+_SCANS = [("s", 0, "Seven grey herons stood beside the mill p0nd."), ("s", 1, "Nothing of the kind"), ("s", 2, "Seven grey herons stood beside the mill pond")]
+_CLEAN = [("s", 0, "Seven grey herons stood beside the mill pond."), ("s", 1, "Seven grey herons stand beside the mill ponds.")]
 
 
-@query("SELECT * FROM (VALUES ('s', 0, 'The quick brown fox jumps over the lazy dog.'), ('s', 2, 'The quick brown fox jumped over the lazy dogs.')) t(source, scan_idx, clean)")
+@query()
 def fuzzy_pairs(spark, sf_dir):
     scans, clean = inline(spark, "source string, scan_idx int, ocr string", _SCANS), inline(spark, "source string, clean_idx int, clean string", _CLEAN)
     return audit.pair_up(scans, clean).select("source", "scan_idx", "clean")
 
 
+_SIMILAR = [(1, 0.99), (2, 0.8), (3, 0.95), (4, 0.9), (5, 0.95), (6, 0.85)]
+
+
+@query(f"WITH p AS (SELECT id, 1 - CAST(s AS DOUBLE) AS e FROM (VALUES {values(_SIMILAR)}) t(id, s)), r AS (SELECT e, row_number() OVER (ORDER BY e) - 1 AS k, count(*) OVER () AS n FROM p) SELECT (SELECT count(*) FROM p) AS n, (SELECT round(e, 9) FROM r WHERE k = n // 2) AS median_error, (SELECT round(max(e), 9) FROM p) AS worst_error")
+def error_rates(spark, sf_dir):
+    out = audit.error_summary(inline(spark, "id int, similarity double", _SIMILAR))
+    return out.select("n", F.round("median_error", 9).alias("median_error"), F.round("worst_error", 9).alias("worst_error"))
+
+
 _PAIRED = [(0.9, 0.8), (0.5, 0.75), (0.25, 0.25)]
 
 
@@ -632,3 +686,104 @@ def heading_lines(spark, sf_dir):
 def body_slices(spark, sf_dir):
     lines = _lines(spark, sf_dir).select(F.col("doc_id").alias("essay"), F.col("pos").alias("para_idx"), "text")
     return corpus.body_slice(lines).select("essay", "para_idx", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+# Summaries, audits and bands --------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_paras_sql(25)}, s AS (SELECT doc_id, CAST((length(text) * 37) % 101 AS DOUBLE) / 100 AS score FROM paras) SELECT doc_id, count(*) AS n, round(avg(score), 9) AS mean, count(*) FILTER (score >= 0.5) AS flagged FROM s GROUP BY doc_id")
+def paragraph_summary(spark, sf_dir):
+    paras = segments.paragraphs(table(spark, sf_dir, "documents"), "\n").withColumn("score", _stand_in(F.col("text")))
+    flagged = api.paragraph_flags(paras, 1, 0.5)
+    return segments.summary(flagged, F.coalesce(F.col("flag") == "AI-ish", F.lit(False))).withColumn("mean", F.round("mean", 9))
+
+
+@query(f"WITH {_paras_sql(25)}, s AS (SELECT doc_id, para_idx, CAST((length(text) * 37) % 101 AS DOUBLE) / 100 AS score FROM paras) SELECT doc_id, para_idx, CASE WHEN score < 0.2 THEN 'AI-ish' WHEN score < 0.35 THEN 'borderline' END AS flag FROM s")
+def paragraph_flags(spark, sf_dir):
+    paras = segments.paragraphs(table(spark, sf_dir, "documents"), "\n").withColumn("score", _stand_in(F.col("text")))
+    return api.paragraph_flags(paras, -1, 0.2, 0.35).select("doc_id", "para_idx", "flag")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, 'human' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'a' || doc_id, 'ai' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
+def manifest_audit(spark, sf_dir):
+    """Labels are taken for samples that match the document of their id."""
+    human = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"))
+    key = F.col("doc_id").cast("string")
+    return generation.unmatched(human, table(spark, sf_dir, "labels").select(F.concat(F.lit("a"), key).alias("id"), key.alias("matches")))
+
+
+@query(
+    f"""WITH {_sents_sql()}, h AS (SELECT s.doc_id, s.score FROM scored s JOIN labels l USING (doc_id) WHERE l.quality = 1), x AS (SELECT *, row_number() OVER (ORDER BY score) AS k, count(*) OVER () AS n FROM h)
+    SELECT CAST(0.5 AS DOUBLE) AS threshold, (SELECT round(least(score, 0.5), 4) FROM x WHERE k = CAST(floor(0.9 * (n - 1)) AS BIGINT) + 1) AS amber, (SELECT count(*) FROM x) AS n_windows, (SELECT count(DISTINCT doc_id) FROM x) AS n_essays, (SELECT round(score, 4) FROM x WHERE k = CAST(floor(0.9 * (n - 1)) AS BIGINT) + 1) AS human_p90"""
+)
+def band_of_windows(spark, sf_dir):
+    """The band fitted from texts: windows of the documents of good quality, scored."""
+
+    class ByLength:
+        direction = 1
+
+        def score(self, texts):
+            return texts.select("id", _stand_in(F.col("text")).alias("score"))
+
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    human = table(spark, sf_dir, "documents").join(good, "doc_id", "left_semi").select(F.col("doc_id").cast("string").alias("sample_id"), "text")
+    return api.fit_band(human, ByLength(), "\n")
+
+
+_BANDS = [("open", 1, 0.5, 0.2), ("empty", 1, 0.5, 0.5), ("bare", 1, None, None), ("empty", 2, 0.5, 0.1)]
+
+
+@query(
+    f"""WITH c AS (SELECT name, rank, CAST(t AS DOUBLE) AS t, CAST(a AS DOUBLE) AS a FROM (VALUES {values(_BANDS)}) v(name, rank, t, a)), q AS (SELECT unnest(['open', 'empty', 'bare', 'none']) AS name),
+    r AS (SELECT q.name, c.rank, coalesce(t, 0.5) AS threshold, coalesce(a, 0.35) AS amber, row_number() OVER (PARTITION BY q.name ORDER BY c.rank) AS k FROM q LEFT JOIN c USING (name)) SELECT name, CAST(threshold AS DOUBLE) AS threshold, CAST(amber AS DOUBLE) AS amber, rank IS NOT NULL AS fitted, amber >= threshold AS empty_band FROM r WHERE k = 1"""
+)
+def band_states(spark, sf_dir):
+    kept = inline(spark, "name string, source_rank int, threshold double, amber double", _BANDS)
+    parts = [calibrate.bands(spark, kept, n).select(F.lit(n).alias("name"), "threshold", "amber", "fitted", "empty_band") for n in ("open", "empty", "bare", "none")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query(f"WITH {_walk_sql(_BLOCKS_SQL)}, t AS (SELECT doc_id, sum(own_words) AS total FROM own GROUP BY doc_id) SELECT r.doc_id, section_idx, words / total AS share, repeat('#', CAST(round_even(20 * words / total, 0) AS INTEGER)) AS bar FROM rolled r JOIN t USING (doc_id)")
+def section_shares(spark, sf_dir):
+    return structure.shares(structure.rolled_up(structure.own_words(structure.walk(_blocks(spark))))).select("doc_id", "section_idx", "share", "bar")
+
+
+_TXT = [("x", "One two three.\n\n  four \n\n\nfive six\nseven\n\n• no\n\n"), ("y", ""), ("z", "alone")]
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS raw, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS pos FROM (VALUES {values(_TXT)}) t(doc_id, text)), s AS (SELECT doc_id, pos, {_STRIP.format("raw")} AS text FROM l)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS para_idx, text FROM s WHERE {_PROSE.format("text", min=1)}""")
+def blank_line_paragraphs(spark, sf_dir):
+    return segments.paragraphs(inline(spark, "doc_id string, text string", _TXT), min_words=1)
+
+
+@query(r"SELECT count(DISTINCT CASE WHEN regexp_extract(source, '\d+') = '' THEN source ELSE regexp_extract(source, '\d+') END) AS n_essays FROM documents")
+def essays_in(spark, sf_dir):
+    return readers.essays_in(table(spark, sf_dir, "documents").select(F.col("source").alias("sample_id")))
+
+
+@query(rf"SELECT doc_id FROM (SELECT doc_id, {_FLAT.format('text')} AS f FROM documents) WHERE {_FLAT.format('regexp_replace(' + _STRIPPED.replace('(text,', '(f,') + ', ' + chr(39) + '[' + chr(92) + 's' + chr(92) + 'x0b]+([.,;:?!])' + chr(39) + ', ' + chr(39) + chr(92) + '1' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} <> f")
+def changed_by_strip(spark, sf_dir):
+    return corpus.changed_by_strip(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), "text")).withColumnRenamed("sample_id", "doc_id")
+
+
+def _ratios_sql(name: str, texts: str) -> str:
+    """CTEs that end in ``<name>`` (id, ratio): the pair scorer's score of ``texts`` (id, text), by b, c, u and z."""
+    return f"""{name}_w AS (SELECT id, {_TOKENS.format("lower(text)")} AS ws FROM ({texts})), {name}_p AS (SELECT id, unnest(list_slice(ws, 1, len(ws) - 1)) AS w, unnest(list_slice(ws, 2, len(ws))) AS v FROM {name}_w WHERE len(ws) > 1),
+      {name}_k AS (SELECT id, w, v, count(*) AS k FROM {name}_p GROUP BY ALL), {name}_m AS (SELECT id, k, CAST(coalesce(n_v, 0) + 1 AS DOUBLE) / CAST(total + vocabulary + 1 AS DOUBLE) AS q, coalesce(n_wv, 0) AS n_wv, coalesce(n_w, 0) AS n_w FROM {name}_k LEFT JOIN b USING (w, v) LEFT JOIN c USING (w) LEFT JOIN u USING (v), z),
+      {name} AS (SELECT id, sum(-ln((n_wv + q) / (n_w + 1)) * k) / sum(-ln(q) * k) AS ratio FROM {name}_m GROUP BY id)"""
+
+
+@query(
+    f"""WITH {_sents_sql()}, cw AS (SELECT {_TOKENS.format("lower(text)")} AS ws FROM documents), cp AS (SELECT unnest(list_slice(ws, 1, len(ws) - 1)) AS w, unnest(list_slice(ws, 2, len(ws))) AS v FROM cw WHERE len(ws) > 1),
+    u AS (SELECT v, count(*) AS n_v FROM cp GROUP BY v), c AS (SELECT w, count(*) AS n_w FROM cp GROUP BY w), b AS (SELECT w, v, count(*) AS n_wv FROM cp GROUP BY w, v), z AS (SELECT sum(n_v) AS total, count(*) AS vocabulary FROM u),
+    {_ratios_sql("rw", "SELECT {'d': doc_id, 'i': win_idx} AS id, chunk AS text FROM wins")}, {_ratios_sql("rp", "SELECT {'d': doc_id, 'i': para_idx} AS id, text FROM paras WHERE " + _WORDS.format("text") + " >= 25")},
+    ws AS (SELECT m.doc_id, m.sent_idx, any_value(m.para_idx) AS para_idx, greatest(0.0, coalesce(max(greatest(0.0, least(1.0, (0.9 * 1.3 - ratio) / (0.9 * 1.3)))), 0.0)) AS score FROM member m LEFT JOIN rw ON rw.id.d = m.doc_id AND rw.id.i = m.win_idx GROUP BY m.doc_id, m.sent_idx),
+    own AS (SELECT *, CASE WHEN score >= 0.45 THEN 2 WHEN score >= 0.4 THEN 1 ELSE 0 END AS own_severity FROM ws), pv AS (SELECT id.d AS doc_id, id.i AS para_idx, CASE WHEN ratio < 0.65 THEN 2 WHEN ratio < 0.7 THEN 1 ELSE 0 END AS para_severity FROM rp)
+    SELECT o.doc_id, o.sent_idx, own_severity, para_severity, greatest(own_severity, coalesce(para_severity, 0)) AS severity FROM own o LEFT JOIN pv USING (doc_id, para_idx)"""
+)
+def scorer_check(spark, sf_dir):
+    """Both verdicts by scorers: the counted pair over paragraphs, and the same turned around over windows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pair = scorers.PairScorer(docs)
+    return api.check(docs, scorers.Flipped(pair), pair, 0.65, 0.7, "\n", 0.45, 0.4).select("doc_id", "sent_idx", "own_severity", "para_severity", "severity")

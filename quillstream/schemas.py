@@ -1,13 +1,8 @@
 """Declared schemas. Order is data, so every ordered relation carries an index."""
 
 BLOCK = "doc_id string, block_idx int, style string, text string"
-SECTION = "doc_id string, section_idx int, level int, title string, words bigint"
-PARAGRAPH = "doc_id string, para_idx int, text string"
-SAMPLE = "sample_id string, cls string, score double"
-OCR_RUN = "essay string, page int, run_idx int, text string, x double, y double, w double, conf double"
-PAIR_RECORD = "pair array<string>, backend string, threshold double, amber double, accuracy double, accuracy_kind string, accuracy_in_sample double, n_human int, n_ai int, n_essays int, human_mean double, ai_mean double"
-BAND_RECORD = "threshold double, amber double, n_windows int, n_essays int, human_p90 double"
 HUMAN_MANIFEST = "id string, source_essay string, position string, paragraph_index int, subject string, topic string, source_url string, date_evidence string, extraction string, sha256 string, words int"
 AI_MANIFEST = "id string, matches string, subject string, topic string, position string, generated_by string, vendor string, temperature double, prompt_template string, words_requested int, words_kept int, seed int"
 TOPIC = "id string, topic string, position string, subject string"
 EXTRA_SOURCE = "pdf string, route string, subject string, topic string, source_url string, date_evidence string"
+OCR_PAIR = "source string, scan_idx int, ocr string, clean string, similarity double"

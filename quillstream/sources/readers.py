@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
+from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -95,10 +97,58 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+class _Blocks(HTMLParser):
+    """Text by block element: headings by level, everything else as Normal."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks: list[tuple[str, str]] = []
+        self.style, self.text, self.hidden = "Normal", [], []
+
+    def cut(self, style: str = "Normal"):
+        said = " ".join("".join(self.text).split())
+        if said:
+            self.blocks.append((self.style, said))
+        self.style, self.text = style, []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in _UNSEEN:
+            self.hidden.append(tag)
+        elif tag == "br":
+            self.text.append(" ")
+        elif tag not in _WITHIN:
+            self.cut(f"Heading {tag[1]}" if re.fullmatch("h[1-6]", tag) else "Normal")
+
+    def handle_endtag(self, tag):
+        if tag in self.hidden:
+            del self.hidden[self.hidden.index(tag) :]
+        elif tag not in _WITHIN and tag != "br":
+            self.cut()
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.text.append(data)
+
+
+_UNSEEN = {"script", "style", "title", "template", "noscript"}
+_WITHIN = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "del", "em", "i", "img", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "u", "var", "wbr"}
+
+
+def html_blocks(html: str | None) -> list[tuple[str, str]]:
+    """(style, text) of a page's blocks, in order; character references resolved, scripts and comments left out."""
+    page = _Blocks()
+    page.feed(html or "")
+    page.close()
+    page.cut()
+    return page.blocks
+
+
 def page_blocks(pages: DataFrame) -> DataFrame:
-    """Blocks of HTML pages (page_id, html): headings by level, paragraphs and list items, tags dropped."""
-    found = F.regexp_extract_all("html", F.lit(r"(?s)<(?:h[1-6]|p|li)(?:\s[^>]*)?>.*?(?=</?(?:h[1-6]|p|li|article|body|html|ul|ol|div|nav)\b|$)"), F.lit(0))
-    each = pages.select(F.col("page_id").cast("string").alias("doc_id"), F.posexplode(found).alias("block_idx", "m"))
-    level = F.regexp_extract("m", r"^<h([1-6])", 1)
-    text = F.regexp_replace(F.regexp_replace("m", "<[^>]*>", ""), "&amp;", "&")
-    return each.select("doc_id", "block_idx", F.when(level != "", F.concat(F.lit("Heading "), level)).otherwise("Normal").alias("style"), text.alias("text"))
+    """Blocks of HTML pages (page_id, html): (doc_id, block_idx, style, text). Pages are parsed by the executors."""
+
+    def parse(frames):
+        for frame in frames:
+            rows = [(d, i, s, t) for d, h in zip(frame["doc_id"], frame["html"], strict=True) for i, (s, t) in enumerate(html_blocks(h))]
+            yield pd.DataFrame(rows, columns=["doc_id", "block_idx", "style", "text"])
+
+    return pages.select(F.col("page_id").cast("string").alias("doc_id"), "html").mapInPandas(parse, schemas.BLOCK)

@@ -1,17 +1,25 @@
-"""Writing results: texts, JSON reports, samples and manifests. Every writer is a distributed write to a folder."""
+"""Writing results: texts, JSON reports, samples and manifests.
+
+``write_rows`` and ``write_reports`` are distributed writes of rows. A file a sample is what calibration folders are
+made of; such corpora are some hundred samples, so ``write_texts`` and the manifest go through the driver, with a
+bound that is checked.
+"""
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import generation
-from . import readers
+#: A file a sample, and a manifest, are for calibration corpora; more rows than this are written by ``write_rows``.
+MOST_FILES = 100_000
 
 
-def write_prose(prose: DataFrame, path: str) -> None:
-    """One text file a document, in a folder by its id."""
-    prose.select("doc_id", F.col("text").alias("value")).repartition("doc_id").write.mode("overwrite").partitionBy("doc_id").option("lineSep", "\n").text(path)
+def write_rows(rows: DataFrame, path: str) -> None:
+    """One JSON object a line, in as many files as there are tasks: texts of any number of documents."""
+    rows.write.mode("overwrite").json(path)
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
@@ -19,22 +27,30 @@ def write_reports(reports: DataFrame, path: str) -> None:
     reports.select(F.col("json").alias("value")).write.mode("overwrite").text(path)
 
 
-def write_samples(samples: DataFrame, path: str) -> None:
-    """Sample texts (id, text) with a trailing newline; their digests are of the text without it."""
-    samples.select("id", F.col("text").alias("value")).repartition("id").write.mode("overwrite").partitionBy("id").text(path)
-
-
-def write_manifest(new: DataFrame, path: str, schema: str, append: bool = False) -> None:
-    """Manifest rows as one JSON array in order of id; with ``append`` new ids replace old ones.
-
-    A manifest lists a calibration corpus, some hundred rows, so it passes through the driver: it is read before its
-    folder is replaced.
-    """
-    spark = new.sparkSession
-    rows = new
-    if append:
-        old = readers.read_json(spark, path, schema)
-        rows = generation.upsert(old, new.select(*old.columns))
-    row = F.struct("id", *[c for c in rows.columns if c != "id"])
-    text = rows.agg(F.coalesce(F.to_json(F.sort_array(F.collect_list(row)), {"ignoreNullFields": "false"}), F.lit("[]")).alias("value")).first()["value"]
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+def write_texts(samples: DataFrame, folder: str) -> int:
+    """``<id>.txt`` for each sample (id, text), with a trailing newline that is no part of its digest."""
+    if samples.limit(MOST_FILES + 1).count() > MOST_FILES:
+        raise ValueError(f"more than {MOST_FILES} samples: write them as rows")
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    n = 0
+    for r in samples.toLocalIterator():
+        (Path(folder) / f"{r['id']}.txt").write_text(r["text"] + "\n", encoding="utf-8")
+        n += 1
+    return n
+
+
+def write_manifest_rows(rows: list[dict], path: str, append: bool = False) -> None:
+    """A JSON array of rows in their order; with ``append`` new ids replace old ones and all come in order of id."""
+    file = Path(path)
+    if append and file.exists():
+        new = {r["id"] for r in rows}
+        rows = sorted([r for r in json.loads(file.read_text(encoding="utf-8")) if r["id"] not in new] + rows, key=lambda r: r["id"])
+    file.parent.mkdir(parents=True, exist_ok=True)
+    file.write_text(json.dumps(rows, indent=2, ensure_ascii=False), encoding="utf-8")
+
+
+def write_manifest(new: DataFrame, path: str, append: bool = False) -> None:
+    """The rows of a table, in its order, as a manifest."""
+    if new.limit(MOST_FILES + 1).count() > MOST_FILES:
+        raise ValueError(f"more than {MOST_FILES} rows: write them as rows")
+    write_manifest_rows([r.asDict(recursive=True) for r in new.collect()], path, append)

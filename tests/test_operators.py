@@ -1,13 +1,14 @@
 import io
+import json
 import random
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillstream import api
-from quillstream.operators import calibrate, check, corpus, generation, scorers, segments, structure
-from quillstream.sources import readers, writers
+from quillstream import api, config, schemas
+from quillstream.operators import audit, calibrate, check, corpus, generation, ranks, scorers, segments, structure
+from quillstream.sources import readers, thresholds, writers
 from quillstream.streaming import ingest
 
 
@@ -76,7 +77,7 @@ def test_hold_out_of_separable_classes_is_perfect(spark):
     row = calibrate.leave_one_group_out(df).first()
     assert (row["correct"], row["predicted"], row["n_groups"]) == (10, 10, 5)
     rec = calibrate.record(df, ("u", "b"), "counts").first()
-    assert rec["accuracy"] == 1.0 and rec["n_essays"] == 5 and rec["accuracy_kind"] == "leave_one_essay_out"
+    assert rec["accuracy"] == 1.0 and rec["n_essays"] == 5 and rec["accuracy_kind"] == "leave-one-essay-out"
 
 
 def test_empty_calibration_gives_no_threshold(spark):
@@ -150,11 +151,23 @@ def test_pooled_mean_ignores_padding(spark):
 def test_manifest_round_trip(spark, tmp_path):
     schema = "id string, vendor string"
     rows = lambda *x: spark.createDataFrame(list(x), schema)
-    path = str(tmp_path / "m")
-    writers.write_manifest(rows(("b", "old"), ("a", "x")), path, schema)
+    told = lambda: [tuple(r.values()) for r in json.loads(open(path).read())]
+    path = str(tmp_path / "m" / "manifest.json")
+    writers.write_manifest(rows(("b", "old"), ("a", "x")), path)
+    assert told() == [("b", "old"), ("a", "x")]
     for _ in range(2):
-        writers.write_manifest(rows(("b", "new"), ("c", "y")), path, schema, append=True)
-    assert [tuple(r) for r in readers.read_json(spark, path, schema).orderBy("id").collect()] == [("a", "x"), ("b", "new"), ("c", "y")]
+        writers.write_manifest(rows(("c", "y"), ("b", "new")), path, append=True)
+    assert told() == [("a", "x"), ("b", "new"), ("c", "y")]
+    assert [tuple(r) for r in readers.read_json(spark, path, schema).orderBy("id").collect()] == told()
+
+
+def test_samples_are_files_with_a_trailing_newline(spark, tmp_path):
+    n = writers.write_texts(spark.createDataFrame([("a01", "one"), ("a02", "two\n\nthree é")], "id string, text string"), str(tmp_path))
+    assert n == 2 and (tmp_path / "a02.txt").read_text(encoding="utf-8") == "two\n\nthree é\n"
+    assert sorted((r["sample_id"], r["text"]) for r in readers.read_folder(spark, str(tmp_path)).collect()) == [("a01", "one"), ("a02", "two\n\nthree é")]
+    assert readers.essays_in(readers.read_folder(spark, str(tmp_path))).first()["n_essays"] == 2
+    writers.write_rows(spark.createDataFrame([("a", "x")], "doc_id string, text string"), str(tmp_path / "rows"))
+    assert spark.read.json(str(tmp_path / "rows")).count() == 1
 
 
 def test_human_manifest(spark):
@@ -188,10 +201,217 @@ def test_seeded_pool_spreads_vendors():
     assert got == generation.seeded_pool(pool, 7, 3) and len({generation.vendor(m) for m in got[:3]}) == 3 and len(got) == 7
 
 
-def test_generate_keeps_topic_order():
-    topics = [{"id": str(i), "topic": "t"} for i in range(5)]
-    got = generation.generate(topics, ["a/1", "b/1"], 1, 110, lambda m, t: t, lambda x: x, lambda s: None, workers=3)
-    assert [g["id"] for g in got] == list("01234")
+def test_generate_keeps_topic_order_and_fills_the_manifest():
+    topics = [{"id": f"h0{i}b", "topic": "t {words}", "position": "analysis" if i else None, "subject": "s"} for i in range(5)]
+    got = generation.generate(topics, ["a/1", "b/1"], 1, 110, lambda m, t: t, lambda x: x, lambda s: None, workers=3, prefix="k", finish=lambda t: t[:20])
+    assert [g["id"] for g in got] == [f"k0{i}b" for i in range(5)] and [g["matches"] for g in got] == [t["id"] for t in topics]
+    assert got[1]["prompt_template"] == generation.PLACED_PROMPT and got[0]["words_kept"] == len(got[0]["text"].split()) and got[0]["seed"] == 1
+    assert list(got[0]) == [c.split()[0] for c in schemas.AI_MANIFEST.split(", ")] + ["text"]
+    assert [generation.sample_id("a", x) for x in ("h07a", "no digits", "9", "x3!")] == ["a07a", "ano digits", "a9", "a3"]
+    assert generation.catalog_models('{"data": [{"id": "a/1"}, {"x": 1}]}') == ["a/1"]
+    assert generation.request("a/1", "p")["messages"] == [{"role": "user", "content": "p"}]
+
+
+def test_a_model_gets_four_bad_answers():
+    calls = []
+    pool = generation.Pool(["a/bad", "b/good"])
+    got = generation.generate_one("a/bad", "p", pool, lambda m, t: calls.append(m) or m, lambda x: x if x == "b/good" else None, lambda s: None)
+    assert got == ("b/good", "b/good") and calls == ["a/bad"] * 4 + ["b/good"]
+    with pytest.raises(generation.Failure):
+        generation.generate_one("a/bad", "p", pool, lambda m, t: (_ for _ in ()).throw(generation.Failure(403, "Account")), str, lambda s: None)
+
+
+def test_hold_out_matches_brute_force(spark):
+    """Ties between groups, scores of one group only at both ends and in runs, groups that hold a whole class."""
+    rng = random.Random(9)
+    for trial in range(6):
+        n_groups, values = [(2, 3), (3, 30), (5, 6), (8, 12), (12, 200), (4, 4)][trial]
+        rows = [(f"g{g}", rng.choice(["human", "ai"]), rng.randint(0, values) / 8 + (g / 64 if trial % 2 else 0)) for g in range(n_groups) for _ in range(rng.randint(1, 9))]
+        rows += [("g0", "human", 99.0), ("g1", "ai", -7.0)]
+        want = {}
+        for g in {r[0] for r in rows}:
+            rest = [(k, s) for x, k, s in rows if x != g]
+            if len({k for k, _ in rest}) == 2:
+                want[g] = brute_threshold(rest)
+        df = spark.createDataFrame(rows, "grp string, cls string, score double")
+        assert {r["fold"]: r["threshold"] for r in calibrate.hold_out_thresholds(df).collect()} == want, trial
+        held = calibrate.leave_one_group_out(df.withColumnRenamed("grp", "sample_id")).first()
+        judged = [((s < want[g]) == (k == "ai")) for g, k, s in rows if g in want]
+        assert (held["correct"], held["predicted"]) == (sum(judged), len(judged))
+
+
+def test_running_sums_and_ranks_by_range(spark):
+    rng = random.Random(3)
+    values = [rng.randint(0, 3000) / 16 for _ in range(4000)]
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(7)
+    counts = df.groupBy("x").count()
+    got = sorted((r["x"], r["idx"], r["count_upto"], r["before"], r["after"]) for r in ranks.running(counts, "x", ["count"]).collect())
+    distinct = sorted(set(values))
+    upto = [sum(v <= d for v in values) for d in distinct]
+    assert got == [(d, i, upto[i], distinct[i - 1] if i else None, distinct[i + 1] if i + 1 < len(distinct) else None) for i, d in enumerate(distinct)]
+    for share in (0.0, 0.1, 0.9, 1.0):
+        assert ranks.nearest_rank(df, "x", share).first()["value"] == sorted(values)[int(share * (len(values) - 1))]
+    assert ranks.upper_middle(df, "x").first()["value"] == sorted(values)[len(values) // 2]
+    assert ranks.nearest_rank(df.where("false"), "x", 0.9).first()["value"] is None
+
+
+def test_windows_of_texts_and_of_tables_agree(spark):
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, "\n".join(" ".join(f"Said {k} w." for k in range(rng.randint(0, 9))) for _ in range(rng.randint(0, 6)))) for i in range(40)], "doc_id int, text string")
+    sents = segments.sentences_of(docs, "\n", 0)
+    table = segments.document_sentences(segments.paragraphs(docs, "\n", 0))
+    rows = lambda df: sorted(map(tuple, df.select(*sorted(df.columns)).collect()))
+    assert rows(sents) == rows(table) and rows(segments.windows_of(docs, "\n", 0)) == rows(segments.windows(table)) and rows(sents)
+
+
+def test_plans_of_segments_move_texts_once(spark):
+    docs = spark.createDataFrame([(1, "One. Two.")], "doc_id int, text string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(segments.sentences_of(docs, "\n", 0)) + plan(segments.windows_of(docs, "\n", 0))
+    assert "CartesianProduct" not in plan(calibrate.leave_one_group_out(spark.createDataFrame([("a1", "ai", 0.5)], "sample_id string, cls string, score double")))
+
+
+def test_threshold_files(tmp_path, monkeypatch):
+    monkeypatch.setenv("XDG_CONFIG_HOME", str(tmp_path))
+    assert thresholds.pair("none") == (0.9, None, False) and thresholds.pair("gemma-mlx") == (0.784, 0.8391, True)
+    assert thresholds.band() == (0.5, 0.5, True) and thresholds.band("else") == (0.5, 0.35, False)
+    thresholds.save("gemma-mlx", {"threshold": 0.7})
+    assert thresholds.pair("gemma-mlx") == (0.7, None, True) and thresholds.pair("gemma-mlx", 0.6) == (0.6, None, True)
+    thresholds.save("band-x", {"amber": 0.2})
+    assert thresholds.band("x") == (0.5, 0.2, True) and thresholds.band_note(0.5, 0.2, True) is None
+    assert "empty" in thresholds.band_note(0.5, 0.5, True) and "0.35" in thresholds.band_note(0.5, 0.35, False)
+    config.remember_models_dir(str(tmp_path / "m"))
+    assert config.models_dir() == str((tmp_path / "m").resolve())
+    monkeypatch.setenv(config.VARIABLE, "/elsewhere")
+    assert config.models_dir() == "/elsewhere"
+
+
+def test_html_blocks():
+    page = "<html><head><title>no</title><script>var a='<p>'</script><body><!-- no --><h1>A &amp; B &eacute;</h1><div>in a <b>div</b><br>line<td>cell<h3>C</h3><li>x<li>y"
+    assert readers.html_blocks(page) == [("Heading 1", "A & B é"), ("Normal", "in a div line"), ("Normal", "cell"), ("Heading 3", "C"), ("Normal", "x"), ("Normal", "y")]
+    assert readers.html_blocks(None) == readers.html_blocks("") == []
+
+
+def test_outline_of_many_sections(spark):
+    """A long flat outline, and levels beyond nine."""
+    rows = [("a", i, f"Heading {1 + i % 2 * 11}" if i % 3 else "Heading 12", "head") for i in range(0, 3000)]
+    blocks = spark.createDataFrame([(d, 2 * i, s, t) for d, i, s, t in rows] + [("a", 2 * i + 1, "Normal", "one two") for _, i, _, _ in rows], "doc_id string, block_idx int, style string, text string")
+    levels = [int(s.split()[1]) for _, _, s, _ in rows]
+    got = {r["section_idx"]: r["words"] for r in structure.rolled_up(structure.own_words(structure.walk(blocks))).collect()}
+    for k in range(0, 3000, 97):
+        end = next((j for j in range(k + 1, 3000) if levels[j] <= levels[k]), 3000)
+        assert got[k + 1] == 2 * (end - k)
+    report = structure.count_report(blocks).first()
+    assert report["total"] == 6000 and len(report["sections"]) == 3000
+
+
+def write_folder(folder, texts):
+    folder.mkdir()
+    for name, text in texts.items():
+        (folder / f"{name}.txt").write_text(text + "\n")
+    return str(folder)
+
+
+def test_commands(spark, tmp_path, monkeypatch, capsys):
+    monkeypatch.setenv("XDG_CONFIG_HOME", str(tmp_path / "config"))
+    rng = random.Random(1)
+    words = "river stone garden letter window morning paper music winter field".split()
+    prose = lambda: " ".join(rng.choice(words).capitalize() + " " + " ".join(rng.choices(words, k=9)) + "." for _ in range(8))
+    human = write_folder(tmp_path / "human", {f"h{i:02}a": prose() for i in range(4)})
+    ai = write_folder(tmp_path / "ai", {f"a{i:02}a": ("The same words come again and again here. " * 8).strip() for i in range(4)})
+    draft = tmp_path / "draft.txt"
+    draft.write_text(prose() + "\n\n" + "The same words come again and again here. " * 8)
+    run = lambda *argv: (api.main(list(argv)), capsys.readouterr().out)
+    code, out = run("calibrate", "--human-dir", human, "--ai-dir", ai, "--check", str(draft))
+    assert code == 0 and "paragraphs flagged" in out and thresholds.pair("counts")[2] and thresholds.band()[2]
+    code, out = run("bino", str(draft), "--reference", human)
+    assert code == 0 and "P  1" in out and "P  2" in out
+    assert "ratio:" in run("bino", "--text", prose(), "--threshold", "0.5")[1]
+    code, out = run("score", str(draft))
+    assert code == 0 and "reminder" in out
+    assert run("score", str(draft), "--segments")[0] == 0 and "AI score" in run("score", "--text", prose())[1]
+    code, out = run("check", str(draft), "--scorer", "test_operators:everything_red", "--window-scorer", "test_operators:nothing_red")
+    assert code == 0 and "AI-ish run" in out and "100% of prose" in out and "windows alone: 0% red | paragraphs: 2 red, 0 borderline" in out
+    (tmp_path / "blank.txt").write_text("\n")
+    assert run("check", str(tmp_path / "blank.txt"))[0] == 1
+    assert run("score")[0] == 2 and run("generate", "--topics", "x", "--out-dir", "y", "--endpoint", "z", "--model", "m")[0] == 2
+    pairs = tmp_path / "pairs.json"
+    pairs.write_text(json.dumps([{"source": "s", "scan_idx": i, "ocr": prose(), "clean": prose(), "similarity": 0.9} for i in range(3)]))
+    code, out = run("ocr-bias", "--pairs", str(pairs))
+    assert code == 0 and json.loads(out)["n"] == 3 and "median_error" in out
+
+
+def everything_red():
+    return scorers.FunctionScorer(lambda: lambda texts: [0.1] * len(texts), -1)
+
+
+def nothing_red():
+    return scorers.FunctionScorer(lambda: lambda texts: [0.1] * len(texts), 1)
+
+
+def test_extract_and_count_commands(spark, tmp_path, capsys):
+    path = tmp_path / "draft.docx"
+    path.write_bytes(docx([("h1", "Intro"), ("n", "One two three."), ("n", "Four.")]))
+    assert api.main(["extract", str(path)]) == 0
+    assert (tmp_path / "draft prose.txt").read_text() == "One two three.\n\nFour."
+    assert api.main(["extract", str(path), str(tmp_path / "own.txt")]) == 0 and (tmp_path / "own.txt").exists()
+    assert api.main(["count", str(path)]) == 0 and "Intro: 4  [" in capsys.readouterr().out
+
+
+def test_generate_command_body(spark, tmp_path):
+    topics = [{"id": "h01a", "topic": "tides"}, {"id": "h02b", "topic": "salt", "position": "analysis"}]
+    answer = "Here is the paragraph:\n" + "The water rises and falls twice each day here. " * 12
+    made = api.generate(spark, topics, ["v/one"], str(tmp_path / "ai"), lambda m, p: answer, words=80, seed=2, sleep=lambda s: None)
+    assert [r["id"] for r in made] == ["a01a", "a02b"] and all(80 <= r["words_kept"] <= 90 for r in made)
+    assert (tmp_path / "ai" / "a01a.txt").read_text().startswith("The water")
+    api.generate(spark, topics[:1], ["v/two"], str(tmp_path / "ai"), lambda m, p: answer, words=80, append=True, sleep=lambda s: None)
+    kept = json.loads((tmp_path / "ai" / "manifest.json").read_text())
+    assert [(r["id"], r["generated_by"], r["matches"]) for r in kept] == [("a01a", "v/two", "h01a"), ("a02b", "v/one", "h02b")]
+    human = spark.createDataFrame([("h01a",), ("h03c",)], "id string")
+    ai = spark.createDataFrame([(r["id"], r["matches"]) for r in kept], "id string, matches string")
+    assert sorted(map(tuple, generation.unmatched(human, ai).collect())) == [("a02b", "ai"), ("h03c", "human")]
+
+
+def test_build_corpus_command(spark, tmp_path, capsys):
+    scans = tmp_path / "scans"
+    scans.mkdir()
+    lines = []
+    for page in range(6):
+        y = 0.9
+        lines.append("A Title Of An Essay\t0.1\t0.95\t0.5\t1")
+        for k in range(7):
+            said = ("Along the coast the " if k == 0 else "") + "water rises and falls twice a day while boats wait outside for it" + (" again." if k == 6 else "")
+            lines.append(f"{said}\t0.1\t{y:.3f}\t{0.3 if k == 6 else 0.8}\t1")
+            y -= 0.02
+        lines.append("---PAGEBREAK---")
+    (scans / "Marine_Studies_4.tsv").write_text("\n".join(lines) + "\n")
+    assert api.main(["build-corpus", "--tsv-dir", str(scans), "--out-dir", str(tmp_path / "human")]) == 0
+    rows = json.loads((tmp_path / "human" / "manifest.json").read_text())
+    assert [r["id"] for r in rows] == ["h01a", "h01b", "h01c"] and {r["topic"] for r in rows} == {"A Title Of An Essay"} and {r["subject"] for r in rows} == {"Marine Studies"}
+    assert len(list((tmp_path / "human").glob("*.txt"))) == 3 and "3 samples from 1 essays" in capsys.readouterr().out
+    clean = write_folder(tmp_path / "clean", {"c1": 'He said "so" 4 times'})
+    assert api.main(["build-corpus", "--tsv-dir", str(scans), "--out-dir", str(tmp_path / "x"), "--known-clean", clean]) == 1
+
+
+def test_pooled_head(spark):
+    import numpy as np
+
+    encode = lambda: lambda texts: (np.array([[[len(t), 1.0], [9.0, 9.0]] for t in texts]), np.array([[1, 0]] * len(texts)))
+    df = spark.createDataFrame([(1, "ab"), (2, "abcd")], "id int, text string")
+    got = {r["id"]: r["score"] for r in scorers.PooledHead(encode, [1.0, -2.0]).score(df).collect()}
+    assert got[1] == pytest.approx(0.5) and got[2] == pytest.approx(1 / (1 + np.exp(-2.0)))
+
+
+def test_fuzzy_pairs_take_the_best_left(spark):
+    scans = spark.createDataFrame([("s", 0, "a quiet harbour at n1ght"), ("s", 1, "a quiet harbour at night."), ("t", 0, "a quiet harbour at night")], "source string, scan_idx int, ocr string")
+    clean = spark.createDataFrame([("s", 0, "a quiet harbour at night"), ("s", 1, "a quiet harbour at nights"), ("u", 0, "x")], "source string, clean_idx int, clean string")
+    got = sorted((r["source"], r["scan_idx"], r["clean"]) for r in audit.pair_up(scans, clean).collect())
+    used, want = set(), []
+    for i, t in enumerate(["a quiet harbour at n1ght", "a quiet harbour at night."]):
+        r, c = max((audit.ratio(x, t), x) for x in ["a quiet harbour at night", "a quiet harbour at nights"] if x not in used)
+        used.add(c)
+        want.append(("s", i, c))
+    assert got == want
 
 
 def test_stream_scores_what_arrives(spark, tmp_path):
