@@ -66,15 +66,23 @@ def drop_written(df: DataFrame) -> None:
 
 def nested(docs: DataFrame, keep: list[str], *more: Column) -> DataFrame:
     """``keep`` columns in one struct, so that no name clashes with an operator's own, and ``more``."""
-    return docs.select(F.struct(*[F.col(_quoted(c)) for c in dict.fromkeys(keep)] or [F.lit(None).alias("_none")]).alias("_keep"), *more)
+    return docs.select(F.struct(*[F.col(quoted(c)) for c in dict.fromkeys(keep)] or [F.lit(None).alias("_none")]).alias("_keep"), *more)
 
 
 def unnested(df: DataFrame, keep: list[str], added: list[str]) -> DataFrame:
     """The nested columns and the added ones; a kept column of an added one's name gives way to it."""
-    return df.select(*[F.col(f"_keep.{_quoted(c)}").alias(c) for c in dict.fromkeys(keep) if c not in added], *added)
+    return df.select(*[F.col(f"_keep.{quoted(c)}").alias(c) for c in dict.fromkeys(keep) if c not in added], *added)
 
 
-def _quoted(name: str) -> str:
+def free_name(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
