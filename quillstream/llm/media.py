@@ -5,14 +5,21 @@ captions. Media are stored once a batch as grey 8-bit PNG files of 64 samples a
 payload. A join on the digest resolves references; each item keeps its position and caption, so that sequences can
 be put together again in order. Payloads are never shuffled: what is joined is what was read from a stored file.
 
-Cases. Null or empty text or HTML: an empty sequence, and a payload of 64 zero bytes. References without a stored
-file stay, unresolved (null). Equal payloads have equal digests, files and features. Repeated rows stay repeated.
-Extra columns are ignored, whatever their names.
+Rules of parsing. Block elements end a run of text, inline ones and line breaks do not; runs of ASCII white space are
+one space. A medium's caption is that of the nearest enclosing figure that has one, wherever in the figure it stands
+(it counts for all media of the figure), or else its alternative text. Audio and video are one item each, with the
+first source of theirs. End tags that HTML lets go may be missing. Scripts, styles, titles and templates are left out.
+
+Cases. Null or empty text or HTML: an empty sequence, and a payload of 64 zero bytes. Empty tables: no rows.
+References without a stored file stay, unresolved (null). Equal payloads have equal digests, files and features; of
+files that tie in digest any one is read, as they are equal. Repeated rows stay repeated. Very long texts and pages
+are taken whole. Columns that are not kept are ignored; a kept one of an added one's name gives way to it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from html.parser import HTMLParser
@@ -22,14 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import session_setup, with_added
+from .common import nested, session_setup, unnested, with_added
 
 WIDTH = 64
 SCHEME = "sha256:"
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
-_HIDDEN = {"script", "style", "head", "title", "noscript", "template"}
+_HIDDEN = {"script", "style", "title", "noscript", "template"}
+_BLANK = re.compile("[ \t\n\f\r]+")
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "em", "i", "kbd", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "u", "var"}
-ITEM = "struct<position int, kind string, text string, digest string, caption string>"
+ITEM = "struct<position int, kind string, text string, src string, digest string, caption string>"
 
 
 # Stored form ----------------------------------------------------------------------------------------------------
@@ -121,84 +129,133 @@ def features(media: DataFrame) -> DataFrame:
 # Sequences ------------------------------------------------------------------------------------------------------
 
 
+def _squeezed(parts: list[str]) -> str | None:
+    return _BLANK.sub(" ", "".join(parts)).strip(" ") or None
+
+
 class _Sequence(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.text: list[str] = []
-        self.hidden = self.captions = 0
-        self.open: dict | None = None
-        self.caption: list[str] = []
+        self.hidden: list[str] = []
+        #: Open figures, each the text of its caption; ``captioned`` is the one whose caption is being read.
+        self.figures: list[list[str]] = []
+        self.captioned: list[str] | None = None
+        self.player: dict | None = None
+        self.figures_of: list[tuple[dict, list[list[str]]]] = []
 
     def flush(self):
-        said = " ".join("".join(self.text).split())
-        self.text = []
+        said, self.text = _squeezed(self.text), []
         if said:
-            self.items.append({"position": len(self.items), "kind": "text", "text": said, "digest": None, "caption": None})
+            self.items.append({"position": len(self.items), "kind": "text", "text": said, "src": None, "digest": None, "caption": None})
+
+    def medium(self, src: str | None, alt: str | None) -> dict:
+        self.flush()
+        item = {"position": len(self.items), "kind": "media", "text": None, "src": None, "digest": None, "caption": _squeezed([alt or ""])}
+        self.items.append(item)
+        self.figures_of.append((item, self.figures[::-1]))
+        self.refer(item, src)
+        return item
+
+    @staticmethod
+    def refer(item: dict, src: str | None):
+        item["src"] = src or None
+        item["digest"] = src.removeprefix(SCHEME) if src and src.startswith(SCHEME) else None
+
+    def gap(self):
+        if self.captioned is None:
+            self.flush()
+        else:
+            self.captioned.append(" ")
 
     def handle_starttag(self, tag, attrs):
         if tag in _HIDDEN:
-            self.hidden += 1
-        elif tag in ("img", "audio", "video", "source"):
+            self.hidden.append(tag)
+        elif self.hidden:
+            return
+        elif tag == "img":
+            self.medium(dict(attrs).get("src"), dict(attrs).get("alt"))
+        elif tag in ("audio", "video"):
+            self.player = self.medium(dict(attrs).get("src"), dict(attrs).get("title"))
+        elif tag == "source":
+            if self.player is not None and self.player["src"] is None:
+                self.refer(self.player, dict(attrs).get("src"))
+        elif tag == "br":
+            (self.text if self.captioned is None else self.captioned).append(" ")
+        elif tag == "figure":
             self.flush()
-            a = dict(attrs)
-            src = a.get("src") or ""
-            self.open = {"position": len(self.items), "kind": "media", "text": None, "digest": src.removeprefix(SCHEME) if src.startswith(SCHEME) else None, "caption": a.get("alt") or None}
-            self.items.append(self.open)
-        elif tag == "figcaption":
-            self.captions += 1
-            self.caption = []
+            self.captioned = None
+            self.figures.append([])
+        elif tag == "figcaption" and self.figures:
+            self.captioned = self.figures[-1]
+            self.captioned.append(" ")
         elif tag not in _INLINE:
-            self.flush()
+            self.gap()
 
     def handle_endtag(self, tag):
-        if tag in _HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
+        if tag in self.hidden:
+            del self.hidden[self.hidden.index(tag) :]
+        elif self.hidden or tag in ("br", "source"):
+            return
         elif tag == "figcaption":
-            self.captions = max(0, self.captions - 1)
-            if self.open is not None:
-                self.open["caption"] = " ".join("".join(self.caption).split()) or None
+            self.captioned = None
         elif tag == "figure":
             self.flush()
-            self.open = None
-        elif tag not in _INLINE:
-            self.flush()
+            self.captioned = None
+            self.figures = self.figures[:-1]
+        elif tag in ("audio", "video"):
+            self.player = None
+        elif tag not in _INLINE and tag != "img":
+            self.gap()
 
     def handle_data(self, data):
         if not self.hidden:
-            (self.caption if self.captions else self.text).append(data)
+            (self.text if self.captioned is None else self.captioned).append(data)
+
+    def finish(self) -> list[dict]:
+        self.close()
+        self.flush()
+        for item, figures in self.figures_of:
+            item["caption"] = next(filter(None, map(_squeezed, figures)), item["caption"])
+        return self.items
 
 
 def parse(html: str | None) -> list[dict]:
-    """Ordered items of a page: text, and media with digest (null if src is no digest) and caption."""
+    """Ordered items of a page: text, and media with reference, digest (null if it is none) and caption."""
     seq = _Sequence()
     seq.feed(html or "")
-    seq.close()
-    seq.flush()
-    return seq.items
+    return seq.finish()
 
 
 def sequences(pages: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns of ``pages`` (which has html) with items, an array of ordered structs."""
     session_setup(pages.sparkSession)
-    item = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())])
+    item = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("src", pa.string()), ("digest", pa.string()), ("caption", pa.string())])
 
     def work(batches):
         for batch in batches:
-            items = [parse(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(items, pa.list_(item))], [*batch.schema.names[:-1], "items"])
+            for at in range(0, batch.num_rows, 250):
+                part = batch.slice(at, 250)
+                items = [parse(x) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(items, pa.list_(item))], ["_keep", "items"])
 
-    picked = pages.select(*keep, "html")
-    return picked.mapInArrow(work, with_added(picked, f"items array<{ITEM}>"))
+    picked = nested(pages, keep, F.col("html").cast("string").alias("html"))
+    return unnested(picked.mapInArrow(work, with_added(picked, f"items array<{ITEM}>")), keep, ["items"])
 
 
 def resolved(seqs: DataFrame, keep: list[str], media: DataFrame) -> DataFrame:
-    """One row an item: ``keep`` columns, position, kind, text, digest, caption and ``media``'s columns by digest.
+    """One row an item: ``keep`` columns, position, kind, text, src, digest, caption and ``media``'s columns by digest.
 
-    A plain join, so that a digest many documents share is split by adaptive execution.
+    A plain join, so that a digest many documents share is split by adaptive execution. Items without a digest are
+    dealt out instead of meeting in one task; where their texts need not be joined, filter ``items`` before.
     """
-    items = seqs.select(*keep, F.inline("items"))
-    return items.join(media, "digest", "left")
+    names = ["position", "kind", "text", "src", "digest", "caption"]
+    more = [c for c in media.columns if c != "digest"]
+    items = nested(seqs, keep, F.inline("items"))
+    dealt = F.coalesce("digest", F.concat(F.lit("-"), F.xxhash64("_keep", "position").cast("string")))
+    out = items.withColumn("_by", dealt).join(media.withColumnRenamed("digest", "_by"), "_by", "left")
+    return unnested(out, [c for c in keep if c not in more], [*names, *more])
 
 
 def assembled(items: DataFrame, key: str) -> DataFrame:

@@ -51,16 +51,32 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, ["doc_id", "held_out"], language.fit(docs.where(~F.col("held_out"))))
 
 
+def page_of(text: Column, digest: Column, n_bytes: Column) -> Column:
+    """A document as a page: a paragraph a line, and after the first one a figure of its payload with a caption."""
+    safe = text
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        safe = F.replace(safe, F.lit(mark), F.lit(name))
+    part = F.split(safe, "\n", 2)
+    rest = F.replace(F.coalesce(F.get(part, F.lit(1)), F.lit("")), F.lit("\n"), F.lit("<p>"))
+    return F.concat(F.lit("<html><head><title>A document</title><body><p>"), F.get(part, F.lit(0)), F.lit("<figure><figcaption>"), n_bytes.cast("string"), F.lit(" bytes</figcaption><img src='sha256:"), digest, F.lit("'></figure><p>"), rest)
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text is a media payload that a small page of its document refers to by digest."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.octet_length(text_or_empty().cast("binary")).cast("long").alias("n_bytes"), media.payload(F.col("text")).alias("payload"))
+    """Each text is a payload, and a page whose paragraphs are its lines, with a figure that refers to the payload.
+
+    n_items counts the page's items; runs_sha256 is the digest of its runs of text joined by line feeds.
+    """
+    docs = read(spark, sf_dir, "documents").select("doc_id", text_or_empty().alias("text"), F.octet_length(text_or_empty().cast("binary")).cast("long").alias("n_bytes"), media.payload(F.col("text")).alias("payload"))
     files = written(media.stored(docs), "media")
-    page = F.concat(F.lit("<article><p>Before</p><figure><img src='sha256:"), F.sha2("payload", 256), F.lit("'><figcaption>"), F.col("n_bytes").cast("string"), F.lit(" bytes</figcaption></figure><p>After</p></article>"))
+    page = page_of(F.col("text"), F.sha2("payload", 256), F.col("n_bytes"))
     seqs = media.sequences(docs.select("doc_id", "n_bytes", page.alias("html")), ["doc_id", "n_bytes"])
+    runs = F.array_join(F.transform(F.filter("items", lambda x: x["kind"] == "text"), lambda x: x["text"]), "\n")
+    # Texts are digested where they are read; only references move.
+    refs = seqs.select("doc_id", "n_bytes", F.size("items").alias("n_items"), F.sha2(runs.cast("binary"), 256).alias("runs_sha256"), F.filter("items", lambda x: x["kind"] == "media").alias("items"))
     # Written, so that both sides of the join are plain exchanges and a digest that many documents share is split.
     facts = written(media.features(files), "features")
-    items = media.resolved(seqs, ["doc_id", "n_bytes"], facts).where("kind = 'media'")
-    return items.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    items = media.resolved(refs, ["doc_id", "n_bytes", "n_items", "runs_sha256"], facts)
+    return items.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_items", "runs_sha256")
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
