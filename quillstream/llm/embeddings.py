@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 from .common import components, mix, session_setup, written
-from .groups import by_unit, dealt, forest, pairs_allowed
+from .groups import by_unit, dealt
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -130,14 +130,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int = 1
     busy = written(code_rows.groupBy("code").agg(F.count("*").alias("size")).where("size > 1"), "busy")
     met = written(code_rows.join(busy, "code"), "met")
 
-    def compare(table: pa.Table):
-        linked = np.zeros((table.num_rows, table.num_rows), bool)
+    def prepare(table: pa.Table) -> dict[str, np.ndarray]:
+        """Unit vectors, filled up with zeros to one length, and their lengths."""
+        size = np.diff(table.column("vec").combine_chunks().offsets.to_numpy())
+        x = np.zeros((table.num_rows, size.max(initial=0)))
         for at in _by_length(table):
-            x = _rows(table.column("vec").take(at))
-            linked[np.ix_(at, at)] = (x @ x.T) >= threshold
-        linked &= pairs_allowed(table)
-        a, b = forest(table.column("node").to_numpy(), linked)
-        return a, b, np.zeros(len(a), np.int64)
+            x[at, : size[at[0]]] = _rows(table.column("vec").take(at))
+        return {"x": x, "size": size}
+
+    def few(arrays: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        x = arrays["x"]
+        return ((x[i] * x[j]).sum(axis=1) >= threshold) & (arrays["size"][i] == arrays["size"][j])
+
+    def many(unit: dict) -> np.ndarray:
+        return (unit["x"] @ unit["x"].T >= threshold) & (unit["size"][:, None] == unit["size"][None, :])
 
     def middle(table: pa.Table) -> pa.Table:
         """The sample's vector with the most links."""
@@ -165,25 +171,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int = 1
         return settles
 
     units, passive = dealt(met, "code", payload, "node", middle, within(threshold), f"pivot_vec {wide}, pivot_node long")
-    links = by_unit(units, "code", compare).select("a", "b").unionByName(passive.select(F.col("pivot_node").alias("a"), F.col("node").alias("b")).where("a != b"))
+    links = by_unit(units, "code", "node", prepare, few, many).select("a", "b").unionByName(passive.select(F.col("pivot_node").alias("a"), F.col("node").alias("b")).where("a != b"))
     of = written(components(links.distinct()), "components").select(F.col("id").alias("node"), "component")
     sizes = written(of.groupBy("component").agg(F.count("*").alias("size")), "sizes")
     members = written(of.join(sizes, "component"), "members")
     facts = classes.select("node", "times", "vec")
 
-    def count(table: pa.Table):
-        x = _rows(table.column("vec"))
-        ids, times = table.column("node").to_numpy(), table.column("times").to_numpy()
-        linked = ((x @ x.T) >= threshold) & pairs_allowed(table)
-        return ids, ids, (linked | linked.T) @ times
-
     # Any two within half the angle of one direction are linked; a millionth of a radian is left to rounding.
     half = float(np.cos(max(np.arccos(threshold) / 2 - 1e-6, 0.0)))
     units, passive = dealt(members, "component", facts, "node", mean, within(half), f"pivot_vec {wide}")
     weighed = passive.join(facts.select("node", "times"), "node")
     total = written(weighed.groupBy("component").agg(F.sum("times").alias("all")), "totals")
     sure = weighed.join(total, "component").select("node", (F.col("all") - F.col("times")).alias("n"))
-    counts = by_unit(units, "component", count).select(F.col("a").alias("node"), "n").unionByName(sure).groupBy("node").agg(F.sum("n").alias("linked"))
+    counts = by_unit(units, "component", "node", prepare, few, many, counted=True).where("a = b").select(F.col("a").alias("node"), "n").unionByName(sure).groupBy("node").agg(F.sum("n").alias("linked"))
     smallest = written(of.join(classes.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("component_id")), "smallest")
     named = of.join(smallest, "component").select("node", "component_id")
     labels = written(classes.select("node", "id", "h1", "h2", "times").join(counts, "node", "left").join(named, "node", "left"), "labels")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-LEAST, MOST, AIM, SAMPLE = 64, 1024, 48, 64
+LEAST, MOST, AIM, SAMPLE, FEW = 64, 1024, 48, 64, 8
 
 
 def dealt(members: DataFrame, key: str, payload: DataFrame, item: str, choose: Callable[[pa.Table], pa.Table], settles: Callable[[pa.Table], np.ndarray], pivot: str, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -69,42 +69,78 @@ def dealt(members: DataFrame, key: str, payload: DataFrame, item: str, choose: C
     return units.join(payload, item), marked.join(first, key).select(key, item, *longs, "first")
 
 
-def by_unit(rows: DataFrame, key: str, work: Callable[[pa.Table], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
-    """Run ``work`` on each unit's rows; it gives arrays a, b and n of the rows to return."""
+def by_unit(rows: DataFrame, key: str, item: str, prepare: Callable[[pa.Table], dict[str, np.ndarray]], few: Callable, many: Callable, counted: bool = False) -> DataFrame:
+    """Links within units, as (a, b, n): a forest of the linked pairs of items with n = 0.
 
-    def unit(_, table: pa.Table) -> pa.Table:
-        a, b, n = (np.zeros(0),) * 3 if table.num_rows < 2 else work(table)
-        return pa.table({"a": np.asarray(a, np.int64), "b": np.asarray(b, np.int64), "n": np.asarray(n, np.int64)})
+    With ``counted`` also (item, item, n): the sum of ``times`` of the rows it is linked to in the unit. ``prepare``
+    makes arrays of a batch's rows; ``few`` tells which of the pairs of rows (arrays, i, j) are linked and ``many``
+    gives a square of booleans for all rows of a unit. Units of up to ``FEW`` rows are taken together.
+    """
+    by = [key, "_p", "_q"]
 
-    return _each(rows, [key, "_p", "_q"], unit, "a long, b long, n long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cuts in _whole(batches, by):
+            arrays = prepare(table) | {c: table.column(c).to_numpy() for c in (item, "_b", "_p", "_q")}
+            if counted:
+                arrays["times"] = table.column("times").to_numpy()
+            ids, out = arrays[item], []
+            counts = np.zeros(table.num_rows, np.int64)
+            first, size = np.array(cuts[:-1]), np.diff(cuts)
+            for n in range(2, FEW + 1):
+                start = first[size == n]
+                for some in (start[at : at + 20_000] for at in range(0, len(start), 20_000)):
+                    x, y = np.triu_indices(n, 1)
+                    i, j = (some[:, None] + x).reshape(-1), (some[:, None] + y).reshape(-1)
+                    own = (arrays["_p"][i] == arrays["_q"][i]) | (arrays["_b"][i] != arrays["_b"][j])
+                    i, j = i[own], j[own]
+                    hit = few(arrays, i, j)
+                    i, j = i[hit], j[hit]
+                    if counted:
+                        np.add.at(counts, i, arrays["times"][j])
+                        np.add.at(counts, j, arrays["times"][i])
+                    out.append((np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])))
+            for start, n in zip(first[size > FEW], size[size > FEW], strict=True):
+                unit = {k: v[start : start + n] for k, v in arrays.items()}
+                linked = many(unit) & allowed(unit)
+                if counted:
+                    counts[start : start + n] += (linked | linked.T) @ unit["times"]
+                out.append(forest(unit[item], linked))
+            a, b = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+            some = np.flatnonzero(counts)
+            a, b, n = np.r_[a, ids[some]], np.r_[b, ids[some]], np.r_[np.zeros(len(a), np.int64), counts[some]]
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (a, b, n)], ["a", "b", "n"])
+
+    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long, n long")
 
 
 def _each(rows: DataFrame, by: list[str], work: Callable[[int, pa.Table], pa.Table], ddl: str) -> DataFrame:
     """``work`` on the rows of each combination of values of ``by`` (longs, of which the first is passed on)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: pa.Table | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if kept is not None:
-                table = pa.concat_tables([kept, table])
-            table = table.combine_chunks()
-            cuts = _cuts(table, by)
-            yield from _flush(table, cuts[:-1])
-            kept = table.slice(cuts[-2]) if len(cuts) > 1 else None
-        if kept is not None:
-            kept = kept.combine_chunks()
-            yield from _flush(kept, _cuts(kept, by))
-
-    def _flush(table: pa.Table, cuts: list[int]) -> Iterator[pa.RecordBatch]:
-        parts = (table.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False))
-        out = [work(p.column(by[0])[0].as_py(), p) for p in parts]
-        if out:
-            yield from pa.concat_tables(out).combine_chunks().to_batches()
+        for table, cuts in _whole(batches, by):
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                part = table.slice(a, b - a)
+                yield from work(part.column(by[0])[0].as_py(), part).combine_chunks().to_batches()
 
     return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, ddl)
 
 
+def _whole(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Tables of whole groups of rows that agree in ``by`` (rows come sorted), and where groups begin and end."""
+    kept: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if kept is not None:
+            table = pa.concat_tables([kept, table])
+        table = table.combine_chunks()
+        cuts = _cuts(table, by)
+        if len(cuts) > 2:
+            yield table.slice(0, cuts[-2]).combine_chunks(), cuts[:-1]
+        kept = table.slice(cuts[-2]) if len(cuts) > 1 else None
+    if kept is not None:
+        yield kept.combine_chunks(), [0, kept.num_rows]
+
+
 def _cuts(table: pa.Table, by: list[str]) -> list[int]:
     if not table.num_rows:
         return [0]
@@ -116,12 +152,11 @@ def _cuts(table: pa.Table, by: list[str]) -> list[int]:
     return [*np.flatnonzero(change).tolist(), table.num_rows]
 
 
-def pairs_allowed(table: pa.Table) -> np.ndarray:
+def allowed(unit: dict[str, np.ndarray]) -> np.ndarray:
     """Which pairs of rows are this unit's: those of its two blocks, or all of its one block; above the diagonal."""
-    b = table.column("_b").to_numpy()
-    p, q = table.column("_p")[0].as_py(), table.column("_q")[0].as_py()
+    b = unit["_b"]
     allowed = np.triu(np.ones((len(b), len(b)), bool), 1)
-    if p != q:
+    if unit["_p"][0] != unit["_q"][0]:
         allowed &= b[:, None] != b[None, :]
     return allowed
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, mix, nested, pieces_of, session_setup, text_or_empty, unnested, utf8, with_added, words, written
-from .groups import by_unit, dealt, forest, pairs_allowed
+from .groups import allowed, by_unit, dealt
 
 BANDS, ROWS = 20, 4
 HASHES = BANDS * ROWS
@@ -105,6 +105,12 @@ def survivors(signatures: np.ndarray, allowed: np.ndarray, least: np.ndarray, st
     return i, j
 
 
+def likely(one: np.ndarray, other: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Which rows of two arrays of signatures are still likely after every ``STEP`` values."""
+    matches = (one == other).reshape(len(one), -1, STEP).sum(axis=2).cumsum(axis=1)
+    return (matches >= least[STEP :: STEP]).all(axis=1)
+
+
 def exact(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
     """Which of the pairs have a Jaccard similarity of at least ``threshold``."""
     size = np.array([len(s) for s in sets])
@@ -182,12 +188,17 @@ def similar(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, ke
     busy = written(codes.groupBy("code").agg(F.count("*").alias("size")).where("size > 1"), "busy")
     met = written(codes.join(busy, "code"), "met")
 
-    def compare(table: pa.Table):
-        i, j = survivors(_signatures(table.column("signature")), pairs_allowed(table), least)
-        linked = np.zeros((table.num_rows, table.num_rows), bool)
-        linked[i, j] = True
-        a, b = forest(table.column("node").to_numpy(), linked)
-        return a, b, np.zeros(len(a), np.int64)
+    def signed(table: pa.Table) -> dict[str, np.ndarray]:
+        return {"signature": _signatures(table.column("signature"))}
+
+    def few(arrays: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return likely(arrays["signature"][i], arrays["signature"][j], least)
+
+    def many(unit: dict) -> np.ndarray:
+        s = unit["signature"]
+        linked = np.zeros((len(s), len(s)), bool)
+        linked[survivors(s, allowed(unit), least)] = True
+        return linked
 
     def middle(table: pa.Table) -> pa.Table:
         """The sample's text that ties most others."""
@@ -195,13 +206,11 @@ def similar(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, ke
         best = int(np.bincount(np.r_[i, j, 0], minlength=table.num_rows).argmax())
         return pa.table({"pivot_signature": table.column("signature").slice(best, 1), "pivot_node": table.column("node").slice(best, 1)})
 
-    def likely(table: pa.Table) -> np.ndarray:
-        same = (_signatures(table.column("signature")) == _signatures(table.column("pivot_signature"))).cumsum(axis=1)
-        steps = np.arange(STEP, HASHES + 1, STEP)
-        return (same[:, steps - 1] >= least[steps]).all(axis=1)
+    def tied(table: pa.Table) -> np.ndarray:
+        return likely(_signatures(table.column("signature")), _signatures(table.column("pivot_signature")), least)
 
-    units, passive = dealt(met, "code", classes.select("node", "signature"), "node", middle, likely, "pivot_signature binary, pivot_node long", least=256)
-    ties = by_unit(units, "code", compare).select("a", "b").unionByName(passive.select(F.col("pivot_node").alias("a"), F.col("node").alias("b")).where("a != b"))
+    units, passive = dealt(met, "code", classes.select("node", "signature"), "node", middle, tied, "pivot_signature binary, pivot_node long", least=256)
+    ties = by_unit(units, "code", "node", signed, few, many).select("a", "b").unionByName(passive.select(F.col("pivot_node").alias("a"), F.col("node").alias("b")).where("a != b"))
     clusters = written(components(ties.distinct()), "clusters").select(F.col("id").alias("node"), "component")
 
     def sets(batches):
@@ -218,18 +227,24 @@ def similar(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, ke
     sizes = written(clusters.groupBy("component").agg(F.count("*").alias("size")), "sizes")
     members = written(clusters.join(sizes, "component"), "members")
 
-    def verify(table: pa.Table):
-        ids, times = table.column("node").to_numpy(), table.column("times").to_numpy()
-        i, j = survivors(_signatures(table.column("signature")), pairs_allowed(table), least)
-        if len(i):
-            ok = exact([np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()], i, j, threshold)
-            i, j = i[ok], j[ok]
-        linked = np.zeros((table.num_rows, table.num_rows), bool)
-        linked[i, j] = True
-        n = np.bincount(i, weights=times[j], minlength=len(ids)) + np.bincount(j, weights=times[i], minlength=len(ids))
-        a, b = forest(ids, linked)
-        some = n > 0
-        return np.r_[ids[some], a], np.r_[ids[some], b], np.r_[n[some], np.zeros(len(a))]
+    def whole_sets(table: pa.Table) -> dict[str, np.ndarray]:
+        sets = np.empty(table.num_rows, object)
+        sets[:] = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        return signed(table) | {"sets": sets}
+
+    def few_exact(arrays: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        hit = few(arrays, i, j)
+        at, own = np.unique(np.r_[i[hit], j[hit]], return_inverse=True)
+        hit[hit] = exact(list(arrays["sets"][at]), own[: hit.sum()], own[hit.sum() :], threshold)
+        return hit
+
+    def many_exact(unit: dict) -> np.ndarray:
+        linked = many(unit)
+        i, j = np.nonzero(linked)
+        ok = exact(list(unit["sets"]), i, j, threshold)
+        linked[:] = False
+        linked[i[ok], j[ok]] = True
+        return linked
 
     def common(table: pa.Table) -> pa.Table:
         """The runs that more than half of the sample's texts have."""
@@ -249,8 +264,8 @@ def similar(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, ke
     weighed = passive.join(facts.select("node", "times"), "node")
     total = written(weighed.groupBy("component").agg(F.sum("times").alias("all")), "totals")
     sure = weighed.join(total, "component").select(F.col("node").alias("a"), F.col("node").alias("b"), (F.col("all") - F.col("times")).alias("n"))
-    tied = passive.select(F.col("first").alias("a"), F.col("node").alias("b"), F.lit(0).cast("long").alias("n")).where("a != b")
-    found = written(by_unit(units, "component", verify).unionByName(sure).unionByName(tied), "links")
+    joined_by_pivot = passive.select(F.col("first").alias("a"), F.col("node").alias("b"), F.lit(0).cast("long").alias("n")).where("a != b")
+    found = written(by_unit(units, "component", "node", whole_sets, few_exact, many_exact, counted=True).unionByName(sure).unionByName(joined_by_pivot), "links")
     counts = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("linked"))
     final = written(components(found.where("a < b").select("a", "b")), "final").select(F.col("id").alias("node"), "component")
     smallest = written(final.join(classes.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("class_id")), "smallest")
