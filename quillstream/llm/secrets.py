@@ -2,12 +2,15 @@
 
 A byte-pair vocabulary spends few characters a token on random strings and many on words. Runs of letters,
 digits and + / _ = - of ``least`` characters or more that have a letter and come to at most ``ratio`` characters a
-token are reported as kind ``random``; of other runs each part between separators is tested likewise. Not reported
-are bare letters of one case or capitalised (rare long words compress as badly), known digests (bare hexadecimal of a digest's length), UUIDs, what lies within a URL or an e-mail address, and
-what overlaps a span of the other kinds.
-
-Cases. Null or empty text: no spans. Offsets are code points, end exclusive. Every text is scanned whole, row by
-row and without a shuffle; repeated rows give repeated results; other columns are ignored.
+token are reported as kind ``random``; of other runs, and of those within addresses of the web, each part between
+separators is tested likewise. Not reported are bare letters of one case or capitalised (rare long words compress as
+badly), known digests (bare hexadecimal of a digest's length), UUIDs, what lies within an e-mail address, and what
+overlaps a span of the other kinds.
+
+Cases. Null or empty text: no spans. Empty table: no rows. Offsets are code points, end exclusive. Spans that begin
+together come in the order of kinds; of random ones that would overlap, the whole run counts. Every text is scanned
+whole, however long, row by row and without a shuffle; repeated rows give repeated results. Columns that are not kept
+are ignored; a kept one of an added one's name gives way to it.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import session_setup, text_or_empty, with_added
+from .common import nested, session_setup, text_or_empty, unnested, with_added
 
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -28,9 +31,10 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _PART = re.compile(r"[A-Za-z0-9+]+")
-#: URLs, e-mail addresses and UUIDs: runs within them are not tested.
+#: Addresses of the web: in them only parts between separators are tested, as the whole is no run of its own.
+_WEB = re.compile(r"\b[A-Za-z][A-Za-z0-9+.-]{0,30}://[^\s<>\"']+")
+#: E-mail addresses and UUIDs: runs within them are not tested.
 _PLAIN = (
-    re.compile(r"\b[A-Za-z][A-Za-z0-9+.-]{0,30}://[^\s<>\"']+"),
     re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
     re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![A-Za-z0-9])"),
 )
@@ -62,7 +66,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def random_spans(text: str, taken: list[tuple[int, int, str]], encode, ratio: float, least: int) -> list[tuple[int, int, str]]:
     """Runs, or else parts of them between separators, that the vocabulary compresses badly, outside ``taken``."""
-    found, plain = [], None
+    found, plain, web = [], None, []
 
     def is_random(start: int, end: int) -> bool:
         run = text[start:end]
@@ -80,9 +84,10 @@ def random_spans(text: str, taken: list[tuple[int, int, str]], encode, ratio: fl
             continue
         if plain is None:
             plain = [x.span() for p in _PLAIN for x in p.finditer(text)]
+            web = [x.span() for x in _WEB.finditer(text)] if "://" in text else []
         if any(a <= m.start() and m.end() <= b for a, b in plain):
             continue
-        if is_random(m.start(), m.end()):
+        if not any(a <= m.start() and m.end() <= b for a, b in web) and is_random(m.start(), m.end()):
             found.append((m.start(), m.end(), "random"))
             continue
         for part in _PART.finditer(text, m.start(), m.end()):
@@ -129,6 +134,6 @@ def scan(docs: DataFrame, keep: list[str], ranks: str, pattern: str, ratio: floa
             names = ["n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans", "redacted"]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays[: 7 if redacted else 6]], [*batch.schema.names[:-1], *names[: 7 if redacted else 6]])
 
-    picked = docs.select(*keep, text_or_empty().alias("_text"))
-    added = "n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string" + (", redacted string" if redacted else "")
-    return picked.mapInArrow(find, with_added(picked, added))
+    picked = nested(docs, keep, text_or_empty().alias("_text"))
+    added = ["n_assign long", "n_access long", "n_hex long", "n_random long", "base_sha256 string", "spans string", *["redacted string"][: int(redacted)]]
+    return unnested(picked.mapInArrow(find, with_added(picked, ", ".join(added))), keep, [x.split()[0] for x in added])

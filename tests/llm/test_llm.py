@@ -230,7 +230,7 @@ def test_secrets(spark, docs):
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(b.startswith(k) for b in base) for k in ("assign", "access", "hex")]
     by = {r["doc_id"]: r for r in got}
     assert by[9]["n_random"] == 1 and by[9]["redacted"] == "key [RANDOM] end"
-    assert all(by[i]["n_random"] == 0 for i in (0, 1, 8, 10, 11, 13))
+    assert all(by[i]["n_random"] == 0 for i in (0, 1, 8, 11, 13)) and by[10]["redacted"] == "see https://a.example/[RANDOM]"
     assert scan(df.where("false")).count() == 0
 
 
@@ -241,7 +241,79 @@ def test_random_parts_of_dotted_and_glued_strings():
     assert hits(f"key SG.{a}.{b} end") == [a, b]
     assert hits("//" + a) and hits("xKvQmZrLpWtBnYcHqjDfGs") and hits("xK9vQ2mZr7//Lp4WtB8nYc3H")
     assert hits("connection-string-configuration-settings-" + a)[0].endswith(a)
-    assert hits(f"https://x.org/{a} me.{a}@x.org 123e4567-e89b-42d3-a456-426614174000 configuration-of-the-settings") == []
+    assert hits(f"https://x.org/services/{a}?page=2 me.{a}@x.org 123e4567-e89b-42d3-a456-426614174000 configuration-of-the-settings") == [a]
+    assert hits("https://example.org/articles/2024/05/internationalisation-of-the-settings?utm_source=newsletter&utm_campaign=springlaunch") == []
+
+
+def brute_random(text, base, encode, ratio=2.0, least=16):
+    """The rule once more, by plain loops over characters."""
+    spans, run = [], lambda c, marks: c.isascii() and (c.isalnum() or c in marks)
+    plain = [m.span() for p in secrets._PLAIN for m in p.finditer(text)]
+    web = [m.span() for m in secrets._WEB.finditer(text)]
+
+    def runs(a, b, marks):
+        start = None
+        for k in range(a, b + 1):
+            inside = k < b and run(text[k], marks)
+            if inside and start is None:
+                start = k
+            if not inside and start is not None:
+                yield start, k
+                start = None
+
+    def bad(a, b):
+        s = text[a:b]
+        if b - a < least or not any(c.isalpha() for c in s) or any(x < b and a < y for x, y, _ in base):
+            return False
+        if s.isalpha() and (s == s.upper() or s[1:] == s[1:].lower()):
+            return False
+        if len(s) in (32, 40, 56, 64, 96, 128) and set(s) <= set("0123456789abcdefABCDEF"):
+            return False
+        return len(s) / len(encode(s)) <= ratio
+
+    for a, b in runs(0, len(text), "+/_=-"):
+        if b - a >= least and not any(x <= a and b <= y for x, y in plain):
+            whole = bad(a, b) and not any(x <= a and b <= y for x, y in web)
+            spans += [(a, b, "random")] if whole else [(c, d, "random") for c, d in runs(a, b, "+") if bad(c, d)]
+    return spans
+
+
+def test_random_spans_against_brute_force(spark):
+    """On all texts of the smallest table, and on strings made of odd parts."""
+    encode = secrets.tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).encode_ordinary
+    rng = random.Random(4)
+    texts = [r["text"] or "" for r in common.read(spark, "/root/testdata/sf0.001", "documents").select("text").collect()]
+    parts = ["xK9vQ2mZr7Lp4WtB", "8nYc3H", "-", "/", "_", ".", "=", "+", " ", "https://a.org/", "@", "word", "é", "deadbeef" * 4, "SOMEWORDSINCAPITALS", "\n", "me.too@x.org", "password=abcdefghijkl"]
+    texts += ["".join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(600)]
+    found = 0
+    for t in texts:
+        base = secrets.base_spans(t)
+        got = secrets.random_spans(t, base, encode, 2.0, 16)
+        assert got == brute_random(t, base, encode), t
+        found += len(got)
+    assert found > 100
+
+
+def test_random_spans_recall_and_false_alarms(spark):
+    """Random strings of several alphabets in several places; and texts without any planted secret."""
+    encode = secrets.tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).encode_ordinary
+    rng = random.Random(1)
+    sixty_two = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    alphabets = {"base62": (sixty_two, (20, 24, 32, 43)), "base64url": (sixty_two + "-_", (24, 32, 43)), "lower36": ("abcdefghijklmnopqrstuvwxyz0123456789", (24, 32, 40)), "letters": (sixty_two[:52], (24, 32, 40))}
+    places = ["the key {} is", "https://hooks.example.com/services/T0/{}", "a.{}.b", "set-config-value-{}", "x={}&y=1", '"{}"']
+    hit = total = 0
+    for alphabet, sizes in alphabets.values():
+        for place in places:
+            for _ in range(25):
+                s = "".join(rng.choices(alphabet, k=rng.choice(sizes)))
+                t = place.format(s)
+                at = t.index(s)
+                spans = secrets.random_spans(t, secrets.base_spans(t), encode, 2.0, 16)
+                total += 1
+                hit += any(a < at + len(s) and at < b for a, b, _ in spans)
+    assert hit >= 0.95 * total, hit / total
+    clean = [prose(random.Random(i), 120) for i in range(300)] + [" ".join(re.findall(r"[A-Za-z]+", r["text"] or "")) for r in common.read(spark, "/root/testdata/sf0.001", "documents").select("text").collect()]
+    assert sum(bool(secrets.random_spans(t, [], encode, 2.0, 16)) for t in clean) <= 0.01 * len(clean)
 
 
 # 4 ------------------------------------------------------------------------------------------------------------------
