@@ -7,10 +7,13 @@ are first summed to one row a pattern (at most 3**8), which the driver holds. Th
 a linear scorer over hashed features of word shapes, which is trained on a bounded sample (``max_rows``) and scores
 every text.
 
-Distribution. One pass votes, one collects the sample's features, one scores; nothing but the sums is shuffled.
+Distribution. One pass votes, one collects the sample's features (only of rows that can be drawn), one scores;
+nothing but the sums is shuffled.
 
 Cases. Null or empty text, or one without words: score 0, rejected. Ties: a score of exactly the threshold is kept.
-Empty table: no rows. Texts are read whole; repeated rows give repeated results; other columns are ignored.
+Empty table: no rows. Texts are read whole, however long; repeated rows give repeated results, and are drawn for the
+sample together, which its bound then cuts. Columns that are not kept are ignored; a kept one of an added one's name
+gives way to it.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, mix, pieces_of, session_setup, text_or_empty, utf8, with_added, words
+from .common import SPACE, mix, nested, pieces_of, session_setup, text_or_empty, unnested, utf8, with_added, words
 
 GOOD, BAD, ABSTAIN = 1, 0, 2
 #: (name, bad at or above or None, good at or below or None, smallest number of words for a vote)
@@ -180,7 +183,7 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
 
 
 def fit(docs: DataFrame, max_rows: int = 4000, seed: int = 3) -> dict:
-    """Labellers' accuracies from all of ``docs`` and the scorer's weights from a sample of them."""
+    """Labellers' accuracies from all of ``docs`` and the scorer's weights from at most ``max_rows`` of them."""
     session_setup(docs.sparkSession)
     table = vote_patterns(docs).toArrow()
     patterns, counts = table.column("pattern").to_numpy(), table.column("n").to_numpy()
@@ -190,26 +193,29 @@ def fit(docs: DataFrame, max_rows: int = 4000, seed: int = 3) -> dict:
     of = np.full(3 ** len(LABELLERS), np.nan)
     of[patterns] = post
     bad, good = float(((1 - post) * counts).sum()), float((post * counts).sum())
-    half = max_rows / 2
+    # A tenth of room, so that the bound seldom cuts.
+    share_bad, share_good = 0.45 * max_rows / max(bad, 1.0), 0.45 * max_rows / max(good, 1.0)
 
     def pick(batches):
         for batch in batches:
-            label, at, tf, row = [], [], [], 0
+            label, at, tf, drawn, row = [], [], [], [], 0
             draw = batch.column(0).to_numpy()
             for shape in _shapes(batch.column(1)):
                 p = of[_pattern(cast_votes(shape))]
-                share = np.where(p < 0.5, half / max(bad, 1.0), half / max(good, 1.0))
+                share = np.where(p < 0.5, share_bad, share_good)
                 f, whose = shape.features()
                 for i in np.flatnonzero((shape.words > 0) & (draw[row : row + shape.n] < share)):
                     u, n = np.unique(f[shape.before[i] : shape.before[i + 1]], return_counts=True)
                     label.append(float(p[i]))
+                    drawn.append(float(draw[row + i]))
                     at.append(u.astype(np.int32))
                     tf.append((n / (shape.words[i] + SMOOTH)).astype(np.float32))
                 row += shape.n
-            yield pa.RecordBatch.from_arrays([pa.array(label, pa.float64()), pa.array(at, pa.list_(pa.int32())), pa.array(tf, pa.list_(pa.float32()))], ["label", "at", "tf"])
+            yield pa.RecordBatch.from_arrays([pa.array(label, pa.float64()), pa.array(at, pa.list_(pa.int32())), pa.array(tf, pa.list_(pa.float32())), pa.array(drawn, pa.float64())], ["label", "at", "tf", "draw"])
 
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = docs.select(draw.alias("draw"), text_or_empty().alias("text")).mapInArrow(pick, "label double, at array<int>, tf array<float>").toArrow().to_pydict()
+    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    possible = docs.select(draw.alias("draw"), text_or_empty().alias("text")).where(F.col("draw") < max(share_bad, share_good))
+    sample = possible.mapInArrow(pick, "label double, at array<int>, tf array<float>, draw double").orderBy("draw").limit(max_rows).toArrow().to_pydict()
     weights, bias = _logistic(sample["at"], sample["tf"], np.array(sample["label"]))
     return {"weights": weights, "bias": bias, "chance": chance, "prior": prior}
 
@@ -235,7 +241,7 @@ def _logistic(at: list, tf: list, label: np.ndarray, rounds: int = 400, rate: fl
 
 
 def score(docs: DataFrame, keep: list[str], model: dict, threshold: float = 0.5) -> DataFrame:
-    """``keep`` columns of ``docs`` with score (probability of good), kept, and the labellers' votes as text."""
+    """``keep`` columns of ``docs`` with score (probability of good) and kept."""
     session_setup(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((model["weights"], model["bias"], float(np.log(model["prior"] / (1 - model["prior"])))))
 
@@ -255,5 +261,5 @@ def score(docs: DataFrame, keep: list[str], model: dict, threshold: float = 0.5)
             p = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p), pa.array(p >= threshold)], [*batch.schema.names[:-1], "score", "kept"])
 
-    picked = docs.select(*keep, text_or_empty().alias("_text"))
-    return picked.mapInArrow(work, with_added(picked, "score double, kept boolean"))
+    picked = nested(docs, keep, text_or_empty().alias("_text"))
+    return unnested(picked.mapInArrow(work, with_added(picked, "score double, kept boolean")), keep, ["score", "kept"])
