@@ -9,9 +9,11 @@ languages, every fifth of them kept for choosing the temperature that calibrates
 Distribution. One pass sums document frequencies (a row a feature and task), one collects the sample's sparse
 features, one predicts with the broadcast weights; texts are never shuffled.
 
-Cases. Null text, or no letter in it: ``und`` with score 0. No labelled training row: ``und`` everywhere. Ties go to
-the language that comes first in order. Texts are read whole; repeated rows give repeated results; other columns are
-ignored, whatever their names.
+Cases. Null text, or no letter in it: ``und`` with score 0. No labelled training row: ``und`` everywhere. Empty table:
+no rows. Ties go to the language that comes first in order. Texts are read whole, however long; repeated rows give
+repeated results, and are drawn for the sample together, which its bound then cuts. There is a row a language on the
+driver: languages number some hundreds. Columns that are not kept are ignored; a kept one of an added one's name
+gives way to it.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import session_setup, text_or_empty, with_added
+from .common import nested, session_setup, text_or_empty, unnested, with_added
 
 SCALE = 30.0
 _letters: list[np.ndarray] = []
@@ -82,15 +84,15 @@ def _sparse(docs: DataFrame, bits: int) -> DataFrame:
     def work(batches):
         for batch in batches:
             at, times = [], []
-            for texts in _blocks(batch.column(1)):
+            for texts in _blocks(batch.column(2)):
                 f, n, _ = grams(texts, bits)
                 for row in np.split(f, np.cumsum(n)[:-1]):
                     u, c = np.unique(row, return_counts=True)
                     at.append(u.astype(np.int32))
                     times.append((c / max(len(row), 1)).astype(np.float32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.float32()))], ["lang", "at", "tf"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.float32()))], ["lang", "place", "at", "tf"])
 
-    return docs.select("lang", text_or_empty().alias("text")).mapInArrow(work, "lang string, at array<int>, tf array<float>")
+    return docs.select("lang", "place", text_or_empty().alias("text")).mapInArrow(work, "lang string, place long, at array<int>, tf array<float>")
 
 
 def ftrl(rows: list, labels: np.ndarray, n_classes: int, size: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.002, epochs: int = 6, seed: int = 5) -> np.ndarray:
@@ -147,10 +149,12 @@ def fit(training: DataFrame, bits: int = 15, max_rows: int = 3000, seed: int = 1
         return {"langs": [], "weights": np.zeros((1 << bits, 0), np.float32), "bits": bits, "temperature": 1.0}
     idf = np.full(1 << bits, np.log(1.0 + sum(sizes.values())))
     idf[df.column("feature").to_numpy()] = np.log((1.0 + sum(sizes.values())) / (1.0 + df.column("n").to_numpy())) + 1e-2
-    place = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 20))
-    each = max(1, max_rows // len(langs))
-    shares = F.create_map(*[F.lit(x) for k in langs for x in (k, int(min(1.0, each / sizes[k]) * (1 << 20)) + 1)])
-    sample = _sparse(labelled.where(place < shares[F.col("lang")]).withColumn("lang", F.col("lang")), bits).toArrow().to_pydict()
+    place = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 40))
+    # A tenth of room, so that the bound seldom cuts.
+    each = max(1, 0.9 * max_rows / len(langs))
+    shares = F.create_map(*[F.lit(x) for k in langs for x in (k, int(min(1.0, each / sizes[k]) * (1 << 40)))])
+    drawn = labelled.select("lang", place.alias("place"), "text").where(F.col("place") < shares[F.col("lang")])
+    sample = _sparse(drawn, bits).orderBy("place", "lang").limit(max_rows).toArrow().to_pydict()
     order = np.argsort([f"{k}{len(a)}{a[:8]}" for k, a in zip(sample["lang"], sample["at"], strict=True)], kind="stable")
     rows, labels = [], []
     for i in order:
@@ -190,5 +194,5 @@ def predict(docs: DataFrame, keep: list[str], model: dict) -> DataFrame:
             best, score = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (best, score))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names[best.astype(np.int64)].tolist(), pa.string()), pa.array(score.astype(np.float64))], [*batch.schema.names[:-1], "lang_pred", "score"])
 
-    picked = docs.select(*keep, text_or_empty().alias("_text"))
-    return picked.mapInArrow(work, with_added(picked, "lang_pred string, score double"))
+    picked = nested(docs, keep, text_or_empty().alias("_text"))
+    return unnested(picked.mapInArrow(work, with_added(picked, "lang_pred string, score double")), keep, ["lang_pred", "score"])
