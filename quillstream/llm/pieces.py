@@ -7,8 +7,9 @@ normaliser does nothing. Where no piece has a space mark after another character
 character to a space mark, so the text is cut there and repeated words are merged once. Every piece is then
 projected through the alignment to the original bytes it covers.
 
-Cases. Null or empty text: only the end id. Characters outside the vocabulary become byte pieces. Texts are
-encoded whole; repeated rows give repeated results; other columns are ignored.
+Cases. Null or empty text: only the end id. Empty table: no rows. Characters outside the vocabulary become byte
+pieces. Merges that tie go to the first, as in the library. Texts are encoded whole, however long; repeated rows give
+repeated results. Columns that are not kept are ignored; a kept one of an added one's name gives way to it.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import session_setup, text_or_empty, with_added
+from .common import nested, session_setup, text_or_empty, unnested, with_added
 
 MARK = "▁"
 
@@ -245,12 +247,14 @@ def encode(docs: DataFrame, keep: list[str], model: str, spans: bool = True) ->
                 arrays = [_lists(x, counts) for x in ([ids, starts, ends] if spans else [ids])]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *arrays], [*part.schema.names[:-1], *["ids", "starts", "ends"][: len(arrays)]])
 
-    picked = docs.select(*keep, text_or_empty().alias("_text"))
-    return picked.mapInArrow(work, with_added(picked, "ids array<int>" + (", starts array<int>, ends array<int>" if spans else "")))
+    added = ["ids", "starts", "ends"] if spans else ["ids"]
+    picked = nested(docs, keep, text_or_empty().alias("_text"))
+    return unnested(picked.mapInArrow(work, with_added(picked, ", ".join(f"{c} array<int>" for c in added))), keep, added)
 
 
 def decode(encoded: DataFrame, keep: list[str], model: str) -> DataFrame:
     """``keep`` columns with decoded: the text that the library's decode gives for ids (null ids: none)."""
+    session_setup(encoded.sparkSession)
 
     def work(batches):
         import sentencepiece
@@ -262,5 +266,5 @@ def decode(encoded: DataFrame, keep: list[str], model: str) -> DataFrame:
                 texts = library.decode([x or [] for x in part.column(part.num_columns - 1).to_pylist()], num_threads=1) if part.num_rows else []
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], [*part.schema.names[:-1], "decoded"])
 
-    picked = encoded.select(*keep, "ids")
-    return picked.mapInArrow(work, with_added(picked, "decoded string"))
+    picked = nested(encoded, keep, F.col("ids"))
+    return unnested(picked.mapInArrow(work, with_added(picked, "decoded string")), keep, ["decoded"])
