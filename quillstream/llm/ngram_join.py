@@ -220,9 +220,10 @@ def similar(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, ke
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns), _binary([s.tobytes() for s in found])], [*key, "shingles"])
 
     # One text of each class is needed: that of the class's id. Of other texts with that id the join leaves none.
+    # Shuffled at every size, as the ids in clusters grow with the documents.
     chosen = clusters.join(classes.select("node", "id", *key, "times", "signature"), "node")
     asked = written(chosen.select(F.col("id").alias("doc_id")).distinct(), "asked")
-    whole = docs.select("doc_id", text_or_empty().alias("text")).join(asked, "doc_id", "left_semi").select("text").mapInArrow(sets, "h1 long, h2 long, n long, shingles binary")
+    whole = docs.select("doc_id", text_or_empty().alias("text")).join(asked.hint("shuffle_hash"), "doc_id", "left_semi").select("text").mapInArrow(sets, "h1 long, h2 long, n long, shingles binary")
     facts = written(chosen.select("node", *key, "times", "signature").join(whole, key).dropDuplicates(["node"]).select("node", "times", "signature", "shingles"), "sets")
     sizes = written(clusters.groupBy("component").agg(F.count("*").alias("size")), "sizes")
     members = written(clusters.join(sizes, "component"), "members")
