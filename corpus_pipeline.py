@@ -43,16 +43,16 @@ def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = F.struct("doc_id", "t0", "t1")
     firsts = written(found.where("cluster is not null").groupBy("cluster").agg(F.count("*").alias("n"), F.min(row).alias("first")).where("n > 1"), "firsts")
     placed = found.join(firsts, "cluster").select("doc_id", "t0", "t1", (row == F.col("first")).alias("is_first"))
-    # Written, so that the planner knows their sizes: texts move once at most, and not at all to meet a small table.
     dropped = written(placed.where("not is_first").select("doc_id", "t0", "t1").distinct(), "dropped")
     repeated = written(placed.where("is_first").groupBy("doc_id", "t0", "t1").count().where("count > 1").drop("count"), "repeated")
     same = lambda other: (docs["doc_id"] == other["doc_id"]) & (hashes[0] == other["t0"]) & (hashes[1] == other["t1"])
-    kept = docs.join(dropped, same(dropped), "left_anti")
+    # Shuffled at every size: what is dropped grows with the documents, so there is no bound to broadcast it under.
+    kept = docs.join(dropped.hint("shuffle_hash"), same(dropped), "left_anti")
     if repeated.isEmpty():
         return kept
-    again = docs.join(repeated, same(repeated), "left_semi").select(F.struct(*docs.columns).alias("row"), "doc_id", *[h.alias(f"_{k}") for k, h in enumerate(hashes)])
+    again = docs.join(repeated.hint("shuffle_hash"), same(repeated), "left_semi").select(F.struct(*docs.columns).alias("row"), "doc_id", *[h.alias(f"_{k}") for k, h in enumerate(hashes)])
     one = again.groupBy("doc_id", "_0", "_1").agg(F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row")).select("row.*")
-    return kept.join(repeated, same(repeated), "left_anti").unionByName(one)
+    return kept.join(repeated.hint("shuffle_hash"), same(repeated), "left_anti").unionByName(one)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
