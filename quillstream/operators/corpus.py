@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import ranks
 
 # Results depend on these.
 SAME_LINE, HEADER_Y, FOOTER_Y, PARAGRAPH_GAP, SHORT_LINE = 0.008, 0.93, 0.07, 1.5, 0.85
@@ -108,11 +109,10 @@ def changed_by_strip(samples: DataFrame) -> DataFrame:
 
 def human_manifest(picked: DataFrame, sources: DataFrame, prefix: str) -> DataFrame:
     """Manifest rows of picks; ``sources``: essay, subject, topic, source_url, date_evidence, extraction."""
-    number = F.dense_rank().over(Window.orderBy("essay"))
-    ids = picked.select("essay").distinct().withColumn("nth", number)
+    ids = ranks.running(picked.select("essay").distinct(), "essay", []).select("essay", (F.col("idx") + 1).alias("nth"))
     letter = F.char(F.lit(97) + F.col("slot"))
     return picked.join(ids, "essay").join(sources, "essay", "left").select(
-        F.concat(F.lit(prefix), F.lpad(F.col("nth").cast("string"), 2, "0"), letter).alias("id"),
+        F.concat(F.lit(prefix), F.lpad(F.col("nth").cast("string"), F.greatest(F.length(F.col("nth").cast("string")), F.lit(2)), F.lit("0")), letter).alias("id"),
         F.col("essay").alias("source_essay"),
         "position",
         F.col("para_idx").cast("int").alias("paragraph_index"),

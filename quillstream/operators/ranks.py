@@ -1,7 +1,7 @@
 """Running sums and ranks over all rows of a table without gathering them in one task.
 
-Rows are parted at approximate quantiles into ranges, which are summed; what is ordered in one task is a range, and
-what one task sees of all ranges is a row each.
+Rows are parted into ranges at the values of about ``RANGES`` of them, chosen by a hash, and ranges are summed; what
+is ordered in one task is a range, and what one task sees of all ranges is a row each.
 """
 
 from __future__ import annotations
@@ -17,12 +17,13 @@ def running(rows: DataFrame, by: str, sums: list[str]) -> DataFrame:
 
     before and after are the neighbours' values of ``by``, null at the ends.
     """
-    shares = F.array(*[F.lit((k + 1) / RANGES) for k in range(RANGES)])
-    # One row: the bounds of the ranges.
-    bounds = F.broadcast(rows.agg(F.percentile_approx(by, shares, F.lit(10_000)).alias("_bounds")))
+    # One row: the bounds of the ranges. As rows are distinct, each is chosen alike, whatever its value.
+    n = F.broadcast(rows.agg(F.count("*").alias("_n")))
+    chosen = rows.select(by).crossJoin(n).where(F.pmod(F.xxhash64(F.lit(31), by), F.greatest(F.lit(1), F.ceil(F.col("_n") / RANGES))) == 0)
+    bounds = F.broadcast(chosen.agg(F.array_sort(F.collect_list(by)).alias("_bounds")))
     parted = rows.crossJoin(bounds).withColumn("_range", F.size(F.filter("_bounds", lambda b: b < F.col(by)))).drop("_bounds")
     ranges = parted.groupBy("_range").agg(F.count("*").alias("_n"), F.min(by).alias("_low"), F.max(by).alias("_high"), *[F.sum(s).alias(f"_{s}") for s in sums])
-    # At most RANGES + 1 rows.
+    # A row a range.
     order = Window.orderBy("_range")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranges.select("_range", *[F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0)).alias(f"_{c}") for c in ("n", *sums)], F.lag("_high").over(order).alias("_prev"), F.lead("_low").over(order).alias("_next"))
