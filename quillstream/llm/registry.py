@@ -11,7 +11,22 @@ from pyspark.sql import functions as F
 from . import embeddings, language, lm_scoring, media, mixing, ngram_join, pieces, pii, quality, secrets
 from .common import read, text_or_empty, written
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others have trained models, seeded hashes or a tokenizer; tests/llm holds them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op2_mixing": r"""
+WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS o FROM documents),
+g AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS k FROM s GROUP BY source),
+w AS (SELECT *, CAST([3, 1, 2][k % 3 + 1] AS DOUBLE) AS weight, source_size * CAST(2 AS DOUBLE) AS cap FROM g),
+r AS (SELECT cap / weight AS ratio, sum(cap) AS caps, sum(weight) AS weights FROM w GROUP BY 1),
+a AS (SELECT sum(source_size) * CAST(1.5 AS DOUBLE) AS budget, sum(weight) AS all_weights FROM w),
+v AS (SELECT ratio, (budget - (sum(caps) OVER (ORDER BY ratio) - caps)) / (all_weights - (sum(weights) OVER (ORDER BY ratio) - weights)) AS level FROM r, a),
+l AS (SELECT arg_min(level, ratio) AS level FROM v WHERE level <= ratio),
+t AS (SELECT source, source_size, coalesce(least(cap, level * weight), cap) AS target FROM w, l),
+n AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size + 1e-12) AS BIGINT) ELSE 0 END AS times FROM t),
+e AS (SELECT *, greatest(CAST(round(target - times * source_size) AS BIGINT), 0) AS rest FROM n),
+b AS (SELECT s.*, source_size, target, times, rest - coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY o, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS missing FROM s JOIN e ON s.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target, CAST(times * size + least(greatest(missing, 0), size) AS BIGINT) AS taken FROM b""",
+}
 
 
 def fold(m: int) -> Column:
