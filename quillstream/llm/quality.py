@@ -10,7 +10,8 @@ every text.
 Distribution. One pass votes, one collects the sample's features (only of rows that can be drawn), one scores;
 nothing but the sums is shuffled.
 
-Cases. Null or empty text, or one without words: score 0, rejected. Ties: a score of exactly the threshold is kept.
+Cases. Null or empty text, or one without words: score 0, rejected. A text of so few words that no labeller votes:
+the prior. Ties: a score of exactly the threshold is kept.
 Empty table: no rows. Texts are read whole, however long; repeated rows give repeated results, and are drawn for the
 sample together, which its bound then cuts. Columns that are not kept are ignored; a kept one of an added one's name
 gives way to it.
@@ -37,6 +38,7 @@ LABELLERS = (
     ("long_words", 0.2, 0.05, 4),
     ("shouts", 0.1, 0.01, 4),
 )
+LEAST_WORDS = min(least for *_, least in LABELLERS)
 _KIND = np.full(256, ord("a"), np.uint8)
 _KIND[:128] = np.frombuffer(bytes(ord("A") if chr(i).isupper() else ord("a") if chr(i).isalpha() else ord("0") if chr(i).isdigit() else ord(" ") if i < 33 else i for i in range(128)), np.uint8)
 _SYMBOL = np.zeros(256, bool)
@@ -255,7 +257,7 @@ def score(docs: DataFrame, keep: list[str], model: dict, threshold: float = 0.5)
                 pair, n = np.unique((whose << N_BITS) | f, return_counts=True)
                 of, place = pair >> N_BITS, pair & ((1 << N_BITS) - 1)
                 value = np.bincount(of, weights=w[place] * np.sqrt(n / (shape.words + SMOOTH)[of]), minlength=shape.n) + bias
-                sure = shape.words / (shape.words + SMOOTH)
+                sure = np.where(shape.words >= LEAST_WORDS, shape.words / (shape.words + SMOOTH), 0.0)
                 value = value * sure + prior * (1 - sure)
                 out.append(np.where(shape.words > 0, 1 / (1 + np.exp(-np.clip(value, -30, 30))), 0.0))
             p = np.concatenate(out) if out else np.zeros(0)
