@@ -19,8 +19,13 @@ BATCH_ROWS = 2000
 
 
 def session_setup(spark: SparkSession) -> None:
-    """Short Arrow batches, so that a Python worker holds few texts at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Short Arrow batches, so that a Python worker holds few texts at a time.
+
+    Plans are made when a result is read, so the setting stays; a shorter one of the session's own is left alone.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -48,20 +53,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch().written(df, name)
+
+
+class Scratch:
+    """Written tables of one operator, removed together once nothing lazy reads them any more."""
+
+    def __init__(self):
+        self.paths: list[str] = []
 
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        spark = df.sparkSession
+        self.paths.append(f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}")
+        df.write.option("compression", "zstd").parquet(self.paths[-1])
+        return spark.read.schema(df.schema).parquet(self.paths[-1])
 
-def drop_written(df: DataFrame) -> None:
-    """Remove a written table that nothing lazy reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for folder in folders:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, spark: SparkSession) -> None:
+        for name in self.paths:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.paths = []
 
 
 def nested(docs: DataFrame, keep: list[str], *more: Column) -> DataFrame:
@@ -179,32 +190,34 @@ def _words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # Components -----------------------------------------------------------------------------------------------------
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, rounds: int = 40) -> DataFrame:
     """(id, component) for every id in ``links`` (columns a, b): the smallest id reachable by links.
 
     Alternates two steps until nothing changes: every node is tied to the smallest of its neighbours' (large star
     and small star of Kiveris et al.). Only links are moved, each round is a written table, no node's neighbours
     are collected, and the number of rounds is logarithmic in the longest chain.
     """
-    now = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "links")
+    spark, round_ = links.sparkSession, Scratch()
+    now = round_.written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "links")
     seen = None
     for _ in range(rounds):
+        last, round_ = round_, Scratch()
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         # Written, so that both sides of the joins are plain exchanges and a node with very many links is split.
-        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        low = last.written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = both.join(low, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
-        large = written(large, "large")
-        low2 = written(large.groupBy("b").agg(F.min("a").alias("m")), "low2")
+        large = last.written(large, "large")
+        low2 = last.written(large.groupBy("b").agg(F.min("a").alias("m")), "low2")
         small = large.join(low2, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e"))
-        then = written(small.select("e.a", "e.b").where("a < b").distinct(), "links")
+        then = round_.written(small.select("e.a", "e.b").where("a < b").distinct(), "links")
         state = then.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        for done in (now, low, large, low2):
-            drop_written(done)
+        last.drop(spark)
         now = then
         if seen == tuple(state):
             break
         seen = tuple(state)
     else:
         raise RuntimeError(f"links did not settle in {rounds} rounds")
+    scratch.paths += round_.paths
     stars = now.select(F.col("b").alias("id"), F.col("a").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("id"), "component").distinct())

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
-from .common import components, mix, session_setup, written
+from .common import Scratch, components, mix, session_setup, written
 from .groups import by_unit, dealt
 
 
@@ -97,6 +97,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int = 1
     ``parts`` grows with the logarithm of the number of vectors, so that unrelated ones seldom meet.
     """
     session_setup(vectors.sparkSession)
+    scratch = Scratch()
     part = vectors.schema["embedding"].dataType.elementType
     part = part if isinstance(part, (FloatType, DoubleType)) else DoubleType()
     vec = F.col("embedding").cast(ArrayType(part))
@@ -107,7 +108,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int = 1
     key = [F.when(F.col("vec").isNotNull(), F.xxhash64(F.lit(k), "vec")).alias(f"h{k}") for k in (1, 2)]
     keyed = rows.select("vec_id", "vec", *key)
     grouped = keyed.where("vec is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("times"), F.first("vec").alias("vec"))
-    classes = written(grouped.select(F.monotonically_increasing_id().alias("node"), "*"), "classes")
+    classes = scratch.written(grouped.select(F.monotonically_increasing_id().alias("node"), "*"), "classes")
     payload = classes.select("node", "vec")
     n = classes.count()
     parts = parts or max(2, int(np.ceil(np.log(max(n, 1)) / np.log(128))))
@@ -126,9 +127,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int = 1
             flat_codes = pa.array(out.reshape(-1).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * out.shape[1]), flat_codes)], ["node", "codes"])
 
-    code_rows = written(payload.mapInArrow(hashed, "node long, codes array<long>").select("node", F.explode("codes").alias("code")), "codes")
-    busy = written(code_rows.groupBy("code").agg(F.count("*").alias("size")).where("size > 1"), "busy")
-    met = written(code_rows.join(busy, "code"), "met")
+    code_rows = scratch.written(payload.mapInArrow(hashed, "node long, codes array<long>").select("node", F.explode("codes").alias("code")), "codes")
+    busy = scratch.written(code_rows.groupBy("code").agg(F.count("*").alias("size")).where("size > 1"), "busy")
+    met = scratch.written(code_rows.join(busy, "code"), "met")
 
     def prepare(table: pa.Table) -> dict[str, np.ndarray]:
         """Unit vectors, filled up with zeros to one length, and their lengths."""
@@ -170,23 +171,24 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int = 1
 
         return settles
 
-    units, passive = dealt(met, "code", payload, "node", middle, within(threshold), f"pivot_vec {wide}, pivot_node long")
+    units, passive = dealt(scratch, met, "code", payload, "node", middle, within(threshold), f"pivot_vec {wide}, pivot_node long")
     links = by_unit(units, "code", "node", prepare, few, many).select("a", "b").unionByName(passive.select(F.col("pivot_node").alias("a"), F.col("node").alias("b")).where("a != b"))
-    of = written(components(links.distinct()), "components").select(F.col("id").alias("node"), "component")
-    sizes = written(of.groupBy("component").agg(F.count("*").alias("size")), "sizes")
-    members = written(of.join(sizes, "component"), "members")
+    of = scratch.written(components(links.distinct(), scratch), "components").select(F.col("id").alias("node"), "component")
+    sizes = scratch.written(of.groupBy("component").agg(F.count("*").alias("size")), "sizes")
+    members = scratch.written(of.join(sizes, "component"), "members")
     facts = classes.select("node", "times", "vec")
 
     # Any two within half the angle of one direction are linked; a millionth of a radian is left to rounding.
     half = float(np.cos(max(np.arccos(threshold) / 2 - 1e-6, 0.0)))
-    units, passive = dealt(members, "component", facts, "node", mean, within(half), f"pivot_vec {wide}")
+    units, passive = dealt(scratch, members, "component", facts, "node", mean, within(half), f"pivot_vec {wide}")
     weighed = passive.join(facts.select("node", "times"), "node")
-    total = written(weighed.groupBy("component").agg(F.sum("times").alias("all")), "totals")
+    total = scratch.written(weighed.groupBy("component").agg(F.sum("times").alias("all")), "totals")
     sure = weighed.join(total, "component").select("node", (F.col("all") - F.col("times")).alias("n"))
     counts = by_unit(units, "component", "node", prepare, few, many, counted=True).where("a = b").select(F.col("a").alias("node"), "n").unionByName(sure).groupBy("node").agg(F.sum("n").alias("linked"))
-    smallest = written(of.join(classes.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("component_id")), "smallest")
+    smallest = scratch.written(of.join(classes.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("component_id")), "smallest")
     named = of.join(smallest, "component").select("node", "component_id")
     labels = written(classes.select("node", "id", "h1", "h2", "times").join(counts, "node", "left").join(named, "node", "left"), "labels")
+    scratch.drop(vectors.sparkSession)
     joined = keyed.select("vec_id", "h1", "h2").join(labels, ["h1", "h2"], "left")
     component = F.coalesce("component_id", "id", "vec_id")
     return joined.select(

@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch
 
 LEAST, MOST, AIM, SAMPLE, FEW = 64, 1024, 48, 64, 8
 
 
-def dealt(members: DataFrame, key: str, payload: DataFrame, item: str, choose: Callable[[pa.Table], pa.Table], settles: Callable[[pa.Table], np.ndarray], pivot: str, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+def dealt(scratch: Scratch, members: DataFrame, key: str, payload: DataFrame, item: str, choose: Callable[[pa.Table], pa.Table], settles: Callable[[pa.Table], np.ndarray], pivot: str, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(units, passive) of ``members`` (key, item, size; a written table), whose ``payload`` is joined by ``item``.
 
     ``choose`` makes of a group's sample (payload columns) a table with one row of the columns in ``pivot`` (DDL; all
@@ -42,7 +42,7 @@ def dealt(members: DataFrame, key: str, payload: DataFrame, item: str, choose: C
         return choose(table).append_column("_key", pa.array([key_value], pa.int64()))
 
     sample = large.where(draw).join(payload, item)
-    pivots = written(_each(sample, [key], chosen, f"{pivot}, _key long").withColumnRenamed("_key", key), "pivots")
+    pivots = scratch.written(_each(sample, [key], chosen, f"{pivot}, _key long").withColumnRenamed("_key", key), "pivots")
 
     def mark(batches):
         for batch in batches:
@@ -52,8 +52,8 @@ def dealt(members: DataFrame, key: str, payload: DataFrame, item: str, choose: C
 
     asked = large.join(payload, item).join(pivots, key)
     fields = "".join(f", {c} long" for c in longs)
-    marked = written(asked.mapInArrow(mark, f"{key} long, {item} long{fields}, _passive boolean").where("_passive"), "settled")
-    first = written(marked.groupBy(key).agg(F.count("*").alias("_passives"), F.min(item).alias("first")), "firsts")
+    marked = scratch.written(asked.mapInArrow(mark, f"{key} long, {item} long{fields}, _passive boolean").where("_passive"), "settled")
+    first = scratch.written(marked.groupBy(key).agg(F.count("*").alias("_passives"), F.min(item).alias("first")), "firsts")
     # Rows of small groups, and of groups without a pivot, are all active.
     rows = members.join(marked.select(key, item, "_passive"), [key, item], "left").join(first.select(key, "_passives"), key, "left")
     block = F.greatest(F.lit(least), F.least(F.lit(MOST), F.ceil(F.col("size") / AIM)))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, drop_written, mix, nested, session_setup, text_or_empty, unnested, utf8, with_added, words, written
+from .common import LOWER, Scratch, mix, nested, session_setup, text_or_empty, unnested, utf8, with_added, words, written
 
 #: The byte before and after a text: none of UTF-8.
 EDGE = 0xFF
@@ -277,7 +277,8 @@ def rates(training: DataFrame, docs: DataFrame, depth: int = 5) -> DataFrame:
     spark = docs.sparkSession
     cut = min(3, depth)
     both = gram_counts(training, depth).select("gram", "n", F.lit(0).cast("long").alias("asked")).unionByName(gram_counts(docs, depth).select("gram", F.lit(0).cast("long").alias("n"), F.col("n").alias("asked")))
-    counted = written(both.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("asked").alias("asked")), "grams")
+    scratch = Scratch()
+    counted = scratch.written(both.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("asked").alias("asked")), "grams")
     part = F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit((1 << (8 * cut)) - 1)).alias("part")
     deal = lambda rows: rows.select(part, "gram", "n", "asked").repartition(counted.count() // 100_000 + 1, "part").sortWithinPartitions("part")
 
@@ -304,7 +305,7 @@ def rates(training: DataFrame, docs: DataFrame, depth: int = 5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(asked[wanted]), pa.array(tree.log10_probability(keys))], ["gram", "asked", "log10"])
 
     out = written(deal(counted).mapInArrow(rate, "gram long, asked long, log10 double"), "rates")
-    drop_written(counted)
+    scratch.drop(spark)
     return out
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mix, nested, pieces_of, session_setup, text_or_empty, unnested, utf8, with_added, words, written
+from .common import Scratch, components, mix, nested, pieces_of, session_setup, text_or_empty, unnested, utf8, with_added, words, written
 from .groups import allowed, by_unit, dealt
 
 BANDS, ROWS = 20, 4
@@ -161,6 +161,7 @@ def similar(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, ke
     words or id); the numbers are unique in one result and differ between runs.
     """
     session_setup(docs.sparkSession)
+    scratch = Scratch()
     least = least_matches(threshold, tolerance)
     key = ["h1", "h2", "n"]
 
@@ -177,7 +178,7 @@ def similar(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, ke
     picked = nested(docs, list(keep), F.col("doc_id"), text_or_empty().alias("text"))
     rows = written(picked.mapInArrow(digests, with_added(picked, "h1 long, h2 long, n long, signature binary")), "digests")
     grouped = rows.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("id"), F.count("*").alias("times"), F.first("signature").alias("signature"))
-    classes = written(grouped.select(F.monotonically_increasing_id().alias("node"), "*"), "classes")
+    classes = scratch.written(grouped.select(F.monotonically_increasing_id().alias("node"), "*"), "classes")
 
     def banded(batches):
         for batch in batches:
@@ -185,8 +186,8 @@ def similar(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, ke
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(band_codes(s).reshape(-1).view(np.int64))], ["node", "code"])
 
     codes = classes.select("node", "signature").mapInArrow(banded, "node long, code long")
-    busy = written(codes.groupBy("code").agg(F.count("*").alias("size")).where("size > 1"), "busy")
-    met = written(codes.join(busy, "code"), "met")
+    busy = scratch.written(codes.groupBy("code").agg(F.count("*").alias("size")).where("size > 1"), "busy")
+    met = scratch.written(codes.join(busy, "code"), "met")
 
     def signed(table: pa.Table) -> dict[str, np.ndarray]:
         return {"signature": _signatures(table.column("signature"))}
@@ -209,9 +210,9 @@ def similar(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, ke
     def tied(table: pa.Table) -> np.ndarray:
         return likely(_signatures(table.column("signature")), _signatures(table.column("pivot_signature")), least)
 
-    units, passive = dealt(met, "code", classes.select("node", "signature"), "node", middle, tied, "pivot_signature binary, pivot_node long", least=256)
+    units, passive = dealt(scratch, met, "code", classes.select("node", "signature"), "node", middle, tied, "pivot_signature binary, pivot_node long", least=256)
     ties = by_unit(units, "code", "node", signed, few, many).select("a", "b").unionByName(passive.select(F.col("pivot_node").alias("a"), F.col("node").alias("b")).where("a != b"))
-    clusters = written(components(ties.distinct()), "clusters").select(F.col("id").alias("node"), "component")
+    clusters = scratch.written(components(ties.distinct(), scratch), "clusters").select(F.col("id").alias("node"), "component")
 
     def sets(batches):
         for batch in batches:
@@ -222,11 +223,11 @@ def similar(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, ke
     # One text of each class is needed: that of the class's id. Of other texts with that id the join leaves none.
     # Shuffled at every size, as the ids in clusters grow with the documents.
     chosen = clusters.join(classes.select("node", "id", *key, "times", "signature"), "node")
-    asked = written(chosen.select(F.col("id").alias("doc_id")).distinct(), "asked")
+    asked = scratch.written(chosen.select(F.col("id").alias("doc_id")).distinct(), "asked")
     whole = docs.select("doc_id", text_or_empty().alias("text")).join(asked.hint("shuffle_hash"), "doc_id", "left_semi").select("text").mapInArrow(sets, "h1 long, h2 long, n long, shingles binary")
-    facts = written(chosen.select("node", *key, "times", "signature").join(whole, key).dropDuplicates(["node"]).select("node", "times", "signature", "shingles"), "sets")
-    sizes = written(clusters.groupBy("component").agg(F.count("*").alias("size")), "sizes")
-    members = written(clusters.join(sizes, "component"), "members")
+    facts = scratch.written(chosen.select("node", *key, "times", "signature").join(whole, key).dropDuplicates(["node"]).select("node", "times", "signature", "shingles"), "sets")
+    sizes = scratch.written(clusters.groupBy("component").agg(F.count("*").alias("size")), "sizes")
+    members = scratch.written(clusters.join(sizes, "component"), "members")
 
     def whole_sets(table: pa.Table) -> dict[str, np.ndarray]:
         sets = np.empty(table.num_rows, object)
@@ -261,17 +262,18 @@ def similar(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, ke
             out[k] = both >= (1 + threshold) / 2 * (len(a) + len(b) - both) + 1e-9
         return out
 
-    units, passive = dealt(members, "component", facts, "node", common, near, "pivot_shingles binary")
+    units, passive = dealt(scratch, members, "component", facts, "node", common, near, "pivot_shingles binary")
     weighed = passive.join(facts.select("node", "times"), "node")
-    total = written(weighed.groupBy("component").agg(F.sum("times").alias("all")), "totals")
+    total = scratch.written(weighed.groupBy("component").agg(F.sum("times").alias("all")), "totals")
     sure = weighed.join(total, "component").select(F.col("node").alias("a"), F.col("node").alias("b"), (F.col("all") - F.col("times")).alias("n"))
     joined_by_pivot = passive.select(F.col("first").alias("a"), F.col("node").alias("b"), F.lit(0).cast("long").alias("n")).where("a != b")
-    found = written(by_unit(units, "component", "node", whole_sets, few_exact, many_exact, counted=True).unionByName(sure).unionByName(joined_by_pivot), "links")
+    found = scratch.written(by_unit(units, "component", "node", whole_sets, few_exact, many_exact, counted=True).unionByName(sure).unionByName(joined_by_pivot), "links")
     counts = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("linked"))
-    final = written(components(found.where("a < b").select("a", "b")), "final").select(F.col("id").alias("node"), "component")
-    smallest = written(final.join(classes.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("class_id")), "smallest")
+    final = scratch.written(components(found.where("a < b").select("a", "b"), scratch), "final").select(F.col("id").alias("node"), "component")
+    smallest = scratch.written(final.join(classes.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("class_id")), "smallest")
     named = final.join(smallest, "component").select("node", "component", "class_id")
     labels = written(classes.select("node", "id", *key, "times").join(counts, "node", "left").join(named, "node", "left"), "labels")
+    scratch.drop(docs.sparkSession)
     joined = rows.drop("signature").join(labels, key, "left")
     class_id = F.coalesce("class_id", "id", "doc_id")
     answer = joined.select(

@@ -393,7 +393,7 @@ def test_units_cover_each_pair_once(spark, docs):
     members = common.written(spark.createDataFrame(rows, "key long, item long, size long"), "members")
     choose = lambda table: pa.table({"pivot_node": table.column("item").slice(0, 1)})
     settles = lambda table: np.array([quiet(i // 1000, i) for i in table.column("item").to_pylist()])
-    units, passive = groups.dealt(members, "key", members.select("item"), "item", choose, settles, "pivot_node long")
+    units, passive = groups.dealt(common.Scratch(), members, "key", members.select("item"), "item", choose, settles, "pivot_node long")
 
     everything = lambda arrays, i, j: np.ones(len(i), bool)
     full = lambda unit: np.ones((len(unit["item"]),) * 2, bool)
