@@ -173,11 +173,47 @@ class PooledHead:
         return FunctionScorer(load).score(texts)
 
 
-#: (observer, performer) pairs of causal models by the name a calibration record is kept under. Fixed values.
+#: (observer, performer) pairs of causal models that share a tokenizer, by the name a record is kept under: for the
+#: usual backend, and for the quantised one. Fixed values.
 MODEL_PAIRS = {
     "small": ("Qwen/Qwen2.5-0.5B", "Qwen/Qwen2.5-0.5B-Instruct"),
     "big": ("Qwen/Qwen2.5-1.5B", "Qwen/Qwen2.5-1.5B-Instruct"),
+    "gemma": ("google/gemma-4-E2B", "google/gemma-4-E2B-it"),
+    "gemma+": ("google/gemma-4-E4B", "google/gemma-4-E4B-it"),
 }
+QUANTISED_PAIRS = {
+    "gemma": ("google/gemma-4-E2B", "mlx-community/gemma-4-e2b-it-qat-OptiQ-4bit"),
+    "gemma+": ("google/gemma-4-E4B", "mlx-community/gemma-4-e4b-it-qat-OptiQ-4bit"),
+}
+
+
+def neural_pair(observer: str, performer: str, max_places: int = 1024) -> FunctionScorer:
+    """The ratio of losses by two causal models from local files, over at most ``max_places`` tokens of a text.
+
+    Needs torch and transformers, and says so where they are missing. Low is machine-like.
+    """
+
+    def load():
+        try:
+            import torch
+            from transformers import AutoModelForCausalLM, AutoTokenizer
+        except ImportError as e:
+            raise RuntimeError("this scorer needs torch and transformers, which are not installed") from e
+        names = AutoTokenizer.from_pretrained(performer)
+        models = [AutoModelForCausalLM.from_pretrained(path).eval() for path in (observer, performer)]
+
+        def one(text: str) -> float:
+            ids = names(text, truncation=True, max_length=max_places, return_tensors="pt").input_ids
+            if ids.shape[1] < 2:
+                return float("nan")
+            with torch.no_grad():
+                watched, played = (torch.log_softmax(m(ids).logits[0].float(), dim=-1) for m in models)
+            loss = -played[:-1].gather(1, ids[0, 1:, None]).mean()
+            return float(loss / -(watched.exp() * played).sum(dim=-1).mean())
+
+        return lambda texts: [one(t) for t in texts]
+
+    return FunctionScorer(load, -1)
 
 
 def transformer(path: str) -> FunctionScorer:

@@ -402,6 +402,16 @@ def test_pooled_head(spark):
     assert got[1] == pytest.approx(0.5) and got[2] == pytest.approx(1 / (1 + np.exp(-2.0)))
 
 
+def test_neural_scorers_say_what_they_need(spark):
+    pytest.importorskip("pyspark")
+    for scorer in (scorers.neural_pair("a", "b"), scorers.transformer("c")):
+        try:
+            import torch  # noqa: F401
+        except ImportError:
+            with pytest.raises(Exception, match="needs torch and transformers"):
+                scorer.score(spark.createDataFrame([(1, "x")], "id int, text string")).collect()
+
+
 def test_fuzzy_pairs_take_the_best_left(spark):
     scans = spark.createDataFrame([("s", 0, "a quiet harbour at n1ght"), ("s", 1, "a quiet harbour at night."), ("t", 0, "a quiet harbour at night")], "source string, scan_idx int, ocr string")
     clean = spark.createDataFrame([("s", 0, "a quiet harbour at night"), ("s", 1, "a quiet harbour at nights"), ("u", 0, "x")], "source string, clean_idx int, clean string")
