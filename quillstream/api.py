@@ -9,6 +9,8 @@
     python -m quillstream.api generate --topics topics.json --out-dir ai --endpoint URL --model vendor/name
     python -m quillstream.api build-corpus --tsv-dir scans --out-dir human
     python -m quillstream.api ocr-bias --pairs pairs.json
+    python -m quillstream.api demo draft.docx
+    python -m quillstream.api download models --pair small
 
 ``--scorer module:name`` names a scorer, or a function without arguments that makes one. Without it the counted
 stand-ins are used, over the texts of ``--reference`` or the draft itself; they have thresholds of their own only.
@@ -35,7 +37,7 @@ from .operators import calibrate as cal
 from .operators import check as checking
 from .operators import segments as seg
 from .operators.scorers import Flipped, PairScorer, Scorer
-from .sources import readers, thresholds, writers
+from .sources import fetch, readers, thresholds, writers
 
 
 def count(blocks: DataFrame, limit: int | None = None) -> DataFrame:
@@ -100,18 +102,22 @@ def fit_band(human: DataFrame, scorer: Scorer, sep: str = "\n\n") -> DataFrame:
     return cal.band(window_scores(docs, scorer, sep).select(F.col("doc_id").alias("sample_id"), "score"))
 
 
-def build_corpus(runs: DataFrame, sources: DataFrame, prefix: str = "h", per_essay: int = 3) -> DataFrame:
-    """Manifest rows, with text, of essays given as scanned runs; ``sources`` as for ``corpus.human_manifest``.
-
-    Essays that give fewer than ``per_essay`` samples are left out. A source without a topic takes the scan's title,
-    or else the subject.
-    """
+def scanned_bodies(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Body paragraphs (essay, para_idx, text) of scanned runs, and the titles found (essay, title)."""
     page_lines = corpus.lines(runs)
     running = corpus.running_text(page_lines)
-    body = corpus.body_slice(corpus.paragraphs(page_lines, running))
-    picked = corpus.pick(body.withColumn("text", T.strip_markers(F.col("text"))), per_essay)
+    return corpus.body_slice(corpus.paragraphs(page_lines, running)), corpus.titles(running)
+
+
+def build_corpus(bodies: DataFrame, titles: DataFrame, sources: DataFrame, prefix: str = "h", per_essay: int = 3) -> DataFrame:
+    """Manifest rows, with text, of essays' body paragraphs; ``sources`` as for ``corpus.human_manifest``.
+
+    Essays that give fewer than ``per_essay`` samples are left out. A source without a topic takes its title, or else
+    the subject.
+    """
+    picked = corpus.pick(bodies.withColumn("text", T.strip_markers(F.col("text"))), per_essay)
     enough = picked.groupBy("essay").count().where(F.col("count") >= per_essay)
-    titled = sources.join(corpus.titles(running), "essay", "left").withColumn("topic", F.coalesce("topic", "title", "subject")).drop("title")
+    titled = sources.join(titles, "essay", "left").withColumn("topic", F.coalesce("topic", "title", "subject")).drop("title")
     return corpus.human_manifest(picked.join(enough, "essay", "left_semi"), titled, prefix)
 
 
@@ -168,6 +174,25 @@ def _report_segments(sents: DataFrame) -> None:
         print("-" * 60 + f"\n{r['red_share']:.0%} of prose in AI-flagged segments, plus {r['amber_share']:.0%} borderline")
 
 
+#: A made-up draft of five sections, for trying the commands.
+DEMO = [
+    ("Normal", "A made-up report on bread and room temperature"),
+    ("Heading 1", "Introduction"),
+    ("Normal", "Dough rises faster in a warm kitchen than in a cold one (Tremaine, 2019). This report asks by how much, with one recipe and one oven."),
+    ("Heading 1", "Method"),
+    ("Normal", "Twelve loaves were made over two weeks. The room was measured each hour, and the height of the dough was read from a marked jar."),
+    ("Heading 2", "Limits"),
+    ("Normal", "Only one kind of flour was used, and the kitchen window stood open on two of the days, which may have cooled the jar."),
+    ("Heading 1", "Results"),
+    ("Normal", "Figure 1: height against temperature"),
+    ("Normal", "At sixteen degrees the dough took four hours to double. At twenty-four degrees it took less than two, and the crumb was coarser."),
+    ("Heading 1", "Conclusion"),
+    ("Normal", "A warmer room made the dough rise faster in every pair of loaves, so a recipe should name a temperature beside a time."),
+    ("Heading 1", "Bibliography"),
+    ("Normal", "Tremaine, A. (2019). A made-up book on bread."),
+]
+
+
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="quillstream")
     sub = parser.add_subparsers(dest="command", required=True)
@@ -225,6 +250,12 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--dry-run", action="store_true")
     p = command("ocr-bias", scored=True)
     p.add_argument("--pairs", required=True)
+    p = command("demo")
+    p.add_argument("path")
+    p = command("download")
+    p.add_argument("folder", nargs="?")
+    p.add_argument("--pair")
+    p.add_argument("--model", action="append", default=[])
     return parser
 
 
@@ -263,6 +294,17 @@ def main(argv: list[str]) -> int:
     if args.command == "generate" and not os.environ.get("QUILLSTREAM_API_KEY"):
         print("set QUILLSTREAM_API_KEY to the endpoint's key", file=sys.stderr)
         return 2
+    if args.command == "demo":
+        writers.write_docx(DEMO, args.path)
+        print(f"a made-up draft -> {args.path}")
+        return 0
+    if args.command == "download":
+        try:
+            print("\n".join(fetch.models(args.folder, args.pair, args.model)))
+        except (RuntimeError, ValueError) as e:
+            print(e, file=sys.stderr)
+            return 1
+        return 0
     spark = SparkSession.builder.appName("quillstream").getOrCreate()
     return _COMMANDS[args.command](spark, args)
 
@@ -375,14 +417,19 @@ def _build_corpus(spark: SparkSession, args: argparse.Namespace) -> int:
         if changed:
             print("the rules change known-clean samples: " + ", ".join(r["sample_id"] for r in changed), file=sys.stderr)
             return 1
-    runs = readers.read_tsv(spark, f"{args.tsv_dir.rstrip('/')}/*.tsv")
-    own = runs.select("essay").distinct().select("essay", T.subject_of(F.col("essay")).alias("subject"), *[F.lit(None).cast("string").alias(c) for c in ("topic", "source_url", "date_evidence")], F.lit("scan").alias("extraction"))
+    bodies, titles = scanned_bodies(readers.read_tsv(spark, f"{args.tsv_dir.rstrip('/')}/*.tsv"))
+    own = bodies.select("essay").distinct().select("essay", T.subject_of(F.col("essay")).alias("subject"), *[F.lit(None).cast("string").alias(c) for c in ("topic", "source_url", "date_evidence")], F.lit("scan").alias("extraction"))
     if args.extra:
-        extra = readers.read_json(spark, args.extra, schemas.EXTRA_SOURCE).where("route = 'scan'")
+        extra = readers.read_json(spark, args.extra, schemas.EXTRA_SOURCE)
         name = F.regexp_replace(F.regexp_replace("pdf", r"^.*/", ""), r"\.[^.]*$", "")
         told = extra.select(name.alias("essay"), "subject", "topic", "source_url", "date_evidence", F.col("route").alias("extraction"))
         own = own.join(told, "essay", "left_anti").unionByName(told)
-    made = build_corpus(runs, own, args.prefix, args.per_essay).cache()
+        # A bare file name stands beside the folder of scans.
+        beside = Path(args.tsv_dir.rstrip("/")).resolve().parent
+        for row in extra.where("route = 'text'").select("pdf").collect():
+            layer = readers.read_pdf(spark, row["pdf"] if os.path.isabs(row["pdf"]) else str(beside / row["pdf"]))
+            bodies = bodies.unionByName(corpus.body_slice(layer.withColumnRenamed("doc_id", "essay")), allowMissingColumns=True)
+    made = build_corpus(bodies, titles, own, args.prefix, args.per_essay).cache()
     if not args.dry_run:
         writers.write_texts(made.select("id", "text"), args.out_dir)
         writers.write_manifest_rows([r.asDict() for r in made.drop("text").orderBy("id").collect()], os.path.join(args.out_dir, "manifest.json"))

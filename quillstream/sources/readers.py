@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import io
 import re
+import shutil
+import subprocess
 import zipfile
 from html.parser import HTMLParser
 from xml.etree import ElementTree
@@ -92,6 +94,21 @@ def text_layer(texts: DataFrame, min_words: int = 0) -> DataFrame:
     return each.select("doc_id", "para_idx", T.flat(F.col("raw")).alias("text")).where((F.col("text") != "") & (T.word_count(F.col("text")) >= min_words))
 
 
+def read_pdf(spark: SparkSession, path: str, min_words: int = 0, tool: str = "pdftotext") -> DataFrame:
+    """(doc_id, para_idx, text) of PDF files with a text layer, by the executors' ``tool``; no text, no rows."""
+
+    def extract(frames):
+        if shutil.which(tool) is None:
+            raise RuntimeError(f"reading PDF files needs {tool} on the executors")
+        for frame in frames:
+            texts = [subprocess.run([tool, "-", "-"], input=bytes(c), capture_output=True, check=True).stdout.decode("utf-8", "replace") for c in frame["content"]]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "text": texts})
+
+    name = F.regexp_replace(F.regexp_replace("path", r"^.*/", ""), r"\.[^.]*$", "")
+    files = spark.read.format("binaryFile").load(path).select(name.alias("doc_id"), "content")
+    return text_layer(files.mapInPandas(extract, "doc_id string, text string"), min_words)
+
+
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A whole-file JSON array or object with a declared schema; keys that lack are null."""
     return spark.read.schema(schema).option("multiLine", True).json(path)

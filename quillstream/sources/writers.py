@@ -8,7 +8,9 @@ bound that is checked.
 from __future__ import annotations
 
 import json
+import zipfile
 from pathlib import Path
+from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,3 +56,24 @@ def write_manifest(new: DataFrame, path: str, append: bool = False) -> None:
     if new.limit(MOST_FILES + 1).count() > MOST_FILES:
         raise ValueError(f"more than {MOST_FILES} rows: write them as rows")
     write_manifest_rows([r.asDict(recursive=True) for r in new.collect()], path, append)
+
+
+def write_docx(blocks: list[tuple[str, str]], path: str) -> None:
+    """A Word file of (style name, text) paragraphs: the least that readers of such files accept."""
+    space = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    ids = {name: name.replace(" ", "") for name, _ in blocks}
+    kinds = "".join(f'<Override PartName="/word/{part}.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.{kind}+xml"/>' for part, kind in (("document", "document.main"), ("styles", "styles")))
+    relation = '<Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/{}" Target="{}"/>'
+    relations = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{}</Relationships>'
+    styles = "".join(f'<w:style w:type="paragraph" w:styleId="{escape(i)}"><w:name w:val="{escape(n)}"/></w:style>' for n, i in ids.items())
+    body = "".join(f'<w:p><w:pPr><w:pStyle w:val="{escape(ids[s])}"/></w:pPr><w:r><w:t xml:space="preserve">{escape(t)}</w:t></w:r></w:p>' for s, t in blocks)
+    parts = {
+        "[Content_Types].xml": f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>{kinds}</Types>',
+        "_rels/.rels": relations.format(relation.format("officeDocument", "word/document.xml")),
+        "word/_rels/document.xml.rels": relations.format(relation.format("styles", "styles.xml")),
+        "word/styles.xml": f'<w:styles xmlns:w="{space}">{styles}</w:styles>',
+        "word/document.xml": f'<w:document xmlns:w="{space}"><w:body>{body}</w:body></w:document>',
+    }
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in parts.items():
+            z.writestr(name, '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n' + text)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillstream import api, config, schemas
 from quillstream.operators import audit, calibrate, check, corpus, generation, ranks, scorers, segments, structure
-from quillstream.sources import readers, thresholds, writers
+from quillstream.sources import fetch, readers, thresholds, writers
 from quillstream.streaming import ingest
 
 
@@ -393,6 +393,44 @@ def test_build_corpus_command(spark, tmp_path, capsys):
     assert api.main(["build-corpus", "--tsv-dir", str(scans), "--out-dir", str(tmp_path / "x"), "--known-clean", clean]) == 1
 
 
+def test_demo_and_download_commands(spark, tmp_path, monkeypatch, capsys):
+    monkeypatch.setenv("XDG_CONFIG_HOME", str(tmp_path / "config"))
+    monkeypatch.setenv("HF_HOME", "")
+    draft = str(tmp_path / "demo.docx")
+    assert api.main(["demo", draft]) == 0 and api.main(["count", draft]) == 0
+    out = capsys.readouterr().out
+    assert "Introduction: 24" in out and "Limits" in out and "Bibliography" not in out
+    assert [tuple(r)[2:] for r in readers.read_docx(spark, draft).orderBy("block_idx").collect()] == api.DEMO
+    got = fetch.models(str(tmp_path / "m"), "small", ["own/model"], lambda r: r + "!")
+    assert got == ["own/model!", *(r + "!" for r in scorers.MODEL_PAIRS["small"])] and config.models_dir() == str((tmp_path / "m").resolve())
+    assert api.main(["download", "--pair", "nothing"]) == 1
+
+
+def test_exemplars_are_fetched_whole_or_not_at_all(tmp_path):
+    calls, path = [], str(tmp_path / "x" / "a.pdf")
+
+    def get(url):
+        calls.append(url)
+        if len(calls) == 1:
+            raise OSError("cut")
+        return b"%PDF" + b"x" * (10 if len(calls) == 2 else 200_000)
+
+    assert fetch.exemplar("u", path, get) and len(calls) == 3
+    assert fetch.exemplar("u", path, get) and len(calls) == 3
+    assert not fetch.exemplar("u", str(tmp_path / "b.pdf"), lambda u: b"<html>" * 50_000) and not (tmp_path / "b.pdf").exists()
+
+
+def test_pdf_text_layer(spark, tmp_path):
+    tool = tmp_path / "pdftotext"
+    tool.write_text("#!/bin/sh\ncat\n")
+    tool.chmod(0o755)
+    (tmp_path / "one.pdf").write_bytes(b"First  line\nof it.\n \nSecond.\n")
+    rows = [tuple(r) for r in readers.read_pdf(spark, str(tmp_path / "one.pdf"), tool=str(tool)).orderBy("para_idx").collect()]
+    assert rows == [("one", 0, "First line of it."), ("one", 1, "Second.")]
+    with pytest.raises(Exception, match="needs no-such-tool"):
+        readers.read_pdf(spark, str(tmp_path / "one.pdf"), tool="no-such-tool").collect()
+
+
 def test_pooled_head(spark):
     import numpy as np
 
