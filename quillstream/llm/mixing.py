@@ -33,16 +33,16 @@ def n_words(column: Column) -> Column:
     return F.regexp_count(column, F.lit(WORD)).cast("long")
 
 
-def water_fill(sources: DataFrame, budget: DataFrame, max_epochs: float) -> DataFrame:
-    """``sources`` (weight, source_size, ...) with target: min(cap, level x weight). ``budget``: one row, budget."""
+def water_fill(sources: DataFrame, budget: float, max_epochs: float) -> DataFrame:
+    """``sources`` (weight, source_size, ...; a written table) with target: min(cap, level x weight)."""
     cap = F.col("source_size") * F.lit(float(max_epochs))
     ratios = sources.groupBy((cap / F.col("weight")).alias("ratio")).agg(F.sum(cap).alias("caps"), F.sum("weight").alias("weights"))
-    given = F.broadcast(budget.crossJoin(sources.agg(F.sum("weight").alias("all_weights"))))
-    run = ranks.running(ratios, "ratio", ["caps", "weights"]).crossJoin(given)
-    level = (F.col("budget") - (F.col("caps_upto") - F.col("caps"))) / (F.col("all_weights") - (F.col("weights_upto") - F.col("weights")))
-    # One row; null where all sources are clamped.
-    found = F.broadcast(run.withColumn("level", level).where("level <= ratio").agg(F.min_by("level", "ratio").alias("level")))
-    return sources.crossJoin(found).withColumn("target", F.coalesce(F.least(cap, F.col("level") * F.col("weight")), cap)).drop("level")
+    total = sources.agg(F.sum("weight")).first()[0] or 0.0
+    level = (F.lit(budget) - (F.col("caps_upto") - F.col("caps"))) / (F.lit(total) - (F.col("weights_upto") - F.col("weights")))
+    run = ranks.running(ratios, "ratio", ["caps", "weights"], ranks.bounds_of(ratios, "ratio")).withColumn("level", level)
+    # Null where all sources are clamped.
+    found = run.where("level <= ratio").agg(F.min_by("level", "ratio")).first()[0]
+    return sources.withColumn("target", cap if found is None else F.least(cap, F.lit(found) * F.col("weight")))
 
 
 def _border(buckets: DataFrame, upto: DataFrame, start: Column) -> DataFrame:
@@ -65,8 +65,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     fine = written(keyed.groupBy("_key", "_bucket").agg(F.sum(size).alias("words")), "buckets")
     sizes = fine.groupBy("_key").agg(F.sum("words").alias("source_size"))
     in_turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("idx") % len(weights) + 1).cast("int"))
-    sources = written(ranks.running(sizes, "_key", []).select("_key", "source_size", in_turn.alias("weight")), "sources")
-    budget = sources.agg((F.coalesce(F.sum("source_size"), F.lit(0)) * F.lit(float(share))).alias("budget"))
+    sources = written(ranks.running(sizes, "_key", [], ranks.bounds_of(sizes, "_key")).select("_key", "source_size", in_turn.alias("weight")), "sources")
+    budget = float(sources.agg(F.sum("source_size")).first()[0] or 0) * share
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + F.lit(1e-12))).otherwise(F.lit(0)).cast("long")
     targets = water_fill(sources, budget, max_epochs).withColumn("times", times).withColumn("rest", F.greatest(F.round(F.col("target") - F.col("times") * F.col("source_size")), F.lit(0)).cast("long"))
     targets = written(targets.select("_key", "source_size", "target", "times", "rest"), "targets")

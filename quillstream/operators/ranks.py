@@ -12,16 +12,26 @@ from pyspark.sql import functions as F
 RANGES = 256
 
 
-def running(rows: DataFrame, by: str, sums: list[str]) -> DataFrame:
+def bounds_of(rows: DataFrame, by: str) -> list:
+    """About ``RANGES`` of the values of ``by`` (distinct in ``rows``), in order; computed now. Each is as likely."""
+    every = max(1, -(-rows.count() // RANGES))
+    return sorted(r[0] for r in rows.where(F.pmod(F.xxhash64(F.lit(31), by), F.lit(every)) == 0).select(by).collect())
+
+
+def running(rows: DataFrame, by: str, sums: list[str], bounds: list | None = None) -> DataFrame:
     """``rows`` (distinct in ``by``) with idx (from 0), ``<s>_upto`` (running sum, own included), before and after.
 
-    before and after are the neighbours' values of ``by``, null at the ends.
+    before and after are the neighbours' values of ``by``, null at the ends. ``bounds``: those of ``bounds_of``, or
+    else they are found within the query.
     """
-    # One row: the bounds of the ranges. As rows are distinct, each is chosen alike, whatever its value.
-    n = F.broadcast(rows.agg(F.count("*").alias("_n")))
-    chosen = rows.select(by).crossJoin(n).where(F.pmod(F.xxhash64(F.lit(31), by), F.greatest(F.lit(1), F.ceil(F.col("_n") / RANGES))) == 0)
-    bounds = F.broadcast(chosen.agg(F.array_sort(F.collect_list(by)).alias("_bounds")))
-    parted = rows.crossJoin(bounds).withColumn("_range", F.size(F.filter("_bounds", lambda b: b < F.col(by)))).drop("_bounds")
+    if bounds is None:
+        # One row: the bounds of the ranges, as in ``bounds_of``.
+        n = F.broadcast(rows.agg(F.count("*").alias("_n")))
+        chosen = rows.select(by).crossJoin(n).where(F.pmod(F.xxhash64(F.lit(31), by), F.greatest(F.lit(1), F.ceil(F.col("_n") / RANGES))) == 0)
+        known = rows.crossJoin(F.broadcast(chosen.agg(F.array_sort(F.collect_list(by)).alias("_bounds"))))
+    else:
+        known = rows.withColumn("_bounds", F.array(*[F.lit(b) for b in bounds]).cast(f"array<{rows.schema[by].dataType.simpleString()}>"))
+    parted = known.withColumn("_range", F.size(F.filter("_bounds", lambda b: b < F.col(by)))).drop("_bounds")
     ranges = parted.groupBy("_range").agg(F.count("*").alias("_n"), F.min(by).alias("_low"), F.max(by).alias("_high"), *[F.sum(s).alias(f"_{s}") for s in sums])
     # A row a range.
     order = Window.orderBy("_range")
