@@ -64,16 +64,19 @@ def score_paragraphs(docs: DataFrame, scorer: Scorer, sep: str = "\n\n", thresho
     return paragraph_flags(paras.join(scores, ["doc_id", "para_idx"], "left"), scorer.direction, threshold, amber)
 
 
+def _by_window(scorer: Scorer):
+    """From windows to (doc_id, win_idx, score)."""
+    return lambda wins: scorer.score(wins.select(F.struct("doc_id", "win_idx").alias("id"), F.col("chunk").alias("text"))).select("id.doc_id", "id.win_idx", "score")
+
+
 def window_scores(docs: DataFrame, scorer: Scorer, sep: str = "\n\n") -> DataFrame:
     """(doc_id, win_idx, score) of the overlapping windows over all prose, short paragraphs too."""
-    wins = seg.windows_of(docs, sep, 0)
-    return scorer.score(wins.select(F.struct("doc_id", "win_idx").alias("id"), F.col("chunk").alias("text"))).select("id.doc_id", "id.win_idx", "score")
+    return _by_window(scorer)(seg.windows_of(docs, sep, 0))
 
 
 def score_segments(docs: DataFrame, scorer: Scorer, red: float = seg.RED, amber: float = seg.AMBER, sep: str = "\n\n") -> DataFrame:
     """(doc_id, sent_idx, n_sents, para_idx, sentence, score, severity): each sentence by the worst window over it."""
-    scored = seg.sentence_scores(seg.sentences_of(docs, sep, 0), window_scores(docs, scorer, sep))
-    return scored.withColumn("severity", seg.severity(F.col("score"), red, amber))
+    return seg.scored_sentences(docs, _by_window(scorer), sep, 0).withColumn("severity", seg.severity(F.col("score"), red, amber))
 
 
 def paragraph_verdicts(docs: DataFrame, scorer: Scorer, threshold: float, amber: float | None = None, sep: str = "\n\n") -> DataFrame:

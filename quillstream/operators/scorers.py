@@ -28,9 +28,10 @@ class Scorer(Protocol):
 
 
 def _bigrams(texts: DataFrame, keep: list[str]) -> DataFrame:
-    words = texts.select(*keep, T.tokens(F.lower("text")).alias("ws")).where(F.size("ws") > 1)
-    pairs = F.arrays_zip(F.slice("ws", F.lit(1), F.size("ws") - 1).alias("w"), F.slice("ws", F.lit(2), F.size("ws") - 1).alias("v"))
-    return words.select(*keep, F.inline(pairs).alias("w", "v"))
+    words = texts.select(*keep, T.tokens(F.lower("text")).alias("ws"))
+    pairs = F.arrays_zip(F.slice("ws", F.lit(1), F.greatest(F.size("ws") - 1, F.lit(0))).alias("w"), F.slice("ws", F.lit(2), F.size("ws")).alias("v"))
+    # Outer, as the planner would otherwise cut the text once more to see that there are pairs.
+    return words.select(*keep, F.inline_outer(pairs).alias("w", "v")).where("w is not null")
 
 
 class PairScorer:
@@ -56,7 +57,8 @@ class PairScorer:
     def score(self, texts: DataFrame) -> DataFrame:
         # Pre-aggregated, so that a frequent word costs one row a text; what grows with the texts is joined once.
         seen = _bigrams(texts, ["id"]).groupBy("id", "w", "v").agg(F.count("*").alias("k"))
-        told = self.losses(_bigrams(texts, []).distinct())
+        # Of the same counts, so that texts are cut and summed once.
+        told = self.losses(seen.groupBy("w", "v").agg(F.sum("k").alias("n")).select("w", "v", "n"))
         out = seen.join(told, ["w", "v"]).groupBy("id").agg(F.sum(F.col("a") * F.col("k")).alias("a"), F.sum(F.col("b") * F.col("k")).alias("b"))
         return out.select("id", (F.col("a") / F.col("b")).alias("score"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,18 +21,23 @@ def _prose(text: Column, sep: str, min_words: int) -> Column:
 
 def paragraphs(docs: DataFrame, sep: str = "\n\n", min_words: int = T.MIN_PROSE_WORDS) -> DataFrame:
     """(doc_id, para_idx, text): prose paragraphs of ``docs`` (doc_id, text), numbered among those kept. No shuffle."""
-    return docs.select("doc_id", F.posexplode(_prose(F.col("text"), sep, min_words)).alias("para_idx", "text"))
+    # Outer, as the planner would otherwise compute the array once more to see that it is not empty.
+    return docs.select("doc_id", F.posexplode_outer(_prose(F.col("text"), sep, min_words)).alias("para_idx", "text")).where("para_idx is not null")
 
 
 def _sentence_array(text: Column, sep: str, min_words: int) -> Column:
     return F.flatten(F.transform(_prose(text, sep, min_words), lambda p, i: F.transform(T.sentences(p), lambda s: F.struct(i.alias("para_idx"), s.alias("sentence")))))
 
 
+def cut(docs: DataFrame, sep: str = "\n\n", min_words: int = T.MIN_PROSE_WORDS) -> DataFrame:
+    """(doc_id, cut): each text's sentences as an array of (para_idx, sentence). No shuffle."""
+    return docs.select("doc_id", _sentence_array(F.col("text"), sep, min_words).alias("cut"))
+
+
 def sentences_of(docs: DataFrame, sep: str = "\n\n", min_words: int = T.MIN_PROSE_WORDS) -> DataFrame:
     """(doc_id, sent_idx, n_sents, para_idx, sentence) of ``docs`` (doc_id, text; one row a document). No shuffle."""
-    cut = docs.select("doc_id", _sentence_array(F.col("text"), sep, min_words).alias("_s"))
-    counted = cut.select("doc_id", "_s", F.size("_s").cast("long").alias("n_sents"))
-    each = counted.select("doc_id", "n_sents", F.posexplode("_s").alias("sent_idx", "_x"))
+    counted = cut(docs, sep, min_words).select("doc_id", "cut", F.size("cut").cast("long").alias("n_sents"))
+    each = counted.select("doc_id", "n_sents", F.posexplode_outer("cut").alias("sent_idx", "_x")).where("sent_idx is not null")
     return each.select("doc_id", "sent_idx", "n_sents", "_x.para_idx", "_x.sentence")
 
 
@@ -57,12 +64,40 @@ def windows(sents: DataFrame) -> DataFrame:
     return each.select("doc_id", (start / STRIDE).cast("int").alias("win_idx"), start.alias("start"), F.least(start + WIDTH, n).cast("int").alias("end"), "chunk")
 
 
-def windows_of(docs: DataFrame, sep: str = "\n\n", min_words: int = T.MIN_PROSE_WORDS) -> DataFrame:
-    """(doc_id, win_idx, start, end, chunk) of ``docs`` (doc_id, text; one row a document). No shuffle."""
-    cut = docs.select("doc_id", F.transform(_sentence_array(F.col("text"), sep, min_words), lambda x: x["sentence"]).alias("_s")).where(F.size("_s") > 0)
+def _windows_of_cut(texts: DataFrame) -> DataFrame:
+    said = texts.select("doc_id", F.transform("cut", lambda x: x["sentence"]).alias("_s"))
     n = F.size("_s")
     one = lambda w: F.struct(w.alias("win_idx"), (w * STRIDE).alias("start"), F.least(w * STRIDE + WIDTH, n).alias("end"), F.array_join(F.slice("_s", w * STRIDE + 1, F.lit(WIDTH)), " ").alias("chunk"))
-    return cut.select("doc_id", F.inline(F.transform(F.sequence(F.lit(0), _last_window(n)), one)))
+    every = F.when(n > 0, F.transform(F.sequence(F.lit(0), _last_window(n)), one))
+    return said.select("doc_id", F.inline_outer(every)).where("win_idx is not null")
+
+
+def windows_of(docs: DataFrame, sep: str = "\n\n", min_words: int = T.MIN_PROSE_WORDS) -> DataFrame:
+    """(doc_id, win_idx, start, end, chunk) of ``docs`` (doc_id, text; one row a document). No shuffle."""
+    return _windows_of_cut(cut(docs, sep, min_words))
+
+
+def scored_sentences(docs: DataFrame, score: Callable[[DataFrame], DataFrame], sep: str = "\n\n", min_words: int = T.MIN_PROSE_WORDS) -> DataFrame:
+    """(doc_id, sent_idx, n_sents, para_idx, sentence, score): each sentence with the largest of its windows' scores.
+
+    ``score`` makes (doc_id, win_idx, score) of windows. Texts are cut once and move once, by document, in an exchange
+    that both the windows and the sentences read; scores come back as a document's array.
+    """
+    texts = cut(docs, sep, min_words).repartition("doc_id")
+    scores = score(_windows_of_cut(texts)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("win_idx", "score"))).alias("_w"))
+    met = texts.join(scores, "doc_id", "left").select("doc_id", "cut", F.coalesce("_w", F.array().cast(scores.schema["_w"].dataType)).alias("_w"), F.size("cut").cast("long").alias("n_sents"))
+    # Where every window has its score, those over a sentence are found by place.
+    whole = F.size("_w") == _last_window(F.col("n_sents")) + 1
+
+    def worst(i: Column) -> Column:
+        low = F.greatest(F.lit(0), F.ceil((i - (WIDTH - 1)) / STRIDE)).cast("int")
+        high = F.floor(i / STRIDE).cast("int")
+        over = F.when(whole, F.slice("_w", low + 1, F.greatest(high - low + 1, F.lit(0)))).otherwise(F.filter("_w", lambda x: (x["win_idx"] >= low) & (x["win_idx"] <= high)))
+        return F.greatest(F.lit(0.0), F.coalesce(F.array_max(F.transform(over, lambda x: x["score"])), F.lit(0.0)))
+
+    told = F.transform("cut", lambda x, i: F.struct(x["para_idx"].alias("para_idx"), x["sentence"].alias("sentence"), worst(i).alias("score")))
+    each = met.select("doc_id", "n_sents", F.posexplode_outer(told).alias("sent_idx", "_x")).where("sent_idx is not null")
+    return each.select("doc_id", "sent_idx", "n_sents", "_x.para_idx", "_x.sentence", "_x.score")
 
 
 def sentence_scores(sents: DataFrame, window_scores: DataFrame) -> DataFrame:

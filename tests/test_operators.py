@@ -264,6 +264,17 @@ def test_windows_of_texts_and_of_tables_agree(spark):
     assert rows(sents) == rows(table) and rows(segments.windows_of(docs, "\n", 0)) == rows(segments.windows(table)) and rows(sents)
 
 
+def test_scored_sentences_with_all_and_with_some_windows(spark):
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, " ".join(f"Said {k} words." for k in range(rng.randint(0, 40)))) for i in range(25)], "doc_id int, text string")
+    for keep in ("true", "win_idx % 3 != 1", "false"):
+        score = lambda wins: wins.where(keep).select("doc_id", "win_idx", (F.pmod(F.xxhash64("chunk"), F.lit(100)) / 100.0).alias("score"))  # noqa: B023, E731
+        got = segments.scored_sentences(docs, score, "\n", 0)
+        want = segments.sentence_scores(segments.sentences_of(docs, "\n", 0), score(segments.windows_of(docs, "\n", 0)))
+        rows = lambda df: sorted(map(tuple, df.select(*sorted(df.columns)).collect()))
+        assert rows(got) == rows(want) and rows(got)
+
+
 def test_plans_of_segments_move_texts_once(spark):
     docs = spark.createDataFrame([(1, "One. Two.")], "doc_id int, text string")
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
