@@ -55,11 +55,9 @@ class PairScorer:
         return met.select("w", "v", (-F.log(p)).alias("a"), (-F.log(q)).alias("b"))
 
     def score(self, texts: DataFrame) -> DataFrame:
-        # Pre-aggregated, so that a frequent word costs one row a text; what grows with the texts is joined once.
-        seen = _bigrams(texts, ["id"]).groupBy("id", "w", "v").agg(F.count("*").alias("k"))
-        # Of the same counts, so that texts are cut and summed once.
-        told = self.losses(seen.groupBy("w", "v").agg(F.sum("k").alias("n")).select("w", "v", "n"))
-        out = seen.join(told, ["w", "v"]).groupBy("id").agg(F.sum(F.col("a") * F.col("k")).alias("a"), F.sum(F.col("b") * F.col("k")).alias("b"))
+        # What grows with the texts is joined once, by word pair.
+        told = self.losses(_bigrams(texts, []).distinct())
+        out = _bigrams(texts, ["id"]).join(told, ["w", "v"]).groupBy("id").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
         return out.select("id", (F.col("a") / F.col("b")).alias("score"))
 
 
