@@ -93,10 +93,10 @@ def check(docs: DataFrame, window_scorer: Scorer, pair_scorer: Scorer, threshold
 
 
 def calibrate(human: DataFrame, ai: DataFrame, scorer: Scorer, pair: tuple[str, str] = ("unigram", "bigram"), backend: str = "counts") -> DataFrame:
-    """The pair record of two sets of samples (sample_id, text)."""
+    """The pair record of two sets of samples (sample_id, text). Scores are kept, as the record reads them many times."""
     both = human.withColumn("cls", F.lit("human")).unionByName(ai.withColumn("cls", F.lit("ai")))
     scores = scorer.score(both.select(F.struct("sample_id", "cls").alias("id"), "text"))
-    return cal.record(scores.select("id.sample_id", "id.cls", "score"), pair, backend)
+    return cal.record(scores.select("id.sample_id", "id.cls", "score").persist(), pair, backend)
 
 
 def fit_band(human: DataFrame, scorer: Scorer, sep: str = "\n\n") -> DataFrame:

@@ -143,25 +143,27 @@ def band(windows: DataFrame) -> DataFrame:
 def record(samples: DataFrame, pair: tuple[str, str], backend: str) -> DataFrame:
     """Pair record: everything a calibration file says, in one row; no row if a class is missing.
 
-    accuracy is that of the hold-out, null where nothing could be held out.
+    accuracy is that of the hold-out, null where nothing could be held out. Its parts are a row each and are read one
+    after another, now: in one plan each would hold copies of the others'. Persist ``samples`` if scoring is dear.
     """
-    fit = pick_threshold(samples)
-    held = leave_one_group_out(samples).select(F.col("accuracy").alias("held"), "n_groups")
-    facts = samples.agg(
-        F.count_if(F.col("cls") == "human").alias("n_human"),
-        F.count_if(F.col("cls") == "ai").alias("n_ai"),
-        F.avg(F.when(F.col("cls") == "human", F.col("score"))).alias("human_mean"),
-        F.avg(F.when(F.col("cls") == "ai", F.col("score"))).alias("ai_mean"),
-    )
-    one = fit.crossJoin(held).crossJoin(facts).crossJoin(pair_amber(samples, fit))
-    return one.select(
+    spark = samples.sparkSession
+    fit = pick_threshold(samples).first()
+    raw = "threshold double, amber double, held double, in_sample double, n_human long, n_ai long, n_groups long, human_mean double, ai_mean double"
+    rows = []
+    if fit is not None:
+        held = leave_one_group_out(samples).first()
+        of = lambda cls: F.when(F.col("cls") == cls, F.col("score"))
+        facts = samples.agg(F.count(of("human")).alias("n_human"), F.count(of("ai")).alias("n_ai"), F.avg(of("human")).alias("human_mean"), F.avg(of("ai")).alias("ai_mean")).first()
+        amber = pair_amber(samples, spark.createDataFrame([(fit["threshold"],)], "threshold double")).first()["amber"]
+        rows = [(fit["threshold"], amber, held["accuracy"], fit["accuracy"], facts["n_human"], facts["n_ai"], held["n_groups"], facts["human_mean"], facts["ai_mean"])]
+    return spark.createDataFrame(rows, raw).select(
         F.array(*[F.lit(p) for p in pair]).alias("pair"),
         F.lit(backend).alias("backend"),
         F.round("threshold", 4).alias("threshold"),
         "amber",
         F.round("held", 4).alias("accuracy"),
         F.lit("leave-one-essay-out").alias("accuracy_kind"),
-        F.round("accuracy", 4).alias("accuracy_in_sample"),
+        F.round("in_sample", 4).alias("accuracy_in_sample"),
         "n_human",
         "n_ai",
         F.col("n_groups").alias("n_essays"),
