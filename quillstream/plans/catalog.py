@@ -778,7 +778,7 @@ def _ratios_sql(name: str, texts: str) -> str:
     f"""WITH {_sents_sql()}, cw AS (SELECT {_TOKENS.format("lower(text)")} AS ws FROM documents), cp AS (SELECT unnest(list_slice(ws, 1, len(ws) - 1)) AS w, unnest(list_slice(ws, 2, len(ws))) AS v FROM cw WHERE len(ws) > 1),
     u AS (SELECT v, count(*) AS n_v FROM cp GROUP BY v), c AS (SELECT w, count(*) AS n_w FROM cp GROUP BY w), b AS (SELECT w, v, count(*) AS n_wv FROM cp GROUP BY w, v), z AS (SELECT sum(n_v) AS total, count(*) AS vocabulary FROM u),
     {_ratios_sql("rw", "SELECT {'d': doc_id, 'i': win_idx} AS id, chunk AS text FROM wins")}, {_ratios_sql("rp", "SELECT {'d': doc_id, 'i': para_idx} AS id, text FROM paras WHERE " + _WORDS.format("text") + " >= 25")},
-    ws AS (SELECT m.doc_id, m.sent_idx, any_value(m.para_idx) AS para_idx, greatest(0.0, coalesce(max(greatest(0.0, least(1.0, (0.9 * 1.3 - ratio) / (0.9 * 1.3)))), 0.0)) AS score FROM member m LEFT JOIN rw ON rw.id.d = m.doc_id AND rw.id.i = m.win_idx GROUP BY m.doc_id, m.sent_idx),
+    ws AS (SELECT m.doc_id, m.sent_idx, any_value(m.para_idx) AS para_idx, greatest(0.0, coalesce(max(greatest(0.0, least(1.0, (0.9 * 1.3 - ratio) / (0.9 * 1.3)))) FILTER (ratio IS NOT NULL), 0.0)) AS score FROM member m LEFT JOIN rw ON rw.id.d = m.doc_id AND rw.id.i = m.win_idx GROUP BY m.doc_id, m.sent_idx),
     own AS (SELECT *, CASE WHEN score >= 0.45 THEN 2 WHEN score >= 0.4 THEN 1 ELSE 0 END AS own_severity FROM ws), pv AS (SELECT id.d AS doc_id, id.i AS para_idx, CASE WHEN ratio < 0.65 THEN 2 WHEN ratio < 0.7 THEN 1 ELSE 0 END AS para_severity FROM rp)
     SELECT o.doc_id, o.sent_idx, own_severity, para_severity, greatest(own_severity, coalesce(para_severity, 0)) AS severity FROM own o LEFT JOIN pv USING (doc_id, para_idx)"""
 )
