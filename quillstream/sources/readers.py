@@ -151,21 +151,30 @@ _UNSEEN = {"script", "style", "title", "template", "noscript"}
 _WITHIN = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "del", "em", "i", "img", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "u", "var", "wbr"}
 
 
-def html_blocks(html: str | None) -> list[tuple[str, str]]:
-    """(style, text) of a page's blocks, in order; character references resolved, scripts and comments left out."""
+def html_blocks(html: str | None, references: tuple[str, ...] | None = None) -> list[tuple[str, str]]:
+    """(style, text) of a page's blocks, in order; character references resolved, scripts and comments left out.
+
+    With ``references`` only those names, as ``&name;``, are resolved; all others stay as they are written.
+    """
+    html = html or ""
+    if references is not None:
+        html = re.sub(f"&(?!(?:{'|'.join(map(re.escape, references)) or '(?!)'});)", "&amp;", html)
     page = _Blocks()
-    page.feed(html or "")
+    page.feed(html)
     page.close()
     page.cut()
     return page.blocks
 
 
-def page_blocks(pages: DataFrame) -> DataFrame:
-    """Blocks of HTML pages (page_id, html): (doc_id, block_idx, style, text). Pages are parsed by the executors."""
+def page_blocks(pages: DataFrame, references: tuple[str, ...] | None = None) -> DataFrame:
+    """Blocks of HTML pages (page_id, html): (doc_id, block_idx, style, text). Pages are parsed by the executors.
+
+    ``references`` as for ``html_blocks``.
+    """
 
     def parse(frames):
         for frame in frames:
-            rows = [(d, i, s, t) for d, h in zip(frame["doc_id"], frame["html"], strict=True) for i, (s, t) in enumerate(html_blocks(h))]
+            rows = [(d, i, s, t) for d, h in zip(frame["doc_id"], frame["html"], strict=True) for i, (s, t) in enumerate(html_blocks(h, references))]
             yield pd.DataFrame(rows, columns=["doc_id", "block_idx", "style", "text"])
 
     return pages.select(F.col("page_id").cast("string").alias("doc_id"), "html").mapInPandas(parse, schemas.BLOCK)

@@ -3,11 +3,14 @@ import json
 import random
 import zipfile
 
+import duckdb
+import oracle
 import pytest
 from pyspark.sql import functions as F
 
 from quillstream import api, config, schemas
 from quillstream.operators import audit, calibrate, check, corpus, generation, ranks, scorers, segments, structure
+from quillstream.plans import catalog
 from quillstream.sources import fetch, readers, thresholds, writers
 from quillstream.streaming import ingest
 
@@ -303,6 +306,16 @@ def test_html_blocks():
     assert readers.html_blocks(None) == readers.html_blocks("") == []
 
 
+def test_page_headings_with_references_that_the_sql_leaves(spark, tmp_path):
+    """Headings cut within a reference, other references and other levels; found over sf0.1."""
+    pages = ["<h1>A &amp;&amp; b&amp</h1><p>x", "<h1>c &quot;d&lt;</h1><h2>no</h2>", "<h1 class='t'>e&am</h1>", "<h1>f &amp;amp; <b>g</b>&</h1>"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages AS SELECT * FROM (VALUES " + ", ".join(f"({i}, '{p.replace(chr(39), chr(34))}')" for i, p in enumerate(pages)) + ") t(page_id, html)")
+    con.execute(f"COPY pages TO '{tmp_path}/pages.parquet'")
+    assert oracle.compare(spark, con, catalog.page_headings, catalog.ORACLE_SQL["page_headings"], str(tmp_path)) is None
+    assert readers.html_blocks("<p>&eacute;&amp;&lt", ()) == [("Normal", "&eacute;&amp;&lt")]
+
+
 def test_outline_of_many_sections(spark):
     """A long flat outline, and levels beyond nine."""
     rows = [("a", i, f"Heading {1 + i % 2 * 11}" if i % 3 else "Heading 12", "head") for i in range(0, 3000)]
