@@ -7,10 +7,12 @@ import re
 import shutil
 import subprocess
 import zipfile
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -166,15 +168,36 @@ def html_blocks(html: str | None, references: tuple[str, ...] | None = None) ->
     return page.blocks
 
 
+#: Characters of blocks that a worker holds before it hands them on.
+_HELD = 1 << 20
+
+
 def page_blocks(pages: DataFrame, references: tuple[str, ...] | None = None) -> DataFrame:
     """Blocks of HTML pages (page_id, html): (doc_id, block_idx, style, text). Pages are parsed by the executors.
 
-    ``references`` as for ``html_blocks``.
+    ``references`` as for ``html_blocks``. Pages are taken one by one and blocks leave in small batches, so a worker
+    holds one batch of pages as Spark sends it and little else.
     """
 
-    def parse(frames):
-        for frame in frames:
-            rows = [(d, i, s, t) for d, h in zip(frame["doc_id"], frame["html"], strict=True) for i, (s, t) in enumerate(html_blocks(h, references))]
-            yield pd.DataFrame(rows, columns=["doc_id", "block_idx", "style", "text"])
+    said = pages.select(F.col("page_id").cast("string").alias("doc_id"), "html")
+    return said.mapInArrow(lambda batches: _parsed(batches, references), schemas.BLOCK)
+
+
+def _parsed(batches: Iterable[pa.RecordBatch], references: tuple[str, ...] | None) -> Iterator[pa.RecordBatch]:
+    rows, held = [], 0
+    for batch in batches:
+        for d, html in zip(batch.column(0), batch.column(1), strict=True):
+            name = d.as_py()
+            for i, (style, text) in enumerate(html_blocks(html.as_py(), references)):
+                rows.append((name, i, style, text))
+                held += len(text)
+            if held >= _HELD or len(rows) >= _HELD >> 6:
+                yield _block_batch(rows)
+                rows, held = [], 0
+    if rows:
+        yield _block_batch(rows)
+
 
-    return pages.select(F.col("page_id").cast("string").alias("doc_id"), "html").mapInPandas(parse, schemas.BLOCK)
+def _block_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [("doc_id", pa.string()), ("block_idx", pa.int32()), ("style", pa.string()), ("text", pa.string())]
+    return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, (_, kind) in zip(zip(*rows, strict=True), kinds, strict=True)], names=[n for n, _ in kinds])

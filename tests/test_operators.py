@@ -5,6 +5,7 @@ import zipfile
 
 import duckdb
 import oracle
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -316,6 +317,15 @@ def test_page_headings_with_references_that_the_sql_leaves(spark, tmp_path):
     assert readers.html_blocks("<p>&eacute;&amp;&lt", ()) == [("Normal", "&eacute;&amp;&lt")]
 
 
+def test_blocks_of_pages_leave_in_small_batches():
+    page = "<h1>head</h1>" + "<p>" + "word " * 4000
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(300)]), pa.array([page] * 299 + [None])], names=["doc_id", "html"])
+    got = list(readers._parsed([batch], None))
+    assert len(got) >= 5 and max(b.nbytes for b in got) < 2 * readers._HELD
+    assert [x for b in got for x in b.column("doc_id").to_pylist()] == [str(i) for i in range(299) for _ in range(2)]
+    assert not list(readers._parsed([], None))
+
+
 def test_outline_of_many_sections(spark):
     """A long flat outline, and levels beyond nine."""
     rows = [("a", i, f"Heading {1 + i % 2 * 11}" if i % 3 else "Heading 12", "head") for i in range(0, 3000)]
