@@ -9,10 +9,11 @@ Scores are directional and never evidence of who wrote a text.
 
 from __future__ import annotations
 
+from functools import cached_property
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -27,38 +28,92 @@ class Scorer(Protocol):
         ...
 
 
+def _words(texts: DataFrame, keep: list[str]) -> DataFrame:
+    return texts.select(*keep, T.tokens(F.lower("text")).alias("ws"))
+
+
 def _bigrams(texts: DataFrame, keep: list[str]) -> DataFrame:
-    words = texts.select(*keep, T.tokens(F.lower("text")).alias("ws"))
     pairs = F.arrays_zip(F.slice("ws", F.lit(1), F.greatest(F.size("ws") - 1, F.lit(0))).alias("w"), F.slice("ws", F.lit(2), F.size("ws")).alias("v"))
     # Outer, as the planner would otherwise cut the text once more to see that there are pairs.
-    return words.select(*keep, F.inline_outer(pairs).alias("w", "v")).where("w is not null")
+    return _words(texts, keep).select(*keep, F.inline_outer(pairs).alias("w", "v")).where("w is not null")
+
+
+def _occurrences(texts: DataFrame, keep: list[str]) -> DataFrame:
+    """Words, with whether one follows them (first) and whether one precedes them (second)."""
+    each = _words(texts, keep).select(*keep, F.size("ws").alias("_n"), F.posexplode_outer("ws").alias("_i", "word")).where("_i is not null and _n > 1")
+    return each.select(*keep, "word", (F.col("_i") < F.col("_n") - 1).cast("int").alias("first"), (F.col("_i") > 0).cast("int").alias("second"))
+
+
+def _least(counts: list[tuple[int, int]], most: int) -> int:
+    """The least n such that at most ``most`` have n or more, of (n, how many have n)."""
+    least = None
+    for n, many in sorted(counts, reverse=True):
+        most -= many
+        if most < 0:
+            return n + 1
+        least = n
+    return least or 1
 
 
 class PairScorer:
-    """Ratio of mean losses: -log p(v | w) by a smoothed bigram model over -log q(v) by a smoothed unigram model."""
+    """Ratio of mean losses: -log p(v | w) by a smoothed bigram model over -log q(v) by a smoothed unigram model.
+
+    The most frequent words and pairs are looked up where the text is, without moving it; all others are joined. Which
+    ones are frequent is found in a sample, their counts are of the whole corpus, so this changes no result.
+    """
 
     direction = -1
+    #: Words and pairs that are broadcast, and one in how many texts is read to find such pairs.
+    HOT_WORDS, HOT_PAIRS, SAMPLE = 1 << 17, 1 << 18, 16
 
     def __init__(self, corpus: DataFrame):
-        # The other counts are sums of the pairs', so the corpus is shuffled once and that exchange is reused.
-        self.bigram = _bigrams(corpus, []).groupBy("w", "v").agg(F.count("*").alias("n_wv"))
-        self.unigram = self.bigram.groupBy("v").agg(F.sum("n_wv").alias("n_v"))
-        self.context = self.bigram.groupBy("w").agg(F.sum("n_wv").alias("n_w"))
-        self.size = self.unigram.agg(F.coalesce(F.sum("n_v"), F.lit(0)).alias("total"), F.count("*").alias("vocabulary"))
-
-    def losses(self, pairs: DataFrame) -> DataFrame:
-        """(w, v, a, b): both models' loss of each of the distinct ``pairs`` (w, v). Joins of vocabulary size."""
-        met = pairs.join(self.bigram, ["w", "v"], "left").join(self.context, "w", "left").join(self.unigram, "v", "left").crossJoin(F.broadcast(self.size))
-        zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-        q = (zero("n_v") + 1) / (F.col("total") + F.col("vocabulary") + 1)
-        p = (zero("n_wv") + q) / (zero("n_w") + 1)
-        return met.select("w", "v", (-F.log(p)).alias("a"), (-F.log(q)).alias("b"))
+        self.corpus = corpus.select("text")
+
+    @cached_property
+    def _fit(self) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+        """Words (word, n_w, n_v), kept; the frequent ones; frequent pairs (w, v, t), t the log of n_wv + q; q's divisor."""
+        spark = self.corpus.sparkSession
+        words = _occurrences(self.corpus, []).groupBy("word").agg(F.sum("first").alias("n_w"), F.sum("second").alias("n_v")).persist()
+        sizes = words.groupBy(F.greatest("n_w", "n_v").alias("n")).agg(F.count("*").alias("many"), F.sum("n_v").alias("total"), F.count_if(F.col("n_v") > 0).alias("vocabulary")).collect()
+        divisor = sum(r["total"] + r["vocabulary"] for r in sizes) + 1
+        often = words.where(F.greatest("n_w", "n_v") >= _least([(r["n"], r["many"]) for r in sizes], self.HOT_WORDS))
+
+        # The pairs' names go through the driver, so that every branch has the same ones; rand, so that copies of a text part.
+        sample = _bigrams(self.corpus.where(F.rand(7) * self.SAMPLE < 1), []).groupBy("w", "v").agg(F.count("*").alias("n")).where("n > 1").persist()
+        many = [(r["n"], r["many"]) for r in sample.groupBy("n").agg(F.count("*").alias("many")).collect()]
+        names = spark.createDataFrame(sample.where(F.col("n") >= _least(many, self.HOT_PAIRS)).select("w", "v").toArrow(), "w string, v string")
+        sample.unpersist()
+        counted = _bigrams(self.corpus, []).join(F.broadcast(names), ["w", "v"], "left_semi").groupBy("w", "v").agg(F.count("*").alias("n_wv"))
+        pairs = F.broadcast(counted).join(words, F.col("v") == F.col("word")).select("w", "v", F.log(F.col("n_wv") + (F.col("n_v") + 1) / divisor).alias("t")).persist()
+        return words, often, pairs, divisor
 
     def score(self, texts: DataFrame) -> DataFrame:
-        # What grows with the texts is joined once, by word pair.
-        told = self.losses(_bigrams(texts, []).distinct())
-        out = _bigrams(texts, ["id"]).join(told, ["w", "v"]).groupBy("id").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-        return out.select("id", (F.col("a") / F.col("b")).alias("score"))
+        words, often, pairs, divisor = self._fit
+        zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+        q = (zero("n_v") + 1) / F.lit(divisor)
+        of = lambda role, *keep: F.broadcast(often.select(F.col("word").alias(role), *keep))
+        said = _bigrams(texts, ["id"])
+
+        # The losses are a = log(n_w + 1) - log(n_wv + q) and b = -log(q); each part is added where its count is known.
+        near = said.join(F.broadcast(pairs), ["w", "v"], "left").join(of("w", "n_w"), "w", "left").join(of("v", "n_v"), "v", "left")
+        known = F.coalesce(F.log(F.col("n_w") + 1), F.lit(0.0)) - F.coalesce("t", F.lit(0.0))
+        parts = near.select("id", known.alias("a"), F.when(F.col("n_v").isNotNull(), -F.log(q)).otherwise(F.lit(0.0)).alias("b"))
+
+        rare = _occurrences(texts, ["id"]).join(of("word"), "word", "left_anti").join(words, "word", "left")
+        parts = parts.unionByName(rare.select("id", (F.col("first") * F.log(zero("n_w") + 1)).alias("a"), (F.col("second") * -F.log(q)).alias("b")))
+
+        left = said.join(F.broadcast(pairs.select("w", "v")), ["w", "v"], "left_anti")
+        pair = F.concat_ws(" ", "w", "v").alias("pair")  # one string is narrower, and no word has a space
+        asked = left.join(of("v", "n_v"), "v").select("id", pair, "n_v")
+        asked = asked.unionByName(left.join(of("v"), "v", "left_anti").join(words.select(F.col("word").alias("v"), "n_v"), "v", "left").select("id", pair, "n_v"))
+        if texts.select("text").sameSemantics(self.corpus):
+            # The texts' own pairs are the counts: they move once.
+            met = asked.withColumn("n_wv", F.count("*").over(Window.partitionBy("pair")))
+        else:
+            counts = _bigrams(self.corpus, []).join(F.broadcast(pairs.select("w", "v")), ["w", "v"], "left_anti").groupBy(pair).agg(F.count("*").alias("n_wv"))
+            met = asked.join(counts, "pair", "left")
+        parts = parts.unionByName(met.select("id", (-F.log(zero("n_wv") + q)).alias("a"), F.lit(0.0).alias("b")))
+        return parts.groupBy("id").agg((F.sum("a") / F.sum("b")).alias("score"))
 
 
 class Flipped:

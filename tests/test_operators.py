@@ -1,7 +1,10 @@
 import io
 import json
+import math
 import random
+import re
 import zipfile
+from collections import Counter
 
 import duckdb
 import oracle
@@ -326,6 +329,34 @@ def test_blocks_of_pages_leave_in_small_batches():
     assert not list(readers._parsed([], None))
 
 
+def ratios(corpus, texts):
+    """The pair scorer's formula, by brute force."""
+    pairs = lambda t: list(zip(t.lower().split(), t.lower().split()[1:]))
+    all_ = [p for t in corpus for p in pairs(t)]
+    n_wv, n_w, n_v = Counter(all_), Counter(w for w, _ in all_), Counter(v for _, v in all_)
+    q = lambda v: (n_v[v] + 1) / (len(all_) + len(n_v) + 1)
+    loss = lambda t: sum(-math.log((n_wv[p] + q(p[1])) / (n_w[p[0]] + 1)) for p in pairs(t)) / sum(-math.log(q(v)) for _, v in pairs(t))
+    return {i: loss(t) for i, t in enumerate(texts) if pairs(t)}
+
+
+@pytest.mark.parametrize("hot", [(1, 1), (3, 2), (1 << 17, 1 << 18)])
+def test_pair_scorer_moves_word_pairs_once(spark, monkeypatch, hot):
+    """Whatever words and pairs are broadcast; over the corpus itself and over other texts."""
+    rng = random.Random(8)
+    draw = lambda k, n: [" ".join(rng.choice("the of a b c d e F g\u00a0h".split(" ")) for _ in range(rng.randint(0, n))) for _ in range(k)]
+    corpus, other = draw(60, 30), ["", "the", "new words the of", *draw(20, 30)]
+    monkeypatch.setattr(scorers.PairScorer, "HOT_WORDS", hot[0])
+    monkeypatch.setattr(scorers.PairScorer, "HOT_PAIRS", hot[1])
+    monkeypatch.setattr(scorers.PairScorer, "SAMPLE", 1)
+    mine = spark.createDataFrame(list(enumerate(corpus)), "id int, text string").repartition(3)
+    scorer = scorers.PairScorer(mine)
+    for texts, said in ((mine, corpus), (spark.createDataFrame(list(enumerate(other)), "id int, text string"), other)):
+        scored = scorer.score(texts)
+        assert {r["id"]: pytest.approx(r["score"], rel=1e-12) for r in scored.collect()} == ratios(corpus, said)
+    plan = scorer.score(mine)._jdf.queryExecution().sparkPlan().toString()
+    assert "Window [count" in plan and not re.search("SortMergeJoin \\[w#", plan)
+
+
 def test_outline_of_many_sections(spark):
     """A long flat outline, and levels beyond nine."""
     rows = [("a", i, f"Heading {1 + i % 2 * 11}" if i % 3 else "Heading 12", "head") for i in range(0, 3000)]
