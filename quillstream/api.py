@@ -87,7 +87,17 @@ def paragraph_verdicts(docs: DataFrame, scorer: Scorer, threshold: float, amber:
 
 
 def check(docs: DataFrame, window_scorer: Scorer, pair_scorer: Scorer, threshold: float, amber: float | None = None, sep: str = "\n\n", red: float = seg.RED, window_amber: float = seg.AMBER) -> DataFrame:
-    """Sentences with the worse of their windows' and their paragraph's verdicts."""
+    """Sentences with the worse of their windows' and their paragraph's verdicts.
+
+    Two scorers that read the same sums over word pairs are asked once, by sentence.
+    """
+    base = getattr(pair_scorer, "base", None)
+    if base is not None and getattr(window_scorer, "base", None) is base:
+        told = seg.summed_sentences(docs, base.sums, window_scorer.of_sums, sep)
+        score = F.when(F.col("words") >= T.MIN_PROSE_WORDS, pair_scorer.of_sums(F.col("a"), F.col("b")))
+        para = F.when(score.isNotNull(), seg.low_severity(score, F.lit(threshold), F.lit(amber).cast("double")))
+        sents = told.select("doc_id", "para_idx", "sent_idx", "n_sents", "sentence", "score", seg.severity(F.col("score"), red, window_amber).alias("own_severity"), para.alias("para_severity"))
+        return sents.withColumn("severity", seg.worse(F.col("own_severity"), F.col("para_severity")))
     sents = score_segments(docs, window_scorer, red, window_amber, sep)
     return checking.union(sents, paragraph_verdicts(docs, pair_scorer, threshold, amber, sep))
 

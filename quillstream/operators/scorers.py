@@ -13,7 +13,7 @@ from functools import cached_property
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -33,9 +33,10 @@ def _words(texts: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def _bigrams(texts: DataFrame, keep: list[str]) -> DataFrame:
+    """Word pairs; a text without any has one row of nulls."""
     pairs = F.arrays_zip(F.slice("ws", F.lit(1), F.greatest(F.size("ws") - 1, F.lit(0))).alias("w"), F.slice("ws", F.lit(2), F.size("ws")).alias("v"))
     # Outer, as the planner would otherwise cut the text once more to see that there are pairs.
-    return _words(texts, keep).select(*keep, F.inline_outer(pairs).alias("w", "v")).where("w is not null")
+    return _words(texts, keep).select(*keep, F.inline_outer(pairs).alias("w", "v"))
 
 
 def _occurrences(texts: DataFrame, keep: list[str]) -> DataFrame:
@@ -79,7 +80,7 @@ class PairScorer:
         often = words.where(F.greatest("n_w", "n_v") >= _least([(r["n"], r["many"]) for r in sizes], self.HOT_WORDS))
 
         # The pairs' names go through the driver, so that every branch has the same ones; rand, so that copies of a text part.
-        sample = _bigrams(self.corpus.where(F.rand(7) * self.SAMPLE < 1), []).groupBy("w", "v").agg(F.count("*").alias("n")).where("n > 1").persist()
+        sample = _bigrams(self.corpus.where(F.rand(7) * self.SAMPLE < 1), []).where("w is not null").groupBy("w", "v").agg(F.count("*").alias("n")).where("n > 1").persist()
         many = [(r["n"], r["many"]) for r in sample.groupBy("n").agg(F.count("*").alias("many")).collect()]
         names = spark.createDataFrame(sample.where(F.col("n") >= _least(many, self.HOT_PAIRS)).select("w", "v").toArrow(), "w string, v string")
         sample.unpersist()
@@ -87,12 +88,13 @@ class PairScorer:
         pairs = F.broadcast(counted).join(words, F.col("v") == F.col("word")).select("w", "v", F.log(F.col("n_wv") + (F.col("n_v") + 1) / divisor).alias("t")).persist()
         return words, often, pairs, divisor
 
-    def score(self, texts: DataFrame) -> DataFrame:
+    def sums(self, texts: DataFrame) -> DataFrame:
+        """(id, a, b) of each text: both models' losses, summed over its word pairs; 0 and 0 without any."""
         words, often, pairs, divisor = self._fit
         zero = lambda c: F.coalesce(F.col(c), F.lit(0))
         q = (zero("n_v") + 1) / F.lit(divisor)
         of = lambda role, *keep: F.broadcast(often.select(F.col("word").alias(role), *keep))
-        said = _bigrams(texts, ["id"])
+        said, paired = _bigrams(texts, ["id"]), F.col("w").isNotNull()
 
         # The losses are a = log(n_w + 1) - log(n_wv + q) and b = -log(q); each part is added where its count is known.
         near = said.join(F.broadcast(pairs), ["w", "v"], "left").join(of("w", "n_w"), "w", "left").join(of("v", "n_v"), "v", "left")
@@ -102,7 +104,7 @@ class PairScorer:
         rare = _occurrences(texts, ["id"]).join(of("word"), "word", "left_anti").join(words, "word", "left")
         parts = parts.unionByName(rare.select("id", (F.col("first") * F.log(zero("n_w") + 1)).alias("a"), (F.col("second") * -F.log(q)).alias("b")))
 
-        left = said.join(F.broadcast(pairs.select("w", "v")), ["w", "v"], "left_anti")
+        left = said.where(paired).join(F.broadcast(pairs.select("w", "v")), ["w", "v"], "left_anti")
         pair = F.concat_ws(" ", "w", "v").alias("pair")  # one string is narrower, and no word has a space
         asked = left.join(of("v", "n_v"), "v").select("id", pair, "n_v")
         asked = asked.unionByName(left.join(of("v"), "v", "left_anti").join(words.select(F.col("word").alias("v"), "n_v"), "v", "left").select("id", pair, "n_v"))
@@ -110,10 +112,20 @@ class PairScorer:
             # The texts' own pairs are the counts: they move once.
             met = asked.withColumn("n_wv", F.count("*").over(Window.partitionBy("pair")))
         else:
-            counts = _bigrams(self.corpus, []).join(F.broadcast(pairs.select("w", "v")), ["w", "v"], "left_anti").groupBy(pair).agg(F.count("*").alias("n_wv"))
+            counts = _bigrams(self.corpus, []).where(paired).join(F.broadcast(pairs.select("w", "v")), ["w", "v"], "left_anti").groupBy(pair).agg(F.count("*").alias("n_wv"))
             met = asked.join(counts, "pair", "left")
         parts = parts.unionByName(met.select("id", (-F.log(zero("n_wv") + q)).alias("a"), F.lit(0.0).alias("b")))
-        return parts.groupBy("id").agg((F.sum("a") / F.sum("b")).alias("score"))
+        return parts.groupBy("id").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+    #: Scorers of the same base read the same sums.
+    base = property(lambda self: self)
+
+    def of_sums(self, a: Column, b: Column) -> Column:
+        """The score by a text's sums; null without word pairs."""
+        return F.when(b > 0, a / b)
+
+    def score(self, texts: DataFrame) -> DataFrame:
+        return self.sums(texts).where("b > 0").select("id", self.of_sums(F.col("a"), F.col("b")).alias("score"))
 
 
 class Flipped:
@@ -124,6 +136,13 @@ class Flipped:
     def __init__(self, scorer: Scorer, threshold: float = 0.9):
         self.scorer, self.threshold = scorer, threshold
 
+    #: None where the scorer does not add up sums.
+    base = property(lambda self: getattr(self.scorer, "base", None))
+
+    def of_sums(self, a: Column, b: Column) -> Column:
+        score = self.scorer.of_sums(a, b)
+        return F.when(score.isNotNull(), T.aiish(score, F.lit(self.threshold)))
+
     def score(self, texts: DataFrame) -> DataFrame:
         return self.scorer.score(texts).select("id", T.aiish(F.col("score"), F.lit(self.threshold)).alias("score"))
 

@@ -357,6 +357,24 @@ def test_pair_scorer_moves_word_pairs_once(spark, monkeypatch, hot):
     assert "Window [count" in plan and not re.search("SortMergeJoin \\[w#", plan)
 
 
+def test_check_by_sums_is_check_by_texts(spark):
+    """Overlapping windows and paragraphs ask for a word pair once; sentences of one word, empty texts, list items between."""
+    rng = random.Random(3)
+    words = "the of a b c d e f g Σ\u00a0ΑΣ h".split(" ")
+    line = lambda n: " ".join(rng.choice(words) + rng.choice(["", "", "", ".", '."', "?"]) for _ in range(n))
+    texts = ["", "Stop.", "One. Two.", None] + ["\n".join(rng.choice([line(rng.randint(1, 60)), "• item one", ""]) for _ in range(rng.randint(1, 6))) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    pair = scorers.PairScorer(docs)
+    asked = []
+    both = {}
+    for kind, scorer in (("sums", pair), ("texts", scorers.PairScorer(docs))):
+        df = api.check(docs, scorers.Flipped(pair), scorer, 0.65, 0.7, "\n", 0.45, 0.4)
+        asked.append(df._jdf.queryExecution().analyzed().toString().count("posexplode"))
+        both[kind] = {(r["doc_id"], r["sent_idx"]): (r["sentence"], pytest.approx(r["score"], abs=1e-9), r["own_severity"], r["para_severity"], r["severity"]) for r in df.collect()}
+    assert both["sums"] == both["texts"] and {x[3] for x in both["sums"].values()} >= {None, 0}
+    assert asked[0] < asked[1]
+
+
 def test_outline_of_many_sections(spark):
     """A long flat outline, and levels beyond nine."""
     rows = [("a", i, f"Heading {1 + i % 2 * 11}" if i % 3 else "Heading 12", "head") for i in range(0, 3000)]
