@@ -93,7 +93,7 @@ def check(docs: DataFrame, window_scorer: Scorer, pair_scorer: Scorer, threshold
     """
     base = getattr(pair_scorer, "base", None)
     if base is not None and getattr(window_scorer, "base", None) is base:
-        told = seg.summed_sentences(docs, base.sums, window_scorer.of_sums, sep)
+        told = seg.summed_sentences(docs, base.losses, window_scorer.of_sums, sep)
         score = F.when(F.col("words") >= T.MIN_PROSE_WORDS, pair_scorer.of_sums(F.col("a"), F.col("b")))
         para = F.when(score.isNotNull(), seg.low_severity(score, F.lit(threshold), F.lit(amber).cast("double")))
         sents = told.select("doc_id", "para_idx", "sent_idx", "n_sents", "sentence", "score", seg.severity(F.col("score"), red, window_amber).alias("own_severity"), para.alias("para_severity"))

@@ -100,48 +100,25 @@ def scored_sentences(docs: DataFrame, score: Callable[[DataFrame], DataFrame], s
     return each.select("doc_id", "sent_idx", "n_sents", "_x.para_idx", "_x.sentence", "_x.score")
 
 
-def _pieces(said: Column) -> Column:
-    """Of sentences s0, s1, ...: s0, the words on both sides of the cut after it, s1, and so on to the last sentence."""
-    joint = lambda s, i: F.concat_ws(" ", F.regexp_extract(s, f"{T.NO_SPACE}++\\z", 0), F.regexp_extract(F.get(said, i + 1), f"^{T.NO_SPACE}++", 0))
-    return F.flatten(F.transform(said, lambda s, i: F.when(i + 1 < F.size(said), F.array(s, joint(s, i))).otherwise(F.array(s))))
-
-
-def summed_sentences(docs: DataFrame, sums: Callable[[DataFrame], DataFrame], window_score: Callable[[Column, Column], Column], sep: str = "\n\n") -> DataFrame:
+def summed_sentences(docs: DataFrame, losses: Callable[[DataFrame, Column, int, int], DataFrame], window_score: Callable[[Column, Column], Column], sep: str = "\n\n") -> DataFrame:
     """As ``scored_sentences``, and with the sums of the sentence's paragraph: (..., score, a, b, words).
 
-    ``sums`` makes (id, a, b) of every text (id, text), which add up over adjacent word pairs; ``window_score`` makes a
-    score of a window's sums (null: none). Every word pair is asked for once, though windows overlap and paragraphs hold
-    the same sentences; sums come back as a document's array, by place.
+    ``losses`` makes a document's sums by sentence and window (``PairScorer.losses``); ``window_score`` makes a score of a
+    window's sums (null: none). Every word pair is asked for once, though windows overlap and paragraphs hold the same
+    sentences.
     """
-    texts = cut(docs, sep, 0)
-    said = texts.select("doc_id", F.transform("cut", lambda x: x["sentence"]).alias("_s"))
-    pieces = said.select("doc_id", F.posexplode_outer(_pieces(F.col("_s"))).alias("_i", "text")).where("_i is not null")
-    told = sums(pieces.select(F.struct("doc_id", "_i").alias("id"), "text"))
-    told = told.groupBy("id.doc_id").agg(F.array_sort(F.collect_list(F.struct("id._i", "a", "b"))).alias("_p"))
-    met = texts.join(told, "doc_id", "left").select("doc_id", "cut", "_p", F.size("cut").alias("_n"))
-    total = lambda part, c: F.aggregate(part, F.lit(0.0), lambda x, p: x + p[c])
-
-    def window(w: Column) -> Column:
-        part = F.slice("_p", 2 * w * STRIDE + 1, 2 * F.least(F.lit(WIDTH), F.col("_n") - w * STRIDE) - 1)
-        return window_score(total(part, "a"), total(part, "b"))
-
-    met = met.select("*", F.when(F.col("_n") > 0, F.transform(F.sequence(F.lit(0), _last_window(F.col("_n"))), window)).alias("_w"))
+    told = losses(docs, _sentence_array(F.col("text"), sep, 0), WIDTH, STRIDE)
+    met = told.withColumn("_w", F.transform(F.arrays_zip("wa", "wb"), lambda x: window_score(x["wa"], x["wb"])))
 
     def worst(i: Column) -> Column:
         low = F.greatest(F.lit(0), F.ceil((i - (WIDTH - 1)) / STRIDE)).cast("int")
         over = F.slice("_w", low + 1, F.greatest(F.floor(i / STRIDE).cast("int") - low + 1, F.lit(0)))
         return F.greatest(F.lit(0.0), F.coalesce(F.array_max(over), F.lit(0.0)))
 
-    def own(x: Column, i: Column) -> Column:
-        """A sentence's sums and, if its paragraph goes on, those at the cut after it."""
-        on = F.coalesce(F.get("cut", i + 1)["para_idx"] == x["para_idx"], F.lit(False))
-        part = F.slice("_p", 2 * i + 1, F.when(on, 2).otherwise(1))
-        return F.struct(x["para_idx"].alias("para_idx"), x["sentence"].alias("sentence"), worst(i).alias("score"), total(part, "a").alias("a"), total(part, "b").alias("b"))
-
-    each = met.select("doc_id", F.col("_n").cast("long").alias("n_sents"), F.posexplode_outer(F.transform("cut", own)).alias("sent_idx", "_x")).where("sent_idx is not null")
-    each = each.select("doc_id", "sent_idx", "n_sents", "_x.*").withColumn("words", T.word_count(F.col("sentence")))
-    para = Window.partitionBy("doc_id", "para_idx")  # in the exchange by document
-    return each.withColumns({c: F.sum(c).over(para) for c in ("a", "b", "words")})
+    by = F.arrays_zip("para", "sentence", "a", "b", "words")
+    own = F.transform(by, lambda x, i: F.struct(x["para"].alias("para_idx"), x["sentence"].alias("sentence"), worst(i).alias("score"), x["a"].alias("a"), x["b"].alias("b"), x["words"].alias("words")))
+    each = met.select("doc_id", F.size("sentence").cast("long").alias("n_sents"), F.posexplode_outer(own).alias("sent_idx", "_x")).where("sent_idx is not null")
+    return each.select("doc_id", "sent_idx", "n_sents", "_x.*")
 
 
 def sentence_scores(sents: DataFrame, window_scores: DataFrame) -> DataFrame:

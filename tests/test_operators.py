@@ -7,13 +7,14 @@ import zipfile
 from collections import Counter
 
 import duckdb
+import numpy as np
 import oracle
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillstream import api, config, schemas
-from quillstream.operators import audit, calibrate, check, corpus, generation, ranks, scorers, segments, structure
+from quillstream.operators import audit, calibrate, check, corpus, generation, pairs, ranks, scorers, segments, structure
 from quillstream.plans import catalog
 from quillstream.sources import fetch, readers, thresholds, writers
 from quillstream.streaming import ingest
@@ -375,6 +376,35 @@ def test_check_by_sums_is_check_by_texts(spark):
     assert asked[0] < asked[1]
 
 
+def test_check_by_sums_moves_texts_once_and_lists_of_pairs(spark, monkeypatch):
+    """Many batches and buckets; the corpus is the texts themselves or others; pairs that the corpus does not have."""
+    monkeypatch.setattr(pairs, "BATCH", 3000)
+    rng = random.Random(5)
+    words = [*"the of a b Σ\u00a0ΑΣ İx ß \U0001f600".split(" "), "w" * 300, *(f"n{i}" for i in range(200))]
+    line = lambda n: " ".join(rng.choice(words) + rng.choice(["", "", ".", "?"]) for _ in range(n))
+    texts = [None, "", "Stop.", "\n"] + ["\n".join(rng.choice([line(rng.randint(1, 60)), "• item one", ""]) for _ in range(rng.randint(1, 6))) for _ in range(50)]
+    docs = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "doc_id string, text string")
+    other = spark.createDataFrame([(t,) for t in [None, "", *texts[20:], line(400)]], "text string")
+    for corpus in (docs, other):
+        pair = scorers.PairScorer(corpus)
+        df = api.check(docs, scorers.Flipped(pair), pair, 0.65, 0.7, "\n", 0.45, 0.4)
+        got = {(r["doc_id"], r["sent_idx"]): (r["score"], r["own_severity"], r["para_severity"]) for r in df.collect()}
+        plan = df._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+        want = api.check(docs, scorers.Flipped(pair), scorers.PairScorer(corpus), 0.65, 0.7, "\n", 0.45, 0.4).collect()
+        assert got == {(r["doc_id"], r["sent_idx"]): (pytest.approx(r["score"], abs=1e-9), r["own_severity"], r["para_severity"]) for r in want}
+        assert not re.search("Window|SortMergeJoin|BroadcastExchange", plan) and plan.count("ReusedExchange") == 1
+
+
+def test_lists_of_pairs_come_back_in_their_order():
+    packed = pairs._packed([(np.array([1, 0, 300]), b"a" + b"b" * 300), np.array([2**40, 0, 7]), np.zeros(0, np.int64)])
+    lengths, data, n, none = pairs._unpacked(packed)
+    assert pairs._names([lengths], [data]).to_pylist() == ["a", "", "b" * 300]
+    assert pairs._numbers(n).tolist() == [2**40, 0, 7] and not len(pairs._numbers(none))
+    starts, n = np.array([0, 0, 7, 15]), np.array([0, 7, 8, 11])
+    many, begin, end = pairs._windows(starts, n, 7, 3)
+    assert many.tolist() == [0, 1, 2, 3] and begin.tolist() == [0, 7, 10, 15, 18, 21] and end.tolist() == [7, 14, 15, 22, 25, 26]
+
+
 def test_outline_of_many_sections(spark):
     """A long flat outline, and levels beyond nine."""
     rows = [("a", i, f"Heading {1 + i % 2 * 11}" if i % 3 else "Heading 12", "head") for i in range(0, 3000)]
