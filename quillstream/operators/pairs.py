@@ -207,10 +207,11 @@ def _tells(buckets: int, width: int, stride: int):
     return tell
 
 
-def losses_of_sentences(docs: DataFrame, corpus: DataFrame, cut: Column, width: int, stride: int) -> DataFrame:
+def losses_of_sentences(docs: DataFrame, corpus: DataFrame, prose: Column, cut: Column, width: int, stride: int) -> DataFrame:
     """(doc_id, sentence, para, words, a, b, wa, wb) of ``docs`` (doc_id, text), by models counted in ``corpus`` (text).
 
-    ``cut`` makes an array of (para_idx, sentence) of ``text``. The arrays but the last two are by sentence: itself, its
+    ``prose`` makes an array of paragraphs of ``text`` and ``cut`` one of (para_idx, sentence), the same words in the same
+    order: to ask, no sentences are needed. The arrays but the last two are by sentence: itself, its
     paragraph, and that paragraph's words and sums of losses; wa and wb are the sums of windows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -219,15 +220,17 @@ def losses_of_sentences(docs: DataFrame, corpus: DataFrame, cut: Column, width:
     n = (size(docs) + (0 if own else size(corpus))) // BATCH + 1
     dealt = lambda key: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     # The one exchange of texts is read twice, by what asks and by what is told; both take doc_id, else it would be made twice.
-    texts = docs.select("doc_id", "text", dealt("doc_id").alias("batch")).repartition(n, "batch").withColumn("cut", F.coalesce(cut, F.array().cast("array<struct<para_idx:int,sentence:string>>")))
-    said = F.transform("cut", lambda x: F.lower(x["sentence"])).alias("said")
-    asking = texts.select("batch", "doc_id", F.lower("text").alias("counted") if own else F.lit(None).cast("string").alias("counted"), said)
+    texts = docs.select("doc_id", "text", dealt("doc_id").alias("batch")).repartition(n, "batch")
+    none = F.array().cast("array<string>")
+    lowered = F.transform(F.coalesce(prose, none), F.lower).alias("said")
+    asking = texts.select("batch", "doc_id", F.lower("text").alias("counted") if own else F.lit(None).cast("string").alias("counted"), lowered)
     if not own:
         # Batches of the corpus ask for nothing; their numbers are below zero.
         more = corpus.select("text", (-1 - dealt("text")).alias("batch")).repartition(n, "batch")
-        asking = asking.unionByName(more.select("batch", F.lit(None).cast(kind).alias("doc_id"), F.lower("text").alias("counted"), F.array().cast("array<string>").alias("said")))
+        asking = asking.unionByName(more.select("batch", F.lit(None).cast(kind).alias("doc_id"), F.lower("text").alias("counted"), none.alias("said")))
     lists = asking.groupBy("batch").applyInArrow(_asks(n), "bucket int, batch int, lists binary")
     counts = lists.repartition(n, "bucket").groupBy("bucket").applyInArrow(_adds, "batch int, bucket int, total long, vocabulary long, counts binary")
-    told = texts.select("batch", "doc_id", said, F.transform("cut", lambda x: x["sentence"]).alias("sentence"), F.transform("cut", lambda x: x["para_idx"]).alias("para"))
+    sentences = texts.withColumn("cut", F.coalesce(cut, F.array().cast("array<struct<para_idx:int,sentence:string>>")))
+    told = sentences.select("batch", "doc_id", F.transform("cut", lambda x: F.lower(x["sentence"])).alias("said"), F.transform("cut", lambda x: x["sentence"]).alias("sentence"), F.transform("cut", lambda x: x["para_idx"]).alias("para"))
     schema = f"doc_id {kind}, sentence array<string>, para array<int>, words array<long>, a array<double>, b array<double>, wa array<double>, wb array<double>"
     return told.groupBy("batch").cogroup(counts.repartition(n, "batch").groupBy("batch")).applyInArrow(_tells(n, width, stride), schema)

@@ -118,9 +118,9 @@ class PairScorer:
         parts = parts.unionByName(met.select("id", (-F.log(zero("n_wv") + q)).alias("a"), F.lit(0.0).alias("b")))
         return parts.groupBy("id").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
-    def losses(self, docs: DataFrame, cut: Column, width: int, stride: int) -> DataFrame:
+    def losses(self, docs: DataFrame, prose: Column, cut: Column, width: int, stride: int) -> DataFrame:
         """The same sums of all sentences' paragraphs and windows of ``docs`` (doc_id, text), see ``pairs``."""
-        return pairs.losses_of_sentences(docs, self.corpus, cut, width, stride)
+        return pairs.losses_of_sentences(docs, self.corpus, prose, cut, width, stride)
 
     #: Scorers of the same base read the same sums.
     base = property(lambda self: self)

@@ -100,14 +100,15 @@ def scored_sentences(docs: DataFrame, score: Callable[[DataFrame], DataFrame], s
     return each.select("doc_id", "sent_idx", "n_sents", "_x.para_idx", "_x.sentence", "_x.score")
 
 
-def summed_sentences(docs: DataFrame, losses: Callable[[DataFrame, Column, int, int], DataFrame], window_score: Callable[[Column, Column], Column], sep: str = "\n\n") -> DataFrame:
+def summed_sentences(docs: DataFrame, losses: Callable[[DataFrame, Column, Column, int, int], DataFrame], window_score: Callable[[Column, Column], Column], sep: str = "\n\n") -> DataFrame:
     """As ``scored_sentences``, and with the sums of the sentence's paragraph: (..., score, a, b, words).
 
     ``losses`` makes a document's sums by sentence and window (``PairScorer.losses``); ``window_score`` makes a score of a
     window's sums (null: none). Every word pair is asked for once, though windows overlap and paragraphs hold the same
     sentences.
     """
-    told = losses(docs, _sentence_array(F.col("text"), sep, 0), WIDTH, STRIDE)
+    text = F.col("text")
+    told = losses(docs, _prose(text, sep, 0), _sentence_array(text, sep, 0), WIDTH, STRIDE)
     met = told.withColumn("_w", F.transform(F.arrays_zip("wa", "wb"), lambda x: window_score(x["wa"], x["wb"])))
 
     def worst(i: Column) -> Column:
